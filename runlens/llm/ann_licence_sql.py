@@ -1,0 +1 @@
+LICENCE_SQL = ""
