@@ -24,17 +24,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, what: str) -> str:
     """A new folder's URI below the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder.
+
+    checkpoint() would keep the size that the plan estimated, which multiplies with each join of a loop; a table has its own.
+    """
+    folder = new_folder(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def mounted(uri: str) -> str:
     """The local path of a folder that is mounted on all machines. Object stores have to be mounted for memory-mapped files."""
     if uri.startswith("file:"):

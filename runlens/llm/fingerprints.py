@@ -3,7 +3,8 @@
 A document is a bag of words weighted by their counts. Each word draws r and c from Gamma(2, 1) and b from U(0, 1), all from
 hashes of the word; with t = floor(ln(w) / r + b) its value is ln(a) = ln(c) - r (t - b + 1), and the smallest value in a bin wins
 (word, t) as the bin's sample. Words are dealt to BINS bins by hash, so each is drawn once; samples of two documents agree
-with the probability of their generalised Jaccard similarity, over the bins that either has.
+with the probability of their generalised Jaccard similarity, over the bins that either has. Weights above CHUNK are split into parts
+of at most CHUNK, which leaves the similarity as it is and lets bins weigh about the same.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS, LANES = 128, 4
+BINS, LANES, CHUNK = 128, 4, 2
 #: A 64-bit column holds LANES samples of 14 bits, each below a guard bit.
 LANE_BITS = 15
 ONES = sum(((1 << 14) - 1) << (LANE_BITS * i) for i in range(LANES))
@@ -23,9 +24,9 @@ def _unit(bits: Column) -> Column:
     return (bits.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) / F.lit(float(1 << 32))
 
 
-def sample_columns(term: Column, weight: Column) -> tuple[Column, Column]:
+def sample_columns(term: list[Column], weight: Column) -> tuple[Column, Column]:
     """Bin, and the sample packed below its value: the smallest packed number of a bin is the bin's sample."""
-    h1, h2, h3 = (F.xxhash64(term, F.lit(k)) for k in (1, 2, 3))
+    h1, h2, h3 = (F.xxhash64(*term, F.lit(k)) for k in (1, 2, 3))
     high = lambda h: F.shiftrightunsigned(h, 32)
     r = -F.log(_unit(h1) * _unit(high(h1)))
     log_c = F.log(-F.log(_unit(h2) * _unit(high(h2))))
@@ -33,7 +34,7 @@ def sample_columns(term: Column, weight: Column) -> tuple[Column, Column]:
     t = F.floor(F.log(weight.cast("double")) / r + beta)
     log_a = log_c - r * (t - beta + F.lit(1.0))
     rank = F.floor((F.greatest(F.least(log_a, F.lit(1000.0)), F.lit(-1000.0)) + F.lit(1024.0)) * F.lit(float(1 << 37)))
-    token = F.pmod(F.xxhash64(term, t), F.lit(16383)) + F.lit(1)
+    token = F.pmod(F.xxhash64(*term, t), F.lit(16383)) + F.lit(1)
     return F.pmod(high(h3), F.lit(BINS)).cast("int"), rank * F.lit(16384) + token
 
 
@@ -46,7 +47,8 @@ def signatures(df: DataFrame, by: list[str], text: str, variants: dict[str, Colu
     words = df.select(*by, *[c.alias(f"is_{v}") for v, c in variants.items()], F.explode(F.split(text, r"\s+")).alias("term")).filter("term <> ''")
     flags = [f"is_{v}" for v in variants]
     counted = words.groupBy(*by, *flags, "term").agg(F.count(F.lit(1)).alias("w"))
-    bin_, packed = sample_columns(F.col("term"), F.col("w"))
+    counted = counted.select(*by, *flags, "term", "w", F.explode(F.sequence(F.lit(0), F.floor((F.col("w") - 1) / CHUNK).cast("int"))).alias("part"))
+    bin_, packed = sample_columns([F.col("term"), F.col("part")], F.least(F.col("w") - F.col("part") * CHUNK, F.lit(CHUNK)))
     drawn = counted.select(*by, *flags, bin_.alias("bin"), packed.alias("packed")).groupBy(*by, *flags, "bin").agg(F.min("packed").alias("packed"))
     drawn = drawn.select(*by, *flags, (F.col("bin") / LANES).cast("int").alias("place"), F.expr(f"shiftleft(pmod(packed, 16384), (bin % {LANES}) * {LANE_BITS})").alias("lane"))
     columns = [F.coalesce(F.bit_or(F.when(F.col(f"is_{v}") & (F.col("place") == i), F.col("lane"))), F.lit(0)).alias(f"{v}_{i}") for v in variants for i in range(BINS // LANES)]
