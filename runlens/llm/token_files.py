@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import mounted
 
 NULL_ID = -(1 << 63)
-#: Chunks (a word after its space) that a worker keeps at most in each of two generations.
-CACHE = 250_000
+#: Chunks (a word after its space) that a worker keeps at most in each of two generations, and parts of chunks.
+CACHE, PARTS = 200_000, 700_000
+#: Punctuation that may be cut from a word's end.
+TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class Chunks:
@@ -47,10 +49,30 @@ class Chunks:
         self.odd = re.compile(r" \s| $").search
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, chunk: str) -> list[str]:
+        """Parts of a chunk that share no pre-token: around single line breaks, and before punctuation that ends a word.
+
+        A cut is made only where the split pattern can't match across: between a letter or digit and ASCII punctuation other than
+        an apostrophe, and around a line break that no white space follows.
+        """
+        if any(t in chunk for t in self.special):
+            return [chunk]
+        parts = chunk.split("\n")
+        if len(parts) > 1 and not all(p and not p[0].isspace() for p in parts[1:]):
+            return [chunk]
+        out = []
+        for k, part in enumerate(parts):
+            if k:
+                out.append("\n")
+            word = part.rstrip(TAIL)
+            out += [word, part[len(word) :]] if word != part and word[-1:].isalnum() else [part]
+        return out
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -63,9 +85,20 @@ class Chunks:
         if len(kept) + len(missing) > CACHE:
             self.old, self.new = kept, (kept := {})
             missing = set(words)
-        unseen = [w for w in missing if w not in self.old]
-        kept.update((w, self.old[w]) for w in missing if w in self.old)
-        kept.update(zip(unseen, self.whole(unseen), strict=True))
+        cut = {}
+        for w in missing:
+            if (found := self.old.get(w)) is not None:
+                kept[w] = found
+            else:
+                cut[w] = self.pieces(w)
+        known = self.parts
+        unseen = list({p for own in cut.values() for p in own if p not in known})
+        if len(known) + len(unseen) > PARTS:
+            known.clear()
+            unseen = list({p for own in cut.values() for p in own})
+        known.update(zip(unseen, self.whole(unseen), strict=True))
+        for w, own in cut.items():
+            kept[w] = b"".join(map(known.__getitem__, own))
         return b"".join(map(kept.__getitem__, words))
 
 
