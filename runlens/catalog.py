@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import monitoring
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return monitoring.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return monitoring.oracle_sql()
