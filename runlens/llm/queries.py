@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ann_licence_sql import LICENCE_SQL
 from .bpe import bpe_decode, bpe_encode
 from .common import documents, new_folder
 from .fingerprints import edited_fingerprints
@@ -94,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": LICENCE_SQL}
+    return {}
