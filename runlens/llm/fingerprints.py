@@ -74,39 +74,33 @@ def as_text(columns: list[Column]) -> Column:
 def with_neighbour(df: DataFrame, parts: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of df dealt by `block`, consecutive ids in descending order, each with the next document's text.
 
-    Returns block, rid, doc_id, text, next_text and halo. A block's last document meets the first one of the next block, which
+    Returns block, doc_id, text, next_text, seat (its place in the block) and halo. A block's last document meets the first one of the next block, which
     is sent along as a halo row (its own next_text is of no use); the last document of all meets the first. Ties in doc_id come in
     order of the texts' hashes, null ids last. Bounds of blocks are approximate quantiles of doc_id, so their sizes are even
     whatever the ids; the driver gets two numbers a block.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    coarse = max(1, round((4 * parts) ** 0.5))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    n = 2 * parts
     ids = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"))
-    n = coarse * coarse
-    found = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"]
+    found = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"]
     bounds = sorted(set(found or [0]))
-    groups = [bounds[i : i + coarse] for i in range(0, len(bounds), coarse)]
-    literal = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    firsts = F.array(*[F.lit(g[0]).cast("long") for g in groups])
 
-    def block_of(c: Column) -> Column:
-        """Number of bounds below or at the id, in two steps."""
-        k = F.size(F.filter(firsts, lambda x: x <= c))
-        return F.when(k == 0, F.lit(0)).otherwise((k - 1) * coarse + F.size(F.filter(F.get(literal, k - 1), lambda x: x <= c)))
+    def block_of(c: Column, lo: int = 0, hi: int = len(bounds)) -> Column:
+        """Number of bounds at or below the id, by halving. Without lambdas, so that Spark sees equal plans as equal."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c < F.lit(bounds[mid]), block_of(c, lo, mid)).otherwise(block_of(c, mid + 1, hi))
 
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     heads = ids.select(block_of(F.col("id")).alias("block"), "id").groupBy("block").agg(F.max("id").alias("head")).orderBy(F.desc("block")).collect()
-    rows = rows.withColumn("block", block_of(order))
-    if heads:
+    rows = rows.withColumn("block", block_of(order)).withColumn("halo", F.lit(False))
+    if heads:  # a union, as Spark uses one shuffle for all that reads it
         before = {heads[i]["block"]: heads[i - 1]["block"] for i in range(len(heads))}
         to = F.map_from_arrays(F.array(*map(F.lit, before)), F.array(*map(F.lit, before.values())))
-        is_head = order.isin([h["head"] for h in heads])
-        own = F.struct(F.col("block").alias("block"), F.lit(False).alias("halo"))
-        halo = F.struct(F.element_at(to, F.col("block")).alias("block"), F.lit(True).alias("halo"))
-        rows = rows.withColumn("to", F.explode(F.when(is_head, F.array(own, halo)).otherwise(F.array(own)))).select("rid", "doc_id", "text", F.col("to.block").alias("block"), F.col("to.halo").alias("halo"))
-    else:
-        rows = rows.withColumn("halo", F.lit(False))
-    next_ = Window.partitionBy("block").orderBy("halo", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).desc(), F.xxhash64("text"), "rid")
+        first = rows.filter(order.isin([h["head"] for h in heads]))
+        rows = rows.unionByName(first.withColumn("block", F.element_at(to, F.col("block"))).withColumn("halo", F.lit(True)))
+    next_ = Window.partitionBy("block").orderBy("halo", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).desc(), F.xxhash64("text"))
     return rows.repartition(parts, "block").withColumn("next_text", F.lead("text").over(next_)).withColumn("seat", F.row_number().over(next_))
 
 
@@ -114,20 +108,26 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document (null text: empty).
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many first ones (or all) of the next document in
-    descending order of doc_id, after the last the first. Texts are shuffled once.
+    descending order of doc_id, after the last the first. One shuffle deals the texts; all later steps keep
+    its partitions.
     """
-    spark = df.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = with_neighbour(df, parts, doc_id, text)
+    # eight times the usual number, as a task's words are grouped in memory
+    base = with_neighbour(df, 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc_id, text)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    base = base.withColumn("edited", F.when(~F.col("halo"), edited))
-    texts = base.select("block", "seat", F.explode(F.when(F.col("halo"), F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("t")))).otherwise(F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("edited").alias("t"))))).alias("x"))
-    marks = signatures(texts.select("block", "seat", F.col("x.e").alias("e"), F.col("x.t").alias("t")), ["block", "seat"], "t", {"own": ~F.col("e"), "edited": F.col("e")})
-    thin = base.select("block", "seat", "doc_id", "halo", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    both = thin.join(marks, ["block", "seat"], "left").fillna(0, [f"{v}_{i}" for v in ("own", "edited") for i in range(BINS // LANES)])
+    base = base.withColumn("edited", F.when(F.col("halo"), F.lit("")).otherwise(edited))
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    quarters = [F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long").alias(f"sha_{i}") for i in range(4)]
+    by = ["block", "seat", "doc_id", "halo", "n_chars", *(f"sha_{i}" for i in range(4))]
+    # what belongs to a document is part of its key, so nothing is joined; a third text keeps documents without words
+    as_struct = lambda v, t: F.struct(F.lit(v).alias("v"), t.alias("t"))
+    texts = F.array(as_struct(0, F.col("text")), as_struct(1, F.col("edited")), as_struct(2, F.lit("-")))
+    base = base.select("block", "seat", "doc_id", "halo", F.length("text").cast("long").alias("n_chars"), *quarters, texts.alias("texts"))
+    long = base.select(*by, F.inline("texts"))
+    both = signatures(long, by, "t", {"own": F.col("v") == 0, "edited": F.col("v") == 1})
     names = [f"own_{i}" for i in range(BINS // LANES)]
     seats = Window.partitionBy("block").orderBy("seat")
     both = both.withColumn("after", F.lead(F.struct(*names)).over(seats)).filter(~F.col("halo"))
     own, new, after = [F.col(n) for n in names], [F.col(f"edited_{i}") for i in range(BINS // LANES)], [F.col(f"after.{n}") for n in names]
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(new).alias("edited_fingerprint"), likeness(own, new).alias("near_edited"), likeness(own, after).alias("near_next"))
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"sha_{i}")), 16, "0") for i in range(4)])
+    return both.select("doc_id", "n_chars", sha.alias("edited_sha256"), as_text(own).alias("fingerprint"), as_text(new).alias("edited_fingerprint"), likeness(own, new).alias("near_edited"), likeness(own, after).alias("near_next"))
