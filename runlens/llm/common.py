@@ -78,25 +78,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def bucket_links(members: DataFrame, near: Column, verify) -> DataFrame:
+def bucket_links(members: DataFrame, near: Column, verify, payload: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect whatever all near pairs within buckets connect, without all pairs of a bucket.
 
-    members: key, node, and payload columns; near: a condition on a.*/b.* payload columns (aliases x and y);
+    members: key and node; payload: one row a node with what `near`, a condition on x.* and y.*, reads besides the nodes;
     verify(pairs of a, b) keeps the true ones. First each member meets the smallest member of its bucket; what that
     leaves in different components meets across components only. The condition is part of the join, so pairs that
     aren't near leave no rows.
     """
+    full = (lambda df: df) if payload is None else (lambda df: df.join(payload, "node"))
     shared = members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = shared.select("key", "first")
-    kept = checkpoint(salted_join(members, first, ["key"], F.xxhash64("node"), how="inner"))
-    payload = [c for c in kept.columns if c not in ("key", "first")]
-    heads = kept.filter(F.col("node") == F.col("first")).drop("key").dropDuplicates(["node"]).drop("first")
-    star = kept.filter(F.col("node") != F.col("first")).drop("key").dropDuplicates(["first", "node"])
+    kept = checkpoint(salted_join(members, shared.select("key", "first"), ["key"], F.xxhash64("node"), how="inner"))
+    heads = full(kept.select(F.col("first").alias("node")).distinct())
+    star = full(kept.filter("node <> first").select("first", "node").distinct())
     star = star.alias("y").join(heads.alias("x"), F.expr("y.first = x.node") & near, "inner").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    star = checkpoint(verify(star.distinct()))
+    star = checkpoint(verify(star))
     comp = connected_components(star)
-    placed = kept.drop("first").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = kept.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = checkpoint(salted_join(placed, open_, ["key"], F.xxhash64("node")).select("key", "component", *payload))
+    placed = checkpoint(full(salted_join(placed, open_, ["key"], F.xxhash64("node"))))
     across = placed.alias("x").join(placed.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.component <> y.component") & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     return star.union(checkpoint(verify(across.distinct())))

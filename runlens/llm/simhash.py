@@ -59,6 +59,14 @@ def golay_keys(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def different(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and the different values of each row."""
+    values = np.sort(values, axis=1)
+    fresh = np.concatenate([np.ones((len(values), 1), bool), values[:, 1:] != values[:, :-1]], axis=1)
+    row, col = np.nonzero(fresh)
+    return row, values[row, col]
+
+
 def majority(hashes: np.ndarray) -> int:
     """64 bits, each set if it is set in over half the hashes."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -100,24 +108,22 @@ def simhash_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", do
 def fingerprint_keys(df: DataFrame) -> DataFrame:
     """node (fp) and key: every two fingerprints at most 2 bits apart share a key.
 
-    64 bits are segments of 23, 23 and 18 (padded) bits. Two errors leave two of the three segments with at most one
-    error in all, so one of them is equal and the other shares a Golay key: a key is a pair of segments with the nearest
-    codeword of one and any key of the other, 24 bits and the pair's number.
+    64 bits are segments A (23), B (20) and C (21). If B is equal, A has at most 2 errors: a Golay key of A with B. If C is equal,
+    a Golay key of A with C. Else B and C have one error each and A none: A with a Golay key of B. That is up to
+    18 keys of 32 bits and more, so that fingerprints seldom meet by chance, however many there are.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            seg = [golay_keys((fp >> np.uint64(s)) & np.uint64((1 << n) - 1)) for s, n in ((0, 23), (23, 23), (46, 18))]
+            a, b, c = (((fp >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in ((0, 23), (23, 20), (43, 21)))
+            of_a, of_b = golay_keys(a), golay_keys(b)
             nodes, found = [], []
-            for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-                both = np.concatenate([seg[i][:, :1] << 12 | seg[j], seg[i][:, 1:] << 12 | seg[j][:, :1]], axis=1) | pair << 24
-                both.sort(axis=1)
-                fresh = np.concatenate([np.ones((len(fp), 1), bool), both[:, 1:] != both[:, :-1]], axis=1)
-                row, col = np.nonzero(fresh)
+            for kind, both in enumerate((of_a << 20 | b[:, None], of_a << 21 | c[:, None], of_b << 23 | a[:, None])):
+                row, values = different(both | kind << 40)
                 nodes.append(row)
-                found.append(both[row, col])
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)[np.concatenate(nodes)]), pa.array(np.concatenate(found).astype(np.int64))], ["node", "key"])
+                found.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)[np.concatenate(nodes)]), pa.array(np.concatenate(found))], ["node", "key"])
 
     return df.select("fp").mapInArrow(keys, "node long, key long")
 
@@ -143,11 +149,11 @@ def simhash_components(df: DataFrame, shingle: int = 3, max_bits: int = 2, text:
     return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")).join(spread, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
-LANES = 4
+LANES = 6
 
 
 def wide_prints(df: DataFrame) -> DataFrame:
-    """doc_id, digest (128 bits) of the words, and a 256-bit SimHash w0..w3 of the text's different words."""
+    """doc_id, digest (128 bits) of the words, and a 384-bit SimHash w0..w5 of the text's different words."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest, xxh64_intdigest
@@ -174,11 +180,11 @@ def wide_prints(df: DataFrame) -> DataFrame:
 
 
 def wide_keys(df: DataFrame) -> DataFrame:
-    """node, w0..w3 and key for near copies: 256 bits are cut into 11 segments of 23 bits.
+    """node and key for near copies: 384 bits are cut into 16 segments of 23 bits.
 
-    A key is a segment's Golay key with 11 bits of the next segment. At a Jaccard similarity of 0.8 of five-word shingles about
-    1 word in 45 differs, so about 1 bit in 13; a segment then shares a key 4 times in 5 and one of 11 keys matches
-    almost surely.
+    A key is a segment's Golay key with 17 bits of the next segment. At a Jaccard similarity of 0.8 of five-word shingles about
+    1 word in 45 differs, so about 1 bit in 13: a segment then shares a key 4 times in 5, the 17 bits are equal 1 time
+    in 4, and one of 16 keys matches 97 times in 100; at 0.85 nearly always. Keys of 29 bits seldom meet by chance.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,26 +192,22 @@ def wide_keys(df: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 ids, wide = part.column(0).to_numpy(), np.stack([part.column(1 + i).to_numpy() for i in range(LANES)], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")[:, :253].reshape(-1, 11, 23)
+                bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")[:, : 16 * 23].reshape(-1, 16, 23)
                 segs = (bits * (1 << np.arange(23))).sum(2, dtype=np.int64)
                 rows, found = [], []
-                for s in range(11):
-                    both = (golay_keys(segs[:, s]) << 11 | (segs[:, (s + 1) % 11] & 0x7FF)[:, None]) | s << 24
-                    both.sort(axis=1)
-                    fresh = np.concatenate([np.ones((len(ids), 1), bool), both[:, 1:] != both[:, :-1]], axis=1)
-                    row, col = np.nonzero(fresh)
+                for s in range(16):
+                    row, values = different(golay_keys(segs[:, s]) << 17 | (segs[:, (s + 1) % 16] & 0x1FFFF)[:, None] | s << 30)
                     rows.append(row)
-                    found.append(both[row, col])
-                row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), *(pa.array(wide[row, i]) for i in range(LANES)), pa.array(np.concatenate(found))], ["node", *(f"w{i}" for i in range(LANES)), "key"])
+                    found.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(rows)]), pa.array(np.concatenate(found))], ["node", "key"])
 
-    return df.mapInArrow(keys, "node long, " + ", ".join(f"w{i} long" for i in range(LANES)) + ", key long")
+    return df.mapInArrow(keys, "node long, key long")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and component_id: the smallest doc_id reachable over pairs of texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
-    Candidates share a key of a 256-bit SimHash and differ in at most a fifth of its bits; the similarity is then computed
+    Candidates share a key of a 384-bit SimHash and differ in at most a fifth of its bits; the similarity is then computed
     exactly from whole texts. Exact copies (by 128-bit digest of their words) are one node. Texts without words are
     alike. Rows without doc_id are left out; one row for each different doc_id, with the smallest of its texts' components.
     """
@@ -216,8 +218,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, te
 
     rows = df.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     copies = checkpoint(wide_prints(rows))
-    firsts = copies.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.min(f"w{i}").alias(f"w{i}") for i in range(LANES)))
-    near = F.expr("bit_count(x.w0 ^ y.w0) + bit_count(x.w1 ^ y.w1) + bit_count(x.w2 ^ y.w2) + bit_count(x.w3 ^ y.w3) <= 52")
+    firsts = checkpoint(copies.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.min(f"w{i}").alias(f"w{i}") for i in range(LANES))))
+    prints = firsts.select("node", *(f"w{i}" for i in range(LANES)))
+    near = F.expr(" + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(LANES)) + f" <= {64 * LANES // 5}")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs)
@@ -227,7 +230,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, te
         both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
         return both.filter(F.col("c") >= similarity * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b").distinct()
 
-    comp = connected_components(bucket_links(wide_keys(firsts.select("node", *(f"w{i}" for i in range(LANES)))), near, verify))
+    comp = connected_components(bucket_links(wide_keys(prints), near, verify, prints))
     named = firsts.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     # a digest may hold a third of all rows: documents are dealt by (digest, salt)
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
