@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import monitoring
+from .plans import ingestion, monitoring
+
+PLANS = (monitoring, ingestion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return monitoring.queries()
+    return {name: make for plan in PLANS for name, make in plan.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return monitoring.oracle_sql()
+    return {name: sql for plan in PLANS for name, sql in plan.oracle_sql().items()}
