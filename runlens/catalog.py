@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ingestion, monitoring
+from .plans import ingestion, lineage_queries, monitoring
 
-PLANS = (monitoring, ingestion)
+PLANS = (monitoring, ingestion, lineage_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
