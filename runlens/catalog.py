@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ingestion, lineage_queries, monitoring
+from .plans import ingestion, lineage_queries, monitoring, stream_queries
 
-PLANS = (monitoring, ingestion, lineage_queries)
+PLANS = (monitoring, ingestion, lineage_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -121,3 +121,10 @@ def skipped_patterns(registry: DataFrame, top: int = 50) -> DataFrame:
 
 def stale_candidates(registry: DataFrame, top: int = 50) -> DataFrame:
     return registry.filter("is_stale = 1").orderBy(F.desc("age_days"), "dataflow_id").limit(top).select("dataflow_id", "age_days", "latest_status")
+
+
+def watermark_summary(df: DataFrame, top: int = 18) -> DataFrame:
+    """Movements of each dataflow's watermark, most runs first."""
+    rows = watermark_states(df).filter(has_id() & F.col("watermark_enabled"))
+    out = rows.groupBy("dataflow_id").agg(F.count(F.lit(1)).alias("runs"), *[F.count_if(F.col("movement_state") == m).alias(m) for m in ("advanced", "unchanged", "initialized", "invalid", "incomplete")], latest("movement_state").alias("latest_movement"))
+    return out.orderBy(F.desc("runs"), "dataflow_id").limit(top)

@@ -74,3 +74,22 @@ def jobs_by_child_impact(jf: DataFrame, top: int = 20) -> DataFrame:
     """Jobs whose children fail or are skipped most."""
     impact = zero("total_failed") * 3 + zero("total_skipped")
     return jf.withColumn("impact", impact).filter("impact > 0").orderBy(F.desc("impact"), F.desc_nulls_last("total_dataflows"), "job_id").limit(top).select("job_id", "impact", "total_failed", "total_skipped", "total_dataflows", rate(F.col("total_failed"), F.col("total_dataflows")).alias("failed_rate"))
+
+
+#: What makes a job worth a look, with its score.
+ATTENTION = (("failed", 5), ("child_failures", 4), ("mismatch", 3), ("over_p99", 2), ("over_p95", 1))
+
+
+def job_attention_items(jf: DataFrame, df: DataFrame, top: int = 8) -> DataFrame:
+    """Jobs with their worst reason: failed, failed children, mismatched counts, or a duration at the 99th or 95th percentile."""
+    from ..functions.columns import nearest_percentiles
+
+    limits = nearest_percentiles(jf.filter(status_is("succeeded", "failed")), [], {"p95": (F.col("duration_seconds"), 0.95), "p99": (F.col("duration_seconds"), 0.99)})
+    bad = job_comparisons(jf, df).select(*KEYS).distinct().withColumn("odd", F.lit(True))
+    rows = jf.join(bad, KEYS, "left").join(F.broadcast(limits), how="left")
+    tests = {"failed": status_is("failed"), "child_failures": zero("total_failed") > 0, "mismatch": F.col("odd").isNotNull(), "over_p99": F.col("duration_seconds") >= F.col("p99"), "over_p95": F.col("duration_seconds") >= F.col("p95")}
+    reason, score = F.lit(None).cast("string"), F.lit(0)
+    for name, points in reversed(ATTENTION):
+        reason, score = F.when(tests[name], name).otherwise(reason), F.when(tests[name], points).otherwise(score)
+    out = rows.withColumns({"reason": reason, "score": score}).filter("score > 0")
+    return out.orderBy(F.desc("score"), F.desc_nulls_last("total_failed"), F.desc_nulls_last("duration_seconds"), "job_id").limit(top).select("job_id", "reason", "score", "total_failed", "duration_seconds")

@@ -220,3 +220,12 @@ def lineage_latest_status(flows: DataFrame, latest: DataFrame) -> DataFrame:
     by_name = latest.filter("not ambiguous_name").withColumn("n", F.lower(F.trim("dataflow_name"))).filter("n <> ''").withColumn("r", F.row_number().over(newest)).filter("r = 1").select("n", F.col("normalized_status").alias("s2"), F.col("event_time").alias("t2"))
     out = flows.join(by_id, "dataflow", "left").withColumn("n", F.lower(F.trim("name"))).join(by_name, "n", "left")
     return out.select("dataflow", "name", F.coalesce("s1", "s2", F.lit("unknown")).alias("status"), F.coalesce("t1", "t2").alias("event_time"))
+
+
+def asset_detail(edges: DataFrame) -> DataFrame:
+    """Every asset's neighbours on both sides as sorted text, of dataflows and dependencies apart."""
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    flow = F.col("kind") == "dataflow"
+    up = edges.groupBy(F.col("target").alias("asset")).agg(listed(F.when(flow, F.col("source"))).alias("fed_by"), listed(F.when(~flow, F.col("source"))).alias("used_by"))
+    down = edges.groupBy(F.col("source").alias("asset")).agg(listed(F.when(flow, F.col("target"))).alias("feeds"), listed(F.when(~flow, F.col("target"))).alias("depends_on"))
+    return up.join(down, "asset", "full_outer").fillna("")

@@ -135,6 +135,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "l20_relation_filter": (lambda t: lineage.relation_filter(t["edges"], t["assets"], stage=["gold"]), f"{CTES} SELECT * FROM ed WHERE source LIKE 'gold.%' OR target LIKE 'gold.%'"),
     "l21_search": (lambda t: lineage.search(t["assets"], "brand silver").select("asset", "rank"), f"{CTES} SELECT asset, 3 AS rank FROM inv WHERE asset LIKE '%brand%' AND asset LIKE '%silver%' ORDER BY asset LIMIT 8"),
     "l22_asset_inventory": (lambda t: lineage.asset_inventory(t["assets"], t["edges"]), f"{CTES} SELECT * FROM inv2"),
+    "l23_asset_detail": (lambda t: lineage.asset_detail(t["edges"]), f"{CTES} SELECT asset, " + ", ".join(f"COALESCE((SELECT string_agg(DISTINCT {a}, ',' ORDER BY {a}) FROM ed WHERE {b} = asset AND kind = '{k}'), '') AS {n}" for n, a, b, k in (("fed_by", "source", "target", "dataflow"), ("used_by", "source", "target", "dependency"), ("feeds", "target", "source", "dataflow"), ("depends_on", "target", "source", "dependency"))) + " FROM ast"),
     "l24_asset_page": (lambda t: lineage.asset_page(lineage.asset_inventory(t["assets"], t["edges"]), "transit").select("asset", "upstream", "downstream"), f"{CTES} SELECT asset, upstream, downstream FROM inv2 WHERE position = 'transit' ORDER BY upstream + downstream DESC, asset LIMIT 25"),
     "l25_project_registry": (registry, f"{CTES}, {RES}, al AS (SELECT reference AS signature, 'dev' AS e, status, asset FROM res UNION ALL SELECT reference, 'test', status, asset FROM res UNION ALL SELECT reference, 'prod', status, CASE WHEN reference % 4 <> 0 THEN asset END FROM res WHERE reference % 3 <> 0) SELECT signature, COUNT(DISTINCT e) AS environments, COUNT(DISTINCT CASE WHEN asset IS NOT NULL THEN e END) AS covered, COUNT(DISTINCT asset) AS targets, CASE WHEN COUNT(DISTINCT asset) > 1 THEN 'conflicting' WHEN COUNT(DISTINCT asset) = 0 THEN 'unresolved' WHEN COUNT(DISTINCT CASE WHEN asset IS NOT NULL THEN e END) < COUNT(DISTINCT e) THEN 'partial' ELSE 'resolved' END AS status FROM al GROUP BY 1"),
     "l27_validate_metadata": (issues, f"{CTES}, {ISSUES} SELECT * FROM iss"),

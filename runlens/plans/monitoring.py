@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import diagnostics, durations, facts, failures, freshness, jobs, maintenance, overview, performance, scope, volume
+from ..operators import diagnostics, durations, facts, failures, freshness, jobs, lineage, maintenance, overview, performance, scope, volume
 from ..sources.derived import AS_OF, oracle_facts, raw_runs
 from . import sqltext as S
 
@@ -251,6 +251,18 @@ DIAG = ", ".join([S.LINK, S.COMPARE, FIELD])
 add("q07_diagnostics_summary", lambda df, jf: diagnostics.diagnostics_summary(df, jf), f"SELECT *, CASE WHEN bad_fields > 0 THEN 'bad' WHEN orphan > 0 OR mismatches > 0 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT {', '.join(S.n(f'linkage = {k!r}', k) for k in ('matched', 'orphan', 'job_only'))}, {S.pct('COUNT(*) FILTER (linkage = ' + repr('matched') + ')', 'COUNT(*)')} AS readiness_rate, (SELECT COUNT(*) FROM mis) AS mismatches, (SELECT COUNT(*) FROM fc WHERE severity = 'bad') AS bad_fields, (SELECT COUNT(*) FROM fc WHERE severity = 'warning') AS warned_fields FROM link)", DIAG)
 add("q08_investigation_queue", lambda df, jf: diagnostics.investigation_queue(df, jf), f"SELECT severity, issue, subject, {S.ts('latest_time')} AS latest_time FROM (SELECT 3 AS severity, 'mismatch' AS issue, job_id || ' ' || metric AS subject, (SELECT MAX(event_time) FROM jf WHERE jf._source_id = mis._source_id AND jf.job_id = mis.job_id) AS latest_time FROM mis UNION ALL SELECT 2, 'orphan', job_id, latest_time FROM link WHERE linkage = 'orphan' UNION ALL SELECT 1, 'job_only', job_id, latest_time FROM link WHERE linkage = 'job_only' UNION ALL SELECT CASE severity WHEN 'bad' THEN 3 ELSE 2 END, 'field', field, NULL FROM fc WHERE severity IN ('bad','warning')) t ORDER BY severity DESC, t.latest_time DESC NULLS LAST, issue, subject LIMIT 200", DIAG)
 
+# measures besides
+add("h14_endpoint_display", lambda df, jf: df.withColumns({c: F.lit(None).cast("string") for c in ("destination_catalog", "destination_database", "destination_schema")}).groupBy(C.endpoint_display("destination").alias("display")).agg(F.count(F.lit(1)).alias("runs")), "SELECT COALESCE(destination_full_table, destination_table) AS display, COUNT(*) AS runs FROM df GROUP BY 1")
+add("h17_job_shapes", lambda df, jf: jf.withColumn("k", C.job_key()).agg(F.count_distinct("k").alias("shapes"), F.max(F.length("k")).cast("long").alias("digits")), "SELECT COUNT(DISTINCT CASE WHEN operation_types IS NULL THEN 0 WHEN operation_types = 'etl' THEN 1 ELSE 2 END * 2 + CASE WHEN stages LIKE '[%' THEN 0 ELSE 1 END) AS shapes, CAST(16 AS BIGINT) AS digits FROM jf")
+add("o02_environment_overview", lambda df, jf: overview.status_trend(scope.scope(df, jf, {"connection": "source-3"}, NOW)[1], "month"), f"SELECT {S.trunc('month')} AS bucket_start, normalized_status AS status, COUNT(*) AS count FROM jf WHERE event_time IS NOT NULL AND EXISTS (SELECT 1 FROM df d WHERE d._source_id = jf._source_id AND d.job_id = jf.job_id AND 'source-3' IN (d.source_name, d.destination_name)) GROUP BY 1, 2")
+add("r02_skip_streaks", lambda df, jf: freshness.skip_streaks(df.filter(C.has_id())).select("dataflow_run_id", F.col("run_rank").cast("long"), F.col("others_seen").cast("long")), f"SELECT dataflow_run_id, row_number() OVER w AS run_rank, CAST(SUM(CASE WHEN normalized_status = 'skipped' THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS others_seen FROM df WHERE {S.NOID} WINDOW w AS (PARTITION BY dataflow_id ORDER BY event_time DESC NULLS LAST, dataflow_run_id DESC)")
+JL = f"(SELECT {S.nip('duration_seconds', .95)} AS p95, {S.nip('duration_seconds', .99)} AS p99 FROM jf WHERE {S.RAN})"
+ODD = f"jo AS (SELECT jf.*, p95, p99, EXISTS (SELECT 1 FROM mis m WHERE m._source_id = jf._source_id AND m.job_id = jf.job_id) AS odd FROM jf, {JL}), jr AS (SELECT *, CASE WHEN normalized_status = 'failed' THEN 'failed' WHEN COALESCE(total_failed, 0) > 0 THEN 'child_failures' WHEN odd THEN 'mismatch' WHEN duration_seconds >= p99 THEN 'over_p99' WHEN duration_seconds >= p95 THEN 'over_p95' END AS reason FROM jo)"
+add("t03_job_attention_items", lambda df, jf: jobs.job_attention_items(jf, df), "SELECT job_id, reason, CASE reason WHEN 'failed' THEN 5 WHEN 'child_failures' THEN 4 WHEN 'mismatch' THEN 3 WHEN 'over_p99' THEN 2 ELSE 1 END AS score, total_failed, duration_seconds FROM jr WHERE reason IS NOT NULL ORDER BY score DESC, total_failed DESC NULLS LAST, duration_seconds DESC NULLS LAST, job_id LIMIT 8", S.COMPARE + ", " + ODD)
+add("t06_watermark_summary", lambda df, jf: freshness.watermark_summary(df), f"SELECT dataflow_id, COUNT(*) AS runs, {', '.join(S.n(f'movement_state = {m!r}', m) for m in ('advanced', 'unchanged', 'initialized', 'invalid', 'incomplete'))}, {S.latest('movement_state')} AS latest_movement FROM etl WHERE watermark_enabled AND {S.NOID} GROUP BY 1 ORDER BY runs DESC, 1 LIMIT 18", S.ETL)
+FLAT = facts.latest_dataflow_runs
+add("l26_lineage_latest_status", lambda df, jf: lineage.lineage_latest_status(df.filter(C.has_id()).groupBy(F.col("dataflow_id").alias("dataflow")).agg(F.max("dataflow_name").alias("name")), FLAT(df)).drop("name"), f"SELECT dataflow_id AS dataflow, normalized_status AS status, {S.ts('event_time')} AS event_time FROM idn WHERE {S.NOID} QUALIFY row_number() OVER (PARTITION BY identity ORDER BY event_time DESC NULLS LAST, dataflow_run_id DESC) = 1", IDENT)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda make: lambda spark, sf_dir: C.rendered(make(*load(spark, sf_dir))))(make) for name, (make, _) in QUERIES.items()}
