@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import documents, new_folder
 from .fingerprints import edited_fingerprints
 from .language import fit_language_model, predict_language
+from .licence_sql import licence_sql
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .mixing import mix_sources
@@ -93,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licenses": licence_sql()}
