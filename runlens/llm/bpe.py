@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed value: the byte-level pre-tokenizer's split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words in each of two generations, and token pairs, that a worker keeps at most.
@@ -190,8 +192,10 @@ def decode_column(ids: Column | str, path: str) -> Column:
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with a column of ids. No shuffle: each task encodes its rows; words are kept between rows in a bounded cache."""
+    small_batches(df.sparkSession)
     return df.withColumn(out, encode_column(text, path))
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    small_batches(df.sparkSession)
     return df.withColumn(out, decode_column(ids, path))

@@ -13,6 +13,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get at most 1,000 rows at once: whole texts are long, and a worker holds a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset (local tests) a temporary one is set."""
     sc = spark.sparkContext

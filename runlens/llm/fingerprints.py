@@ -80,17 +80,19 @@ def with_neighbour(df: DataFrame, parts: int, doc_id: str = "doc_id", text: str
     whatever the ids; the driver gets two numbers a block.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = 2 * parts
+    coarse = max(1, round((2 * parts) ** 0.5))
+    n = coarse * coarse
     ids = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"))
-    found = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"]
+    found = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"]
     bounds = sorted(set(found or [0]))
+    groups = [bounds[i : i + coarse] for i in range(0, len(bounds), coarse)]
+    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
+    firsts = F.array(*[F.lit(g[0]).cast("long") for g in groups])
 
-    def block_of(c: Column, lo: int = 0, hi: int = len(bounds)) -> Column:
-        """Number of bounds at or below the id, by halving. Without lambdas, so that Spark sees equal plans as equal."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c < F.lit(bounds[mid]), block_of(c, lo, mid)).otherwise(block_of(c, mid + 1, hi))
+    def block_of(c: Column) -> Column:
+        """Number of bounds at or below the id, in two steps of the root of their number each."""
+        k = F.size(F.filter(firsts, lambda x: x <= c))
+        return F.when(k == 0, F.lit(0)).otherwise((k - 1) * coarse + F.size(F.filter(F.get(fine, k - 1), lambda x: x <= c)))
 
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     heads = ids.select(block_of(F.col("id")).alias("block"), "id").groupBy("block").agg(F.max("id").alias("head")).orderBy(F.desc("block")).collect()
@@ -111,8 +113,9 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     descending order of doc_id, after the last the first. One shuffle deals the texts; all later steps keep
     its partitions.
     """
-    # eight times the usual number, as a task's words are grouped in memory
-    base = with_neighbour(df, 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc_id, text)
+    # about a thousand documents each, as a task's words are grouped in memory
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // 1000)
+    base = with_neighbour(df, parts, doc_id, text)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     base = base.withColumn("edited", F.when(F.col("halo"), F.lit("")).otherwise(edited))

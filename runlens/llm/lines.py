@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, salted_join
+from .common import checkpoint, salted_join, small_batches
 
 BASE = 0x9E3779B97F4A7C15
 
@@ -71,6 +71,7 @@ def repeated_lines(df: DataFrame, min_words: int = 50, text: str = "text", doc_i
             wrap = lambda i: pa.array(np.array([r[i] for r in rows], dtype=np.uint64).view(np.int64))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), wrap(2), wrap(3), *(pa.array([r[i] for r in rows], pa.int32()) for i in (4, 5, 6))], ["doc_id", "text_key", "mark", "run", "words", "first", "last"])
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     runs = checkpoint(rows.mapInArrow(emit, "doc_id long, text_key long, mark long, run long, words int, first int, last int"))
     twice = runs.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DIM = 1 << 18
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -22,7 +24,7 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 class Features:
     """Hashed features of texts; words are kept in a bounded table."""
 
-    def __init__(self, keep: int = 300_000):
+    def __init__(self, keep: int = 150_000):
         self.keep, self.of, self.word, self.shape = keep, {}, [], []
 
     def learn(self, w: str) -> int:
@@ -103,7 +105,7 @@ def features() -> Features:
     return Features()
 
 
-def fit_quality_model(df: DataFrame, grade: str = "grade", grades: int = 3, max_rows: int = 8000, text: str = "text", key: str = "doc_id") -> OrdinalModel | None:
+def fit_quality_model(df: DataFrame, grade: str = "grade", grades: int = 3, max_rows: int = 6000, text: str = "text", key: str = "doc_id") -> OrdinalModel | None:
     """A model fitted on at most max_rows rated rows, those with the smallest hashes of their keys. None without rated rows.
 
     Rows whose grade is null are left out. The driver gets the features of the sample only.
@@ -114,6 +116,7 @@ def fit_quality_model(df: DataFrame, grade: str = "grade", grades: int = 3, max_
         made = [features()(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([i.astype(np.int32) for i, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32()))], ["i", "v"])
 
+    small_batches(df.sparkSession)
     rated = df.filter(F.col(grade).isNotNull()).select(F.col(key).alias("k"), F.col(grade).cast("int").alias("grade"), F.col(text).cast("string").alias("text"))
     chosen = rated.select("k").orderBy(F.xxhash64("k"), "k").limit(max_rows).distinct()
     got = rated.join(F.broadcast(chosen), "k", "left_semi").select("k", "grade", hashed("text").alias("x")).orderBy("k", "grade").limit(max_rows).toArrow()
@@ -131,6 +134,7 @@ def rate_quality(df: DataFrame, model: OrdinalModel | None, text: str = "text")
 
     Without a model every row gets the highest grade 0 with probability 1, so nothing is rejected. Null texts are empty ones.
     """
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<expected double, tail double>")

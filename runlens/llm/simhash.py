@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, checkpoint, connected_components
+from .common import bucket_links, checkpoint, connected_components, small_batches
 
 #: Fixed value: generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -102,6 +102,7 @@ def simhash_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", do
     def fingerprint(texts: pa.Array) -> pa.Array:
         return pa.array([_signed(majority(h)) if len(h := shingle_hashes(words_of(t), shingle)) else 0 for t in texts.to_pylist()], pa.int64())
 
+    small_batches(df.sparkSession)
     return df.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("fp"))
 
 
@@ -167,7 +168,7 @@ def wide_prints(df: DataFrame) -> DataFrame:
                 words = set(line)
                 if not words:
                     continue
-                if len(kept) > 200_000:
+                if len(kept) > 100_000:
                     kept.clear()
                 for w in words:
                     if w not in kept:
@@ -216,6 +217,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     def shingles(texts: pa.Array) -> pa.Array:
         return pa.array([np.unique(shingle_hashes(words_of(t), shingle).view(np.int64)) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
+    small_batches(df.sparkSession)
     rows = df.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     copies = checkpoint(wide_prints(rows))
     firsts = checkpoint(copies.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.min(f"w{i}").alias(f"w{i}") for i in range(LANES))))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mounted
+from .common import mounted, small_batches
 
 NULL_ID = -(1 << 63)
 #: Chunks (a word after its space) that a worker keeps at most in each of two generations, and parts of chunks.
@@ -120,6 +120,7 @@ def write_token_files(df: DataFrame, folder: str, path: str, end_id: int | None
     side. An empty table gives an empty manifest.
     """
     spark, at, dtype = df.sparkSession, mounted(folder), id_type(path)
+    small_batches(spark)
     os.makedirs(at, exist_ok=True)
     end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
 
