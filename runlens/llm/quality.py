@@ -70,7 +70,7 @@ class OrdinalModel:
         """(n, grades - 1): P(grade > k)."""
         return 1 / (1 + np.exp(np.clip(self.t[None] - s[:, None], -40, 40)))
 
-    def fit(self, index: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.ndarray, epochs: int = 40, batch: int = 100, rate: float = 0.5, decay: float = 1e-6, seed: int = 9) -> OrdinalModel:
+    def fit(self, index: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.ndarray, epochs: int = 40, batch: int = 100, rate: float = 5.0, decay: float = 1e-6, seed: int = 9) -> OrdinalModel:
         rng, n, k = np.random.default_rng(seed), len(grade), len(self.t)
         starts = np.concatenate([[0], ends[:-1]])
         gw2, gt2 = np.full(DIM, 1e-3, np.float32), np.full(k, 1e-2)
@@ -154,11 +154,13 @@ def rate_quality(df: DataFrame, model: OrdinalModel | None, text: str = "text")
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rated documents: grade 0 for low quality, 1 for toxic ones, 2 for the rest; several ratings of one document give its lowest.
+    """Rated documents: grade 0 for toxic ones, 1 for low quality, 2 for the rest; several ratings of one document give its lowest.
+
+    Toxic documents are the lowest grade, as a few words have to outweigh an otherwise good text.
 
     Ratings without quality are left out; an unknown toxicity counts as none.
     """
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("__grade"))
     return docs.join(known, "doc_id").select("doc_id", "text", F.col("__grade").alias("grade"))
 
