@@ -89,16 +89,20 @@ def bucket_links(members: DataFrame, near: Column, verify, payload: DataFrame |
     """Links (a, b) that connect whatever all near pairs within buckets connect, without all pairs of a bucket.
 
     members: key and node; payload: one row a node with what `near`, a condition on x.* and y.*, reads besides the nodes;
-    verify(pairs of a, b) keeps the true ones. First each member meets the smallest member of its bucket; what that
+    verify(pairs of a, b) keeps the true ones. First each member meets its bucket's head, the member that meets most others in
+    all its buckets: the text that copies were made of is near all of them, though they may not be near each other. What that
     leaves in different components meets across components only. The condition is part of the join, so pairs that
     aren't near leave no rows.
     """
     full = (lambda df: df) if payload is None else (lambda df: df.join(payload, "node"))
-    shared = members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = checkpoint(salted_join(members, shared.select("key", "first"), ["key"], F.xxhash64("node"), how="inner"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = checkpoint(salted_join(members, shared, ["key"], F.xxhash64("node"), how="inner"))
+    met = kept.groupBy("node").agg(F.sum("n").alias("met"))
+    head = kept.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("h")).select("key", F.col("h.node").alias("first"))
+    kept = checkpoint(salted_join(kept.drop("n"), head, ["key"], F.xxhash64("node"), how="inner"))
     heads = full(kept.select(F.col("first").alias("node")).distinct())
     star = full(kept.filter("node <> first").select("first", "node").distinct())
-    star = star.alias("y").join(heads.alias("x"), F.expr("y.first = x.node") & near, "inner").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    star = star.alias("y").join(heads.alias("x"), F.expr("y.first = x.node") & near, "inner").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     star = checkpoint(verify(star))
     comp = connected_components(star)
     placed = kept.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))

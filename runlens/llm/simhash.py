@@ -208,7 +208,7 @@ def wide_keys(df: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and component_id: the smallest doc_id reachable over pairs of texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
-    Candidates share a key of a 384-bit SimHash and differ in at most a fifth of its bits; the similarity is then computed
+    Candidates share a key of a 384-bit SimHash and differ in at most a seventh of its bits; the similarity is then computed
     exactly from whole texts. Exact copies (by 128-bit digest of their words) are one node. Texts without words are
     alike. Rows without doc_id are left out; one row for each different doc_id, with the smallest of its texts' components.
     """
@@ -222,7 +222,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     copies = checkpoint(wide_prints(rows))
     firsts = checkpoint(copies.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.min(f"w{i}").alias(f"w{i}") for i in range(LANES))))
     prints = firsts.select("node", *(f"w{i}" for i in range(LANES)))
-    near = F.expr(" + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(LANES)) + f" <= {64 * LANES // 5}")
+    near = F.expr(" + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(LANES)) + f" <= {64 * LANES // 7}")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs)
