@@ -1,10 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
-A run is the shortest sequence of lines from a given line on that has at least min_words words. Runs are winnowed: the
-line with the smallest hash in each run is its fingerprint, so two equal runs always select the same line. Fingerprints
-that occur once are dropped; at the others, the runs around them are compared, which extends matches both ways, and
-overlapping runs merge into the longest match. Of each run the first place, by (doc_id, line), stays; lines of the later ones
-go. Blank lines aren't part of runs and stay. Lines are compared by their words, with white space collapsed.
+A run is the shortest sequence of lines from a given line on that has at least min_words words, or that sequence with further
+lines, as long as no run from the next line on ends there too. So every sequence of at least min_words words is a union of runs
+within it, and a match is deleted in its full length: a line goes exactly if some repeated sequence of at least min_words words
+holds it. Runs are winnowed: the line with the smallest hash in the shortest run from a line is the fingerprint of all runs from
+it, so two equal runs always select the same line. Fingerprints that occur once are dropped; at the others, the runs around
+them are compared. Of each run the first place, by (doc_id, line), stays; lines of the later ones go. Blank lines aren't part of
+runs and stay, except inside of runs. Lines are compared by their words, with white space collapsed.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def runs_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int,
             sizes.append(len(words))
     n = len(at)
     total = np.concatenate([[0], np.cumsum(sizes)])
-    ends = np.searchsorted(total, total[:-1] + min_words)  # the run from i has lines i .. ends[i] - 1
+    ends = np.searchsorted(total, total[:-1] + min_words).tolist()  # the shortest run from i has lines i .. ends[i] - 1
     out: list[tuple[int, int, int, int, int]] = []
     power, prefix = [1], [0]
     for h in hashes:
@@ -43,7 +45,7 @@ def runs_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int,
         prefix.append((prefix[-1] * BASE + h) & 0xFFFFFFFFFFFFFFFF)
     least: list[int] = []  # indices of a rising sequence of hashes: the sliding minimum
     head, filled = 0, 0
-    for i, e in enumerate(ends.tolist()):
+    for i, e in enumerate(ends):
         if e > n:
             break
         while filled < e:
@@ -53,8 +55,10 @@ def runs_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int,
             filled += 1
         while least[head] < i:
             head += 1
-        run = (prefix[e] - prefix[i] * power[e - i]) & 0xFFFFFFFFFFFFFFFF
-        out.append((hashes[least[head]], run, int(total[e] - total[i]), at[i], at[e - 1]))
+        last = ends[i + 1] - 1 if i + 1 < n else n
+        for stop in range(e, max(e, last) + 1):
+            run = (prefix[stop] - prefix[i] * power[stop - i]) & 0xFFFFFFFFFFFFFFFF
+            out.append((hashes[least[head]], run, int(total[stop] - total[i]), at[i], at[stop - 1]))
     return out
 
 

@@ -274,6 +274,51 @@ def test_lines_equal_brute_force(spark, odd, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def whole_matches(docs, least):
+    """Lines that lie in a sequence of at least `least` words with an earlier place, by comparing all places of each shortest run."""
+    body = {d: [(k, tuple(x.split())) for k, x in enumerate((t or "").encode().split(b"\n")) if x.split()] for d, t in docs}
+    places, gone = defaultdict(list), defaultdict(set)
+    for d in sorted(body):
+        own = body[d]
+        for i in range(len(own)):
+            n, e = 0, i
+            while e < len(own) and n < least:
+                n += len(own[e][1])
+                e += 1
+            if n < least:
+                break
+            key = tuple(w for _, w in own[i:e])
+            for p, o in places[key]:
+                if p == d and o + e - i > i:
+                    continue
+                stop = 0
+                while i + stop < len(own) and o + stop < len(body[p]) and own[i + stop][1] == body[p][o + stop][1]:
+                    stop += 1
+                gone[d] |= set(range(own[i][0], own[i + stop - 1][0] + 1))
+            places[key].append((d, i))
+    return gone
+
+
+def test_lines_extend_matches_to_their_ends(spark):
+    line = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    rnd, docs = random.Random(11), []
+    docs.append((0, "\n".join([line("a", 60), line("b", 40), line("x", 70)])))
+    docs.append((1, "\n".join([line("p", 55), line("a", 60), line("b", 40), line("y", 70)])))
+    docs.append((2, "\n".join([line("a", 60), line("b", 40), line("c", 5)])))
+    pool = [line(f"l{i}_", rnd.randint(1, 45)) for i in range(14)]
+    for d in range(3, 60):
+        docs.append((d, "\n".join("" if rnd.random() < 0.1 else rnd.choice(pool) for _ in range(rnd.randint(1, 14)))))
+    gone = whole_matches(docs, 50)
+    assert gone[1] == {1, 2} and gone[2] == {0, 1} and sum(map(len, gone.values())) > 30
+    out = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in docs:
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d])
+        assert out[d]["text"] == left and out[d]["__removed"] == len(gone[d]), d
+    real = [(d, t) for d, t, *_ in DOCS]
+    gone = whole_matches(real, 50)
+    assert {r["doc_id"]: r["lines_removed"] for r in queries.op5_lines(spark, SF).collect()} == {d: len(gone[d]) for d, _ in real}
+
+
 # 6 language
 
 
