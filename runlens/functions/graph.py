@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -37,18 +38,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def trace(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_depth: int = 50) -> DataFrame:
-    """(node, depth) reachable from seeds (node) over edges (source, target): `upstream`, `downstream` or `both` ways apart."""
+def trace(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
+    """(node, depth) reachable from seeds (node) over edges (source, target): `upstream`, `downstream` or `both` ways apart.
+
+    The search goes on until nothing new is reached. If max_depth is given and nodes lie deeper, it is a RuntimeError.
+    """
     if direction == "both":
         up, down = trace(edges, seeds, "upstream", max_depth), trace(edges, seeds, "downstream", max_depth)
         return up.union(down).groupBy("node").agg(F.min("depth").alias("depth"))
     a, b = ("source", "target") if direction == "downstream" else ("target", "source")
     ways = settled(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     seen = front = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         front = ways.join(front.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
         front = settled(front)
         if not front.limit(1).count():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"nodes lie deeper than {max_depth}")
         seen = settled(seen.union(front))
     return seen

@@ -178,6 +178,14 @@ def test_components_and_trace(spark):
     assert {r["node"] for r in graph.trace(ways, seeds, "both").collect()} == {"a", "b", "c", "x"}
 
 
+def test_trace_reaches_the_end_of_a_long_chain(spark):
+    ways = spark.createDataFrame([(k, k + 1) for k in range(54)], "source long, target long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert {(r["node"], r["depth"]) for r in graph.trace(ways, seeds).collect()} == {(k, k) for k in range(55)}
+    with pytest.raises(RuntimeError):
+        graph.trace(ways, seeds, max_depth=3)
+
+
 def test_assets_stitch_over_aliases(spark):
     ids = spark.createDataFrame([(1, "logical_table", "a"), (2, "logical_table", "a"), (2, "physical_path", "p"), (3, "physical_path", "p"), (3, "logical_table", "b"), (4, "api_endpoint", "u")], "node long, kind string, value string")
     got = {r["node"]: (r["asset"], r["conflict"]) for r in lineage.stitch_assets(ids).collect()}
