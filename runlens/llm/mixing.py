@@ -1,18 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source with weight w gets its j-th block within the window [floor(j / w), ceil((j + 1) / w)); earliest deadline first
-over the released blocks then keeps every source within one block of its share at any time. With weights of q_i / Q the
-schedule repeats after Q slots, so one frame of Q slots is scheduled for each phase; a phase ends when a source is used
-up, and the rest goes on with their weights scaled up. Every row is kept, none repeats.
+over the released blocks then keeps every source within one block of its share at any time. Windows are computed from the
+exact weights in integers, so nothing is rounded however long the schedule is. A phase ends when a source is used up, and the
+rest goes on with their weights scaled up. Every row is kept, none repeats.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tables of 256 rows a source are broadcast up to so many sources.
 MAX_SOURCES = 1000
 
 
@@ -27,38 +30,47 @@ def shares(weights: list[float], frame: int) -> list[int]:
     return out
 
 
-def frame_slots(quota: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks in a frame of sum(quota) slots: earliest deadline first, ties to the first source."""
-    q, slots = sum(quota), [[] for _ in quota]
-    later = [(0, i) for i in range(len(quota))]  # by release
+def phase_slots(weights: list[int], left: list[int]) -> list[list[int]]:
+    """For each source the slots of its blocks, earliest deadline first, ties to the first source, until a source has used up what it has left."""
+    q, slots = sum(weights), [[] for _ in weights]
+    later = [(0, i) for i in range(len(weights))]  # by release
     ready: list[tuple[int, int]] = []
-    for t in range(q):
+    for t in range(sum(left)):
         while later and later[0][0] <= t:
             _, i = heapq.heappop(later)
-            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * q // quota[i]), i))
+            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * q // weights[i]), i))
         _, i = heapq.heappop(ready)
         slots[i].append(t)
-        if (j := len(slots[i])) < quota[i]:
-            heapq.heappush(later, (j * q // quota[i], i))
+        if (j := len(slots[i])) == left[i]:
+            break
+        heapq.heappush(later, (j * q // weights[i], i))
     return slots
 
 
+def frame_slots(quota: list[int]) -> list[list[int]]:
+    """For each source the slots of its blocks in a frame of sum(quota) slots."""
+    slots = phase_slots(quota, [x + 1 for x in quota])
+    return [[t for t in own if t < sum(quota)] for own in slots]
+
+
 def schedule(sources: list[tuple[str | None, int, float]], frame: int) -> list[tuple]:
-    """Rows (source, first block, end block, first slot, frame, slots of a frame) from (source, blocks, weight)."""
+    """Rows (source, first block, end block, first slot, frame, slots) from (source, blocks, weight), of at most `frame` blocks each.
+
+    Sources of weight 0 come after all others.
+    """
     rows, used, base = [], [0] * len(sources), 0
-    active = [i for i, s in enumerate(sources) if s[1]]
-    while active:
-        quota = shares([sources[i][2] for i in active], frame)
-        slots = frame_slots(quota)
-        at = lambda k, j: j // quota[k] * frame + slots[k][j % quota[k]]  # noqa: E731, B023
-        left = [sources[i][1] - used[i] for i in active]
-        end = 1 + min(at(k, n - 1) for k, n in enumerate(left))
-        for k, i in enumerate(active):
-            n = min(left[k], end // frame * quota[k] + sum(s < end % frame for s in slots[k]))
-            rows.append((sources[i][0], used[i], used[i] + n, base, frame, slots[k]))
-            used[i] += n
-        base += end
-        active = [i for i in active if used[i] < sources[i][1]]
+    exact = [Fraction(w) for _, _, w in sources]
+    while any(left := [s[1] - u for s, u in zip(sources, used, strict=True)]):
+        active = [i for i, n in enumerate(left) if n and exact[i]] or [i for i, n in enumerate(left) if n]
+        weights = [exact[i] or Fraction(1) for i in active]
+        scale = math.lcm(*(w.denominator for w in weights))
+        slots = phase_slots([int(w * scale) for w in weights], [left[i] for i in active])
+        for i, own in zip(active, slots, strict=True):
+            for at in range(0, len(own), frame):
+                part = own[at : at + frame]
+                rows.append((sources[i][0], used[i] + at, used[i] + at + len(part), base, frame, part))
+            used[i] += len(own)
+        base += sum(map(len, slots))
     return rows
 
 
@@ -69,7 +81,8 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, temperat
     out, and rows without a source, share the weight of the smallest one given. size: of a row, in the units of block;
     default is the text's characters, and every row counts as 1 at least. A row longer than a block takes up the blocks it
     covers. Within a source, rows come in the order of a seeded hash of key, ties by the key, then a hash of all columns.
-    The driver gets one row a source (at most MAX_SOURCES, else ValueError) and makes a frame of slots for each phase.
+    The driver gets one row a source, whatever their number, and makes the schedule: one integer a block, in rows of `frame` blocks;
+    its time grows with the blocks and with the square of the number of sources.
     Rows are numbered in 256 ranges of the hash for each source, so no task gets a whole source. Empty tables stay empty.
     """
     spark = df.sparkSession
@@ -78,24 +91,21 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, temperat
     sized = sized.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key)))
     sized = sized.withColumn("__range", F.shiftright("__hash", 56).cast("int")).withColumn("__source", F.col(source).cast("string"))
     parts = sized.groupBy("__source", "__range").agg(F.sum("__size").alias("__sum"))
-    totals = parts.groupBy("__source").agg(F.sum("__sum").alias("n")).orderBy(F.col("__source").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
+    totals = parts.groupBy("__source").agg(F.sum("__sum").alias("n")).orderBy(F.col("__source").asc_nulls_first()).collect()
     least = min(weights.values()) if weights else 1.0
     known = [(r["__source"], -(-r["n"] // block), (weights.get(r["__source"], least) if weights else float(r["n"]) ** temperature)) for r in totals]
-    plan = schedule(known, max(frame, 4 * len(known)))
-    # at most MAX_SOURCES phases of one frame: bounded whatever the corpus
+    plan = schedule(known, frame)
     plan_df = F.broadcast(spark.createDataFrame(plan, "__p_source string, __p_first long, __p_end long, __p_slot long, __p_frame long, __p_slots array<int>"))
     before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = F.broadcast(parts.select(F.col("__source").alias("__b_source"), F.col("__range").alias("__b_range"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__b_base")))  # at most 256 rows a source
+    few = F.broadcast if len(totals) <= MAX_SOURCES else lambda table: table
+    bases = few(parts.select(F.col("__source").alias("__b_source"), F.col("__range").alias("__b_range"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__b_base")))  # at most 256 rows a source
     plain = [F.col(c) for c, t in df.dtypes if not t.startswith(("map", "variant"))]
     within = Window.partitionBy("__source", "__range").orderBy("__hash", key, F.xxhash64(*plain))
     run = sized.withColumn("__run", F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size"))
     run = run.join(bases, F.col("__source").eqNullSafe(F.col("__b_source")) & (F.col("__range") == F.col("__b_range")))
     placed = run.withColumn("__at", F.col("__run") + F.col("__b_base")).withColumn("__block", F.floor(F.col("__at") / block)).withColumn("__offset", F.col("__at") % block)
     placed = placed.join(plan_df, F.col("__source").eqNullSafe(F.col("__p_source")) & (F.col("__block") >= F.col("__p_first")) & (F.col("__block") < F.col("__p_end")))
-    j, n = F.col("__block") - F.col("__p_first"), F.size("__p_slots")
-    slot = F.col("__p_slot") + F.floor(j / n) * F.col("__p_frame") + F.element_at("__p_slots", (j % n + 1).cast("int"))
+    slot = F.col("__p_slot") + F.element_at("__p_slots", (F.col("__block") - F.col("__p_first") + 1).cast("int"))
     return placed.withColumn("__slot", slot.cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], "__block", "__slot", "__offset")
 
 

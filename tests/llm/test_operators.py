@@ -92,6 +92,26 @@ def test_schedule_matches_slot_by_slot_simulation():
         assert order == sorted(order)
 
 
+def test_schedule_keeps_within_one_block_of_target_weights():
+    weights = [9.5, *[1.0] * 19]  # the first has a third
+    rows = mixing.schedule([(f"s{i}", 40_000 if i == 0 else 2_500, w) for i, w in enumerate(weights)], 4096)
+    order = {base + slots[b - first]: source for source, first, end, base, _, slots in rows for b in range(first, end)}
+    assert sorted(order) == list(range(40_000 + 19 * 2_500))
+    taken, total = dict.fromkeys((f"s{i}" for i in range(20)), 0), sum(weights)
+    for t in range(30_000):  # before any source is used up
+        taken[order[t]] += 1
+        if t % 97 == 0:
+            assert all(abs(taken[f"s{i}"] - (t + 1) * w / total) < 1 + 1e-6 for i, w in enumerate(weights)), t
+    zero = mixing.schedule([("a", 3, 1.0), ("z", 2, 0.0)], 64)
+    assert [(r[0], r[3], r[5]) for r in zero] == [("a", 0, [0, 1, 2]), ("z", 3, [0, 1])]
+
+
+def test_mixing_of_many_sources(spark):
+    docs = spark.range(3 * 1200).selectExpr("id AS doc_id", "concat('s', id % 1200) AS source", "'some text' AS text")
+    out = mixing.mix_sources(docs, block=9).select("source", "__slot").collect()
+    assert sorted(r["__slot"] for r in out) == list(range(3600)) and len({r["source"] for r in out}) == 1200
+
+
 def test_mixing_keeps_rows_and_shares(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     weights = {f"src{i}": 1.0 + (i % 3) for i in range(20)}
