@@ -437,6 +437,31 @@ def test_near_duplicates_find_edited_copies(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_find_every_edit_shape(spark):
+    rnd = random.Random(13)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    more = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    texts, shapes = [], []
+    for _ in range(100):
+        base = more(rnd.randint(120, 600))
+        k, cut = len(base), rnd.randrange(len(base) // 2)
+        edits = {"cut": base[: k * 83 // 100], "appended": base + more(k // 5), "block": base[:cut] + more(k * 9 // 100) + base[cut + k * 9 // 100 :]}
+        for shape, edited in edits.items():
+            texts += [base, edited]
+            shapes.append(shape)
+    # each pair has a vocabulary of its own, so only the two meet
+    docs = [(i, " ".join(f"{w}{i // 2}" for w in t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [i for i in range(0, len(docs), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for shape in ("cut", "appended", "block"):
+        own = [i for i in pairs if shapes[i // 2] == shape]
+        found = sum(got[i + 1] == i for i in own) / len(own)
+        print(shape, len(own), found)
+        assert len(own) > 40 and found >= 0.97, shape
+    assert all(got[i + 1] == i + 1 for i in range(0, len(docs), 2) if i not in pairs)
+
+
 # 9 fingerprints
 
 
