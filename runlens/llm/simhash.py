@@ -246,3 +246,22 @@ def near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     out = groups.withColumn("salt", F.pmod("doc_id", F.lit(8)).cast("int")).join(spread, ["component", "salt"])
     return out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def drop_near_duplicates(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Exactly one row of each of df's near_groups: that with the smallest doc_id, null last, then by row_key.
+
+    Rows are told apart by doc_id and text, so one doc_id may hold several texts; of rows alike in both any one stays.
+    """
+    groups = checkpoint(near_groups(df, shingle, similarity, text, doc_id))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = groups.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.row").alias("row"), F.lit(True).alias("kept"))
+    marks = groups.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(kept, "row", "left")
+    marks = checkpoint(marks.filter("kept is null or n > 1").select(F.col("row").alias("__marked"), F.col("kept").isNotNull().alias("again")))
+    left = df.withColumn("__row", row_key(text, doc_id))
+    left = left.join(marks.filter("not again"), F.col("__row") == F.col("__marked"), "left_anti")
+    again = marks.filter("again")
+    if again.limit(1).count():
+        same = F.col("__row") == F.col("__marked")
+        left = left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["__row"]))
+    return left.drop("__row")

@@ -462,6 +462,14 @@ def test_near_duplicates_find_every_edit_shape(spark):
     assert all(got[i + 1] == i + 1 for i in range(0, len(docs), 2) if i not in pairs)
 
 
+def test_near_dups_keep_one_row_of_each_group(spark):
+    x, y, z = (" ".join(f"{w}{k}" for k in range(60)) for w in "xyz")
+    rows = [(1, x), (2, x), (2, y), (3, y), (5, z), (5, z), (None, z), (None, "alone"), (None, "alone"), (7, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((tuple(r) for r in corpus_pipeline.near_dups(spark, docs, SF).collect()), key=str)
+    assert out == sorted([(1, x), (2, y), (5, z), (None, "alone"), (7, "")], key=str)
+
+
 # 9 fingerprints
 
 
