@@ -534,3 +534,17 @@ def test_pipeline_stages(spark, odd, empty):
     for d, t, *_ in sorted(DOCS):
         first.setdefault(t, d)
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} <= set(first.values())
+
+
+def test_pipeline_result_carries_the_mixed_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 5 = 0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mixing(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 2
+    out = corpus_pipeline.bpe(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).select("doc_id", "position").collect()
+    mixed = mixing.mix_sources(docs, temperature=0.5).select("doc_id", "__slot", "__offset").collect()
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["position"])] == [r["doc_id"] for r in sorted(mixed, key=lambda r: (r["__slot"], r["__offset"]))]
+    assert len({r["position"] for r in out}) == len(mixed)
