@@ -74,22 +74,67 @@ def dominant(c: Column | str) -> Column:
     return F.mode(c, deterministic=True)
 
 
+def latest_values(df: DataFrame, key: str, wanted: dict[str, Column]) -> DataFrame:
+    """key and the newest non-null value of each column, by event time, then run id; keys without any timed value have no row.
+
+    Times are found first, in buffers of fixed width, so the runs are hashed and not sorted; only runs that hold one of the
+    newest values are compared as text.
+    """
+    timed = df.filter("event_time is not null")
+    newest = timed.groupBy(key).agg(*[F.max(F.when(c.isNotNull(), F.col("event_time"))).alias(f"__{n}") for n, c in wanted.items()])
+    hits = {n: c.isNotNull() & (F.col("event_time") == F.col(f"__{n}")) for n, c in wanted.items()}
+    some = None
+    for hit in hits.values():
+        some = hit if some is None else some | hit
+    rows = timed.join(newest, key).filter(some)
+    return rows.groupBy(key).agg(*[F.max_by(c, F.when(hits[n], F.col("dataflow_run_id"))).alias(n) for n, c in wanted.items()])
+
+
+def coarse(value: Column) -> Column:
+    """A bucket's number that never falls as the value rises, about 500 to each power of e."""
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 512)).cast("long")
+
+
 def nearest_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """keys and one column for each wanted (value, p): the sorted value at index round_half_even((n - 1) p), nulls left out.
 
     Values are counted first, so a group is a list of different values that a window walks in order; no group is collected.
+    Without keys all values would be one group. There, counts by coarse bucket are walked, and only values of the buckets that
+    hold an index after them, each bucket by itself. Columns that are wanted more than once are read once.
     Groups without values have no row for them; join with `with_percentiles` to get 0.
     """
-    names = list(wanted)
-    pairs = F.array(*[F.struct(F.lit(n).alias("what"), wanted[n][0].cast("double").alias("value")) for n in names])
-    long = df.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.what", "x.value").filter("value is not null")
-    counted = long.groupBy(*keys, "what", "value").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy(*keys, "what")
-    upto = by.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("of", F.sum("n").over(by))
-    index = F.bround((F.col("of") - 1) * F.element_at(F.create_map(*[x for n in names for x in (F.lit(n), F.lit(wanted[n][1]))]), F.col("what"))).cast("long")
-    hit = walked.filter((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index))
-    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == n, F.col("value"))).alias(n) for n in names])
+    measures: dict[str, tuple[Column, dict[str, float]]] = {}
+    for name, (value, p) in wanted.items():
+        measures.setdefault(str(value), (value, {}))[1][name] = p
+    if len(measures) == 1:
+        value = next(iter(measures.values()))[0]
+        long = df.select(*keys, F.lit(0).alias("what"), value.cast("double").alias("value"))
+    else:
+        pairs = F.array(*[F.struct(F.lit(i).alias("what"), value.cast("double").alias("value")) for i, (value, _) in enumerate(measures.values())])
+        long = df.select(*keys, F.inline(pairs))
+    counted = long.filter("value is not null").groupBy(*keys, "what", "value").agg(F.count(F.lit(1)).alias("n"))
+    shares = {i: ps for i, (_, ps) in enumerate(measures.values())}
+    chosen = None
+    for i, ps in shares.items():
+        found = F.array(*[F.struct(F.lit(n).alias("name"), F.bround((F.col("of") - 1) * F.lit(p)).cast("long").alias("index")) for n, p in ps.items()])
+        chosen = F.when(F.col("what") == i, found) if chosen is None else chosen.when(F.col("what") == i, found)
+
+    def walked(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        own = Window.partitionBy(*by)
+        return rows.withColumn("upto", F.sum("n").over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    if keys:
+        by = [*keys, "what"]
+        rows = walked(counted, by, "value").withColumn("of", F.sum("n").over(Window.partitionBy(*by)))
+        hit = rows.select(*by, "value", "upto", "n", F.inline(chosen)).filter("upto > index and upto - n <= index")
+    else:
+        buckets = counted.groupBy("what", coarse(F.col("value")).alias("bucket")).agg(F.sum("n").alias("n"))
+        buckets = walked(buckets, ["what"], "bucket").withColumn("of", F.sum("n").over(Window.partitionBy("what")))
+        held = buckets.select("what", "bucket", (F.col("upto") - F.col("n")).alias("before"), "upto", F.inline(chosen)).filter("upto > index and before <= index").drop("upto")
+        # at most one row a percentile
+        rows = counted.withColumn("bucket", coarse(F.col("value"))).join(F.broadcast(held), ["what", "bucket"])
+        hit = walked(rows, ["name", "bucket"], "value").filter("before + upto > index and before + upto - n <= index")
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in wanted])
 
 
 def with_percentiles(base: DataFrame, df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -186,23 +231,29 @@ def derived_overhead() -> Column:
     return F.coalesce(F.col("overhead_duration_seconds"), rest)
 
 
+def is_maintenance() -> Column:
+    """True if a run maintains a table, by its own operation or that of its destination."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return (low("operation_type") == "maintenance") | low("destination_operation_type").isin("compact", "cleanup", "maintenance")
+
+
 def maintenance_target() -> Column:
     table = F.coalesce(filled("destination_full_table"), filled("destination_table"), filled("destination_path"))
     return F.concat(known("destination_name"), F.when(table.isNotNull(), F.concat(F.lit("::"), table)).otherwise(":unknown"))
 
 
 def compact_text(c: Column | str, n: int) -> Column:
-    """White space collapsed, cut to n characters with an ellipsis."""
+    """White space collapsed; text of more than n characters is cut so that it ends in three dots and has n."""
     one = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    return F.when(F.length(one) > n, F.concat(F.rtrim(F.substring(one, 1, n - 1)), F.lit("…"))).otherwise(one)
+    return F.when(F.length(one) > n, F.concat(F.substring(one, 1, n - 3), F.lit("..."))).otherwise(one)
 
 
 def endpoint_display(side: str) -> Column:
-    """What a reader calls an endpoint: full table, qualified name, last two parts of the path, function, query or name."""
-    qualified = F.when(filled(f"{side}_table").isNotNull(), F.concat_ws(".", *[filled(f"{side}_{p}") for p in ("catalog", "database", "schema", "table")]))
+    """What a reader calls an endpoint: full table without backticks, qualified name, last two parts of the path, function, query or name."""
+    qualified = F.nullif(F.concat_ws(".", *[filled(f"{side}_{p}") for p in ("catalog", "database", "schema", "table")]), F.lit(""))
     parts = F.filter(F.split(F.regexp_replace(F.coalesce(f"{side}_path", F.lit("")), "\\\\", "/"), "/"), lambda x: x != "")
     tail = F.nullif(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "/"), F.lit(""))
-    own = [filled(f"{side}_full_table"), qualified, tail]
+    own = [F.replace(filled(f"{side}_full_table"), F.lit("`"), F.lit("")), qualified, tail]
     if side == "source":
         own += [filled("source_python_function"), F.nullif(compact_text("source_query", 80), F.lit(""))]
     return F.coalesce(*own, filled(f"{side}_name"), F.lit("unknown"))
@@ -221,6 +272,11 @@ def name_uuid(c: Column | str, namespace: str = "6ba7b810-9dad-11d1-80b4-00c04fd
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
 
 
+def utc_date(ts: str) -> Column:
+    """The UTC date of an instant, whatever the session's time zone."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
+
+
 def rendered(df: DataFrame) -> DataFrame:
     """Timestamps and dates as text, so that results of other engines compare."""
     kinds = dict(df.dtypes)

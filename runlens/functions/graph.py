@@ -6,20 +6,26 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a temporary one where that is unset), which cuts its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's URI below spark.checkpoint.dir, which driver and executors share; where it is unset, a local session gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graph-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(root)
-    folder = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, which cuts its lineage."""
+    folder = shared_folder(df.sparkSession, "graph")
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -63,10 +63,13 @@ def field_completeness(df: DataFrame) -> DataFrame:
 
 
 def source_coverage(df: DataFrame, jf: DataFrame) -> DataFrame:
-    """Records, different run dates and latest times of each source over both logs."""
-    a = df.select("_source_id", "run_date", "event_time", F.lit(1).alias("f"), F.lit(0).alias("j"))
-    both = a.unionByName(jf.select("_source_id", "run_date", "event_time", F.lit(0).alias("f"), F.lit(1).alias("j")))
-    return both.groupBy("_source_id").agg(F.sum("f").alias("dataflow_records"), F.sum("j").alias("job_records"), F.countDistinct("run_date").alias("run_dates"), F.max("event_time").alias("latest_time"))
+    """Records, different files over both logs, file kind and newest times of each source."""
+    wanted = ["_source_id", "_file_uri", "_file_kind", "event_time", "_ingested_at"]
+    both = df.select(*wanted, F.lit(1).alias("f")).unionByName(jf.select(*wanted, F.lit(0).alias("f")))
+    # one row a file first, so that no task counts all files of a source
+    files = both.groupBy("_source_id", "_file_uri").agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("n"), F.max("_file_kind").alias("kind"), F.max("event_time").alias("log"), F.max("_ingested_at").alias("ingested"))
+    out = files.groupBy("_source_id").agg(F.coalesce(F.max("kind"), F.lit("unknown")).alias("file_kind"), F.count("_file_uri").alias("file_count"), F.sum("f").alias("dataflow_records"), (F.sum("n") - F.sum("f")).alias("job_records"), F.sum("n").alias("records"), F.max("log").alias("latest_log_at"), F.max("ingested").alias("latest_ingested_at"))
+    return out
 
 
 def record_trend(df: DataFrame, jf: DataFrame, grain: str = "month", tz: str = "UTC") -> DataFrame:

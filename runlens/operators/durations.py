@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import PHASES, derived_overhead, dominant, filled, has_id, latest, mean, rate, status_counts, status_is, success_rate, total, with_percentiles
-from .failures import phase_failed
+from ..functions.columns import PHASES, compact_text, derived_overhead, dominant, endpoint_display, filled, has_id, latest, mean, rate, status_counts, status_is, success_rate, total, with_percentiles
+from ..functions.failure_rules import failure_category, normalize_message
+from .failures import failed_phase, failure_message, phase_failed
+from .freshness import MARKS, broken_json
+from .jobs import latest_jobs
 
 
 def phase_rows(df: DataFrame, group_by: str) -> DataFrame:
@@ -81,11 +84,63 @@ def dataflow_health(df: DataFrame, top: int = 40) -> DataFrame:
     return out.orderBy(F.desc("runs"), F.desc("failed"), F.desc(F.col("running") + F.col("pending")), F.desc("p95_duration"), "dataflow_name", "dataflow_id").limit(top)
 
 
+def run_phase_health() -> Column:
+    """`<phase>_failed`, else `<slowest phase>_bottleneck`, else ok, or unknown for a run of unknown status."""
+    spent = {p: F.greatest(F.lit(0.0), F.coalesce(F.col(f"{p}_duration_seconds"), F.lit(0.0))) for p in PHASES[:3]}
+    spent["overhead"] = F.greatest(F.lit(0.0), F.coalesce(derived_overhead(), F.lit(0.0)))
+    slow = F.array_max(F.array(*[F.struct(d.alias("d"), F.lit(-i).alias("i"), F.lit(p).alias("p")) for i, (p, d) in enumerate(spent.items())]))
+    broken = F.when(status_is("failed"), F.concat(failed_phase(), F.lit("_failed")))
+    slowest = F.when(slow["d"] > 0, F.concat(slow["p"], F.lit("_bottleneck")))
+    return F.coalesce(broken, slowest, F.when(status_is("unknown"), "unknown").otherwise("ok"))
+
+
 def phase_health(df: DataFrame) -> DataFrame:
-    """Runs by `<phase>_failed`, else `<slowest>_bottleneck`, else ok or unknown."""
-    slow = F.array_max(F.array(*[F.struct(F.coalesce(F.col(f"{p}_duration_seconds"), F.lit(-1.0)).alias("d"), F.lit(-i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(PHASES[:3])]))
-    state = F.when(phase_failed("source"), "source_failed").when(phase_failed("transform"), "transform_failed").when(phase_failed("destination"), "destination_failed").when(slow["d"] > 0, F.concat(slow["p"], F.lit("_bottleneck"))).when(status_is("succeeded"), "ok").otherwise("unknown")
-    return df.groupBy(state.alias("phase_health")).agg(F.count(F.lit(1)).alias("runs"))
+    """Runs by run_phase_health."""
+    return df.groupBy(run_phase_health().alias("phase_health")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+ENDPOINT_PARTS = ("full_table", "catalog", "database", "schema", "table", "path", "python_function", "query", "name")
+
+
+def enrich_dataflow_runs(df: DataFrame, jf: DataFrame) -> DataFrame:
+    """Runs as an investigation shows them: displays of both ends, phase health, error phase and preview, watermark states, failure fields, and the job's status and duration.
+
+    Columns of endpoints that df lacks count as empty. A run without watermark columns has not_configured states, one with broken JSON invalid ones.
+    """
+    lacking = {f"{side}_{p}": F.lit(None).cast("string") for side in ("source", "destination") for p in ENDPOINT_PARTS if f"{side}_{p}" not in df.columns}
+    runs = df.withColumns(lacking)
+    before, after, effective = (filled(c) for c in MARKS)
+    configured = F.coalesce(before, after, effective, filled("source_watermark_columns")).isNotNull()
+    invalid = configured & F.greatest(*[broken_json(c, closed=True) for c in MARKS])
+    moved = F.when(~configured, "not_configured").when(invalid, "invalid").when(status_is("running", "pending"), "incomplete").when(status_is("failed", "skipped"), "unchanged").when(after.isNull(), "incomplete").when(before.isNull(), "initialized").when(before == after, "unchanged").otherwise("advanced")
+    adjusted = F.when(~configured, "not_configured").when(invalid, "invalid").when(before.isNull(), "unknown").when(effective != before, "adjusted").otherwise("not_adjusted")
+    covered = F.when(~configured, "not_configured").when(invalid, "invalid").otherwise("configured")
+    first = [F.when(filled(f"{p}_error_message").isNotNull(), p) for p in PHASES[:3]]
+    phase = F.when(status_is("failed"), failed_phase()).otherwise(F.coalesce(*first, F.when(filled("error_message").isNotNull(), "job"), F.lit("")))
+    said = F.coalesce(filled("error_message"), *[filled(f"{p}_error_message") for p in PHASES[:3]], F.lit(""))
+    message = failure_message()
+    category = failure_category(message)
+    only_failed = lambda c: F.when(status_is("failed"), c)
+    signature = F.concat_ws("|", category, failed_phase(), F.coalesce(F.nullif(normalize_message(message), F.lit("")), F.lit("unknown")))
+    out = runs.withColumns(
+        {
+            "source_display": endpoint_display("source"),
+            "destination_display": endpoint_display("destination"),
+            "phase_health": run_phase_health(),
+            "error_phase": phase,
+            "error_preview": compact_text(said, 140),
+            "coverage_state": covered,
+            "movement_state": moved,
+            "adjustment_state": adjusted,
+            "failure_phase": only_failed(failed_phase()),
+            "failure_message": only_failed(message),
+            "failure_category": only_failed(category),
+            "failure_signature": only_failed(signature),
+        }
+    )
+    jobs = latest_jobs(jf).filter("job_id is not null").select("_source_id", "job_id", F.col("normalized_status").alias("__status"), F.col("duration_seconds").alias("linked_job_duration_seconds"))
+    out = out.join(jobs, ["_source_id", "job_id"], "left").withColumn("linked_job_status", F.coalesce("__status", F.lit("unknown")))
+    return out.drop("__status", *lacking)
 
 
 def status_by(df: DataFrame, column: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import filled, has_id, known, normalized_status
+from ..functions.columns import filled, has_id, known, normalized_status, utc_date
 
 
 def pad_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -15,28 +15,36 @@ def pad_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name.lower() not in have})
 
 
+def run_date(df: DataFrame) -> Column:
+    """The run's date as its log gives it (__run_date), else the UTC date of its event."""
+    own = utc_date("event_time")
+    return F.coalesce(F.col("__run_date").cast("date"), own) if "__run_date" in df.columns else own
+
+
 def build_job_facts(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumns({"normalized_status": normalized_status("status"), "run_date": F.to_date("event_time")})
+    return jobs.withColumns({"normalized_status": normalized_status("status"), "run_date": run_date(jobs)})
 
 
 def build_dataflow_facts(runs: DataFrame, jf: DataFrame) -> DataFrame:
     """Runs with the context of their job: one row for each (source, job) with any known value; `unknown` without a job.
 
     Both sides are dealt by (source, job), so the join needs no more than one shuffle of the runs; Spark broadcasts the
-    context where it is small.
+    context where it is small. Runs without a job are dealt by their own id instead, so they don't meet in one task.
     """
     names = ["engine_name", "metadata_provider_name", "platform_name"]
-    context = jf.groupBy("_source_id", "job_id").agg(*[F.any_value(c, ignoreNulls=True).alias(f"__{c}") for c in names])
-    out = runs.join(context, ["_source_id", "job_id"], "left")
-    out = out.withColumns({c: known(f"__{c}") for c in names}).drop(*[f"__{c}" for c in names])
-    return out.withColumns({"normalized_status": normalized_status("status"), "run_date": F.to_date("event_time")})
+    held = jf.filter("job_id is not null")
+    context = held.groupBy("_source_id", F.concat(F.lit("j"), "job_id").alias("__job")).agg(*[F.any_value(c, ignoreNulls=True).alias(f"__{c}") for c in names])
+    key = F.coalesce(F.concat(F.lit("j"), "job_id"), F.concat(F.lit("r"), F.coalesce("dataflow_run_id", F.lit(""))))
+    out = runs.withColumn("__job", key).join(context, ["_source_id", "__job"], "left")
+    out = out.withColumns({c: known(f"__{c}") for c in names}).drop("__job", *[f"__{c}" for c in names])
+    return out.withColumns({"normalized_status": normalized_status("status"), "run_date": run_date(runs)})
 
 
 def validate_facts(raw: DataFrame, facts: DataFrame) -> DataFrame:
     """One row: rows of both, rows whose derived columns differ from their definition, and whether publication may go on."""
     rows = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
     status = F.col("normalized_status").eqNullSafe(normalized_status("status"))
-    date = F.col("run_date").eqNullSafe(F.to_date("event_time"))
+    date = F.col("run_date").eqNullSafe(run_date(facts))
     checks = facts.agg(F.count(F.lit(1)).alias("fact_rows"), F.count_if(~status).alias("status_mismatches"), F.count_if(~date).alias("run_date_mismatches"))
     return rows.join(checks).withColumn("valid", (F.col("raw_rows") == F.col("fact_rows")) & (F.col("status_mismatches") == 0) & (F.col("run_date_mismatches") == 0))
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucket, filled, has_id, latest, nearest_percentiles, rate, status_is
+from ..functions.columns import bucket, filled, has_id, latest, latest_values, rate, status_is, with_percentiles
 
 MARKS = [f"source_watermark_{k}" for k in ("before", "after", "effective")]
 STALE_DAYS, STREAK = 7, 3
 
 
-def _broken(c: str) -> Column:
+def broken_json(c: str, closed: bool = False) -> Column:
+    """True for text that starts like JSON, or starts and ends like it, and isn't."""
     text = F.trim(F.coalesce(c, F.lit("")))
-    return text.rlike(r"^[\[{]") & F.try_parse_json(text).isNull()
+    return text.rlike(r"^([{].*[}]|\[.*\])$" if closed else r"^[\[{]") & F.try_parse_json(text).isNull()
 
 
 def watermark_states(df: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def watermark_states(df: DataFrame) -> DataFrame:
     enabled = F.coalesce(before, after, effective, filled("source_watermark_columns")).isNotNull()
     movement = (
         F.when(~enabled, "not_configured")
-        .when(_broken(MARKS[0]) | _broken(MARKS[1]) | _broken(MARKS[2]), "invalid")
+        .when(broken_json(MARKS[0]) | broken_json(MARKS[1]) | broken_json(MARKS[2]), "invalid")
         .when(status_is("running", "pending"), "incomplete")
         .when(status_is("failed", "skipped"), "unchanged")
         .when(before.isNotNull() & after.isNotNull(), F.when(before != after, "advanced").otherwise("unchanged"))
@@ -41,26 +42,56 @@ def skip_streaks(df: DataFrame) -> DataFrame:
     return df.withColumns({"run_rank": F.row_number().over(newest), "others_seen": seen})
 
 
+#: Attributes of a dataflow of which its registry shows the newest, by type.
+ATTRIBUTES = """workspace_id dataflow_name dataflow_description stage processing_mode configure operation_type source_name destination_name source_format
+ destination_format source_connection_type destination_connection_type source_id source_catalog source_database source_schema source_table source_full_table
+ source_path source_query source_python_function source_watermark_columns source_filter_expression source_configure source_action
+ transform_deduplicate_columns transform_latest_data_columns transform_filter_expression transform_additional_columns transform_schema_hints
+ transform_select_columns transform_drop_columns transform_rename_columns transform_value_rules transform_hash_columns transform_masking_rules
+ transform_configure destination_id destination_catalog destination_database destination_schema destination_table destination_full_table
+ destination_path destination_load_type destination_merge_keys destination_partition_columns destination_configure""".split()
+TYPED = {"group_number": "long", "execution_order": "long", "is_active": "boolean"}
+#: What stands for a missing attribute: other attributes in order, then `unknown`.
+DEFAULTS = {"stage": [], "source_name": [], "destination_name": [], "source_format": ["source_connection_type"], "destination_format": ["destination_connection_type"], "source_connection_type": [], "destination_connection_type": [], "destination_load_type": []}
+
+
 def freshness_registry(df: DataFrame, as_of: str) -> DataFrame:
-    """One row for each dataflow: latest attributes, statuses, watermark, age of the last success or skip, current streak of skips."""
-    rows = skip_streaks(watermark_states(df).filter(has_id()))
-    fresh, names = status_is("succeeded", "skipped"), ["dataflow_name", "stage", "source_name", "destination_name", "source_format", "destination_format", "destination_load_type", "destination_full_table", "destination_path"]
+    """One row for each dataflow: newest attributes, statuses and watermark, age of the last success or skip, current streak of skips.
+
+    Attributes that df lacks are null. Counts and times are hashed in one pass; the runs that hold newest values, the last five
+    and those since the last run that wasn't skipped are few, and only they are sorted.
+    """
+    rows = watermark_states(df).filter(has_id())
+    fresh, on = status_is("succeeded", "skipped"), F.col("watermark_enabled")
     mark = F.coalesce(filled(MARKS[1]), filled(MARKS[2]), filled(MARKS[0]))
-    out = rows.groupBy("dataflow_id").agg(
-        *[latest(F.nullif(c, F.lit(""))).alias(c) for c in names],
-        latest("normalized_status").alias("latest_status"),
+    have = set(rows.columns)
+    texts = {c: F.nullif(c, F.lit("")) for c in ATTRIBUTES if c in have}
+    wanted = texts | {c: F.col(c) for c in TYPED if c in have}
+    wanted |= {"latest_status": F.col("normalized_status"), "movement_state": F.col("movement_state"), "adjustment_state": F.col("adjustment_state")}
+    wanted |= {"latest_freshness_status": F.when(fresh, F.col("normalized_status")), "latest_success_watermark": F.when(status_is("succeeded"), mark)}
+    wanted |= {m: F.when(on, F.col(m)) for m in MARKS}
+    time = F.coalesce(F.col("event_time").cast("timestamp"), F.to_timestamp(F.lit("0001-01-01")))
+    rows = rows.withColumn("__at", time)
+    base = rows.groupBy("dataflow_id").agg(
         F.max("event_time").alias("latest_run_at"),
-        latest("movement_state").alias("movement_state"),
-        latest("adjustment_state").alias("adjustment_state"),
         F.max(F.when(fresh, F.col("event_time"))).alias("latest_freshness_at"),
-        latest(F.when(fresh, F.col("normalized_status"))).alias("latest_freshness_status"),
-        latest(F.when(status_is("succeeded"), mark)).alias("latest_success_watermark"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("run_rank") <= 5, F.struct("run_rank", "normalized_status")))), lambda x: x["normalized_status"]), ",").alias("last_statuses"),
+        F.max(F.when(on, F.col("event_time"))).alias("watermark_time"),
+        F.max(F.when(~status_is("skipped"), F.col("__at"))).alias("__kept"),
         F.bool_or("watermark_enabled").alias("watermark_enabled"),
         F.count(F.lit(1)).alias("run_count"),
         *[F.count_if(status_is(s)).alias(f"{s}_count") for s in ("succeeded", "failed", "skipped", "running", "pending")],
-        F.count_if(status_is("skipped") & (F.col("others_seen") == 0)).alias("skipped_streak"),
     )
+    newest = latest_values(rows, "dataflow_id", wanted)
+    order = Window.partitionBy("dataflow_id").orderBy(F.desc("__at"), F.desc("dataflow_run_id"))
+    five = rows.select("dataflow_id", "__at", "dataflow_run_id", "event_time", "normalized_status", "error_message").withColumn("r", F.row_number().over(order)).filter("r <= 5")
+    listed = F.array_sort(F.collect_list(F.struct("r", "normalized_status", "event_time", "dataflow_run_id")))
+    last = five.groupBy("dataflow_id").agg(F.transform(listed, lambda x: F.struct(x["normalized_status"].alias("status"), x["event_time"].alias("time"), x["dataflow_run_id"].alias("dataflow_run_id"))).alias("last_statuses"), F.max(F.when(F.col("r") == 1, F.col("error_message"))).alias("latest_error_message"))
+    since = rows.select("dataflow_id", "__at", "event_time", "dataflow_run_id", "normalized_status").join(base.select("dataflow_id", "__kept"), "dataflow_id").filter("__kept is null or __at >= __kept")
+    streak = skip_streaks(since).groupBy("dataflow_id").agg(F.count_if(status_is("skipped") & (F.col("others_seen") == 0)).alias("skipped_streak"))
+    out = base.drop("__kept").join(newest, "dataflow_id", "left").join(last, "dataflow_id").join(streak, "dataflow_id")
+    missing = {c: F.lit(None).cast("string") for c in ATTRIBUTES if c not in have} | {c: F.lit(None).cast(t) for c, t in TYPED.items() if c not in have}
+    out = out.withColumns(missing)
+    out = out.withColumns({c: F.coalesce(c, *others, F.lit("unknown")) for c, others in DEFAULTS.items()} | {"dataflow_name": F.coalesce("dataflow_name", "dataflow_id"), "coverage_state": F.when(on, "configured").otherwise("not_configured")})
     age = F.greatest(F.lit(0), F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp(F.col("latest_freshness_at").cast("timestamp")))
     out = out.withColumn("age_seconds", F.when(F.col("latest_freshness_at").isNotNull(), age))
     out = out.withColumn("age_days", F.round(F.col("age_seconds") / 86400, 6))
@@ -68,18 +99,44 @@ def freshness_registry(df: DataFrame, as_of: str) -> DataFrame:
 
 
 def age_by_dataflow(registry: DataFrame, top: int = 200) -> DataFrame:
-    target = F.concat_ws(" -> ", F.coalesce("source_name", F.lit("unknown")), F.coalesce("destination_name", F.lit("unknown")))
-    return registry.filter("age_days is not null").orderBy(F.desc("age_days"), F.coalesce("dataflow_name", "dataflow_id"), "dataflow_id").limit(top).select("dataflow_id", target.alias("target"), "latest_freshness_at", "latest_freshness_status", "age_seconds", "age_days")
+    target = F.concat_ws(" -> ", "source_name", "destination_name")
+    return registry.filter("age_days is not null").orderBy(F.desc("age_days"), "dataflow_name", "dataflow_id").limit(top).select("dataflow_id", "dataflow_name", target.alias("target"), "latest_freshness_at", "latest_freshness_status", "age_seconds", "age_days")
+
 
+MOVES = ("advanced", "initialized", "unchanged", "incomplete", "invalid")
 
-def freshness_summary(df: DataFrame, as_of: str) -> DataFrame:
+
+def freshness_summary(df: DataFrame, jf: DataFrame, as_of: str) -> DataFrame:
+    """One row: records and dates of both logs, runs by status and movement, and the registry's coverage, staleness and ages."""
     registry, runs = freshness_registry(df, as_of), watermark_states(df)
-    moves = ("advanced", "initialized", "unchanged", "incomplete", "invalid")
-    a = runs.agg(*[F.count_if(F.col("movement_state") == m).alias(f"{m}_runs") for m in moves], F.count_if(F.col("adjustment_state") == "adjusted").alias("adjusted_runs"), rate(F.count_if(F.col("movement_state") == "advanced"), F.count_if(F.col("movement_state").isin("advanced", "unchanged"))).alias("advanced_rate"), F.count_if(~F.coalesce(has_id(), F.lit(False))).alias("runs_without_id"))
-    n = F.count(F.lit(1))
-    b = registry.agg(n.alias("dataflows"), F.count("latest_freshness_at").alias("with_evidence"), F.count_if(~F.col("latest_status").isin("succeeded", "skipped")).alias("latest_issues"), F.count_if("watermark_enabled").alias("watermark_enabled"), rate(F.count_if("watermark_enabled"), n).alias("coverage_rate"), F.count_if(F.col("skipped_streak") >= STREAK).alias("streak_dataflows"), F.sum("is_stale").alias("stale_dataflows"), rate(F.sum("is_stale"), n).alias("stale_rate"), F.round(F.max("age_days"), 3).alias("max_age_days"))
-    ages = nearest_percentiles(registry, [], {"p50_age_days": (F.col("age_days"), 0.5), "p95_age_days": (F.col("age_days"), 0.95)}).select(*[F.round(c, 3).alias(c) for c in ("p50_age_days", "p95_age_days")])
-    return a.join(b).join(ages)
+    n, moved = F.count(F.lit(1)), F.col("movement_state")
+    named = lambda c: F.countDistinct(F.nullif(c, F.lit("unknown")))
+    logs = df.agg(n.alias("dataflow_records"), F.min("run_date").alias("date_min"), F.max("run_date").alias("date_max"), F.max("event_time").alias("latest_dataflow_log_at"), named("engine_name").alias("active_engines"), named("metadata_provider_name").alias("active_metadata_providers"))
+    jobs = jf.agg(n.alias("job_records"), F.max("event_time").alias("latest_job_log_at"))
+    counts = {"successful_runs": ("succeeded",), "freshness_runs": ("succeeded", "skipped"), "failed_runs": ("failed",), "skipped_runs": ("skipped",)}
+    a = runs.agg(
+        *[F.count_if(status_is(*s)).alias(k) for k, s in counts.items()],
+        F.count_if(~F.coalesce(has_id(), F.lit(False))).alias("missing_dataflow_id_runs"),
+        *[F.count_if(moved == m).alias(f"watermark_{m}_runs") for m in MOVES],
+        F.count_if(F.col("adjustment_state") == "adjusted").alias("watermark_adjusted_runs"),
+        rate(F.count_if(moved == "advanced"), F.count_if(moved.isin("advanced", "unchanged"))).alias("watermark_advanced_rate"),
+    )
+    b = registry.agg(
+        n.alias("observed_dataflows"),
+        F.count("latest_freshness_at").alias("dataflows_with_freshness_evidence"),
+        F.count_if(~F.col("latest_status").isin("succeeded", "skipped")).alias("latest_status_issue_dataflows"),
+        F.count_if(moved == "invalid").alias("latest_watermark_invalid_dataflows"),
+        F.count_if(moved == "incomplete").alias("latest_watermark_incomplete_dataflows"),
+        F.count_if("watermark_enabled").alias("watermark_enabled_dataflows"),
+        rate(F.count_if("watermark_enabled"), n).alias("watermark_coverage_rate"),
+        F.count_if(F.col("skipped_streak") >= STREAK).alias("skipped_streak_dataflows"),
+        F.coalesce(F.sum("is_stale"), F.lit(0)).alias("stale_dataflows"),
+        rate(F.sum("is_stale"), n).alias("stale_dataflow_rate"),
+        *[F.coalesce(f(c).cast("double"), F.lit(0.0)).alias(f"{k}_{c}") for c in ("age_days", "age_seconds") for k, f in (("min", F.min), ("max", F.max))],
+    )
+    ages = {f"{k}_{c}": (F.col(c), p) for c in ("age_days", "age_seconds") for k, p in (("p50", 0.5), ("p95", 0.95))}
+    out = with_percentiles(b, registry, [], ages).join(a).join(logs).join(jobs)
+    return out.withColumns({"latest_log_at": F.greatest("latest_dataflow_log_at", "latest_job_log_at"), "latest_watermark_issue_dataflows": F.col("latest_watermark_invalid_dataflows") + F.col("latest_watermark_incomplete_dataflows")})
 
 
 def watermark_trend(df: DataFrame, grain: str = "day", tz: str = "UTC") -> DataFrame:

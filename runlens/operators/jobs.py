@@ -11,8 +11,8 @@ KEYS = ["_source_id", "job_id"]
 
 
 def latest_jobs(jf: DataFrame) -> DataFrame:
-    """Newest row of each job."""
-    newest = Window.partitionBy(*KEYS).orderBy(F.desc_nulls_last("event_time"))
+    """Newest row of each job; of rows of one time that with the longest duration, then the last status in alphabetical order."""
+    newest = Window.partitionBy(*KEYS).orderBy(F.desc_nulls_last("event_time"), F.desc_nulls_last("duration_seconds"), F.desc_nulls_last("normalized_status"))
     return jf.withColumn("__r", F.row_number().over(newest)).filter("__r = 1").drop("__r")
 
 
@@ -76,7 +76,7 @@ def jobs_by_child_impact(jf: DataFrame, top: int = 20) -> DataFrame:
     return jf.withColumn("impact", impact).filter("impact > 0").orderBy(F.desc("impact"), F.desc_nulls_last("total_dataflows"), "job_id").limit(top).select("job_id", "impact", "total_failed", "total_skipped", "total_dataflows", rate(F.col("total_failed"), F.col("total_dataflows")).alias("failed_rate"))
 
 
-#: What makes a job worth a look, with its score.
+#: What makes a job worth a look, with its score.
 ATTENTION = (("failed", 5), ("child_failures", 4), ("mismatch", 3), ("over_p99", 2), ("over_p95", 1))
 
 

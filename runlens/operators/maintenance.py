@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucket, lakehouse, latest, maintenance_target, nearest_percentiles, rate, status_counts, status_is, total, zero
+from ..functions.columns import bucket, is_maintenance, lakehouse, latest_values, maintenance_target, nearest_percentiles, rate, status_counts, status_is, total, zero
 
 LAG_DAYS = 7
 
 
 def classify(df: DataFrame) -> DataFrame:
     """Runs with their target, whether they maintain it or write to a lakehouse table, and whether maintenance changed nothing."""
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    upkeep = (low("operation_type") == "maintenance") | low("destination_operation_type").isin("compact", "cleanup", "maintenance")
     wrote = F.greatest(*[zero(f"destination_{c}").cast("double") for c in ("files_added", "bytes_added", "rows_written", "rows_inserted", "rows_updated", "rows_deleted")]) > 0
     idle = status_is("succeeded") & (zero("destination_bytes_removed") == 0) & (zero("destination_files_removed") == 0)
-    return df.withColumns({"target": maintenance_target(), "is_maintenance": upkeep, "is_active": (low("operation_type") == "etl") & lakehouse() & wrote, "is_no_op": idle})
+    return df.withColumns({"target": maintenance_target(), "is_maintenance": is_maintenance(), "is_active": (F.lower(F.coalesce("operation_type", F.lit(""))) == "etl") & lakehouse() & wrote, "is_no_op": idle})
 
 
 def registry(df: DataFrame) -> DataFrame:
@@ -29,15 +27,15 @@ def registry(df: DataFrame) -> DataFrame:
         F.bool_or("is_maintenance").alias("maintained"),
         F.count_if(own).alias("runs"),
         *[F.count_if(own & status_is(s)).alias(s) for s in ("succeeded", "failed", "skipped", "running", "pending")],
-        latest(when("normalized_status")).alias("latest_status"),
         F.max(when("event_time")).alias("latest_maintenance"),
         F.max(F.when(F.col("is_active"), F.col("event_time"))).alias("latest_write"),
         *[F.coalesce(F.sum(when(c)), F.lit(0)).alias(n) for n, c in (("files_removed", "destination_files_removed"), ("bytes_reclaimed", "destination_bytes_removed"), ("bytes_saved", "destination_bytes_saved"))],
         F.coalesce(F.sum(when("duration_seconds")), F.lit(0.0)).alias("duration_seconds"),
         F.count_if(own & F.col("is_no_op")).alias("no_op_runs"),
-        F.coalesce(latest(F.nullif("destination_format", F.lit(""))), F.lit("unknown")).alias("format"),
         F.count_if("is_active").alias("upstream_runs"),
     )
+    newest = latest_values(rows, "target", {"latest_status": when("normalized_status"), "format": F.nullif("destination_format", F.lit(""))})
+    out = out.join(newest, "target", "left").fillna("unknown", ["format"])
     seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     lag = F.greatest(F.lit(0), F.coalesce(seconds("latest_write") - seconds("latest_maintenance"), F.lit(0)))
     status, late, bare = F.coalesce("latest_status", F.lit("")), F.col("lag_seconds") > LAG_DAYS * 86400, ~F.col("maintained") & F.col("active")
@@ -63,7 +61,7 @@ def summary(df: DataFrame) -> DataFrame:
     limit = nearest_percentiles(runs, [], {"p95": (F.when(F.col("duration_seconds") > 0, F.col("duration_seconds")), 0.95)})
     slow = runs.join(F.broadcast(limit)).agg(F.count_if((F.col("p95") > 0) & (F.col("duration_seconds") >= F.col("p95"))).alias("high_duration_runs"))
     a = runs.agg(F.count(F.lit(1)).alias("runs"), *status_counts(False), total("destination_files_removed").alias("files_removed"), total("destination_bytes_removed").alias("bytes_reclaimed"), total("destination_bytes_saved").alias("bytes_saved"), F.count_if("is_no_op").alias("no_op_runs"))
-    b = registry(df).agg(F.count_if("active").alias("active_tables"), F.count_if(F.col("active") & F.col("maintained")).alias("maintained_tables"), F.count_if(F.col("active") & ~F.col("maintained")).alias("coverage_missing_tables"), rate(F.count_if(F.col("active") & F.col("maintained")), F.count_if("active")).alias("coverage_rate"), *[F.count_if(F.col("health") == h).alias(f"{h}_tables") for h in ("has_issues", "warning", "healthy")], F.count_if(F.col("lag_seconds") > LAG_DAYS * 86400).alias("lagged_tables"))
+    b = registry(df).agg(F.count_if("active").alias("active_tables"), F.count_if(F.col("active") & F.col("maintained")).alias("maintained_tables"), F.count_if(F.col("active") & ~F.col("maintained")).alias("coverage_missing_tables"), rate(F.count_if(F.col("active") & F.col("maintained")), F.count_if("active")).alias("coverage_rate"), *[F.count_if(F.col("health") == h).alias(f"{h}_tables") for h in ("has_issues", "warning", "healthy")], F.count_if(F.col("lag_seconds") > LAG_DAYS * 86400).alias("lagged_tables"), F.count_if(F.col("latest_status").isin("running", "pending")).alias("latest_active_tables"))
     return a.join(b).join(slow)
 
 

@@ -113,5 +113,8 @@ def duration_vs_rows(df: DataFrame, top: int = 200) -> DataFrame:
 
 
 def totals(df: DataFrame) -> DataFrame:
-    """Number of candidates, for the attention queue."""
-    return optimization_candidates(df).agg(F.count("candidate_code").alias("optimization_candidate_count"), total("rows_processed").alias("rows_processed"))
+    """One row for the attention queue: candidates, p95 and median of durations and their ratio (0 without durations)."""
+    c = optimization_candidates(df)
+    base = c.agg(F.count("candidate_code").alias("optimization_candidate_count"), total("rows_processed").alias("rows_processed"))
+    out = with_percentiles(base, c, [], {"p50_duration_seconds": (F.col("duration_seconds"), 0.5), "p95_duration_seconds": (F.col("duration_seconds"), 0.95)})
+    return out.withColumn("duration_pressure_ratio", F.coalesce(F.try_divide("p95_duration_seconds", "p50_duration_seconds"), F.lit(0.0)))

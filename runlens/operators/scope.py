@@ -8,13 +8,14 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_id, rate, status_is
+from ..functions.columns import has_id, rate, status_is, utc_date
 
 #: Filter name -> column, for values separated by bars.
 FIELDS = {"status": "normalized_status", "engine": "engine_name", "provider": "metadata_provider_name", "stage": "stage", "sourceType": "source_connection_type", "destinationType": "destination_connection_type", "loadType": "destination_load_type", "operationType": "operation_type"}
 FLOW_ONLY = ("stage", "sourceType", "destinationType", "loadType", "operationType", "connection", "dataflow", "destination_table", "dataflow_run_id")
-FLOW_TEXT = ["dataflow_id", "dataflow_name", "dataflow_run_id", "job_id", "stage", "operation_type", "status", "source_name", "destination_name", "source_connection_type", "source_format", "destination_connection_type", "destination_format", "destination_path", "destination_table", "destination_full_table", "destination_load_type", "error_message", "engine_name"]
-JOB_TEXT = ["job_id", "status", "engine_name", "metadata_provider_name", "platform_name"]
+#: Columns that a text search reads.
+FLOW_TEXT = ["job_id", "dataflow_run_id", "dataflow_id", "dataflow_name", "stage", "error_message", "source_name", "source_full_table", "source_table", "source_path", "destination_name", "destination_full_table", "destination_table", "destination_path", "engine_name", "metadata_provider_name"]
+JOB_TEXT = ["job_id", "engine_name", "metadata_provider_name", "status", "error_message"]
 
 
 def time_bounds(period: str, as_of: dt.datetime, tz: str = "UTC", start: str | None = None, end: str | None = None) -> tuple[dt.datetime | None, dt.datetime | None]:
@@ -38,9 +39,17 @@ def _chosen(value: str | None) -> list[str]:
 
 
 def _search(columns: list[str], q: str) -> Column:
-    pattern = f"%{q.lower().replace('`', '')}%"
-    tests = [F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "`", "")).like(pattern) for c in columns]
-    return tests[0] if len(tests) == 1 else F.greatest(*tests)
+    """True if a column holds q in any case. Full tables are also read without backticks, and with the name of their destination before them."""
+    q = q.strip().lower()
+    texts = [F.col(c) for c in columns]
+    for c in ("source_full_table", "destination_full_table"):
+        if c in columns:
+            texts.append(F.replace(c, F.lit("`"), F.lit("")))
+    if "destination_full_table" in columns:
+        bare = F.coalesce(F.replace("destination_full_table", F.lit("`"), F.lit("")), F.lit(""))
+        texts.append(F.concat(F.coalesce("destination_name", F.lit("unknown")), F.lit("::"), bare))
+    tests = [F.contains(F.lower(F.coalesce(t.cast("string"), F.lit(""))), F.lit(q)) for t in texts]
+    return F.greatest(*tests)
 
 
 def scope(df: DataFrame, jf: DataFrame, flt: dict[str, str] | None = None, as_of: dt.datetime | None = None, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
@@ -109,3 +118,14 @@ def environment_summary(df: DataFrame, jf: DataFrame, as_of: str) -> DataFrame:
     flows = df.agg(F.count(F.lit(1)).alias("dataflow_runs"), F.countDistinct(F.when(has_id(), F.col("dataflow_id"))).alias("dataflows"), rate(F.count_if(status_is("succeeded")), F.count_if(status_is("succeeded", "failed"))).alias("success_rate"), *recent, F.min("run_date").alias("first_date"), F.max("run_date").alias("last_date"))
     jobs = jf.agg(F.count(F.lit(1)).alias("job_runs"), F.countDistinct(F.nullif("engine_name", F.lit(""))).alias("active_engines"))
     return flows.join(jobs)
+
+
+def environment_overview(df: DataFrame, jf: DataFrame, flt: dict[str, str] | None = None, as_of: dt.datetime | None = None) -> DataFrame:
+    """One row of key figures within a filter; its other half is overview.status_trend of the same jobs."""
+    df, jf = scope(df, jf, flt, as_of)
+    flows = df.agg(F.count(F.lit(1)).alias("dataflow_records"), F.count_if(status_is("succeeded")).alias("dataflow_succeeded"), F.count_if(status_is("failed")).alias("dataflow_failed"), F.max("event_time").alias("latest_dataflow_log_at"), F.min("run_date").alias("__lo"), F.max("run_date").alias("__hi"))
+    named = lambda c: F.countDistinct(F.nullif(c, F.lit("")))
+    day = utc_date("event_time")
+    jobs = jf.agg(F.count(F.lit(1)).alias("job_records"), F.count_if(status_is("failed")).alias("job_failed"), named("engine_name").alias("active_engines"), named("metadata_provider_name").alias("active_metadata_providers"), F.max("event_time").alias("latest_job_log_at"), F.min(day).alias("__jlo"), F.max(day).alias("__jhi"))
+    both = flows.join(jobs)
+    return both.withColumns({"latest_log_at": F.greatest("latest_dataflow_log_at", "latest_job_log_at"), "date_min": F.least("__lo", "__jlo"), "date_max": F.greatest("__hi", "__jhi")}).drop("__lo", "__hi", "__jlo", "__jhi")

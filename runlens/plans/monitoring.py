@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import diagnostics, durations, facts, failures, freshness, jobs, lineage, maintenance, overview, performance, scope, volume
 from ..sources.derived import AS_OF, oracle_facts, raw_runs
+from .published import published_facts
 from . import sqltext as S
 
 Make = Callable[[DataFrame, DataFrame], DataFrame]
@@ -23,10 +24,9 @@ def add(name: str, make: Make, sql: str | None, ctes: str = "") -> None:
 
 
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Facts derived from the star schema."""
+    """Dataflow and job facts derived from the star schema, built and published once a session."""
     runs, raw = raw_runs(spark, sf_dir)
-    jf = facts.build_job_facts(raw)
-    return facts.build_dataflow_facts(runs, jf), jf
+    return published_facts(spark, sf_dir, runs, raw)
 
 
 def registry(f: Make) -> Make:
@@ -70,20 +70,41 @@ def scoped_sql(flow: str, job: str, semi: bool) -> str:
 
 
 TABLE = "COALESCE({}, '')".format
-SEARCH = lambda cols: "(" + " OR ".join(f"LOWER(COALESCE({c}, '')) LIKE '%spark%'" for c in cols) + ")"
+FLOW_SEARCH = "contains(LOWER(concat_ws(chr(1), job_id, dataflow_run_id, dataflow_id, dataflow_name, stage, error_message, source_name, source_full_table, replace(source_full_table, chr(96), ''), source_table, source_path, destination_name, destination_full_table, destination_table, destination_path, COALESCE(destination_name, 'unknown') || '::' || COALESCE(replace(destination_full_table, chr(96), ''), ''), engine_name, metadata_provider_name)), '{}')".format
+JOB_SEARCH = "contains(LOWER(concat_ws(chr(1), job_id, engine_name, metadata_provider_name, status, error_message)), '{}')".format
 for name, flt, args in (
     ("s02_scope_90d", {"range": "90d"}, ("event_time >= TIMESTAMP '2001-08-07 00:00:00' AND event_time <= TIMESTAMP '2001-11-05 00:00:00'",) * 2 + (False,)),
     ("s03_scope_multi_value", {"status": "failed|skipped", "stage": "gold", "engine": "SparkEngine"}, ("normalized_status IN ('failed','skipped') AND stage = 'gold' AND engine_name = 'SparkEngine'", "normalized_status IN ('failed','skipped') AND engine_name = 'SparkEngine'", True)),
     ("s04_scope_connection", {"connection": "source-3|destination-4"}, ("source_name IN ('source-3','destination-4') OR destination_name IN ('source-3','destination-4')", "true", True)),
-    ("s05_scope_search", {"q": "Spark"}, (SEARCH(scope.FLOW_TEXT), SEARCH(scope.JOB_TEXT), False)),
+    ("s05_scope_search", {"q": "Spark"}, (FLOW_SEARCH("spark"), JOB_SEARCH("spark"), False)),
+    ("s05_scope_search_qualified", {"q": "lake.raw.IN"}, (FLOW_SEARCH("lake.raw.in"), JOB_SEARCH("lake.raw.in"), False)),
+    ("s05_scope_search_joined", {"q": "destination-3::cat.db"}, (FLOW_SEARCH("destination-3::cat.db"), JOB_SEARCH("destination-3::cat.db"), False)),
+    ("s05_scope_search_literal", {"q": "10_%"}, (FLOW_SEARCH("10_%"), JOB_SEARCH("10_%"), False)),
     ("s06_scope_investigation", {"destination_table": "cat.db.t7"}, ("'cat.db.t7' IN (destination_full_table, destination_table, destination_path, destination_name)", "true", True)),
 ):
     sql, ctes = scoped_sql(*args)
     add(name, scoped(flt), sql, ctes)
 add("s08_dataflow_log_page", lambda df, jf: scope.dataflow_log_page(df, "duration_seconds", True, 50, 25), f"SELECT dataflow_run_id, dataflow_id, dataflow_name, job_id, stage, operation_type, normalized_status, {S.ts('event_time')} AS event_time, duration_seconds, engine_name FROM df ORDER BY duration_seconds DESC NULLS LAST, df.event_time DESC NULLS LAST, dataflow_run_id LIMIT 50 OFFSET 25")
 add("s09_job_log_page", lambda df, jf: scope.job_log_page(jf, df, limit=50), f"SELECT p._source_id, p.job_id, p.normalized_status, {S.ts('p.event_time')} AS event_time, p.duration_seconds, p.engine_name, COUNT(d.dataflow_run_id) AS child_runs, COUNT(*) FILTER (d.normalized_status = 'failed') AS child_failed, {S.s('d.source_rows_read')} AS child_rows_read, ROUND(quantile_cont(d.duration_seconds, 0.95), 3) AS child_p95_duration FROM pg p LEFT JOIN df d ON d._source_id = p._source_id AND d.job_id = p.job_id GROUP BY ALL", "pg AS (SELECT * FROM jf ORDER BY event_time DESC NULLS LAST, job_id LIMIT 50)")
-add("s10_enrich_job_runs", lambda df, jf: jobs.enrich_job_runs(jf, df).drop("job_key"), "SELECT j._source_id, j.job_id, j.normalized_status, CASE WHEN COALESCE(total_dataflows, total_failed, total_skipped, total_succeeded) IS NULL THEN 'not_available' WHEN m.n > 0 THEN 'mismatch' ELSE 'matched' END AS reconciliation, CASE WHEN length(t) > 40 THEN rtrim(substring(t, 1, 39)) || '…' ELSE t END AS error_preview FROM (SELECT *, TRIM(regexp_replace(COALESCE(error_message, ''), '\\s+', ' ', 'g')) AS t FROM jf) j LEFT JOIN (SELECT _source_id, job_id, COUNT(*) AS n FROM mis GROUP BY ALL) m USING (_source_id, job_id)", S.COMPARE)
-add("s11_phase_health", lambda df, jf: durations.phase_health(df), "SELECT CASE WHEN source_status = 'failed' THEN 'source_failed' WHEN transform_status = 'failed' THEN 'transform_failed' WHEN destination_status = 'failed' THEN 'destination_failed' WHEN source_duration_seconds >= transform_duration_seconds AND source_duration_seconds >= destination_duration_seconds THEN 'source_bottleneck' WHEN transform_duration_seconds >= destination_duration_seconds THEN 'transform_bottleneck' ELSE 'destination_bottleneck' END AS phase_health, COUNT(*) AS runs FROM df GROUP BY 1")
+add("s10_enrich_job_runs", lambda df, jf: jobs.enrich_job_runs(jf, df).drop("job_key"), "SELECT j._source_id, j.job_id, j.normalized_status, CASE WHEN COALESCE(total_dataflows, total_failed, total_skipped, total_succeeded) IS NULL THEN 'not_available' WHEN m.n > 0 THEN 'mismatch' ELSE 'matched' END AS reconciliation, CASE WHEN length(t) > 40 THEN t[1:37] || '...' ELSE t END AS error_preview FROM (SELECT *, TRIM(regexp_replace(COALESCE(error_message, ''), '\\s+', ' ', 'g')) AS t FROM jf) j LEFT JOIN (SELECT _source_id, job_id, COUNT(*) AS n FROM mis GROUP BY ALL) m USING (_source_id, job_id)", S.COMPARE)
+OVER = "COALESCE(GREATEST(0, COALESCE(overhead_duration_seconds, duration_seconds - source_duration_seconds - transform_duration_seconds - destination_duration_seconds)), 0)"
+SLOWEST = f"list_sort([{{'d': -source_duration_seconds, 'i': 0, 'p': 'source'}}, {{'d': -transform_duration_seconds, 'i': 1, 'p': 'transform'}}, {{'d': -destination_duration_seconds, 'i': 2, 'p': 'destination'}}, {{'d': -{OVER}, 'i': 3, 'p': 'overhead'}}])[1].p"
+S11 = f"""ph AS (SELECT *, CASE WHEN normalized_status = 'failed' THEN COALESCE(list_filter([IF(source_status = 'failed', 'source', NULL), IF(transform_status = 'failed', 'transform', NULL), IF(destination_status = 'failed', 'destination', NULL)], lambda x: x IS NOT NULL)[1], 'overhead') END AS broken,
+  {SLOWEST} AS slow, TRIM(regexp_replace(COALESCE({', '.join(S.filled(f'{p}error_message') for p in ('', 'source_', 'transform_', 'destination_'))}, ''), '\\s+', ' ', 'g')) AS said FROM df), ph2 AS (SELECT *, COALESCE(broken || '_failed', slow || '_bottleneck') AS phase_health FROM ph)"""
+add("s11_phase_health", lambda df, jf: durations.phase_health(df), "SELECT phase_health, COUNT(*) AS runs FROM ph2 GROUP BY 1", S11)
+S11_COLS = ["dataflow_run_id", "source_display", "destination_display", "phase_health", "error_phase", "error_preview", "coverage_state", "movement_state", "adjustment_state", "failure_phase", "failure_category", "failure_signature", "linked_job_status", "linked_job_duration_seconds"]
+CLOSED = "(({0}[1:1] = '{{' AND {0}[-1:] = '}}' OR {0}[1:1] = '[' AND {0}[-1:] = ']') AND NOT json_valid({0}))".format
+MARKED = f"""mk AS (SELECT dataflow_run_id, {S.filled(S.B)} AS wb, {S.filled(S.A)} AS wa, {S.filled(S.E)} AS we, COALESCE({S.filled(S.B)}, {S.filled(S.A)}, {S.filled(S.E)}, {S.filled('source_watermark_columns')}) IS NULL AS bare, normalized_status AS st FROM df),
+ mk2 AS (SELECT *, CASE WHEN bare THEN 'not_configured' WHEN COALESCE({CLOSED('wb')}, false) OR COALESCE({CLOSED('wa')}, false) OR COALESCE({CLOSED('we')}, false) THEN 'invalid' ELSE 'configured' END AS coverage_state FROM mk),
+ mk3 AS (SELECT dataflow_run_id, coverage_state, CASE WHEN coverage_state <> 'configured' THEN coverage_state WHEN st IN ('running','pending') THEN 'incomplete' WHEN st IN ('failed','skipped') THEN 'unchanged' WHEN wa IS NULL THEN 'incomplete' WHEN wb IS NULL THEN 'initialized' WHEN wa = wb THEN 'unchanged' ELSE 'advanced' END AS movement_state, CASE WHEN coverage_state <> 'configured' THEN coverage_state WHEN wb IS NULL THEN 'unknown' WHEN we <> wb THEN 'adjusted' ELSE 'not_adjusted' END AS adjustment_state FROM mk2)"""
+add(
+    "s11_enrich_dataflow_runs",
+    lambda df, jf: durations.enrich_dataflow_runs(df, jf).select(*S11_COLS),
+    f"""SELECT ph2.dataflow_run_id, COALESCE(replace({S.filled('source_full_table')}, chr(96), ''), concat_ws('.', {S.filled('source_schema')}, source_table)) AS source_display, COALESCE(destination_full_table, destination_table) AS destination_display, phase_health,
+    COALESCE(broken, '') AS error_phase, CASE WHEN length(said) > 140 THEN said[1:137] || '...' ELSE said END AS error_preview, coverage_state, movement_state, adjustment_state, f.failure_phase, f.failure_category, f.failure_signature, COALESCE(newj.normalized_status, 'unknown') AS linked_job_status, newj.duration_seconds AS linked_job_duration_seconds
+    FROM ph2 JOIN mk3 USING (dataflow_run_id) LEFT JOIN (SELECT dataflow_run_id, failure_phase, failure_category, failure_signature FROM fails) f USING (dataflow_run_id) LEFT JOIN newj ON newj._source_id = ph2._source_id AND newj.job_id = ph2.job_id""",
+    ", ".join([S11, MARKED, S.FAILED, S.NEWJ]),
+)
 
 # overview
 AGE = "date_diff('day', run_date, DATE '2001-11-05')"
@@ -103,27 +124,121 @@ WT = ["source_rows_read", "destination_rows_written", "destination_rows_inserted
 add("o09_workload_trend", lambda df, jf: overview.workload_trend(df, "month"), f"SELECT {S.trunc('month')} AS bucket_start, COUNT(*) AS runs, {', '.join(f'{S.s(c)} AS {c}' for c in WT)}, {S.s(S.EST)} AS estimated_rows_written, {S.s('destination_bytes_added')} - {S.s('destination_bytes_removed')} AS net_bytes FROM df WHERE event_time IS NOT NULL GROUP BY 1")
 add("o10_failure_categories", lambda df, jf: overview.failure_category_counts(df), "SELECT failure_category AS category, COUNT(*) AS count FROM fails GROUP BY 1", S.FAILED)
 add("o11_top_failing_dataflow", lambda df, jf: overview.top_failing_dataflow(df), "SELECT COALESCE(NULLIF(dataflow_name, ''), NULLIF(dataflow_id, ''), 'unknown') AS dataflow_name, dataflow_id, COUNT(*) AS error_count FROM df WHERE normalized_status = 'failed' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1")
-SINCE = "event_time > TIMESTAMP '2001-11-05' - to_days({}) AND event_time <= TIMESTAMP '2001-11-05'".format
-UPK = "LOWER(COALESCE(operation_type, '')) = 'maintenance'"
-HEALTH = f"hin AS (SELECT {', '.join(S.n(f"normalized_status = 'failed' AND {SINCE(d)}", f'failed_last_{d}d') for d in (3, 7, 14))}, {S.n(f"{UPK} AND normalized_status = 'failed' AND {SINCE(7)}", 'maintenance_failed_7d')}, {S.n(f"{UPK} AND normalized_status = 'skipped' AND {SINCE(7)}", 'maintenance_skipped_7d')}, (SELECT COUNT(*) FROM jf j LEFT JOIN kids k USING (_source_id, job_id) WHERE j.total_dataflows <> COALESCE(k.seen_dataflows, 0) OR j.total_failed <> COALESCE(k.seen_failed, 0)) AS mismatched_jobs, (SELECT COUNT(*) FROM jf j WHERE NOT EXISTS (SELECT 1 FROM kids k WHERE k._source_id = j._source_id AND k.job_id = j.job_id)) AS jobs_without_dataflows, (SELECT COUNT(*) FROM kids k WHERE NOT EXISTS (SELECT 1 FROM jf j WHERE k._source_id = j._source_id AND k.job_id = j.job_id)) AS orphan_jobs FROM df)"
-add("o12_health_inputs", lambda df, jf: overview.health_inputs(df, jf, AS_OF), "SELECT * FROM hin", S.KIDS + ", " + HEALTH)
-BADC = [("failed_last_3d > 0", "failures in the last 3 days"), ("maintenance_failed_7d > 0", "maintenance failed in the last 7 days"), ("failed_last_3d = 0 AND failed_last_14d > 0", "failures in the last 14 days"), ("maintenance_skipped_7d > 0", "maintenance skipped in the last 7 days"), ("mismatched_jobs > 0", "jobs do not match their dataflows"), ("orphan_jobs > 0", "dataflows without a job record")]
-add("o13_environment_health", lambda df, jf: overview.environment_health(overview.health_inputs(df, jf, AS_OF)), f"SELECT CASE WHEN ({BADC[0][0]}) OR ({BADC[1][0]}) THEN 'has_issues' WHEN {' OR '.join(f'({c})' for c, _ in BADC[2:])} THEN 'warning' ELSE 'healthy' END AS status, concat_ws('; ', {', '.join(f'CASE WHEN {c} THEN {r!r} END' for c, r in BADC)}) AS reasons FROM hin", S.KIDS + ", " + HEALTH)
+NEWER = "event_time >= TIMESTAMP '2001-11-05' - to_days({})".format
+UPK = "(LOWER(operation_type) = 'maintenance' OR LOWER(destination_operation_type) IN ('compact', 'cleanup', 'maintenance'))"
+HEALTH = f"""hin AS (SELECT d.*, j.*, (SELECT COUNT(*) FROM (SELECT DISTINCT _source_id, job_id FROM mis)) AS mismatch_count,
+   (SELECT COUNT(DISTINCT job_id) FROM kids k WHERE NOT EXISTS (SELECT 1 FROM jf WHERE jf._source_id = k._source_id AND jf.job_id = k.job_id)) AS orphan_dataflow_job_ids,
+   (SELECT COUNT(DISTINCT job_id) FROM jf WHERE NOT EXISTS (SELECT 1 FROM kids k WHERE jf._source_id = k._source_id AND jf.job_id = k.job_id)) AS jobs_without_dataflow_records,
+   GREATEST(latest_job_log_at, latest_dataflow_log_at) AS latest_log_at, CAST(GREATEST(0, floor(date_diff('second', GREATEST(latest_job_log_at, latest_dataflow_log_at), TIMESTAMP '2001-11-05') / 86400.0)) AS BIGINT) AS latest_log_age_days FROM
+ (SELECT MAX(event_time) AS latest_dataflow_log_at, {', '.join(S.n(f"normalized_status = 'failed' AND {NEWER(d)}", f'failed_dataflows_last_{d}_days') for d in (3, 7))}, {', '.join(S.n(f"normalized_status = 'failed' AND {UPK} AND {NEWER(d)}", f'maintenance_failed_last_{d}_days') for d in (7, 14))}, {S.n(f"normalized_status = 'skipped' AND {UPK} AND {NEWER(7)}", 'maintenance_skipped_last_7_days')} FROM df) d,
+ (SELECT MAX(event_time) AS latest_job_log_at, COUNT(*) AS total_jobs, {', '.join(S.n(f"normalized_status = 'failed' AND {NEWER(d)}", f'failed_jobs_last_{d}_days') for d in (3, 7))} FROM jf) j)"""
+HSQL = S.COMPARE + ", " + HEALTH
+TIMES = ("latest_log_at", "latest_job_log_at", "latest_dataflow_log_at")
+HCOLS = "* REPLACE (" + ", ".join(f"{S.ts(c)} AS {c}" for c in TIMES) + ")"
+add("o12_health_inputs", lambda df, jf: overview.health_inputs(df, jf, AS_OF), f"SELECT {HCOLS} FROM hin", HSQL)
+
+
+def health(df: DataFrame, jf: DataFrame, as_of: str = AS_OF, read_errors: DataFrame | None = None) -> DataFrame:
+    inputs = overview.health_inputs(df, jf, as_of).join(overview.log_coverage(df, jf, read_errors))
+    return overview.environment_health(inputs)
+
+
+def health_text(df: DataFrame) -> DataFrame:
+    return df.select("status", F.array_join("reasons", " ").alias("reasons"), "latest_log_age_days")
+
+
+STATUS = ["healthy", "no_log_evidence", "warning", "has_issues"]
+
+
+def health_sql(inputs: str, errors: int) -> str:
+    """Reasons as a list in order, the status as the largest rank; hin is read through `inputs`."""
+    some = lambda *names: " OR ".join(f"{x} > 0" for x in names)
+    kinds = [
+        [("coverage_status IN ('missing_sources', 'no_records')", 1, "'No complete ETL log evidence is available.'")],
+        [("coverage_status IN ('error', 'partial')", 2, "'Log coverage is partial or has read errors.'")],
+        [(f"latest_log_age_days > {d}", r, "'Latest log is ' || latest_log_age_days || ' days old.'") for d, r in ((30, 3), (7, 2))],
+        [(some("failed_jobs_last_3_days", "failed_dataflows_last_3_days"), 3, "'Recent failures were found in the last 3 days.'"), (some("failed_jobs_last_7_days", "failed_dataflows_last_7_days"), 2, "'Failures were found in the last 7 days.'")],
+        [(some("maintenance_failed_last_7_days"), 3, "'Maintenance failures were found in the last 7 days.'"), (some("maintenance_failed_last_14_days"), 2, "'Maintenance failures were found in the last 14 days.'")],
+        [(some("maintenance_skipped_last_7_days"), 2, "'Skipped maintenance operations were found in the last 7 days.'")],
+        [(some("mismatch_count"), 2, "'Job and dataflow log totals do not fully reconcile.'")],
+    ]
+    answers = ", ".join("CASE " + " ".join(f"WHEN {c} THEN {{'k': {r}, 'said': {text}}}" for c, r, text in kind) + " END" for kind in kinds)
+    cover = f"CASE WHEN {errors} > 0 THEN IF(total_jobs + flows > 0, 'partial', 'error') WHEN total_jobs + flows = 0 THEN 'no_records' ELSE 'complete' END"
+    return f"""hst AS (SELECT * EXCLUDE (found), {STATUS}[1 + COALESCE(list_max(list_transform(found, lambda x: x.k)), 0)] AS status, IF(len(found) = 0 AND total_jobs > 0, 'No immediate monitoring issues detected.', array_to_string(list_transform(found, lambda x: x.said), ' ')) AS reasons
+      FROM (SELECT *, list_filter([{answers}], lambda x: x IS NOT NULL) AS found FROM (SELECT *, {cover} AS coverage_status, {errors} AS read_errors FROM (SELECT *, (SELECT COUNT(*) FROM df) AS flows FROM {inputs}))))"""
+
+
+# at the facts' own time, later by ten and forty days, without any record, and with a log that couldn't be read
+add("o13_environment_health", lambda df, jf: health_text(health(df, jf)), "SELECT status, reasons, latest_log_age_days FROM hst", HSQL + ", " + health_sql("hin", 0))
+for late, stamp in ((10, "2001-11-15 00:00:00"), (40, "2001-12-15 00:00:00")):
+    later = HSQL.replace("TIMESTAMP '2001-11-05'", f"TIMESTAMP '{stamp[:10]}'")
+    add(f"o13_environment_health_after_{late}_days", (lambda at: lambda df, jf: health_text(health(df, jf, at)))(stamp), "SELECT status, reasons, latest_log_age_days FROM hst", later + ", " + health_sql("hin", 0))
+nothing = HSQL.replace(" FROM df)", " FROM df WHERE false)").replace(" FROM jf)", " FROM jf WHERE false)").replace("FROM df WHERE job_id", "FROM df WHERE false AND job_id").replace("FROM jf j LEFT JOIN", "FROM (SELECT * FROM jf WHERE false) j LEFT JOIN").replace("FROM jf WHERE NOT EXISTS", "FROM jf WHERE false AND NOT EXISTS")
+add("o13_environment_health_no_records", lambda df, jf: health_text(health(df.filter("false"), jf.filter("false"))), "SELECT status, reasons, latest_log_age_days FROM hst", nothing + ", " + health_sql("hin", 0).replace("(SELECT COUNT(*) FROM df)", "0"))
+add("o13_environment_health_read_errors", lambda df, jf: health_text(health(df, jf, read_errors=df.sparkSession.range(2))), "SELECT status, reasons, latest_log_age_days FROM hst", HSQL + ", " + health_sql("hin", 2))
 
 
 def attention_inputs(df: DataFrame, jf: DataFrame) -> DataFrame:
     """One row that gathers what pages warn of."""
-    stale = freshness.freshness_registry(df, AS_OF).agg(F.sum("is_stale").alias("stale_candidates"))
+    stale = freshness.freshness_registry(df, AS_OF).agg(F.coalesce(F.sum("is_stale"), F.lit(0)).alias("stale_candidates"))
     still = freshness.watermark_states(df).agg(F.count_if(F.col("movement_state") == "unchanged").alias("watermark_unchanged_runs"))
-    slow = performance.totals(df).select("optimization_candidate_count")
-    bare = maintenance.registry(df).agg(F.count_if(F.col("active") & ~F.col("maintained")).alias("coverage_missing_tables"))
-    return overview.health_inputs(df, jf, AS_OF).join(stale).join(still).join(slow).join(bare)
-
-
-ATT = "ain AS (SELECT hin.*, (SELECT CAST(SUM(is_stale) AS BIGINT) FROM reg) AS stale_candidates, (SELECT COUNT(*) FROM etl WHERE movement_state = 'unchanged') AS watermark_unchanged_runs, (SELECT COUNT(candidate_code) FROM cand) AS optimization_candidate_count, (SELECT COUNT(*) FROM mreg WHERE active AND NOT maintained) AS coverage_missing_tables FROM hin)"
-ALL_CTES = ", ".join([S.KIDS, HEALTH, S.REG, S.CAND, S.MREG, ATT])
-add("o14_attention_inputs", attention_inputs, "SELECT * FROM ain", ALL_CTES)
-add("o15_attention_queue", lambda df, jf: overview.attention_queue(attention_inputs(df, jf)), "SELECT code, severity, title, impact FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS code, {v} AS severity, '{t}' AS title, CAST({m} AS BIGINT) AS impact FROM ain WHERE {m} >= {least}" for c, v, t, m, least in overview.ATTENTION) + ") QUALIFY row_number() OVER (PARTITION BY code ORDER BY severity DESC, impact DESC, title) = 1 ORDER BY severity DESC, impact DESC, title LIMIT 8", ALL_CTES)
+    slow = performance.totals(df).select("optimization_candidate_count", "duration_pressure_ratio", "p95_duration_seconds")
+    stage_ = durations.slowest_by(df, "stage", 1).agg(F.first("group_value").alias("slowest_stage"), F.first("p95").alias("slowest_stage_p95"))
+    upkeep = maintenance.registry(df).agg(F.count_if(F.col("active") & ~F.col("maintained")).alias("coverage_missing_tables"), F.count_if(F.col("lag_seconds") > maintenance.LAG_DAYS * 86400).alias("lagged_tables"), F.count_if(F.col("latest_status").isin("running", "pending")).alias("latest_active_tables"))
+    top = overview.top_failing_dataflow(df).agg(F.first("dataflow_name").alias("top_failing_dataflow"), F.coalesce(F.first("error_count"), F.lit(0)).alias("error_count"))
+    open_ = df.agg(F.count_if(C.status_is("running", "pending")).alias("active_dataflow_runs"))
+    context = overview.worst_context(overview.runtime_contexts(jf))
+    out = health(df, jf).withColumn("linkage_gaps", F.col("orphan_dataflow_job_ids") + F.col("jobs_without_dataflow_records"))
+    for part in (stale, still, slow, stage_, upkeep, top, open_, context):
+        out = out.join(part)
+    return out
+
+
+ATT = f"""perf AS (SELECT COUNT(candidate_code) AS optimization_candidate_count, {S.nip('duration_seconds', .5)} AS p50, {S.nip('duration_seconds', .95)} AS p95_duration_seconds FROM cand),
+ stg AS (SELECT * FROM (SELECT {S.blank('stage')} AS slowest_stage, COUNT(*) AS runs, {S.nip('duration_seconds', .95)} AS slowest_stage_p95 FROM df WHERE {S.RAN} AND duration_seconds IS NOT NULL GROUP BY 1) ORDER BY slowest_stage_p95 DESC, runs DESC, slowest_stage LIMIT 1),
+ topf AS (SELECT COALESCE(NULLIF(dataflow_name, ''), NULLIF(dataflow_id, ''), 'unknown') AS top_failing_dataflow, dataflow_id, COUNT(*) AS error_count FROM df WHERE normalized_status = 'failed' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1),
+ ctx AS (SELECT {', '.join(f'{S.known(c)} AS {c}' for c in CTX)}, COUNT(*) FILTER (normalized_status = 'failed') AS context_failed, {S.ok()} AS context_success_rate FROM jf GROUP BY 1, 2, 3),
+ worst AS (SELECT engine_name || ' / ' || metadata_provider_name AS context_name, context_success_rate, context_failed FROM ctx WHERE context_failed > 0 AND context_success_rate < 95 ORDER BY context_success_rate, context_failed DESC, 1, platform_name LIMIT 1),
+ ain AS (SELECT hst.*, orphan_dataflow_job_ids + jobs_without_dataflow_records AS linkage_gaps, (SELECT CAST(COALESCE(SUM(is_stale), 0) AS BIGINT) FROM reg) AS stale_candidates, (SELECT COUNT(*) FROM etl WHERE movement_state = 'unchanged') AS watermark_unchanged_runs, optimization_candidate_count, CASE WHEN p50 > 0 THEN p95_duration_seconds / p50 ELSE 0 END AS duration_pressure_ratio, p95_duration_seconds, slowest_stage, slowest_stage_p95,
+   (SELECT COUNT(*) FROM mreg WHERE active AND NOT maintained) AS coverage_missing_tables, (SELECT COUNT(*) FROM mreg WHERE lag_seconds > 604800) AS lagged_tables, (SELECT COUNT(*) FROM mreg WHERE latest_status IN ('running', 'pending')) AS latest_active_tables, top_failing_dataflow, error_count, (SELECT COUNT(*) FROM df WHERE normalized_status IN ('running', 'pending')) AS active_dataflow_runs, context_name, context_success_rate, context_failed FROM hst, perf, stg, topf, worst)"""
+ALL_CTES = ", ".join([S.COMPARE, HEALTH, health_sql("hin", 0), S.REG, S.CAND, S.MREG, ATT])
+AIN = ["status", "stale_candidates", "watermark_unchanged_runs", "optimization_candidate_count", "slowest_stage", "slowest_stage_p95", "coverage_missing_tables", "lagged_tables", "latest_active_tables", "top_failing_dataflow", "error_count", "active_dataflow_runs", "linkage_gaps", "context_name", "context_success_rate", "context_failed"]
+add("o14_attention_inputs", lambda df, jf: attention_inputs(df, jf).select(*AIN), f"SELECT {', '.join(AIN)} FROM ain", ALL_CTES)
+SECS = "CASE WHEN {0} < 60 THEN printf('%.2fs', {0}) ELSE printf('%.2fm', {0} / 60) END".format
+IN_DAYS = [("recent_failed_jobs", "Review recent failed jobs", "jobs", "failed_jobs", "jobs failed", 3, 7, True), ("recent_failed_dataflows", "Review recent failed dataflows", "failures", "failed_dataflows", "dataflow runs failed", 3, 7, True), ("maintenance_failed", "Review failed maintenance", "maintenance", "maintenance_failed", "maintenance operations failed", 7, 14, False)]
+WARN = [
+    (1, "maintenance_skipped", "Review skipped maintenance", "maintenance", "maintenance_skipped_last_7_days", "maintenance operations were skipped in the last 7 days.", False),
+    (1, "maintenance_coverage", "Review maintenance coverage", "maintenance", "coverage_missing_tables", "active lakehouse tables have no maintenance evidence.", True),
+    (1, "maintenance_lag", "Review maintenance lag", "maintenance", "lagged_tables", "tables exceed the maintenance lag threshold.", True),
+    (2, "maintenance_active", "Inspect active maintenance", "maintenance", "latest_active_tables", "table maintenance targets are running or pending.", True),
+    (1, "stale_dataflows", "Review stale dataflows", "freshness", "stale_candidates", "stale dataflow candidates were detected.", False),
+    (1, "watermark_not_advanced", "Review unchanged watermarks", "freshness", "watermark_unchanged_runs", "runs did not advance watermark values.", False),
+    (1, "optimization_candidates", "Review optimization candidates", "performance", "optimization_candidate_count", "dataflow runs match performance optimization rules.", True),
+    (1, "log_reconciliation", "Review log consistency", "diagnostics", "mismatch_count", "job totals differ from dataflow rollups.", False),
+    (0, "job_linkage_gaps", "Review job linkage gaps", "diagnostics", "linkage_gaps", "job IDs are not linked across job and dataflow logs.", True),
+    (2, "active_dataflows", "Inspect active dataflows", "dataflows", "active_dataflow_runs", "dataflow runs are running or pending in the current filters.", True),
+    (0, "log_read_errors", "Review log read errors", "diagnostics", "read_errors", "read errors were found.", True),
+]
+
+
+def attention_sql(top: int) -> str:
+    """Each warning is a SELECT from the one row of inputs; wider windows ask only where the narrower hold nothing."""
+    arms = [f"SELECT IF({c}_last_{a}_days > 0, 0, 1) AS k, '{code}' AS code, '{title}' AS title, '{page}' AS target, IF({c}_last_{a}_days > 0, {c}_last_{a}_days || ' {said} in the last {a} days.', {c}_last_{b}_days || ' {said} in the last {b} days.') AS detail, {f'IF({c}_last_{a}_days > 0, {c}_last_{a}_days, {c}_last_{b}_days)' if scored else 0} AS impact FROM ain WHERE {c}_last_{a}_days + {c}_last_{b}_days > 0" for code, title, page, c, said, a, b, scored in IN_DAYS]
+    arms += [f"SELECT {k}, '{code}', '{title}', '{page}', {c} || ' {said}', {c if scored else 0} FROM ain WHERE {c} > 0" for k, code, title, page, c, said, scored in WARN]
+    pressed = "duration_pressure_ratio >= 5 AND p95_duration_seconds >= 30"
+    arms += [
+        "SELECT 0, 'repeated_failure', 'Repeated dataflow failure', 'failures', top_failing_dataflow || ' failed ' || error_count || ' times.', error_count FROM ain WHERE error_count >= 3",
+        "SELECT 1, 'no_log_evidence', 'No log evidence', 'overview', 'No monitoring logs were found in current filters.', 0 FROM ain WHERE status = 'no_log_evidence'",
+        "SELECT 1, 'stale_logs', 'Check log freshness', 'overview', 'Latest log is ' || latest_log_age_days || ' days old.', 0 FROM ain WHERE latest_log_age_days > 7",
+        f"SELECT IF(duration_pressure_ratio >= 10 AND p95_duration_seconds >= 60, 0, 1), 'performance_pressure', 'Review performance pressure', 'performance', 'P95 is ' || ROUND(duration_pressure_ratio, 1) || 'x P50 at ' || {SECS('p95_duration_seconds')} || '.', duration_pressure_ratio FROM ain WHERE {pressed}",
+        f"SELECT 2, 'slowest_stage', 'Inspect slowest stage', 'performance', slowest_stage || ' has p95 duration ' || {SECS('slowest_stage_p95')} || '.', 0 FROM ain WHERE slowest_stage_p95 >= 60 AND NOT ({pressed})",
+        "SELECT 1, 'runtime_context_health', 'Review runtime context health', 'jobs', context_name || ' is at ' || ROUND(context_success_rate, 1) || '% success.', context_failed FROM ain WHERE context_name IS NOT NULL",
+    ]
+    return f"SELECT code, ['bad', 'warning', 'info'][k + 1] AS severity, title, detail, target, CAST(impact AS DOUBLE) AS impact FROM ({' UNION ALL '.join(arms)}) t ORDER BY k, t.impact DESC, title LIMIT {top}"
+
+
+add("o15_attention_queue", lambda df, jf: overview.attention_queue(attention_inputs(df, jf)), attention_sql(8), ALL_CTES)
+add("o15_attention_all", lambda df, jf: overview.attention_queue(attention_inputs(df, jf), 30), attention_sql(30), ALL_CTES)
 
 # jobs
 add("j01_latest_jobs", lambda df, jf: jobs.latest_jobs(jf).select("_source_id", "job_id", "normalized_status", "event_time"), f"SELECT _source_id, job_id, normalized_status, {S.ts('event_time')} AS event_time FROM newj", S.NEWJ)
@@ -178,13 +293,33 @@ add("x16_top_failing_dataflows", lambda df, jf: failures.top_failing_dataflows(d
 add("x17_failure_trend", lambda df, jf: failures.failure_trend(df, jf), "SELECT CAST(run_date AS VARCHAR) AS run_date, COUNT(*) AS failed, CAST(SUM(j) AS BIGINT) AS failed_jobs, CAST(SUM(f) AS BIGINT) AS failed_dataflows FROM (SELECT run_date, 1 AS f, 0 AS j FROM df WHERE normalized_status = 'failed' UNION ALL SELECT run_date, 0, 1 FROM jf WHERE normalized_status = 'failed') GROUP BY 1")
 
 # freshness
-REG_COLS = "* EXCLUDE (latest_run_at, latest_freshness_at), " + ", ".join(f"{S.ts(c)} AS {c}" for c in ("latest_run_at", "latest_freshness_at"))
+REG_COLS = "* REPLACE (" + ", ".join(f"{S.ts(c)} AS {c}" for c in ("latest_run_at", "latest_freshness_at", "watermark_time")) + ")"
+
+
+def flat_registry(df: DataFrame) -> DataFrame:
+    part = lambda name: F.array_join(F.transform("last_statuses", lambda x: x[name]), ",")
+    return freshness.freshness_registry(df, AS_OF).withColumns({"last_runs": part("dataflow_run_id"), "last_statuses": part("status")})
+
+
 add("r01_watermark_states", lambda df, jf: freshness.watermark_states(df).select("dataflow_run_id", "watermark_enabled", "movement_state", "adjustment_state"), "SELECT dataflow_run_id, watermark_enabled, movement_state, adjustment_state FROM etl", S.ETL)
-add("r03_freshness_registry", lambda df, jf: freshness.freshness_registry(df, AS_OF), f"SELECT {REG_COLS} FROM reg", S.REG)
-add("r04_age_by_dataflow", registry(lambda r, _: freshness.age_by_dataflow(r)), f"SELECT dataflow_id, COALESCE(source_name, 'unknown') || ' -> ' || COALESCE(destination_name, 'unknown') AS target, {S.ts('latest_freshness_at')} AS latest_freshness_at, latest_freshness_status, age_seconds, age_days FROM reg WHERE age_days IS NOT NULL ORDER BY age_days DESC, COALESCE(dataflow_name, dataflow_id), dataflow_id LIMIT 200", S.REG)
-MV = ", ".join(S.n(f"movement_state = '{m}'", m + "_runs") for m in ("advanced", "initialized", "unchanged", "incomplete", "invalid"))
+add("r03_freshness_registry", lambda df, jf: flat_registry(df), f"SELECT {REG_COLS} FROM reg", S.REG)
+add("r04_age_by_dataflow", registry(lambda r, _: freshness.age_by_dataflow(r)), f"SELECT dataflow_id, dataflow_name, source_name || ' -> ' || destination_name AS target, {S.ts('latest_freshness_at')} AS latest_freshness_at, latest_freshness_status, age_seconds, age_days FROM reg WHERE age_days IS NOT NULL ORDER BY age_days DESC, dataflow_name, dataflow_id LIMIT 200", S.REG)
+MOVED = lambda m: f"movement_state = '{m}'"
+MOVES = ("advanced", "initialized", "unchanged", "incomplete", "invalid")
 ADV = S.pct("COUNT(*) FILTER (movement_state = 'advanced')", "COUNT(*) FILTER (movement_state IN ('advanced','unchanged'))")
-add("r05_freshness_summary", lambda df, jf: freshness.freshness_summary(df, AS_OF), f"SELECT * FROM (SELECT {MV}, {S.n('adjustment_state = ' + repr('adjusted'), 'adjusted_runs')}, {ADV} AS advanced_rate, COUNT(*) FILTER (NOT COALESCE({S.NOID}, false)) AS runs_without_id FROM etl), (SELECT COUNT(*) AS dataflows, COUNT(latest_freshness_at) AS with_evidence, COUNT(*) FILTER (latest_status NOT IN ('succeeded','skipped')) AS latest_issues, COUNT(*) FILTER (watermark_enabled) AS watermark_enabled, {S.pct('COUNT(*) FILTER (watermark_enabled)', 'COUNT(*)')} AS coverage_rate, COUNT(*) FILTER (skipped_streak >= 3) AS streak_dataflows, CAST(SUM(is_stale) AS BIGINT) AS stale_dataflows, {S.pct('SUM(is_stale)', 'COUNT(*)')} AS stale_rate, ROUND(MAX(age_days), 3) AS max_age_days, ROUND({S.nip('age_days', .5)}, 3) AS p50_age_days, ROUND({S.nip('age_days', .95)}, 3) AS p95_age_days FROM reg)", S.REG)
+RUN_COUNTS = {"successful_runs": "= 'succeeded'", "freshness_runs": "IN ('succeeded', 'skipped')", "failed_runs": "= 'failed'", "skipped_runs": "= 'skipped'"}
+AGES = ", ".join(f"COALESCE(CAST(MIN({c}) AS DOUBLE), 0) AS min_{c}, COALESCE(CAST(MAX({c}) AS DOUBLE), 0) AS max_{c}, {S.nip(c, .5)} AS p50_{c}, {S.nip(c, .95)} AS p95_{c}" for c in ("age_days", "age_seconds"))
+add(
+    "r05_freshness_summary",
+    lambda df, jf: freshness.freshness_summary(df, jf, AS_OF),
+    f"""SELECT * REPLACE ({', '.join(f'{S.ts(c)} AS {c}' for c in TIMES)}, CAST(date_min AS VARCHAR) AS date_min, CAST(date_max AS VARCHAR) AS date_max) FROM (SELECT *, GREATEST(latest_dataflow_log_at, latest_job_log_at) AS latest_log_at, latest_watermark_invalid_dataflows + latest_watermark_incomplete_dataflows AS latest_watermark_issue_dataflows FROM
+     (SELECT COUNT(*) AS dataflow_records, MIN(run_date) AS date_min, MAX(run_date) AS date_max, MAX(event_time) AS latest_dataflow_log_at, COUNT(DISTINCT NULLIF(engine_name, 'unknown')) AS active_engines, COUNT(DISTINCT NULLIF(metadata_provider_name, 'unknown')) AS active_metadata_providers FROM df),
+     (SELECT COUNT(*) AS job_records, MAX(event_time) AS latest_job_log_at FROM jf),
+     (SELECT {', '.join(S.n(f'normalized_status {c}', k) for k, c in RUN_COUNTS.items())}, COUNT(*) FILTER (NOT COALESCE({S.NOID}, false)) AS missing_dataflow_id_runs, {', '.join(S.n(MOVED(m), f'watermark_{m}_runs') for m in MOVES)}, {S.n("adjustment_state = 'adjusted'", 'watermark_adjusted_runs')}, {ADV} AS watermark_advanced_rate FROM etl),
+     (SELECT COUNT(*) AS observed_dataflows, COUNT(latest_freshness_at) AS dataflows_with_freshness_evidence, COUNT(*) FILTER (latest_status NOT IN ('succeeded','skipped')) AS latest_status_issue_dataflows, {S.n(MOVED('invalid'), 'latest_watermark_invalid_dataflows')}, {S.n(MOVED('incomplete'), 'latest_watermark_incomplete_dataflows')},
+       COUNT(*) FILTER (watermark_enabled) AS watermark_enabled_dataflows, {S.pct('COUNT(*) FILTER (watermark_enabled)', 'COUNT(*)')} AS watermark_coverage_rate, COUNT(*) FILTER (skipped_streak >= 3) AS skipped_streak_dataflows, CAST(SUM(is_stale) AS BIGINT) AS stale_dataflows, {S.pct('SUM(is_stale)', 'COUNT(*)')} AS stale_dataflow_rate, {AGES} FROM reg))""",
+    S.REG,
+)
 MV2 = ", ".join(S.n(f"movement_state = '{m}'", m) for m in ("advanced", "initialized", "unchanged", "incomplete", "invalid"))
 add("r06_watermark_trend", lambda df, jf: freshness.watermark_trend(df, "month"), f"SELECT {S.trunc('month')} AS bucket_start, {MV2}, {S.n('adjustment_state = ' + repr('adjusted'), 'adjusted')}, COUNT(*) AS runs, {ADV} AS advanced_rate FROM etl WHERE watermark_enabled AND event_time IS NOT NULL GROUP BY 1", S.ETL)
 add("r07_age_distribution", registry(lambda r, _: freshness.age_distribution(r)), "SELECT CASE WHEN age_days IS NULL THEN 'Unknown' WHEN age_days <= 1 THEN '<=1d' WHEN age_days <= 3 THEN '1-3d' WHEN age_days <= 7 THEN '3-7d' WHEN age_days <= 30 THEN '7-30d' ELSE '>30d' END AS bucket, COUNT(*) AS dataflows FROM reg GROUP BY 1", S.REG)
@@ -232,7 +367,7 @@ add("v10_evidence_page", lambda df, jf: volume.evidence_page(df, offset=10), "SE
 add("m01_classify", lambda df, jf: maintenance.classify(df).select("dataflow_run_id", "target", "is_maintenance", "is_active", "is_no_op"), "SELECT dataflow_run_id, target, is_maintenance, is_active, is_no_op FROM mt", S.MAINT)
 add("m02_registry", lambda df, jf: maintenance.registry(df), f"SELECT * EXCLUDE (latest_maintenance, latest_write), {S.ts('latest_maintenance')} AS latest_maintenance, {S.ts('latest_write')} AS latest_write FROM mreg", S.MREG)
 add("m03_upstream_dataflows", lambda df, jf: maintenance.upstream_dataflows(df), "SELECT target, COUNT(*) AS dataflows, CAST(SUM(r) AS BIGINT) AS rows_read, string_agg(COALESCE(dataflow_id, 'unknown') || ' (' || k || ')', ', ' ORDER BY dataflow_id NULLS FIRST) AS upstream FROM (SELECT target, dataflow_id, COUNT(*) AS k, COALESCE(SUM(source_rows_read), 0) AS r FROM mt WHERE is_active GROUP BY 1, 2) GROUP BY 1", S.MAINT)
-add("m04_summary", lambda df, jf: maintenance.summary(df), f"SELECT a.*, b.*, (SELECT COUNT(*) FROM mt, (SELECT {S.nip('duration_seconds', .95, 'duration_seconds > 0')} AS p FROM mt WHERE is_maintenance) WHERE is_maintenance AND p > 0 AND duration_seconds >= p) AS high_duration_runs FROM (SELECT COUNT(*) AS runs, {S.sts(False)}, {S.s('destination_files_removed')} AS files_removed, {S.s('destination_bytes_removed')} AS bytes_reclaimed, {S.s('destination_bytes_saved')} AS bytes_saved, COUNT(*) FILTER (is_no_op) AS no_op_runs FROM mt WHERE is_maintenance) a, (SELECT COUNT(*) FILTER (active) AS active_tables, COUNT(*) FILTER (active AND maintained) AS maintained_tables, COUNT(*) FILTER (active AND NOT maintained) AS coverage_missing_tables, {S.pct('COUNT(*) FILTER (active AND maintained)', 'COUNT(*) FILTER (active)')} AS coverage_rate, {', '.join(S.n(f'health = {h!r}', h + '_tables') for h in ('has_issues', 'warning', 'healthy'))}, COUNT(*) FILTER (lag_seconds > 604800) AS lagged_tables FROM mreg) b", S.MREG)
+add("m04_summary", lambda df, jf: maintenance.summary(df), f"SELECT a.*, b.*, (SELECT COUNT(*) FROM mt, (SELECT {S.nip('duration_seconds', .95, 'duration_seconds > 0')} AS p FROM mt WHERE is_maintenance) WHERE is_maintenance AND p > 0 AND duration_seconds >= p) AS high_duration_runs FROM (SELECT COUNT(*) AS runs, {S.sts(False)}, {S.s('destination_files_removed')} AS files_removed, {S.s('destination_bytes_removed')} AS bytes_reclaimed, {S.s('destination_bytes_saved')} AS bytes_saved, COUNT(*) FILTER (is_no_op) AS no_op_runs FROM mt WHERE is_maintenance) a, (SELECT COUNT(*) FILTER (active) AS active_tables, COUNT(*) FILTER (active AND maintained) AS maintained_tables, COUNT(*) FILTER (active AND NOT maintained) AS coverage_missing_tables, {S.pct('COUNT(*) FILTER (active AND maintained)', 'COUNT(*) FILTER (active)')} AS coverage_rate, {', '.join(S.n(f'health = {h!r}', h + '_tables') for h in ('has_issues', 'warning', 'healthy'))}, COUNT(*) FILTER (lag_seconds > 604800) AS lagged_tables, COUNT(*) FILTER (latest_status IN ('running', 'pending')) AS latest_active_tables FROM mreg) b", S.MREG)
 add("m05_status_trend", lambda df, jf: maintenance.status_trend(df, "month"), f"SELECT {S.trunc('month')} AS bucket_start, COUNT(*) AS runs, {S.sts()} FROM mt WHERE is_maintenance AND event_time IS NOT NULL GROUP BY 1", S.MAINT)
 add("m05_reclaim_trend", lambda df, jf: maintenance.reclaim_trend(df, "month"), f"SELECT {S.trunc('month')} AS bucket_start, {S.s('destination_files_removed')} AS files_removed, {S.s('destination_bytes_removed')} AS bytes_reclaimed, {S.s('destination_bytes_saved')} AS bytes_saved FROM mt WHERE is_maintenance AND event_time IS NOT NULL GROUP BY 1", S.MAINT)
 add("m06_by_format", lambda df, jf: maintenance.by_format(df), f"SELECT {S.blank('destination_format')} AS format, COUNT(*) AS runs, COUNT(*) FILTER (normalized_status = 'failed') AS failed, {S.s('destination_bytes_removed')} AS bytes_reclaimed FROM mt WHERE is_maintenance GROUP BY 1", S.MAINT)
@@ -245,7 +380,8 @@ add("q02_linkage_evidence", lambda df, jf: diagnostics.linkage_evidence(df, jf),
 add("q03_reconciliation", lambda df, jf: diagnostics.reconciliation(jf, df), "SELECT metric, COUNT(*) AS mismatches, CAST(SUM(ABS(difference)) AS BIGINT) AS difference FROM mis GROUP BY 1", S.COMPARE)
 FIELD = "fields AS (" + " UNION ALL ".join(f"SELECT '{name}' AS field, {str(u).lower()} AS universal, COUNT(*) FILTER (COALESCE({', '.join(f'NULLIF(TRIM(CAST({c} AS VARCHAR)), {chr(39) * 2})' for c in cs)}) IS NOT NULL) AS present, COUNT(*) AS rows FROM df" for name, cs, u in diagnostics.FIELDS) + "), fc AS (SELECT field, present, rows, ROUND(100.0 * present / NULLIF(rows, 0), 2) AS percent, CASE WHEN NOT universal THEN 'info' WHEN 100.0 * present / rows < 80 THEN 'bad' WHEN 100.0 * present / rows < 95 THEN 'warning' ELSE 'ok' END AS severity FROM fields)"
 add("q04_field_completeness", lambda df, jf: diagnostics.field_completeness(df), "SELECT * FROM fc", FIELD)
-add("q05_source_coverage", lambda df, jf: diagnostics.source_coverage(df, jf), f"SELECT _source_id, CAST(SUM(f) AS BIGINT) AS dataflow_records, CAST(SUM(j) AS BIGINT) AS job_records, COUNT(DISTINCT run_date) AS run_dates, {S.ts('MAX(event_time)')} AS latest_time FROM (SELECT _source_id, run_date, event_time, 1 AS f, 0 AS j FROM df UNION ALL SELECT _source_id, run_date, event_time, 0, 1 FROM jf) GROUP BY 1")
+BOTH = "(SELECT _source_id, _file_uri, _file_kind, event_time, _ingested_at, 1 AS f FROM df UNION ALL SELECT _source_id, _file_uri, _file_kind, event_time, _ingested_at, 0 FROM jf)"
+add("q05_source_coverage", lambda df, jf: diagnostics.source_coverage(df, jf), f"SELECT _source_id, MAX(_file_kind) AS file_kind, COUNT(DISTINCT _file_uri) AS file_count, CAST(SUM(f) AS BIGINT) AS dataflow_records, CAST(SUM(1 - f) AS BIGINT) AS job_records, COUNT(*) AS records, {S.ts('MAX(event_time)')} AS latest_log_at, {S.ts('MAX(_ingested_at)')} AS latest_ingested_at FROM {BOTH} GROUP BY 1")
 add("q06_record_trend", lambda df, jf: diagnostics.record_trend(df, jf), f"SELECT {S.ts('b')} AS bucket_start, COALESCE(x, 0) AS dataflow_records, COALESCE(y, 0) AS job_records FROM (SELECT unnest(generate_series(MIN(b), MAX(b), INTERVAL 1 MONTH)) AS b FROM (SELECT b FROM fa UNION ALL SELECT b FROM fb)) LEFT JOIN fa USING (b) LEFT JOIN fb USING (b)", "fa AS (SELECT CAST(date_trunc('month', event_time) AS TIMESTAMP) AS b, COUNT(*) AS x FROM df WHERE event_time IS NOT NULL GROUP BY 1), fb AS (SELECT CAST(date_trunc('month', event_time) AS TIMESTAMP) AS b, COUNT(*) AS y FROM jf WHERE event_time IS NOT NULL GROUP BY 1)")
 DIAG = ", ".join([S.LINK, S.COMPARE, FIELD])
 add("q07_diagnostics_summary", lambda df, jf: diagnostics.diagnostics_summary(df, jf), f"SELECT *, CASE WHEN bad_fields > 0 THEN 'bad' WHEN orphan > 0 OR mismatches > 0 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT {', '.join(S.n(f'linkage = {k!r}', k) for k in ('matched', 'orphan', 'job_only'))}, {S.pct('COUNT(*) FILTER (linkage = ' + repr('matched') + ')', 'COUNT(*)')} AS readiness_rate, (SELECT COUNT(*) FROM mis) AS mismatches, (SELECT COUNT(*) FROM fc WHERE severity = 'bad') AS bad_fields, (SELECT COUNT(*) FROM fc WHERE severity = 'warning') AS warned_fields FROM link)", DIAG)
@@ -254,7 +390,10 @@ add("q08_investigation_queue", lambda df, jf: diagnostics.investigation_queue(df
 # measures besides
 add("h14_endpoint_display", lambda df, jf: df.withColumns({c: F.lit(None).cast("string") for c in ("destination_catalog", "destination_database", "destination_schema")}).groupBy(C.endpoint_display("destination").alias("display")).agg(F.count(F.lit(1)).alias("runs")), "SELECT COALESCE(destination_full_table, destination_table) AS display, COUNT(*) AS runs FROM df GROUP BY 1")
 add("h17_job_shapes", lambda df, jf: jf.withColumn("k", C.job_key()).agg(F.count_distinct("k").alias("shapes"), F.max(F.length("k")).cast("long").alias("digits")), "SELECT COUNT(DISTINCT CASE WHEN operation_types IS NULL THEN 0 WHEN operation_types = 'etl' THEN 1 ELSE 2 END * 2 + CASE WHEN stages LIKE '[%' THEN 0 ELSE 1 END) AS shapes, CAST(16 AS BIGINT) AS digits FROM jf")
-add("o02_environment_overview", lambda df, jf: overview.status_trend(scope.scope(df, jf, {"connection": "source-3"}, NOW)[1], "month"), f"SELECT {S.trunc('month')} AS bucket_start, normalized_status AS status, COUNT(*) AS count FROM jf WHERE event_time IS NOT NULL AND EXISTS (SELECT 1 FROM df d WHERE d._source_id = jf._source_id AND d.job_id = jf.job_id AND 'source-3' IN (d.source_name, d.destination_name)) GROUP BY 1, 2")
+NEAR3 = "sd AS (SELECT * FROM df WHERE 'source-3' IN (source_name, destination_name)), sj AS (SELECT * FROM jf WHERE EXISTS (SELECT 1 FROM sd d WHERE d._source_id = jf._source_id AND d.job_id = jf.job_id))"
+add("o02_environment_trend", lambda df, jf: overview.status_trend(scope.scope(df, jf, {"connection": "source-3"}, NOW)[1], "month"), f"SELECT {S.trunc('month')} AS bucket_start, normalized_status AS status, COUNT(*) AS count FROM sj WHERE event_time IS NOT NULL GROUP BY 1, 2", NEAR3)
+DATES = "(SELECT run_date AS d FROM sd UNION ALL SELECT CAST(event_time AS DATE) FROM sj)"
+add("o02_environment_overview", lambda df, jf: scope.environment_overview(df, jf, {"connection": "source-3"}, NOW), f"SELECT (SELECT COUNT(*) FROM sd) AS dataflow_records, (SELECT COUNT(*) FROM sj) AS job_records, (SELECT COUNT(*) FROM sd WHERE normalized_status = 'succeeded') AS dataflow_succeeded, (SELECT COUNT(*) FROM sd WHERE normalized_status = 'failed') AS dataflow_failed, (SELECT COUNT(*) FROM sj WHERE normalized_status = 'failed') AS job_failed, (SELECT COUNT(DISTINCT NULLIF(engine_name, '')) FROM sj) AS active_engines, (SELECT COUNT(DISTINCT NULLIF(metadata_provider_name, '')) FROM sj) AS active_metadata_providers, {S.ts('(SELECT GREATEST((SELECT MAX(event_time) FROM sd), (SELECT MAX(event_time) FROM sj)))')} AS latest_log_at, {S.ts('(SELECT MAX(event_time) FROM sj)')} AS latest_job_log_at, {S.ts('(SELECT MAX(event_time) FROM sd)')} AS latest_dataflow_log_at, (SELECT CAST(MIN(d) AS VARCHAR) FROM {DATES}) AS date_min, (SELECT CAST(MAX(d) AS VARCHAR) FROM {DATES}) AS date_max", NEAR3)
 add("r02_skip_streaks", lambda df, jf: freshness.skip_streaks(df.filter(C.has_id())).select("dataflow_run_id", F.col("run_rank").cast("long"), F.col("others_seen").cast("long")), f"SELECT dataflow_run_id, row_number() OVER w AS run_rank, CAST(SUM(CASE WHEN normalized_status = 'skipped' THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS others_seen FROM df WHERE {S.NOID} WINDOW w AS (PARTITION BY dataflow_id ORDER BY event_time DESC NULLS LAST, dataflow_run_id DESC)")
 JL = f"(SELECT {S.nip('duration_seconds', .95)} AS p95, {S.nip('duration_seconds', .99)} AS p99 FROM jf WHERE {S.RAN})"
 ODD = f"jo AS (SELECT jf.*, p95, p99, EXISTS (SELECT 1 FROM mis m WHERE m._source_id = jf._source_id AND m.job_id = jf.job_id) AS odd FROM jf, {JL}), jr AS (SELECT *, CASE WHEN normalized_status = 'failed' THEN 'failed' WHEN COALESCE(total_failed, 0) > 0 THEN 'child_failures' WHEN odd THEN 'mismatch' WHEN duration_seconds >= p99 THEN 'over_p99' WHEN duration_seconds >= p95 THEN 'over_p95' END AS reason FROM jo)"

@@ -1,6 +1,6 @@
 """Run facts derived from the star schema, for queries over tables that hold no run logs.
 
-The same expressions are used by both engines: they are standard SQL but for adding seconds to a time.
+The same expressions are used by both engines: they are standard SQL but for adding to times and dates.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ def _case(key: str, *values: str | None) -> str:
 def facts_sql(orders: str, lineitem: str, spark: bool) -> tuple[str, str]:
     """(dataflow runs, job runs) as SELECT statements."""
     plus = (lambda ts, n: f"timestampadd(SECOND, {n}, CAST({ts} AS TIMESTAMP))") if spark else (lambda ts, n: f"(CAST({ts} AS TIMESTAMP) + to_seconds({n}))")
+    day = (lambda ts, n: f"date_add(CAST({ts} AS DATE), {n})") if spark else (lambda ts, n: f"(CAST({ts} AS DATE) + {n})")
     big = "CAST(FLOOR({}) AS BIGINT)".format
     failed, phase = "(l_partkey + l_linenumber) % 20 = 0", "l_partkey % 4"
     text = lambda x: f"CAST({x} AS STRING)" if spark else f"CAST({x} AS VARCHAR)"
@@ -37,6 +38,12 @@ def facts_sql(orders: str, lineitem: str, spark: bool) -> tuple[str, str]:
       CASE l_partkey % 20 WHEN 0 THEN 'maintenance' WHEN 1 THEN 'replay' WHEN 2 THEN '' ELSE 'etl' END AS operation_type,
       CASE (l_partkey + l_linenumber) % 20 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'running' WHEN 3 THEN 'pending' WHEN 4 THEN 'Succeeded ' ELSE 'succeeded' END AS status,
       CASE WHEN l_partkey % 499 <> 0 THEN {plus('l_shipdate', '(l_partkey * 31 + l_linenumber * 977 + l_suppkey) % 86400')} END AS event_time,
+      CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN {day('l_shipdate', 1)} ELSE {day('l_shipdate', 0)} END AS __run_date,
+      CASE WHEN l_partkey % 151 <> 0 THEN 'logs/' || {text('l_orderkey % 3')} || '/part-' || {text('l_partkey % 40')} END AS _file_uri, 'parquet' AS _file_kind, {plus('l_shipdate', '86400 + l_partkey % 3600')} AS _ingested_at,
+      'ws-' || {text('l_suppkey % 3')} AS workspace_id, CASE WHEN l_suppkey % 10 < 8 THEN 'loads ' || {text('l_partkey % 130')} ELSE '' END AS dataflow_description, CAST(l_partkey % 4 AS BIGINT) AS group_number, CAST(l_linenumber AS BIGINT) AS execution_order,
+      {_case('l_suppkey % 3', 'batch', 'stream', '')} AS processing_mode, l_partkey % 10 <> 0 AS is_active,
+      CASE WHEN l_suppkey % 4 < 2 THEN 'raw' ELSE '' END AS source_schema, 'in' || {text('l_suppkey % 12')} AS source_table, CASE WHEN l_suppkey % 4 = 0 THEN '`lake`.`raw`.`in' || {text('l_suppkey % 12')} || '`' END AS source_full_table, '/mnt/in/spark' || {text('l_suppkey % 9')} AS source_path,
+      CASE WHEN l_suppkey % 5 = 1 THEN 'amount > ' || {text('l_linenumber')} END AS transform_filter_expression, {_case('l_partkey % 4', '["id"]', '', '["id", "day"]', None)} AS destination_merge_keys,
       CAST(2 + l_partkey % 30 AS DOUBLE) AS source_duration_seconds, CAST(3 + l_suppkey % 40 AS DOUBLE) AS transform_duration_seconds, CAST(4 + l_linenumber * 5 AS DOUBLE) AS destination_duration_seconds,
       CASE WHEN l_partkey % 307 <> 0 THEN CAST((9 + l_partkey % 30 + l_suppkey % 40 + l_linenumber * 5 + l_orderkey % 7) * CASE WHEN l_partkey % 83 = 0 THEN 25 ELSE 1 END AS DOUBLE) END AS duration_seconds,
       CASE WHEN l_orderkey % 2 <> 0 THEN CAST(l_orderkey % 7 AS DOUBLE) END AS overhead_duration_seconds,
@@ -64,6 +71,8 @@ def facts_sql(orders: str, lineitem: str, spark: bool) -> tuple[str, str]:
     jobs = f"""SELECT o_orderkey % 3 + 1 AS _source_id, 'job-' || {text('o_orderkey')} AS job_id,
       CASE WHEN o_orderkey % 100 = 3 THEN 'running' WHEN o_orderkey % 100 = 4 THEN 'pending' WHEN o_orderkey % 10 = 0 THEN 'failed' WHEN o_orderkey % 10 = 1 THEN 'skipped' WHEN o_orderkey % 10 = 2 THEN ' SUCCEEDED ' ELSE 'succeeded' END AS status,
       {plus('o_orderdate', 'o_orderkey * 7919 % 86400')} AS event_time,
+      CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN {day('o_orderdate', -1)} ELSE {day('o_orderdate', 0)} END AS __run_date,
+      CASE WHEN o_orderkey % 29 <> 0 THEN 'logs/' || {text('o_orderkey % 3')} || CASE WHEN o_orderkey % 4 = 0 THEN '/part-' ELSE '/job-' END || {text('o_custkey % 50')} END AS _file_uri, CASE WHEN o_orderkey % 4 = 0 THEN 'parquet' ELSE 'jsonl' END AS _file_kind, {plus('o_orderdate', '90000 + o_custkey % 3600')} AS _ingested_at,
       CASE WHEN o_orderkey % 53 <> 0 THEN CAST(30 + o_orderkey % 120 AS DOUBLE) END AS duration_seconds,
       {_case('o_custkey % 3', 'DuckDBEngine', 'SparkEngine', '')} AS engine_name, {_case('o_custkey % 2', 'FileProvider', 'DatabaseProvider')} AS metadata_provider_name,
       CASE WHEN o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '2-%' THEN 'LocalPlatform' ELSE 'CloudPlatform' END AS platform_name,
@@ -85,9 +94,10 @@ def oracle_facts() -> str:
     """The CTEs `df` (dataflow facts) and `jf` (job facts) for DuckDB."""
     runs, jobs = facts_sql("orders", "lineitem", False)
     status = "LOWER(COALESCE(NULLIF(TRIM(status), ''), 'unknown'))"
+    date = "COALESCE(__run_date, CAST(event_time AS DATE))"
     return f"""WITH raw_runs AS ({runs}), raw_jobs AS ({jobs}),
-    jf AS (SELECT *, {status} AS normalized_status, CAST(event_time AS DATE) AS run_date FROM raw_jobs),
+    jf AS (SELECT *, {status} AS normalized_status, {date} AS run_date FROM raw_jobs),
     context AS (SELECT _source_id, job_id, ANY_VALUE(engine_name) AS engine_name, ANY_VALUE(metadata_provider_name) AS metadata_provider_name, ANY_VALUE(platform_name) AS platform_name FROM jf GROUP BY ALL),
-    df AS (SELECT r.*, {status.replace('status', 'r.status')} AS normalized_status, CAST(r.event_time AS DATE) AS run_date,
+    df AS (SELECT r.*, {status} AS normalized_status, {date} AS run_date,
       COALESCE(NULLIF(c.engine_name, ''), 'unknown') AS engine_name, COALESCE(NULLIF(c.metadata_provider_name, ''), 'unknown') AS metadata_provider_name, COALESCE(NULLIF(c.platform_name, ''), 'unknown') AS platform_name
       FROM raw_runs r LEFT JOIN context c ON c._source_id = r._source_id AND c.job_id = r.job_id)"""
