@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import name_uuid, rendered
+from ..functions.columns import bucket, bucket_end, bucket_label, name_uuid, rendered
+from ..functions.graph import shared_folder
+from ..operators import facts
 from ..sources import logs
+from ..sources.derived import oracle_facts, raw_runs
 
 #: One file for each event; the layout depends on the source.
 FILES = """SELECT CAST(event_id % 3 + 1 AS BIGINT) AS _source_id, event_id, user_id, event_type, value, CAST(ts AS TIMESTAMP) AS ts,
@@ -72,7 +76,7 @@ def retained(df: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
-    "h18_name_uuid": (lambda df: df.select("event_type").distinct().select("event_type", F.length(name_uuid("event_type")).cast("long").alias("n"), F.substring(name_uuid("event_type"), 15, 1).alias("version")), "SELECT DISTINCT event_type, CAST(36 AS BIGINT) AS n, '5' AS version FROM files"),
+    "h18_name_uuid": (lambda df: df.select("event_type").distinct().select("event_type", name_uuid("event_type").alias("uuid")), "SELECT event_type, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || lower(printf('%x', CAST('0x' || h[17:18] AS INTEGER) % 64 + 128)) || h[19:20] || '-' || h[21:32] AS uuid FROM (SELECT DISTINCT event_type, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(event_type)) AS h FROM files)"),
     "i04_parse_partition_path": (lambda df: logs.parse_partition_path(df.select("event_id", "uri"), "uri").drop("uri", "partition_format"), f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'hour' ELSE 'month' END AS granularity, strftime({VALUE}, '{ROUND}') AS partition_value FROM files"),
     "i05_partition_layout": (lambda df: logs.partition_layout_check(logs.parse_partition_path(df.withColumn("root", F.concat(F.lit("root-"), (F.col("event_id") % 6 % 4).cast("string"))), "uri"), "root").drop("format"), "SELECT 'root-' || CAST(event_id % 6 % 4 AS VARCHAR) AS root, COUNT(DISTINCT event_id % 3) AS formats, COUNT(*) AS files, CASE WHEN COUNT(DISTINCT event_id % 3) > 1 THEN 'mixed' ELSE 'ok' END AS layout FROM files GROUP BY 1"),
     "i06_plan_incremental": (lambda df: planned(df).select("_source_id", "uri", "revision"), f"{PLAN} SELECT * FROM plan"),
@@ -88,10 +92,99 @@ QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
 }
 
 
+def log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Log directories made of the star schema, once a session: dataflow runs in two Parquet shapes, job runs as JSON lines, metadata documents."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOGS:
+        at = shared_folder(spark, "logs")
+        runs, jobs = raw_runs(spark, sf_dir)
+        wanted = runs.select("dataflow_run_id", "status", "destination_rows_inserted", F.split_part("dataflow_run_id", F.lit("-"), F.lit(1)).cast("long").alias("n"))
+        wanted.filter("n % 2 = 0").drop("n").write.parquet(f"{at}/flows/dt=2024-01-01")
+        wanted.filter("n % 2 = 1").withColumn("extra", F.lit("x")).drop("n", "destination_rows_inserted").write.parquet(f"{at}/flows/dt=2024-01-02")
+        line = F.to_json(F.struct("job_id", "status", "total_failed"))
+        n = F.substring("job_id", 5, 20).cast("long")
+        jobs.select(F.when(n % 50 == 0, F.concat(F.lit('{"job_id": '), "job_id")).when(n % 51 == 1, F.lit("  ")).otherwise(line).alias("value")).write.text(f"{at}/jobs/__run_date=2024-01-01")
+        supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") % 7).alias("k"), F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).alias("r"))
+        supplier.groupBy("k").agg(F.to_json(F.struct(F.collect_list("r").alias("connections"))).alias("value")).write.partitionBy("k").text(f"{at}/metadata")
+        _LOGS[key] = at
+    return _LOGS[key]
+
+
+_LOGS: dict[tuple[str, str], str] = {}
+
+
+def read_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.read_dataflow_runs(spark, [f"{log_folder(spark, sf_dir)}/flows"], 7).select("dataflow_run_id", "status", "destination_rows_inserted", "extra", "_source_id", "_file_kind", (F.col("_source_size") > 0).alias("sized"))
+
+
+def read_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.read_job_runs(spark, [f"{log_folder(spark, sf_dir)}/jobs"], 3)[0].select("job_id", "status", "total_failed", "_source_id", "_file_kind")
+
+
+def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.read_job_runs(spark, [f"{log_folder(spark, sf_dir)}/jobs"], 3)[1].select("line", "code")
+
+
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.from_json("record", "name string, nation long")
+    return logs.read_metadata(spark, [f"{log_folder(spark, sf_dir)}/metadata/k={k}" for k in range(7)]).select("section", record["name"].alias("name"), record["nation"].alias("nation"))
+
+
+TARGET = T.StructType([T.StructField("dataflow_run_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("destination_rows_inserted", T.DoubleType()), T.StructField("stage", T.StringType())])
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = log_folder(spark, sf_dir)
+    found = logs.schema_audit(spark, [f"{at}/flows/dt=2024-01-01", f"{at}/flows/dt=2024-01-02"], TARGET)
+    return found.withColumn("path", F.substring_index("path", "/", -1))
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).select("event_id", F.floor("value").cast("double").alias("whole"))
+    return logs.schema_repair(rows, ["whole"])
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_runs(spark, sf_dir)[1]
+    made, at = facts.build_job_facts(raw), shared_folder(spark, "published")
+    logs.publish(made, facts.validate_facts(raw, made), at)
+    return spark.read.parquet(at).groupBy(F.col("run_date").cast("date").alias("run_date")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("job_id").alias("jobs"))
+
+
+def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job runs with the columns of the log's schema that they lack."""
+    wide = facts.pad_missing(raw_runs(spark, sf_dir)[1].select("job_id", "status"), logs.JOB_RUN_SCHEMA)
+    return wide.select("job_id", "status", "stages", "total_rows_read", "duration_seconds")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir)
+    parts = [rows.select(F.lit(g).alias("grain"), bucket_label(bucket("ts", g), g).alias("label"), bucket_end(bucket("ts", g), g).alias("ends")).groupBy("grain", "label", "ends").agg(F.count(F.lit(1)).alias("rows")) for g in ("hour", "day", "week", "month")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+LABELS = {"hour": "%Y-%m-%d %H:00", "day": "%Y-%m-%d", "week": "%G-W%V", "month": "%Y-%m"}
+STEPS = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH"}
+FLOW_NUMBER, JOB_NUMBER = "CAST(split_part(dataflow_run_id, '-', 1) AS BIGINT)", "CAST(job_id[5:] AS BIGINT)"
+ON_LOGS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "i01_read_dataflow_runs": (read_flows, f"SELECT dataflow_run_id, status, CASE WHEN {FLOW_NUMBER} % 2 = 0 THEN destination_rows_inserted END AS destination_rows_inserted, CASE WHEN {FLOW_NUMBER} % 2 = 1 THEN 'x' END AS extra, 7 AS _source_id, 'dataflow_parquet' AS _file_kind, true AS sized FROM raw_runs"),
+    "i02_read_job_runs": (read_jobs, f"SELECT job_id, status, total_failed, 3 AS _source_id, 'job_jsonl' AS _file_kind FROM raw_jobs WHERE {JOB_NUMBER} % 50 <> 0 AND {JOB_NUMBER} % 51 <> 1"),
+    "i02_bad_job_lines": (bad_lines, f"SELECT '{{\"job_id\": ' || job_id AS line, 'invalid_jsonl' AS code FROM raw_jobs WHERE {JOB_NUMBER} % 50 = 0"),
+    "i15_schema_audit": (audited, "SELECT * FROM (VALUES ('dt=2024-01-01', 'dataflow_run_id', 'same', 'string'), ('dt=2024-01-01', 'status', 'same', 'string'), ('dt=2024-01-01', 'destination_rows_inserted', 'widened', 'bigint'), ('dt=2024-01-01', 'stage', 'missing', 'string'), ('dt=2024-01-02', 'dataflow_run_id', 'same', 'string'), ('dt=2024-01-02', 'status', 'same', 'string'), ('dt=2024-01-02', 'extra', 'unknown', 'string'), ('dt=2024-01-02', 'destination_rows_inserted', 'missing', 'double'), ('dt=2024-01-02', 'stage', 'missing', 'string')) v(path, \"column\", verdict, type)"),
+    "i16_schema_repair": (repaired, "SELECT event_id, CAST(floor(value) AS BIGINT) AS whole FROM events"),
+    "i19_published_facts": (published, "SELECT CAST(run_date AS VARCHAR) AS run_date, COUNT(*) AS rows, COUNT(DISTINCT job_id) AS jobs FROM jf GROUP BY 1"),
+    "i20_read_metadata": (read_documents, "SELECT 'connections' AS section, s_name AS name, s_nationkey AS nation FROM supplier"),
+    "f03_pad_missing": (padded, "SELECT job_id, status, CAST(NULL AS VARCHAR) AS stages, CAST(NULL AS BIGINT) AS total_rows_read, CAST(NULL AS DOUBLE) AS duration_seconds FROM raw_jobs"),
+    "h08_bucket_labels": (labelled, " UNION ALL ".join(f"SELECT '{g}' AS grain, strftime(date_trunc('{g}', CAST(ts AS TIMESTAMP)), '{f}') AS label, strftime(date_trunc('{g}', CAST(ts AS TIMESTAMP)) + {STEPS[g]}, '{ROUND}') AS ends, COUNT(*) AS rows FROM events GROUP BY ALL" for g, f in LABELS.items())),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: (lambda make: lambda spark, sf_dir: rendered(make(files(spark, sf_dir))))(make) for n, (make, _) in QUERIES.items()}
+    own = {n: (lambda make: lambda spark, sf_dir: rendered(make(files(spark, sf_dir))))(make) for n, (make, _) in QUERIES.items()}
+    return own | {n: (lambda make: lambda spark, sf_dir: rendered(make(spark, sf_dir)))(make) for n, (make, _) in ON_LOGS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     start = oracle_files()
-    return {n: f"{start}, {sql}" if sql.startswith(("plan AS", "src AS")) else f"{start} {sql}" for n, (_, sql) in QUERIES.items()}
+    own = {n: f"{start}, {sql}" if sql.startswith(("plan AS", "src AS")) else f"{start} {sql}" for n, (_, sql) in QUERIES.items()}
+    return own | {n: f"{oracle_facts()} {sql}" for n, (_, sql) in ON_LOGS.items() if sql}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import graph
@@ -99,7 +99,7 @@ def code_refs(t: Tables) -> DataFrame:
 
 
 def seeds(t: Tables, prefix: str) -> DataFrame:
-    return t["assets"].filter(F.col("asset").startswith(prefix)).orderBy("asset").limit(3).select(F.col("asset").alias("node"))
+    return t["assets"].filter(F.col("asset").startswith(prefix)).select(F.col("asset").alias("node"))
 
 
 def edited(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -116,11 +116,49 @@ def registry(t: Tables) -> DataFrame:
     return lineage.project_registry(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("signature", "environments", "covered", "targets", "status")
 
 
+def nested(t: Tables) -> DataFrame:
+    """Dataflows with both endpoints as structs."""
+    end = lambda side, schema: F.struct(F.col(f"{side}_connection_name").alias("connection_name"), F.lit(schema).alias("schema_name"), F.col(f"{side}_table").alias("table")).alias(side)
+    return t["flows"].select("position", "dataflow_id", "name", end("source", "s"), end("destination", "d"))
+
+
+def documents(t: Tables) -> DataFrame:
+    """Documents of up to a hundred dataflows, some of them inactive or without id."""
+    flows = nested(t).withColumn("document", F.floor(F.col("position") / 100)).withColumn("is_active", F.col("position") % 17 != 4)
+    flows = flows.withColumn("dataflow_id", F.when(F.col("position") % 13 == 6, F.lit(" ")).otherwise(F.lpad("dataflow_id", 12, "-")))
+    record = F.struct("position", "dataflow_id", "name", "is_active", "source", "destination")
+    grouped = flows.groupBy("document").agg(F.transform(F.array_sort(F.collect_list(record)), lambda r: r.dropFields("position")).alias("dataflows"))
+    conns = F.array(F.struct(F.lit("c").alias("name")))
+    return grouped.withColumns({"connections": conns, "schema_hints": F.array(F.struct(F.lit("c").alias("connection_name")))})
+
+
+NESTED = "nf AS (SELECT CAST(floor(position / 100.0) AS BIGINT) AS document, row_number() OVER (PARTITION BY floor(position / 100.0) ORDER BY position) - 1 AS position, name, source_table, destination_table, CASE WHEN position % 13 = 6 THEN ' ' ELSE dataflow_id END AS given, position % 17 <> 4 AS active FROM fl)"
+
+
+def hint_rows(t: Tables) -> DataFrame:
+    return t["flows"].select(F.col("source_connection_name").alias("connection_name"), F.lit("s").alias("schema_name"), F.col("source_table").alias("table_name"), (F.col("position") % 12).alias("ordinal_position"), F.concat(F.lit("col"), F.col("position").cast("string")).alias("column_name"))
+
+
+def instances(t: Tables) -> DataFrame:
+    """Connections that are told apart by a name, a host, a storage path, a catalog or a database."""
+    n, none = F.col("position"), F.lit(None).cast("string")
+    c = t["connections"].withColumns({
+        "connection_instance": F.when(n % 6 == 0, F.concat(F.lit(" Main-"), n.cast("string"))), "host": F.when(n % 4 == 1, F.lit("Db.Host")), "port": F.when(n % 8 == 1, F.lit(5432)), "base_url": none,
+        "base_path": F.when(n % 9 != 2, F.col("base_path")).otherwise("/mnt/x"), "catalog": F.when(n % 5 != 3, F.col("catalog")), "connection_name": F.col("name"),
+    })
+    return c.select("position", lineage.connection_instance().alias("instance"))
+
+
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
-    "l02_resolve_connections": (lambda t: t["flows"].join(t["connections"].groupBy(F.col("name").alias("source_connection_name")).agg(F.max_by("database", "position").alias("database")), "source_connection_name", "left").select("position", "source_connection_name", "database"), f"{CTES} SELECT f.position, source_connection_name, d AS database FROM fl f LEFT JOIN (SELECT name, arg_max(database, position) AS d FROM cn GROUP BY 1) c ON c.name = source_connection_name"),
+    "l01_normalize_metadata": (lambda t: metadata.normalize(documents(t))[1].select("document", "position", "name", F.col("source.table").alias("source_table"), (F.length("dataflow_id") == 36).alias("made_id")), f"{CTES}, {NESTED} SELECT document, position, COALESCE(NULLIF(TRIM(name), ''), concat_ws('_', source_table, destination_table)) AS name, source_table, TRIM(given) = '' AS made_id FROM nf WHERE active"),
+    "l02_resolve_endpoints": (lambda t: metadata.resolve_endpoints(nested(t), t["connections"].withColumn("document", F.col("position") % 5)).select("position", "source_connection_name", "source_database", "source_path", "source_resolved", "destination_path", "destination_resolved"), f"{CTES}, ls AS (SELECT name, database, 'S3A://Bucket' || bucket || '//base' AS base FROM cn QUALIFY row_number() OVER (PARTITION BY name ORDER BY position % 5 DESC, position DESC) = 1) SELECT f.position, source_connection_name, a.database AS source_database, a.base || '/s/' || source_table AS source_path, a.name IS NOT NULL AS source_resolved, CASE WHEN b.name IS NOT NULL THEN concat_ws('/', b.base, 'd', destination_table) END AS destination_path, b.name IS NOT NULL AS destination_resolved FROM fl f LEFT JOIN ls a ON a.name = source_connection_name LEFT JOIN ls b ON b.name = destination_connection_name"),
+    "l03_hint_groups": (lambda t: metadata.flatten_hints(metadata.group_hints(hint_rows(t))), f"{CTES} SELECT source_connection_name AS connection_name, 's' AS schema_name, source_table AS table_name, position % 12 AS ordinal_position, 'col' || position AS column_name FROM fl"),
+    "l03_hint_order": (lambda t: metadata.group_hints(hint_rows(t)).select("connection_name", "table_name", F.array_join(F.transform("hints", lambda h: h["column_name"]), ",").alias("columns")), f"{CTES} SELECT source_connection_name AS connection_name, source_table AS table_name, string_agg('col' || position, ',' ORDER BY position % 12, 'col' || position) AS columns FROM fl GROUP BY 1, 2"),
+    "l04_flatten_round_trip": (lambda t: metadata.flatten(metadata.unflatten(metadata.flatten(nested(t)))).select("position", "source_connection_name", "source_schema_name", "source_table", "destination_connection_name", "destination_table"), f"{CTES} SELECT position, source_connection_name, 's' AS source_schema_name, source_table, destination_connection_name, destination_table FROM fl"),
+    "l06_connection_instance": (lambda t: instances(t), f"{CTES} SELECT position, CASE WHEN position % 6 = 0 THEN 'main-' || position WHEN position % 4 = 1 THEN 'db.host' || CASE WHEN position % 8 = 1 THEN ':5432' ELSE '' END WHEN position % 9 <> 2 THEN 'bucket' || bucket WHEN position % 5 <> 3 THEN 'cat' ELSE database END AS instance FROM cn"),
     "l05_asset_identifiers": (lambda t: lineage.asset_identifiers(endpoints(t)).drop("priority"), f"{CTES}, {IDS} SELECT * FROM ids"),
-    "l08_asset_identity": (lambda t: lineage.asset_identity(endpoints(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("asset_key").alias("assets")), f"{CTES}, k AS (SELECT CASE WHEN position % 10 = 5 THEN 'api' WHEN position % 2 = 0 THEN 'table' WHEN position % 3 <> 1 THEN 'path' ELSE 'unresolved' END AS kind, database, CASE WHEN position % 10 = 5 THEN 'a' || position % 3 WHEN position % 2 = 0 THEN 't' || position % 20 WHEN position % 3 <> 1 THEN bucket || '/' || position % 6 ELSE 'n' || position END AS v FROM cn) SELECT kind, COUNT(*) AS nodes, COUNT(DISTINCT database || '|' || v) AS assets FROM k GROUP BY 1"),
-    "l09_stitch_assets": (lambda t: lineage.stitch_assets(lineage.asset_identifiers(endpoints(t))), None),
+    "l08_asset_identity": (lambda t: lineage.asset_identity(endpoints(t)).withColumn("first_node", F.min("node").over(Window.partitionBy("asset_key"))).drop("asset_key"), f"{CTES}, k AS (SELECT position AS node, CASE WHEN position % 10 = 5 THEN 'api' WHEN position % 2 = 0 THEN 'table' WHEN position % 3 <> 1 THEN 'path' ELSE 'unresolved' END AS kind, database, CASE WHEN position % 10 = 5 THEN 'a' || position % 3 WHEN position % 2 = 0 THEN 't' || position % 20 WHEN position % 3 <> 1 THEN bucket || '/' || position % 6 ELSE 'n' || position END AS v FROM cn) SELECT node, kind, MIN(node) OVER (PARTITION BY kind, database, v) AS first_node FROM k"),
+    "l09_stitch_assets": (lambda t: lineage.stitch_assets(lineage.asset_identifiers(endpoints(t))), CTES.replace("WITH", "WITH RECURSIVE", 1) + f", {IDS}, pr AS (SELECT DISTINCT x.node AS a, y.node AS b FROM ids x JOIN ids y USING (kind, value)), rc AS (SELECT node AS root, node FROM (SELECT DISTINCT node FROM ids) UNION SELECT root, b FROM rc JOIN pr ON a = rc.node), gp AS (SELECT node, MIN(root) AS asset FROM rc GROUP BY 1), od AS (SELECT asset, MAX(k) > 1 AS conflict FROM (SELECT asset, kind, COUNT(DISTINCT value) AS k FROM ids JOIN gp USING (node) GROUP BY 1, 2) GROUP BY 1) SELECT node, asset, conflict FROM gp JOIN od USING (asset)"),
     "l10_sql_references": (sql_refs, f"{CTES} SELECT position AS query_id, CASE WHEN position % 8 = 0 THEN 0 ELSE i END AS position, CASE WHEN position % 8 = 0 THEN NULL WHEN i = 0 THEN 'db' || position % 3 || '.t' || position % 7 ELSE 'u' || position % 5 END AS name, CASE WHEN position % 8 = 0 THEN 0 WHEN i = 0 THEN 2 ELSE 1 END AS qualification, CASE WHEN position % 8 = 0 THEN 'no_table' END AS diagnostic FROM fl, (VALUES (0), (1)) v(i) WHERE position % 8 <> 0 OR i = 0"),
     "l11_code_references": (code_refs, f"{CTES} SELECT position AS file, f AS function, k AS kind, CASE k WHEN 'table' THEN 'db.t' || position % 5 WHEN 'sql' THEN 'SELECT * FROM q' END AS value FROM fl, (VALUES ('load', 'table'), ('load', 'dynamic_path'), ('run', 'sql')) v(f, k)"),
     "l12_reference_signature": (lambda t: lineage.reference_signature(references(t)[0].select(F.lit("table").alias("reference_type"), F.col("name").alias("value"), F.col("instance").alias("scope"))).groupBy("addressing", "qualification").agg(F.count_distinct("signature").alias("signatures")), f"{CTES}, {RES} SELECT 'qualified_name' AS addressing, length(name) - length(replace(name, '.', '')) + 1 AS qualification, COUNT(DISTINCT name || '|' || instance) AS signatures FROM refs GROUP BY 2"),
@@ -130,8 +168,8 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "l16_merge_resolution": (lambda t: lineage.merge_resolution(lineage.resolve_references(*references(t)).withColumn("signature", F.col("reference") % 50)).select("signature", "occurrences", F.when(F.col("status").isin("resolved", "conflicting"), F.col("status")).otherwise("unresolved").alias("state")), f"{CTES}, {RES} SELECT reference % 50 AS signature, COUNT(*) AS occurrences, CASE WHEN NOT BOOL_AND(status IN ('resolved','cross_connection')) THEN 'unresolved' WHEN COUNT(DISTINCT asset) > 1 THEN 'conflicting' ELSE 'resolved' END AS state FROM res GROUP BY 1"),
     "l17_diagnostics": (lambda t: lineage.lineage_diagnostics(t["flows"].select(F.col("position").alias("dataflow"), F.col("source_node").alias("source"), F.when(F.col("position") % 21 == 0, F.col("source_node")).when(F.col("position") % 22 == 0, F.lit("gone")).otherwise(F.col("target_node")).alias("target")), t["assets"], t["assets"].select("asset", (F.length("asset") % 5 == 0).alias("conflict"))), f"{CTES} SELECT 'self_reference' AS code, CAST(position AS VARCHAR) AS subject FROM fl WHERE position % 21 = 0 UNION ALL SELECT 'dangling', CAST(position AS VARCHAR) FROM fl WHERE position % 22 = 0 AND position % 21 <> 0 UNION ALL SELECT 'identity_conflict', asset FROM ast WHERE length(asset) % 5 = 0"),
     "l18_lineage_summary": (lambda t: lineage.lineage_summary(lineage.asset_inventory(t["assets"], t["edges"]), t["edges"]), f"{CTES} SELECT COUNT(*) AS assets, COUNT(*) FILTER (position = 'entry') AS entry, COUNT(*) FILTER (position = 'transit') AS transit, COUNT(*) FILTER (position = 'exit') AS exit, COUNT(*) FILTER (position = 'isolated') AS isolated, (SELECT COUNT(*) FROM ed WHERE kind = 'dataflow') AS dataflow_edges, (SELECT COUNT(*) FROM ed WHERE kind = 'dependency') AS dependency_edges FROM inv2"),
-    "l19_trace_downstream": (lambda t: graph.trace(t["edges"], seeds(t, "bronze.")), CTES.replace("WITH", "WITH RECURSIVE", 1) + ", wk AS (SELECT asset AS node, 0 AS depth FROM (SELECT asset FROM ast WHERE asset LIKE 'bronze.%' ORDER BY 1 LIMIT 3) UNION SELECT target, depth + 1 FROM wk JOIN ed ON source = node WHERE depth < 6) SELECT node, MIN(depth) AS depth FROM wk GROUP BY 1"),
-    "l19_trace_upstream": (lambda t: graph.trace(t["edges"], seeds(t, "gold."), "upstream"), CTES.replace("WITH", "WITH RECURSIVE", 1) + ", wk AS (SELECT asset AS node, 0 AS depth FROM (SELECT asset FROM ast WHERE asset LIKE 'gold.%' ORDER BY 1 LIMIT 3) UNION SELECT source, depth + 1 FROM wk JOIN ed ON target = node WHERE depth < 6) SELECT node, MIN(depth) AS depth FROM wk GROUP BY 1"),
+    "l19_trace_downstream": (lambda t: graph.trace(t["edges"], seeds(t, "bronze.")), CTES.replace("WITH", "WITH RECURSIVE", 1) + ", wk AS (SELECT asset AS node, 0 AS depth FROM ast WHERE asset LIKE 'bronze.%' UNION SELECT target, depth + 1 FROM wk JOIN ed ON source = node) SELECT node, MIN(depth) AS depth FROM wk GROUP BY 1"),
+    "l19_trace_upstream": (lambda t: graph.trace(t["edges"], seeds(t, "gold."), "upstream"), CTES.replace("WITH", "WITH RECURSIVE", 1) + ", wk AS (SELECT asset AS node, 0 AS depth FROM ast WHERE asset LIKE 'gold.%' UNION SELECT source, depth + 1 FROM wk JOIN ed ON target = node) SELECT node, MIN(depth) AS depth FROM wk GROUP BY 1"),
     "l20_relation_filter": (lambda t: lineage.relation_filter(t["edges"], t["assets"], stage=["gold"]), f"{CTES} SELECT * FROM ed WHERE source LIKE 'gold.%' OR target LIKE 'gold.%'"),
     "l21_search": (lambda t: lineage.search(t["assets"], "brand silver").select("asset", "rank"), f"{CTES} SELECT asset, 3 AS rank FROM inv WHERE asset LIKE '%brand%' AND asset LIKE '%silver%' ORDER BY asset LIMIT 8"),
     "l22_asset_inventory": (lambda t: lineage.asset_inventory(t["assets"], t["edges"]), f"{CTES} SELECT * FROM inv2"),
@@ -141,7 +179,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "l27_validate_metadata": (issues, f"{CTES}, {ISSUES} SELECT * FROM iss"),
     "l28_new_issues": (lambda t: metadata.new_issues(issues(t).filter("code <> 'duplicate'"), issues(t)), f"{CTES}, {ISSUES} SELECT * FROM iss WHERE code = 'duplicate'"),
     "l29_rename_connections": (lambda t: metadata.rename_connections(t["connections"], t["connections"].withColumn("name", F.when((F.col("position") % 4 == 0) & (F.col("position") % 50 != 0), F.concat("name", F.lit("-new"))).otherwise(F.col("name"))), t["flows"].select("position", "source_connection_name", "destination_connection_name")), f"{CTES}, rn AS (SELECT name AS o, name || '-new' AS w FROM cn WHERE position % 4 = 0 AND position % 50 <> 0) SELECT position, COALESCE(a.w, source_connection_name) AS source_connection_name, COALESCE(b.w, destination_connection_name) AS destination_connection_name FROM fl LEFT JOIN rn a ON a.o = source_connection_name LEFT JOIN rn b ON b.o = destination_connection_name"),
-    "l30_canonical_order": (lambda t: metadata.canonical_order(t["flows"]).orderBy("sort_key", "position").limit(100).select("position", "stage", "name"), f"{CTES} SELECT position, stage, name FROM fl ORDER BY CASE WHEN stage LIKE 'bronze%' THEN 1 WHEN stage LIKE 'silver%' THEN 2 ELSE 3 END, group_number, CASE WHEN TRIM(name) = '' THEN 0 ELSE 1 END, CASE WHEN TRIM(name) <> '' THEN position END, position LIMIT 100"),
+    "l30_canonical_order": (lambda t: metadata.canonical_order(t["flows"]).select("position", "sort_key"), f"{CTES} SELECT position, concat_ws('|', CASE WHEN stage LIKE 'bronze%' THEN '1' WHEN stage LIKE 'silver%' THEN '2' ELSE '3' END, CASE stage WHEN 'silver2' THEN 'silver' || lpad('2', 20, '0') WHEN 'bronze10' THEN 'bronze' || lpad('10', 20, '0') ELSE stage END, lpad(CAST(group_number AS VARCHAR), 10, '0'), CASE WHEN TRIM(name) = '' THEN name ELSE 'load ' || lpad(CAST(position AS VARCHAR), 20, '0') END) AS sort_key FROM fl"),
     "l31_changed_sheets": (lambda t: metadata.changed_sheets(*edited(t)), f"{CTES} SELECT 's' || position % 3 AS source, stage AS sheet, CAST(SUM(CASE WHEN position % 9 = 0 OR position % 14 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS removed, CAST(SUM(CASE WHEN position % 9 <> 0 AND position % 14 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS added FROM fl GROUP BY ALL HAVING SUM(CASE WHEN position % 9 = 0 OR position % 14 = 0 THEN 1 ELSE 0 END) > 0"),
     "o16_metadata_summary": (lambda t: metadata.summary(t["connections"], t["flows"]), f"{CTES} SELECT 'connection_type' AS what, connection_type AS value, COUNT(*) AS records FROM cn GROUP BY ALL UNION ALL SELECT 'stage', stage, COUNT(*) FROM fl GROUP BY ALL UNION ALL SELECT 'load_type', COALESCE(load_type, 'unknown'), COUNT(*) FROM fl GROUP BY ALL"),
 }

@@ -389,7 +389,8 @@ add("q08_investigation_queue", lambda df, jf: diagnostics.investigation_queue(df
 
 # measures besides
 add("h14_endpoint_display", lambda df, jf: df.withColumns({c: F.lit(None).cast("string") for c in ("destination_catalog", "destination_database", "destination_schema")}).groupBy(C.endpoint_display("destination").alias("display")).agg(F.count(F.lit(1)).alias("runs")), "SELECT COALESCE(destination_full_table, destination_table) AS display, COUNT(*) AS runs FROM df GROUP BY 1")
-add("h17_job_shapes", lambda df, jf: jf.withColumn("k", C.job_key()).agg(F.count_distinct("k").alias("shapes"), F.max(F.length("k")).cast("long").alias("digits")), "SELECT COUNT(DISTINCT CASE WHEN operation_types IS NULL THEN 0 WHEN operation_types = 'etl' THEN 1 ELSE 2 END * 2 + CASE WHEN stages LIKE '[%' THEN 0 ELSE 1 END) AS shapes, CAST(16 AS BIGINT) AS digits FROM jf")
+SHAPE = """'{"operation_types":[' || CASE WHEN operation_types = 'etl' THEN '"etl"' WHEN operation_types IS NULL THEN '' ELSE '"etl","maintenance"' END || '],"stages":[' || CASE WHEN stages LIKE '[%' THEN '"bronze","silver"' ELSE '"gold","quality"' END || ']}'"""
+add("h17_job_shapes", lambda df, jf: jf.groupBy(C.job_key().alias("job_key")).agg(F.count(F.lit(1)).alias("jobs")), f"SELECT sha1({SHAPE})[1:16] AS job_key, COUNT(*) AS jobs FROM jf GROUP BY 1")
 NEAR3 = "sd AS (SELECT * FROM df WHERE 'source-3' IN (source_name, destination_name)), sj AS (SELECT * FROM jf WHERE EXISTS (SELECT 1 FROM sd d WHERE d._source_id = jf._source_id AND d.job_id = jf.job_id))"
 add("o02_environment_trend", lambda df, jf: overview.status_trend(scope.scope(df, jf, {"connection": "source-3"}, NOW)[1], "month"), f"SELECT {S.trunc('month')} AS bucket_start, normalized_status AS status, COUNT(*) AS count FROM sj WHERE event_time IS NOT NULL GROUP BY 1, 2", NEAR3)
 DATES = "(SELECT run_date AS d FROM sd UNION ALL SELECT CAST(event_time AS DATE) FROM sj)"

@@ -21,10 +21,25 @@ def stream_job_runs(spark: SparkSession, folder: str, files_per_trigger: int = 1
     return rows.select("*", F.col("_metadata.file_path").alias("_file_uri"))
 
 
+def stream_system_logs(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Lines of system logs as they arrive: level, dataflow_id, job_id (from the file's name where a line has none) and message."""
+    lines = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    row = F.from_json("value", "level string, dataflow_id string, job_id string, message string")
+    named = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"system_log_\d{8}_\d{6}_(.+)\.jsonl$", 1), F.lit(""))
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    out = lines.filter(F.trim("value") != "").select(row.alias("r"), named.alias("job"), F.col("_metadata.file_path").alias("_file_uri"))
+    return out.select(F.upper("r.level").alias("level"), blank("r.dataflow_id").alias("dataflow_id"), F.coalesce(blank("r.job_id"), "job").alias("job_id"), F.col("r.message").alias("message"), "_file_uri")
+
+
+def within_watermark(runs: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Runs with a watermark on event_time: later aggregations drop rows that come later than `late` behind the newest."""
+    return runs.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", late)
+
+
 def stream_status_trend(runs: DataFrame, grain: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Runs by tumbling window and status; a window is final once the watermark has passed it, and later rows are dropped."""
-    timed = runs.withColumn("event_time", F.col("event_time").cast("timestamp")).withColumn("status", normalized_status("status"))
-    return timed.withWatermark("event_time", late).groupBy(F.window("event_time", grain), "status").agg(F.count(F.lit(1)).alias("runs")).select(F.col("window.start").alias("bucket_start"), "status", "runs")
+    timed = within_watermark(runs, late).withColumn("status", normalized_status("status"))
+    return timed.groupBy(F.window("event_time", grain), "status").agg(F.count(F.lit(1)).alias("runs")).select(F.col("window.start").alias("bucket_start"), "status", "runs")
 
 
 def stream_latest_status(runs: DataFrame) -> DataFrame:
@@ -34,14 +49,28 @@ def stream_latest_status(runs: DataFrame) -> DataFrame:
 
 
 def start_replace_by_file(runs: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Each batch replaces the rows of its files in a Parquet folder of generations; a batch that runs again gives the same generation.
+    """Each batch replaces the rows of its files in a Parquet table by run_date; only the run dates that it touches are written again.
 
-    The file source never reads an altered file again: rewritten files need the batch plan with a manifest.
+    A date's rows go to a new folder `epoch=N` below it, and a reader takes each date's newest (see read_replaced), so a batch that
+    runs again writes the same folder. The file source never reads an altered file again: rewritten files need the batch
+    plan with a manifest. Rows without event_time have the date of the epoch's start, 1970-01-01.
     """
 
     def publish(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch if epoch == 0 else replace_by_file(spark.read.parquet(f"{table}/generation={epoch - 1}"), batch, ("_file_uri",))
-        new.write.mode("overwrite").parquet(f"{table}/generation={epoch}")
+        new = batch.withColumn("run_date", F.coalesce(F.to_date("event_time"), F.to_date(F.lit("1970-01-01"))))
+        touched = new.select("run_date").distinct()
+        if epoch:
+            held = read_replaced(spark, table, before=epoch).join(touched, "run_date", "left_semi")
+            new = replace_by_file(held, new, ("_file_uri",))
+        new.withColumn("epoch", F.lit(epoch)).repartition("run_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "epoch").parquet(table)
 
     return runs.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_replaced(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """The newest rows of each run date, as of the batches before one if that is given."""
+    rows = spark.read.parquet(table)
+    rows = rows if before is None else rows.filter(F.col("epoch") < before)
+    newest = rows.select("run_date", "epoch").distinct().groupBy("run_date").agg(F.max("epoch").alias("epoch"))
+    return rows.join(newest, ["run_date", "epoch"], "left_semi").drop("epoch")

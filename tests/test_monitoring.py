@@ -165,7 +165,16 @@ def test_streams(spark, tmp_path):
     assert spark.table("trend").filter("runs <> 1").count() == 0
     q = streams.start_replace_by_file(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).filter("generation = 0").count() == 6
+    assert streams.read_replaced(spark, str(tmp_path / "out")).count() == 6
+    df.filter("dataflow_run_id = 'r0'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.start_replace_by_file(streams.stream_dataflow_runs(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+    assert sorted(r["dataflow_run_id"] for r in streams.read_replaced(spark, str(tmp_path / "out")).collect()) == ["r0", "r0", "r1", "r2", "r3", "r4", "r5"]
+    lines = tmp_path / "sys"
+    lines.mkdir()
+    (lines / "system_log_20260728_010203_job-7.jsonl").write_text('{"level": "info", "message": "Start"}\n\n{"level": "error", "job_id": "j2", "dataflow_id": "d1"}\n')
+    q = streams.stream_system_logs(spark, str(lines)).writeStream.format("memory").queryName("system").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {(r["level"], r["job_id"], r["dataflow_id"]) for r in spark.table("system").collect()} == {("INFO", "job-7", None), ("ERROR", "j2", "d1")}
 
 
 def test_components_and_trace(spark):
