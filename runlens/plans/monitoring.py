@@ -327,7 +327,12 @@ add("r08_coverage_by_stage", lambda df, jf: freshness.coverage_by_stage(df), f"S
 add("r09_streak_distribution", registry(lambda r, _: freshness.streak_distribution(r)), "SELECT CASE WHEN skipped_streak = 1 THEN '1' WHEN skipped_streak <= 3 THEN '2-3' WHEN skipped_streak <= 7 THEN '4-7' ELSE '>7' END AS bucket, COUNT(*) AS dataflows FROM reg WHERE skipped_streak > 0 GROUP BY 1", S.REG)
 add("r10_movement_evidence", lambda df, jf: freshness.movement_evidence(df), f"SELECT dataflow_run_id, dataflow_id, {S.ts('event_time')} AS event_time, movement_state, adjustment_state, normalized_status, {S.B}, {S.A}, {S.E} FROM etl WHERE watermark_enabled AND dataflow_id IS NOT NULL ORDER BY etl.event_time DESC NULLS LAST, dataflow_run_id LIMIT 100", S.ETL)
 add("r11_evidence_page", registry(lambda r, _: freshness.evidence_page(r, offset=10)), "SELECT dataflow_id, latest_status, movement_state, age_days, run_count, skipped_streak FROM reg ORDER BY age_days DESC NULLS LAST, dataflow_id LIMIT 25 OFFSET 10", S.REG)
-add("t11_skipped_patterns", registry(lambda r, _: freshness.skipped_patterns(r)), f"SELECT dataflow_id, skipped_streak, {S.ts('latest_run_at')} AS latest_run_at FROM reg WHERE skipped_streak >= 3 ORDER BY skipped_streak DESC, dataflow_id LIMIT 50", S.REG)
+# a time from which all runs of some dataflows are skipped
+def late() -> Column:
+    return (F.col("event_time") >= F.to_timestamp(F.lit("2001-09-01"))) & F.col("dataflow_id").startswith("df-1")
+QUIET = S.REG.replace("FROM df WHERE", "FROM dq WHERE")
+DQ = "dq AS (SELECT * REPLACE (IF(event_time >= TIMESTAMP '2001-09-01' AND dataflow_id LIKE 'df-1%', 'skipped', normalized_status) AS normalized_status) FROM df)"
+add("t11_skipped_patterns", lambda df, jf: freshness.skipped_patterns(freshness.freshness_registry(df.withColumn("normalized_status", F.when(late(), "skipped").otherwise(F.col("normalized_status"))), AS_OF)), f"SELECT dataflow_id, skipped_streak, {S.ts('latest_run_at')} AS latest_run_at FROM reg WHERE skipped_streak >= 3 ORDER BY skipped_streak DESC, dataflow_id LIMIT 50", DQ + ", " + QUIET)
 add("t12_stale_candidates", registry(lambda r, _: freshness.stale_candidates(r)), "SELECT dataflow_id, age_days, latest_status FROM reg WHERE is_stale = 1 ORDER BY age_days DESC, dataflow_id LIMIT 50", S.REG)
 
 # performance

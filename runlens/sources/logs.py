@@ -58,22 +58,23 @@ SHAPES = [
 ]
 
 
+#: What completes the digits of a shape to a date and hour.
+REST = {"hour": "", "day": "00", "month": "0100", "year": "010100"}
+
+
 def parse_partition_path(df: DataFrame, path: str) -> DataFrame:
-    """df with granularity, partition_value and partition_format of the directories in `path`; the longest shape that is a date wins."""
-    # in steps, so that each directory is matched once
-    out, found = df.withColumn("__folder", F.regexp_replace(path, "[^/]*$", "")), []
-    for k, (grain, pattern) in enumerate(SHAPES):
-        marks = F.regexp_replace("__folder", f".*?{pattern}.*", "|".join(f"${i}" for i in range(1, 5 - k)))
-        out = out.withColumn(f"__{grain}", F.when(F.col("__folder").rlike(pattern), F.split(marks, r"\|")))
-    for k, (grain, pattern) in enumerate(SHAPES):
-        n = 4 - k
-        parts = [F.get(f"__{grain}", i) if i < n else F.lit("01" if i < 3 else "00") for i in range(4)]
-        stamp = F.concat(F.concat_ws("-", *parts[:3]), F.lit(" "), parts[3], F.lit(":00:00"))
-        out = out.withColumn(f"__{grain}", F.when(F.col(f"__{grain}").isNotNull(), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss"))))
-        form = F.regexp_replace(F.regexp_extract("__folder", pattern, 0), r"\d", "0")
-        found.append(F.when(F.col(f"__{grain}").isNotNull(), F.struct(F.lit(grain).alias("granularity"), F.col(f"__{grain}").alias("value"), form.alias("format"))))
-    out = out.withColumn("__p", F.coalesce(*found))
-    return out.select(*df.columns, F.col("__p.granularity").alias("granularity"), F.col("__p.value").alias("partition_value"), F.col("__p.format").alias("partition_format"))
+    """df with granularity, partition_value and partition_format of the directories in `path`; the longest shape that is a date wins.
+
+    Directories are parsed once each and joined back, as a directory holds many files.
+    """
+    listed = df.withColumn("__folder", F.regexp_replace(path, "[^/]*$", ""))
+    seen = listed.select("__folder").distinct()
+    seen = seen.withColumns({f"__{g}": F.regexp_extract("__folder", pattern, 0) for g, pattern in SHAPES})
+    seen = seen.withColumns({f"__at_{g}": F.try_to_timestamp(F.concat(F.regexp_replace(f"__{g}", r"\D", ""), F.lit(REST[g])), F.lit("yyyyMMddHH")) for g, _ in SHAPES})
+    found = [F.when(F.col(f"__at_{g}").isNotNull(), F.struct(F.lit(g).alias("granularity"), F.col(f"__at_{g}").alias("value"), F.regexp_replace(f"__{g}", r"\d", "0").alias("format"))) for g, _ in SHAPES]
+    parsed = seen.select("__folder", F.coalesce(*found).alias("__p"))
+    out = listed.join(parsed, "__folder", "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__p.granularity").alias("granularity"), F.col("__p.value").alias("partition_value"), F.col("__p.format").alias("partition_format"))
 
 
 def partition_layout_check(parsed: DataFrame, root: str, persisted: DataFrame | None = None) -> DataFrame:
@@ -188,7 +189,10 @@ def publish(facts: DataFrame, report: DataFrame, folder: str) -> None:
 
 
 def schema_audit(spark: SparkSession, paths: list[str], target: T.StructType) -> DataFrame:
-    """(path, column, verdict, type) for each path's schema: footers alone are read."""
+    """(path, column, verdict, type) for each path's schema: footers alone are read.
+
+    paths are the few roots that hold one schema each (a source's directories), as a schema is what the driver plans with.
+    """
     rows = []
     for p in paths:
         schema = spark.read.parquet(p).schema
