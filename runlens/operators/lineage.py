@@ -58,16 +58,23 @@ def asset_identity(endpoints: DataFrame) -> DataFrame:
 
 
 def stitch_assets(identifiers: DataFrame) -> DataFrame:
-    """node, asset (smallest node of its group) and whether the group has a conflict: two values of one identifier kind.
+    """node, asset (smallest node of its group) and whether the node conflicts with those it shares an identifier with.
 
-    Nodes that share any identifier are one asset, through chains too. Pairs aren't made: each node is linked to the smallest that
-    has its identifier.
+    Nodes that share any identifier are one asset, through chains too, unless their first identifiers (the lowest priority number) are
+    of one kind and differ, as two tables that name one path: then the group of its smallest node keeps the nodes that agree with
+    it or have no such identifier, and the others are assets of their own, marked as conflicts. Pairs aren't made: each node is linked to the
+    smallest that has its identifier.
     """
     heads = identifiers.groupBy("kind", "value").agg(F.min("node").alias("head"))
     edges = identifiers.join(heads, ["kind", "value"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
-    placed = components(edges).select("node", F.col("component").alias("asset"))
-    odd = identifiers.join(placed, "node").groupBy("asset", "kind").agg(F.count_distinct("value").alias("n")).groupBy("asset").agg((F.max("n") > 1).alias("conflict"))
-    return placed.join(odd, "asset")
+    placed = components(edges)
+    first = identifiers.filter("priority = 1").groupBy("node").agg(F.min("value").alias("named"))
+    both = placed.join(first, "node", "left")
+    lead = both.filter("named is not null").groupBy("component").agg(F.min_by("named", "node").alias("lead"))
+    both = both.join(lead, "component", "left").withColumn("conflict", F.coalesce(F.col("named") != F.col("lead"), F.lit(False)))
+    part = F.when(F.col("conflict"), F.col("named")).otherwise("")
+    own = both.groupBy("component", part.alias("part")).agg(F.min("node").alias("asset"))
+    return both.withColumn("part", part).join(own, ["component", "part"]).select("node", "asset", "conflict")
 
 
 def sql_table_references(queries: DataFrame) -> DataFrame:
@@ -155,14 +162,24 @@ def build_edges(flows: DataFrame, dependencies: DataFrame) -> DataFrame:
     return both.filter("source is not null and target is not null and source <> target").groupBy("source", "target", "kind").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def lineage_diagnostics(flows: DataFrame, assets: DataFrame, stitched: DataFrame) -> DataFrame:
-    """code and subject: dataflows with a dangling end, edges from an asset to itself, identity conflicts."""
+def lineage_diagnostics(flows: DataFrame, assets: DataFrame, stitched: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """code and subject: dataflows with a dangling end, edges from an asset to itself, identity conflicts, and references (reference, kind, status) made at run time that nothing resolves."""
     known = assets.select(F.col("asset").alias("k"))
     ends = flows.select("dataflow", F.explode(F.array("source", "target")).alias("end"))
     dangling = ends.join(known, F.col("end") == F.col("k"), "left_anti").select(F.lit("dangling").alias("code"), F.col("dataflow").cast("string").alias("subject"))
     loops = flows.filter("source = target").select(F.lit("self_reference").alias("code"), F.col("dataflow").cast("string").alias("subject"))
     odd = stitched.filter("conflict").select(F.lit("identity_conflict").alias("code"), F.col("asset").cast("string").alias("subject"))
-    return dangling.unionByName(loops).unionByName(odd).distinct()
+    found = dangling.unionByName(loops).unionByName(odd)
+    if references is not None:
+        open_ = references.filter(F.col("kind").startswith("dynamic") & ~F.col("status").isin("resolved", "manual"))
+        found = found.unionByName(open_.select(F.lit("unresolved_dynamic").alias("code"), F.col("reference").cast("string").alias("subject")))
+    return found.distinct()
+
+
+def valid_relations(flows: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """flows without those that a diagnostic calls wrong: a dangling end or an edge to itself."""
+    wrong = diagnostics.filter(F.col("code").isin("dangling", "self_reference")).select(F.col("subject").alias("__wrong")).distinct()
+    return flows.join(wrong, F.col("dataflow").cast("string") == F.col("__wrong"), "left_anti")
 
 
 def relation_filter(edges: DataFrame, assets: DataFrame, **wanted: list[str]) -> DataFrame:
@@ -200,11 +217,6 @@ def lineage_summary(inventory: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(edges.agg(F.count_if(F.col("kind") == "dataflow").alias("dataflow_edges"), F.count_if(F.col("kind") == "dependency").alias("dependency_edges")))
 
 
-def asset_page(inventory: DataFrame, position: str | None = None, limit: int = 25, offset: int = 0) -> DataFrame:
-    out = inventory.filter(F.col("position") == position) if position else inventory
-    return out.orderBy(F.desc(F.col("upstream") + F.col("downstream")), "asset").limit(limit + offset).offset(offset)
-
-
 def project_registry(resolutions: DataFrame) -> DataFrame:
     """References over environments (environment, signature, status, asset): manual only if manual everywhere, conflicting with several targets."""
     manual = F.col("status") == "manual"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import graph
 from ..functions.columns import rendered
+from ..operators import assets as A
 from ..operators import lineage, metadata
 
 Tables = dict[str, DataFrame]
@@ -149,6 +150,60 @@ def instances(t: Tables) -> DataFrame:
     return c.select("position", lineage.connection_instance().alias("instance"))
 
 
+COUNTS = ["upstream_count", "downstream_count", "input_dataflow_count", "output_dataflow_count", "depends_on_count", "used_by_count", "attention_count"]
+
+
+def dataflows(t: Tables) -> DataFrame:
+    return t["flows"].select(F.col("position").alias("dataflow"), F.col("source_node").alias("source"), F.col("target_node").alias("target"))
+
+
+def graph_flows(t: Tables) -> DataFrame:
+    """Dataflows of which some lead to their own source or to an asset that isn't there."""
+    n = F.col("position")
+    return t["flows"].select(n.alias("dataflow"), F.col("source_node").alias("source"), F.when(n % 21 == 0, F.col("source_node")).when(n % 22 == 0, F.lit("gone")).otherwise(F.col("target_node")).alias("target"))
+
+
+def depends(t: Tables) -> DataFrame:
+    """Gold assets read silver ones; some references are open."""
+    n = F.col("size")
+    return t["flows"].filter("size % 5 = 0").select(F.col("position").alias("reference"), F.concat(F.lit("gold.g"), (n % 10).cast("string")).alias("target"), F.when(F.col("position") % 4 != 0, F.col("target_node")).alias("resolved"))
+
+
+def catalog_rows(t: Tables) -> DataFrame:
+    n = F.col("position")
+    own = t["assets"].filter(F.length("asset") % 4 == 0).select("asset", F.lit(None).cast("long").alias("dataflow"), F.lit("warning").alias("severity"), F.lit("identity_conflict").alias("code"))
+    flow = t["flows"].filter(n % 31 == 0).select(F.lit(None).cast("string").alias("asset"), n.alias("dataflow"), F.lit("error").alias("severity"), F.lit("dangling").alias("code"))
+    return A.asset_rows(t["assets"], dataflows(t), depends(t), own.unionByName(flow))
+
+
+CATALOG = """dp AS (SELECT position AS reference, 'gold.g' || size % 10 AS target, CASE WHEN position % 4 <> 0 THEN target_node END AS resolved FROM fl WHERE size % 5 = 0),
+ pp AS (SELECT DISTINCT * FROM (SELECT source_node AS source, target_node AS target FROM fl UNION ALL SELECT resolved, target FROM dp WHERE resolved IS NOT NULL)),
+ dg AS (SELECT asset, COUNT(*) AS k FROM (SELECT asset, NULL AS d FROM ast WHERE length(asset) % 4 = 0 UNION ALL SELECT source_node, position FROM fl WHERE position % 31 = 0 UNION ALL SELECT target_node, position FROM fl WHERE position % 31 = 0) GROUP BY 1),
+ ar0 AS (SELECT asset, asset AS title, 'table' AS kind, split_part(asset, '.', 1) AS stage, (SELECT COUNT(*) FROM pp WHERE target = asset) AS upstream_count, (SELECT COUNT(*) FROM pp WHERE source = asset) AS downstream_count, (SELECT COUNT(*) FROM fl WHERE target_node = asset) AS input_dataflow_count, (SELECT COUNT(*) FROM fl WHERE source_node = asset) AS output_dataflow_count, (SELECT COUNT(*) FROM dp WHERE target = asset) AS depends_on_count, (SELECT COUNT(*) FROM dp WHERE resolved = asset) AS used_by_count, COALESCE((SELECT k FROM dg WHERE dg.asset = ast.asset), 0) AS attention_count FROM ast),
+ ar AS (SELECT *, concat_ws(',', IF(input_dataflow_count > 0, 'destination', NULL), IF(output_dataflow_count > 0, 'source', NULL)) AS roles, CASE WHEN upstream_count > 0 AND downstream_count > 0 THEN 'transit' WHEN downstream_count > 0 THEN 'entry' WHEN upstream_count > 0 THEN 'exit' ELSE 'isolated' END AS position FROM ar0)"""
+
+
+def reference_rows(t: Tables) -> DataFrame:
+    refs, held = references(t)
+    n = F.col("reference")
+    rows = lineage.resolve_references(refs, held).join(refs.select("reference", F.col("name").alias("display_name")), "reference")
+    return rows.select("reference", "display_name", F.lit("table").alias("reference_type"), F.when(n % 2 == 0, F.array(F.lit("sql"))).otherwise(F.array(F.lit("code"))).alias("provenances"), F.col("status").alias("state"), (n % 7).alias("dependency_count"), (n % 3).alias("attention_count"))
+
+
+def workspace(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A project for each nation of a supplier, an environment for most suppliers, a source for each part, mappings."""
+    c, n = t["connections"], F.col("position")
+    text = lambda x: x.cast("string")
+    projects = c.select(F.col("nation").alias("project")).distinct().withColumn("name", F.concat(F.lit("project-"), text(F.col("project"))))
+    envs = c.filter("nation % 5 <> 2").select(n.alias("environment"), F.col("nation").alias("project"), F.concat(F.lit("env-"), F.lpad(text(n), 6, "0")).alias("name"))
+    sources = t["flows"].select((n % 40).alias("environment"), F.when(n % 3 == 0, "metadata").when(n % 3 == 1, "logs").otherwise("code").alias("source_kind"), (n % 4 != 0).alias("enabled"), F.when(n % 11 == 0, "error").when(n % 11 == 1, "warning").otherwise("ok").alias("validation"))
+    return projects, envs, sources, t["flows"].filter("position % 6 = 0").select((n % 25).alias("project"))
+
+
+WORK = """pj AS (SELECT DISTINCT s_nationkey AS project, 'project-' || s_nationkey AS name FROM supplier), en AS (SELECT s_suppkey AS environment, s_nationkey AS project, 'env-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS name FROM supplier WHERE s_nationkey % 5 <> 2),
+ so AS (SELECT position % 40 AS environment, ['metadata', 'logs', 'code'][position % 3 + 1] AS source_kind, position % 4 <> 0 AS enabled, CASE position % 11 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'ok' END AS validation FROM fl), mp2 AS (SELECT position % 25 AS project FROM fl WHERE position % 6 = 0)"""
+
+
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "l01_normalize_metadata": (lambda t: metadata.normalize(documents(t))[1].select("document", "position", "name", F.col("source.table").alias("source_table"), (F.length("dataflow_id") == 36).alias("made_id")), f"{CTES}, {NESTED} SELECT document, position, COALESCE(NULLIF(TRIM(name), ''), concat_ws('_', source_table, destination_table)) AS name, source_table, TRIM(given) = '' AS made_id FROM nf WHERE active"),
     "l02_resolve_endpoints": (lambda t: metadata.resolve_endpoints(nested(t), t["connections"].withColumn("document", F.col("position") % 5)).select("position", "source_connection_name", "source_database", "source_path", "source_resolved", "destination_path", "destination_resolved"), f"{CTES}, ls AS (SELECT name, database, 'S3A://Bucket' || bucket || '//base' AS base FROM cn QUALIFY row_number() OVER (PARTITION BY name ORDER BY position % 5 DESC, position DESC) = 1) SELECT f.position, source_connection_name, a.database AS source_database, a.base || '/s/' || source_table AS source_path, a.name IS NOT NULL AS source_resolved, CASE WHEN b.name IS NOT NULL THEN concat_ws('/', b.base, 'd', destination_table) END AS destination_path, b.name IS NOT NULL AS destination_resolved FROM fl f LEFT JOIN ls a ON a.name = source_connection_name LEFT JOIN ls b ON b.name = destination_connection_name"),
@@ -158,7 +213,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "l06_connection_instance": (lambda t: instances(t), f"{CTES} SELECT position, CASE WHEN position % 6 = 0 THEN 'main-' || position WHEN position % 4 = 1 THEN 'db.host' || CASE WHEN position % 8 = 1 THEN ':5432' ELSE '' END WHEN position % 9 <> 2 THEN 'bucket' || bucket WHEN position % 5 <> 3 THEN 'cat' ELSE database END AS instance FROM cn"),
     "l05_asset_identifiers": (lambda t: lineage.asset_identifiers(endpoints(t)).drop("priority"), f"{CTES}, {IDS} SELECT * FROM ids"),
     "l08_asset_identity": (lambda t: lineage.asset_identity(endpoints(t)).withColumn("first_node", F.min("node").over(Window.partitionBy("asset_key"))).drop("asset_key"), f"{CTES}, k AS (SELECT position AS node, CASE WHEN position % 10 = 5 THEN 'api' WHEN position % 2 = 0 THEN 'table' WHEN position % 3 <> 1 THEN 'path' ELSE 'unresolved' END AS kind, database, CASE WHEN position % 10 = 5 THEN 'a' || position % 3 WHEN position % 2 = 0 THEN 't' || position % 20 WHEN position % 3 <> 1 THEN bucket || '/' || position % 6 ELSE 'n' || position END AS v FROM cn) SELECT node, kind, MIN(node) OVER (PARTITION BY kind, database, v) AS first_node FROM k"),
-    "l09_stitch_assets": (lambda t: lineage.stitch_assets(lineage.asset_identifiers(endpoints(t))), CTES.replace("WITH", "WITH RECURSIVE", 1) + f", {IDS}, pr AS (SELECT DISTINCT x.node AS a, y.node AS b FROM ids x JOIN ids y USING (kind, value)), rc AS (SELECT node AS root, node FROM (SELECT DISTINCT node FROM ids) UNION SELECT root, b FROM rc JOIN pr ON a = rc.node), gp AS (SELECT node, MIN(root) AS asset FROM rc GROUP BY 1), od AS (SELECT asset, MAX(k) > 1 AS conflict FROM (SELECT asset, kind, COUNT(DISTINCT value) AS k FROM ids JOIN gp USING (node) GROUP BY 1, 2) GROUP BY 1) SELECT node, asset, conflict FROM gp JOIN od USING (asset)"),
+    "l09_stitch_assets": (lambda t: lineage.stitch_assets(lineage.asset_identifiers(endpoints(t))), CTES.replace("WITH", "WITH RECURSIVE", 1) + f", {IDS}, pr AS (SELECT DISTINCT x.node AS a, y.node AS b FROM ids x JOIN ids y USING (kind, value)), rc AS (SELECT node AS root, node FROM (SELECT DISTINCT node FROM ids) UNION SELECT root, b FROM rc JOIN pr ON a = rc.node), gp AS (SELECT node, MIN(root) AS head FROM rc GROUP BY 1), nm AS (SELECT g.node, head, (SELECT MIN(value) FROM ids i WHERE i.node = g.node AND kind = 'logical_table') AS named FROM gp g), ld AS (SELECT *, arg_min(named, node) FILTER (named IS NOT NULL) OVER (PARTITION BY head) AS lead FROM nm) SELECT node, MIN(node) OVER (PARTITION BY head, CASE WHEN named <> lead THEN named END) AS asset, COALESCE(named <> lead, false) AS conflict FROM ld"),
     "l10_sql_references": (sql_refs, f"{CTES} SELECT position AS query_id, CASE WHEN position % 8 = 0 THEN 0 ELSE i END AS position, CASE WHEN position % 8 = 0 THEN NULL WHEN i = 0 THEN 'db' || position % 3 || '.t' || position % 7 ELSE 'u' || position % 5 END AS name, CASE WHEN position % 8 = 0 THEN 0 WHEN i = 0 THEN 2 ELSE 1 END AS qualification, CASE WHEN position % 8 = 0 THEN 'no_table' END AS diagnostic FROM fl, (VALUES (0), (1)) v(i) WHERE position % 8 <> 0 OR i = 0"),
     "l11_code_references": (code_refs, f"{CTES} SELECT position AS file, f AS function, k AS kind, CASE k WHEN 'table' THEN 'db.t' || position % 5 WHEN 'sql' THEN 'SELECT * FROM q' END AS value FROM fl, (VALUES ('load', 'table'), ('load', 'dynamic_path'), ('run', 'sql')) v(f, k)"),
     "l12_reference_signature": (lambda t: lineage.reference_signature(references(t)[0].select(F.lit("table").alias("reference_type"), F.col("name").alias("value"), F.col("instance").alias("scope"))).groupBy("addressing", "qualification").agg(F.count_distinct("signature").alias("signatures")), f"{CTES}, {RES} SELECT 'qualified_name' AS addressing, length(name) - length(replace(name, '.', '')) + 1 AS qualification, COUNT(DISTINCT name || '|' || instance) AS signatures FROM refs GROUP BY 2"),
@@ -174,7 +229,17 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "l21_search": (lambda t: lineage.search(t["assets"], "brand silver").select("asset", "rank"), f"{CTES} SELECT asset, 3 AS rank FROM inv WHERE asset LIKE '%brand%' AND asset LIKE '%silver%' ORDER BY asset LIMIT 8"),
     "l22_asset_inventory": (lambda t: lineage.asset_inventory(t["assets"], t["edges"]), f"{CTES} SELECT * FROM inv2"),
     "l23_asset_detail": (lambda t: lineage.asset_detail(t["edges"]), f"{CTES} SELECT asset, " + ", ".join(f"COALESCE((SELECT string_agg(DISTINCT {a}, ',' ORDER BY {a}) FROM ed WHERE {b} = asset AND kind = '{k}'), '') AS {n}" for n, a, b, k in (("fed_by", "source", "target", "dataflow"), ("used_by", "source", "target", "dependency"), ("feeds", "target", "source", "dataflow"), ("depends_on", "target", "source", "dependency"))) + " FROM ast"),
-    "l24_asset_page": (lambda t: lineage.asset_page(lineage.asset_inventory(t["assets"], t["edges"]), "transit").select("asset", "upstream", "downstream"), f"{CTES} SELECT asset, upstream, downstream FROM inv2 WHERE position = 'transit' ORDER BY upstream + downstream DESC, asset LIMIT 25"),
+    "l17_dynamic_references": (lambda t: lineage.lineage_diagnostics(graph_flows(t), t["assets"], t["assets"].select("asset", F.lit(False).alias("conflict")), t["flows"].select(F.col("position").alias("reference"), F.when(F.col("position") % 4 == 0, "dynamic_path").when(F.col("position") % 4 == 1, "dynamic_sql").otherwise("table").alias("kind"), F.when(F.col("position") % 3 == 0, "resolved").otherwise("no_match").alias("status"))), f"{CTES} SELECT 'self_reference' AS code, CAST(position AS VARCHAR) AS subject FROM fl WHERE position % 21 = 0 UNION ALL SELECT 'dangling', CAST(position AS VARCHAR) FROM fl WHERE position % 22 = 0 AND position % 21 <> 0 UNION ALL SELECT 'unresolved_dynamic', CAST(position AS VARCHAR) FROM fl WHERE position % 4 < 2 AND position % 3 <> 0"),
+    "l17_valid_relations": (lambda t: lineage.valid_relations(graph_flows(t), lineage.lineage_diagnostics(graph_flows(t), t["assets"], t["assets"].select("asset", F.lit(False).alias("conflict")))).select("dataflow", "source", "target"), f"{CTES} SELECT position AS dataflow, source_node AS source, target_node AS target FROM fl WHERE position % 21 <> 0 AND position % 22 <> 0"),
+    "l22_asset_rows": (lambda t: catalog_rows(t).select("asset", "position", F.array_join("roles", ",").alias("roles"), *COUNTS), f"{CTES}, {CATALOG} SELECT asset, position, roles, {', '.join(COUNTS)} FROM ar"),
+    "l22_filter_options": (lambda t: A.filter_options(catalog_rows(t), ["stage", "kind", "roles"]), f"{CTES}, {CATALOG} SELECT DISTINCT 'stage' AS option, stage AS value FROM ar UNION ALL SELECT DISTINCT 'kind', kind FROM ar UNION ALL SELECT DISTINCT 'roles', unnest(string_split(roles, ',')) FROM ar WHERE roles <> '' UNION ALL SELECT DISTINCT 'attention', IF(attention_count > 0, 'with_attention', 'clean') FROM ar"),
+    "l23_asset_flows": (lambda t: A.asset_flows(dataflows(t)), f"{CTES} SELECT target_node AS asset, 'input' AS direction, position AS dataflow, source_node AS other FROM fl UNION ALL SELECT source_node, 'output', position, target_node FROM fl"),
+    "l23_asset_dependencies": (lambda t: A.asset_dependencies(depends(t)), f"{CTES}, {CATALOG} SELECT target AS asset, 'depends_on' AS direction, reference, resolved AS other FROM dp UNION ALL SELECT resolved, 'used_by', reference, target FROM dp WHERE resolved IS NOT NULL"),
+    "l24_asset_page": (lambda t: A.asset_page(catalog_rows(t), scope="transit", attention="with_attention", q="BRAND", sort_by="upstream_count", descending=True).select("asset", "upstream_count", "attention_count"), f"{CTES}, {CATALOG} SELECT asset, upstream_count, attention_count FROM ar WHERE position = 'transit' AND attention_count > 0 AND contains(asset, 'brand') ORDER BY upstream_count DESC, asset LIMIT 25"),
+    "l24_asset_page_by_role": (lambda t: A.asset_page(catalog_rows(t), role="destination", stage="silver", offset=3).select("asset", "downstream_count"), f"{CTES}, {CATALOG} SELECT asset, downstream_count FROM ar WHERE contains(roles, 'destination') AND stage = 'silver' ORDER BY LOWER(title), asset LIMIT 25 OFFSET 3"),
+    "l24_reference_page": (lambda t: A.reference_page(reference_rows(t), q="t1", state="resolved", provenance="sql", sort_by="dependency_count", descending=True).select("reference", "display_name", "dependency_count"), f"{CTES}, {RES}, rr AS (SELECT r.reference, name AS display_name, status AS state, r.reference % 7 AS dependency_count, r.reference % 2 = 0 AS in_sql FROM res r JOIN refs USING (reference)) SELECT reference, display_name, dependency_count FROM rr WHERE state = 'resolved' AND in_sql AND (contains(display_name, 't1') OR contains(CAST(reference AS VARCHAR), 't1')) ORDER BY dependency_count DESC, reference LIMIT 25"),
+    "o17_source_summary": (lambda t: A.source_summary(workspace(t)[2]), f"{CTES}, {WORK} SELECT {', '.join(f'COUNT(*) FILTER (source_kind = {k!r}) AS {k}_configured, COUNT(*) FILTER (source_kind = {k!r} AND enabled) AS {k}_enabled' for k in ('metadata', 'logs'))}, COUNT(*) FILTER (source_kind <> 'code' AND validation = 'error') AS validation_errors, COUNT(*) FILTER (source_kind <> 'code' AND validation = 'warning') AS validation_warnings FROM so"),
+    "o17_project_summaries": (lambda t: A.project_summaries(*workspace(t)).withColumn("environments", F.array_join(F.transform("environments", lambda e: F.concat_ws(":", e["name"], e["metadata_count"].cast("string"), e["logs_count"].cast("string"), e["code_count"].cast("string"))), ",")), f"{CTES}, {WORK}, ec AS (SELECT environment, project, e.name, COUNT(*) FILTER (source_kind = 'metadata') AS m, COUNT(*) FILTER (source_kind = 'logs') AS l, COUNT(*) FILTER (source_kind = 'code') AS c FROM en e LEFT JOIN so USING (environment) GROUP BY ALL) SELECT p.project, p.name, COUNT(environment) AS environment_count, CAST(COALESCE(SUM(m), 0) AS BIGINT) AS metadata_source_count, CAST(COALESCE(SUM(l), 0) AS BIGINT) AS etl_log_path_count, (SELECT COUNT(*) FROM mp2 WHERE mp2.project = p.project) AS reference_mapping_count, COALESCE(string_agg(ec.name || ':' || m || ':' || l || ':' || c, ',' ORDER BY ec.name), '') AS environments FROM pj p LEFT JOIN ec USING (project) GROUP BY ALL"),
     "l25_project_registry": (registry, f"{CTES}, {RES}, al AS (SELECT reference AS signature, 'dev' AS e, status, asset FROM res UNION ALL SELECT reference, 'test', status, asset FROM res UNION ALL SELECT reference, 'prod', status, CASE WHEN reference % 4 <> 0 THEN asset END FROM res WHERE reference % 3 <> 0) SELECT signature, COUNT(DISTINCT e) AS environments, COUNT(DISTINCT CASE WHEN asset IS NOT NULL THEN e END) AS covered, COUNT(DISTINCT asset) AS targets, CASE WHEN COUNT(DISTINCT asset) > 1 THEN 'conflicting' WHEN COUNT(DISTINCT asset) = 0 THEN 'unresolved' WHEN COUNT(DISTINCT CASE WHEN asset IS NOT NULL THEN e END) < COUNT(DISTINCT e) THEN 'partial' ELSE 'resolved' END AS status FROM al GROUP BY 1"),
     "l27_validate_metadata": (issues, f"{CTES}, {ISSUES} SELECT * FROM iss"),
     "l28_new_issues": (lambda t: metadata.new_issues(issues(t).filter("code <> 'duplicate'"), issues(t)), f"{CTES}, {ISSUES} SELECT * FROM iss WHERE code = 'duplicate'"),

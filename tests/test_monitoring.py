@@ -196,9 +196,9 @@ def test_trace_reaches_the_end_of_a_long_chain(spark):
 
 
 def test_assets_stitch_over_aliases(spark):
-    ids = spark.createDataFrame([(1, "logical_table", "a"), (2, "logical_table", "a"), (2, "physical_path", "p"), (3, "physical_path", "p"), (3, "logical_table", "b"), (4, "api_endpoint", "u")], "node long, kind string, value string")
+    ids = spark.createDataFrame([(1, "logical_table", "a"), (2, "logical_table", "a"), (2, "physical_path", "p"), (3, "physical_path", "p"), (3, "logical_table", "b"), (4, "api_endpoint", "u"), (5, "physical_path", "p")], "node long, kind string, value string").withColumn("priority", F.when(F.col("kind") == "logical_table", 1).otherwise(2))
     got = {r["node"]: (r["asset"], r["conflict"]) for r in lineage.stitch_assets(ids).collect()}
-    assert got == {1: (1, True), 2: (1, True), 3: (1, True), 4: (4, False)}
+    assert got == {1: (1, False), 2: (1, False), 3: (3, True), 4: (4, False), 5: (1, False)}
     one = spark.range(1).select(lineage.normalize_path(F.lit("S3A://B//x/y/")).alias("p"), lineage.normalize_api_url(F.lit("HTTP://H.x/a//b/?q=1"), F.lit("post")).alias("u")).first()
     assert (one["p"], one["u"]) == ("s3://B/x/y", "POST http://h.x/a/b")
 
