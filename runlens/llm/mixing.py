@@ -15,19 +15,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tables of 256 rows a source are broadcast up to so many sources.
-MAX_SOURCES = 1000
-
-
-def shares(weights: list[float], frame: int) -> list[int]:
-    """Integers of at least 1 that sum to frame, nearest to the weights (largest remainders, ties to the first)."""
-    total = sum(weights)
-    exact = [w / total * (frame - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in order[: frame - sum(out)]:
-        out[i] += 1
-    return out
+#: Least characters in a block, and blocks that a schedule has at most besides one for each source: larger tables get larger blocks.
+BLOCK, BLOCKS = 1 << 18, 1 << 20
+#: Characters of the largest source in a range of hashes, which a task sorts.
+RANGE = 1 << 25
 
 
 def phase_slots(weights: list[int], left: list[int]) -> list[list[int]]:
@@ -47,69 +38,69 @@ def phase_slots(weights: list[int], left: list[int]) -> list[list[int]]:
     return slots
 
 
-def frame_slots(quota: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks in a frame of sum(quota) slots."""
-    slots = phase_slots(quota, [x + 1 for x in quota])
-    return [[t for t in own if t < sum(quota)] for own in slots]
-
-
 def schedule(sources: list[tuple[str | None, int, float]], frame: int) -> list[tuple]:
-    """Rows (source, first block, end block, first slot, frame, slots) from (source, blocks, weight), of at most `frame` blocks each.
+    """Rows (source, frame number, first block, end block, slots) from (source, blocks, weight).
 
-    Sources of weight 0 come after all others.
+    A row's blocks lie within one frame, `frame` blocks of the source that start at a multiple of it. Sources of weight 0 come
+    after all others.
     """
     rows, used, base = [], [0] * len(sources), 0
     exact = [Fraction(w) for _, _, w in sources]
+    scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    whole = [int(w * scale) for w in exact]
     while any(left := [s[1] - u for s, u in zip(sources, used, strict=True)]):
-        active = [i for i, n in enumerate(left) if n and exact[i]] or [i for i, n in enumerate(left) if n]
-        weights = [exact[i] or Fraction(1) for i in active]
-        scale = math.lcm(*(w.denominator for w in weights))
-        slots = phase_slots([int(w * scale) for w in weights], [left[i] for i in active])
+        active = [i for i, n in enumerate(left) if n and whole[i]] or [i for i, n in enumerate(left) if n]
+        slots = phase_slots([whole[i] or 1 for i in active], [left[i] for i in active])
         for i, own in zip(active, slots, strict=True):
-            for at in range(0, len(own), frame):
-                part = own[at : at + frame]
-                rows.append((sources[i][0], used[i] + at, used[i] + at + len(part), base, frame, part))
+            at = used[i]
             used[i] += len(own)
+            for first in range(at // frame * frame, used[i], frame):
+                start, end = max(first, at), min(first + frame, used[i])
+                if start < end:
+                    rows.append((sources[i][0], first // frame, start, end, [base + t for t in own[start - at : end - at]]))
         base += sum(map(len, slots))
     return rows
 
 
-def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block: int = 1 << 18, source: str = "source", size: Column | None = None, key: str = "doc_id", seed: int = 17, frame: int = 4096) -> DataFrame:
+def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block: int | None = None, source: str = "source", size: Column | None = None, key: str = "doc_id", seed: int = 17, frame: int = 1024) -> DataFrame:
     """df with __block (of its source), __slot (of the schedule) and __offset (within the block); (slot, offset) is the mixed order.
 
     weights: target weight of each source; by default its size to the power of temperature. Sources that weights leaves
     out, and rows without a source, share the weight of the smallest one given. size: of a row, in the units of block;
     default is the text's characters, and every row counts as 1 at least. A row longer than a block takes up the blocks it
-    covers. Within a source, rows come in the order of a seeded hash of key, ties by the key, then a hash of all columns.
-    The driver gets one row a source, whatever their number, and makes the schedule: one integer a block, in rows of `frame` blocks;
-    its time grows with the blocks and with the square of the number of sources.
-    Rows are numbered in 256 ranges of the hash for each source, so no task gets a whole source. Empty tables stay empty.
+    covers. block: BLOCK, or more on tables of more than BLOCKS of them, by default. Within a source, rows come in the order of a
+    seeded hash of all columns but maps, so null and repeated keys spread like any other; rows alike in all columns are side by side.
+    The driver gets one row a source and makes the schedule: one integer a block, in rows of `frame` blocks. Its time grows with
+    the blocks and, as a phase ends with each source, with the square of the number of sources. Rows are numbered in ranges
+    of the hash, more of them the larger the largest source is, so no task gets a whole source. Empty tables stay empty.
     """
     spark = df.sparkSession
     size = F.length("text") if size is None else size
+    plain = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    name = F.col(source).cast("string")
     sized = df.withColumn("__size", F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(1)))
-    sized = sized.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key)))
-    sized = sized.withColumn("__range", F.shiftright("__hash", 56).cast("int")).withColumn("__source", F.col(source).cast("string"))
-    parts = sized.groupBy("__source", "__range").agg(F.sum("__size").alias("__sum"))
-    totals = parts.groupBy("__source").agg(F.sum("__sum").alias("n")).orderBy(F.col("__source").asc_nulls_first()).collect()
+    sized = sized.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key), *plain)).withColumn("__source", F.coalesce(F.concat(F.lit("s"), name), F.lit("n")))
+    totals = sized.groupBy("__source").agg(F.sum("__size").alias("n")).orderBy("__source").collect()
+    block = block or max(BLOCK, -(-sum(r["n"] for r in totals) // BLOCKS))
     least = min(weights.values()) if weights else 1.0
-    known = [(r["__source"], -(-r["n"] // block), (weights.get(r["__source"], least) if weights else float(r["n"]) ** temperature)) for r in totals]
-    plan = schedule(known, frame)
-    plan_df = F.broadcast(spark.createDataFrame(plan, "__p_source string, __p_first long, __p_end long, __p_slot long, __p_frame long, __p_slots array<int>"))
+    weight = lambda r: weights.get(r["__source"][1:] if r["__source"] != "n" else None, least) if weights else float(r["n"]) ** temperature
+    plan = schedule([(r["__source"], -(-r["n"] // block), weight(r)) for r in totals], frame)
+    plan_df = F.broadcast(spark.createDataFrame(plan, "__source string, __frame long, __first long, __end long, __slots array<long>"))  # at most BLOCKS and a block a source
+    bits = min(24, max(6, (max((r["n"] for r in totals), default=0) // RANGE).bit_length()))
+    sized = sized.withColumn("__range", F.shiftright("__hash", 64 - bits))
+    parts = sized.groupBy("__source", "__range").agg(F.sum("__size").alias("__sum"))
     before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    few = F.broadcast if len(totals) <= MAX_SOURCES else lambda table: table
-    bases = few(parts.select(F.col("__source").alias("__b_source"), F.col("__range").alias("__b_range"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__b_base")))  # at most 256 rows a source
-    plain = [F.col(c) for c, t in df.dtypes if not t.startswith(("map", "variant"))]
-    within = Window.partitionBy("__source", "__range").orderBy("__hash", key, F.xxhash64(*plain))
-    run = sized.withColumn("__run", F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size"))
-    run = run.join(bases, F.col("__source").eqNullSafe(F.col("__b_source")) & (F.col("__range") == F.col("__b_range")))
-    placed = run.withColumn("__at", F.col("__run") + F.col("__b_base")).withColumn("__block", F.floor(F.col("__at") / block)).withColumn("__offset", F.col("__at") % block)
-    placed = placed.join(plan_df, F.col("__source").eqNullSafe(F.col("__p_source")) & (F.col("__block") >= F.col("__p_first")) & (F.col("__block") < F.col("__p_end")))
-    slot = F.col("__p_slot") + F.element_at("__p_slots", (F.col("__block") - F.col("__p_first") + 1).cast("int"))
-    return placed.withColumn("__slot", slot.cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], "__block", "__slot", "__offset")
+    bases = parts.select("__source", "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__source", "__range").orderBy("__hash", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = sized.withColumn("__run", F.sum("__size").over(within) - F.col("__size")).join(bases, ["__source", "__range"])
+    at = F.col("__run") + F.col("__base")
+    placed = run.withColumn("__block", F.floor(at / block)).withColumn("__offset", at % block).withColumn("__frame", F.floor(F.col("__block") / frame))
+    placed = placed.join(plan_df, ["__source", "__frame"]).filter((F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end")))
+    slot = F.element_at("__slots", (F.col("__block") - F.col("__first") + 1).cast("int"))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], "__block", slot.alias("__slot"), "__offset")
 
 
 def mixed_order(df: DataFrame, **options) -> DataFrame:
-    """df's own columns in mixed order: rows are dealt by range of slots and sorted within partitions."""
+    """df's own columns in mixed order: rows are dealt by range of slots and sorted within partitions. Empty tables stay empty."""
     mixed = mix_sources(df, **options)
     return mixed.repartitionByRange("__slot", "__offset").sortWithinPartitions("__slot", "__offset").select(*[F.col(f"`{c}`") for c in df.columns])
