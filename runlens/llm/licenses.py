@@ -1,8 +1,9 @@
 """License scan in DataFrame functions only: TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Every line of a text is a possible header or notice, and a licence file also counts as a whole. A line takes the template with the
-largest cosine of TF-IDF vectors. Document frequencies come from the whole corpus. Files without a notice of their own
-inherit from the licence file in the nearest directory at or above theirs.
+Every line and every block of lines between blank ones is a possible header or notice, and a licence file also counts as a whole. A
+text takes the template with the largest cosine of TF-IDF vectors to one of these units, if that holds the names in the
+template. An SPDX tag counts as its licence. Document frequencies come from the whole corpus. Files without a notice of their
+own inherit from the licence file in the nearest directory at or above theirs.
 """
 
 from __future__ import annotations
@@ -15,20 +16,41 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, salted_join
 
-#: Notices of common licences, by SPDX identifier.
+#: Titles, notices, headers and paragraphs of common licences, by SPDX identifier.
 TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License."],
+    "AGPL-3.0": ["GNU Affero General Public License version 3", "GNU AFFERO GENERAL PUBLIC LICENSE", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "Artistic-2.0": ["The Artistic License 2.0", "This package is free software; you may redistribute it and/or modify it under the terms of the Artistic License 2.0."],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License.", "BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["CC0 1.0 Universal", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0 Universal."],
+    "EPL-2.0": ["Eclipse Public License - v 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"],
+    "GPL": ["GNU GENERAL PUBLIC LICENSE", "You should have received a copy of the GNU General Public License along with this program."],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "ISC": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL": ["GNU LESSER GENERAL PUBLIC LICENSE"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "MIT": ["Released under the MIT License.", "MIT License", "The MIT License (MIT)", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "The Unlicense"],
+    "Zlib": ["zlib License", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
 }
+#: Terms that name a licence or its version; a unit has to hold all of those that a template has.
+NAMES = {"affero", "apache", "artistic", "bsd", "boost", "cc", "cc0", "noncommercial", "sharealike", "nc", "sa", "eclipse", "gnu", "lesser", "isc", "mit", "mozilla", "unlicense", "zlib", "unencumbered"}
 THRESHOLD = 0.7
 SPLIT = "[^a-z0-9]+"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)"
+#: Blank lines part the blocks of a text.
+BLANK = r"\n[ \t\r\n]*\n"
+#: A tag counts as a template of so many terms.
+TAG_TERMS = 1000
+TAG = r"spdx-license-identifier:[ \t]*([a-z0-9.+-]+)"
 
 
 def template_terms() -> list[tuple[str, int, str, int]]:
@@ -41,26 +63,31 @@ def template_terms() -> list[tuple[str, int, str, int]]:
     return out
 
 
-def weigh(n: int, df: dict[str, int]) -> tuple[dict[str, float], float, list[tuple[str, int, str, float]], list[str]]:
-    """Inverse document frequencies, that of unknown terms, unit template vectors, and anchors.
+def weigh(n: int, df: dict[str, int]) -> tuple[dict[str, float], float, list[tuple[str, int, str, float, int]], list[str]]:
+    """Inverse document frequencies, that of unknown terms, unit template vectors with a mark of names, and anchors.
 
-    A line that holds none of a template's anchors has a cosine below THRESHOLD to it: the other terms' share of the
-    template's norm bounds the cosine (Cauchy-Schwarz).
+    A unit that holds none of a template's anchors has a cosine below THRESHOLD to it: the other terms' share of the
+    template's norm bounds the cosine (Cauchy-Schwarz). One of a template's names is anchor enough, as units lack none.
     """
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for _, _, t, _ in template_terms()}
     unknown = math.log(1 + n) + 1
     vectors, anchors = [], set()
-    for name, texts in TEMPLATES.items():
-        for k in range(len(texts)):
-            own = {t: c * idf[t] for a, b, t, c in template_terms() if (a, b) == (name, k)}
-            norm = math.sqrt(sum(w * w for w in own.values()))
-            vectors += [(name, k, t, w / norm) for t, w in own.items()]
-            left = 1.0
-            for t, w in sorted(own.items(), key=lambda x: (-x[1], x[0])):
-                if left < (THRESHOLD - 0.01) ** 2:
-                    break
-                anchors.add(t)
-                left -= (w / norm) ** 2
+    held: dict[tuple[str, int], dict[str, float]] = {}
+    for a, b, t, c in template_terms():
+        held.setdefault((a, b), {})[t] = c * idf[t]
+    for (name, k), own in held.items():
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        vectors += [(name, k, t, w / norm, int(t in NAMES)) for t, w in own.items()]
+        named = [t for t in own if t in NAMES]
+        if named:
+            anchors.add(max(named, key=lambda t: (idf[t], t)))
+            continue
+        left = 1.0
+        for t, w in sorted(own.items(), key=lambda x: (-x[1], x[0])):
+            if left < (THRESHOLD - 0.01) ** 2:
+                break
+            anchors.add(t)
+            left -= (w / norm) ** 2
     return idf, unknown, vectors, sorted(anchors)
 
 
@@ -73,8 +100,9 @@ def literal_rows(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFram
 def scan_licenses(df: DataFrame, path: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, path, licence, score, origin (`notice`, `inherited`, `none`) and inherited_from (directory) of every row of df.
 
-    Paths have `/` between parts; null paths count as files of the root. Null and empty texts have no notice. Of equal scores the first
-    licence in alphabetical order wins; of a directory's licence files the best score, then the smallest path. Each row of
+    Paths have `/` between parts; null paths count as files of the root. Null and empty texts have no notice, and an empty table gives
+    no rows. Of equal scores the
+    template with more terms wins, then the first licence in alphabetical order; of a directory's licence files the best score, then the smallest path. Each row of
     a repeated key is judged by itself. Whole texts are scanned.
     """
     where = F.coalesce(path, F.lit("/"))
@@ -84,10 +112,10 @@ def scan_licenses(df: DataFrame, path: Column, text: str = "text", key: str = "d
     counts = df.select(F.explode(F.array_append(F.array_intersect(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPLIT), vocabulary), F.lit(""))).alias("term")).groupBy("term").count()
     df_of = {r["term"]: r["count"] for r in counts.collect()}  # at most one row a template term
     idf, unknown, vectors, anchors = weigh(df_of.pop("", 0), df_of)
-    has_anchor = r"(?i)\b(" + "|".join(anchors) + r")\b"
+    has_anchor = "(?i)(?<![a-z0-9])(" + "|".join([*anchors, "spdx"]) + ")(?![a-z0-9])"
     name = F.element_at(F.split("path", "/"), -1)
     found = files.filter(F.col("text").rlike(has_anchor))
-    units = F.split("text", "\n", -1)
+    units = F.concat(F.split("text", "\n", -1), F.filter(F.split("text", BLANK, -1), lambda b: F.contains(b, F.lit("\n"))))
     units = F.when(name.rlike(LICENCE_FILE), F.concat(units, F.array(F.col("text")))).otherwise(units)
     lines = found.select("rid", F.posexplode(units).alias("line", "t")).filter(F.col("t").rlike(has_anchor))
     words = lines.select("rid", "line", F.explode(F.split(F.lower("t"), SPLIT)).alias("term")).filter("term <> ''")
@@ -95,10 +123,18 @@ def scan_licenses(df: DataFrame, path: Column, text: str = "text", key: str = "d
     known = literal_rows(df, [(t, v) for t, v in idf.items()], ["term", "idf"])
     weighed = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unknown)))
     norms = weighed.groupBy("rid", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    shapes = literal_rows(df, vectors, ["licence", "variant", "term", "tw"])
-    dots = weighed.join(F.broadcast(shapes), "term").groupBy("rid", "line", "licence", "variant").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    shapes = literal_rows(df, vectors, ["licence", "variant", "term", "tw", "name"])
+    named: dict[tuple[str, int], list[int]] = {}
+    for licence, variant, _, _, is_name in vectors:
+        named.setdefault((licence, variant), []).append(is_name)
+    needs = literal_rows(df, [(a, b, sum(k), len(k)) for (a, b), k in named.items()], ["licence", "variant", "needed", "terms"])
+    dots = weighed.join(F.broadcast(shapes), "term").groupBy("rid", "line", "licence", "variant").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum("name").alias("names"))
+    dots = dots.join(F.broadcast(needs), ["licence", "variant"]).filter("names = needed")
     scored = dots.join(norms, ["rid", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= THRESHOLD)
-    best = checkpoint(scored.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("rid", (-F.col("b.minus")).alias("score"), F.col("b.licence").alias("licence")))
+    ids = literal_rows(df, [(name.lower() + tail, name) for name in TEMPLATES for tail in ("", "-only", "-or-later")], ["tag", "licence"])
+    tags = found.select("rid", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TAG), F.lit(1))).alias("tag")).join(F.broadcast(ids), "tag")
+    scored = scored.select("rid", "score", "terms", "licence").unionByName(tags.select("rid", F.lit(1.0).alias("score"), F.lit(TAG_TERMS).alias("terms"), "licence"))
+    best = checkpoint(scored.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("minus"), (-F.col("terms")).alias("fewer"), "licence")).alias("b")).select("rid", (-F.col("b.minus")).alias("score"), F.col("b.licence").alias("licence")))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     own = files.select("rid", key, "path", folder.alias("folder")).join(best, "rid", "left")
     given = own.filter(F.col("licence").isNotNull() & name.rlike(LICENCE_FILE)).groupBy("folder").agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "licence")).alias("g")).select(F.col("folder").alias("above"), F.col("g.licence").alias("given"))
