@@ -2,7 +2,9 @@
 
 Trees are fitted on a bounded sample and cut at medians of random projections; every row is then indexed by its leaf in
 each tree. A query descends all trees through one queue ordered by the margin to the hyperplanes it crossed, until the
-leaves it reached hold the wanted share of the sample. Its leaves' rows are compared exactly, in blocks.
+leaves it reached hold the wanted share of the sample. Depth and share are the deepest trees and the smallest share that find
+the wanted part of the sample's own neighbours, so clustered vectors are searched in few small leaves and vectors without
+structure nearly whole. Its leaves' rows are compared exactly, in blocks, each in the first tree that reaches it.
 """
 
 from __future__ import annotations
@@ -75,19 +77,49 @@ class Forest:
         return out
 
 
+def calibrated(sample: np.ndarray, trees: int, k: int, found: float, leaves: int, seed: int, asked: int = 100) -> tuple[Forest, float]:
+    """The forest with the deepest trees whose queries reach at most `leaves` leaves on average, and the smallest share of rows that
+    holds `found` of the k nearest of up to `asked` rows of the sample, the nearest by brute force."""
+    n = len(sample)
+    pick = np.random.default_rng(seed).choice(n, min(asked, n), replace=False)
+    scores = sample[pick] @ sample.T
+    scores[np.arange(len(pick)), pick] = -np.inf
+    k = min(k, n - 1)
+    near = np.argpartition(-scores, max(0, k - 1), axis=1)[:, :k] if k else np.zeros((len(pick), 0), int)
+    best = None
+    for depth in range(0, max(0, round(math.log2(max(1, n / 16)))) + 1):
+        forest, needed, reached = Forest(sample, trees, depth, seed), [], []
+        for q, nearest in zip(pick, near, strict=True):
+            order = forest.search(sample[q], 1.0)
+            at, seen, count = np.full(n, np.inf), np.zeros(n, dtype=bool), []
+            for t, leaf in order:
+                rows = forest.leaves[t][leaf]
+                fresh = rows[~seen[rows]]
+                seen[fresh] = True
+                count.append((count[-1] if count else 0) + len(fresh))
+                at[fresh] = count[-1] / n
+            needed.append(at[nearest])
+            reached.append(np.array(count) / n)
+        share = float(np.quantile(np.concatenate(needed), found, method="higher")) if k else 1.0
+        if best and np.mean([np.searchsorted(c, share) + 1 for c in reached]) > leaves:
+            break
+        best = forest, share
+    return best
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
-def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20, share: float = 0.8, trees: int = 6, sample: int = 10_000, levels: int = 5, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 5) -> DataFrame:
+def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20, found: float = 0.96, share: float | None = None, trees: int = 6, sample: int = 10_000, leaves: int = 64, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found, by inner product, of each row whose id is divisible by `every`.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id or with another
-    number of dimensions than most. The forest is fitted on at most `sample` rows (the smallest hashes of ids), every row is
-    indexed. Equal vectors are one entry with its k + 1 smallest ids, which is all a query can return, so copies cost
-    nothing; they rank by id. share: of the sample that the queue must reach; on vectors without any structure recall is
-    little above it, on clustered ones far higher. Trees have at most `levels` levels, fewer on
-    small tables; leaves that outgrow 20,000 rows are split into blocks.
+    number of dimensions than most. An empty table gives no rows. The forest is fitted on at most `sample` rows (the smallest hashes of
+    ids), every row is indexed. Equal vectors are one entry with its k + 1 smallest ids, which is all a query can return, so copies cost
+    nothing; they rank by id. found: part of the sample's neighbours that its own search has to find, which sets the share of
+    rows that a query compares, unless share gives it. leaves: that a query reaches on average, at most, which sets the depth. Rows of a leaf and queries of it
+    are split into blocks of about 20,000.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -104,51 +136,70 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20, share: float
     entries = checkpoint(kept.groupBy("v").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = entries.count()
     fitted = np.array([r["v"] for r in entries.orderBy(F.xxhash64("node"), "node").select("v").limit(sample).collect()])
-    depth = max(0, min(levels, round(math.log2(len(fitted) / 16))))
-    forest = spark.sparkContext.broadcast(Forest(fitted, trees, depth, seed))  # bounded by sample and trees
-    blocks = max(1, -(-n // ((1 << depth) * 20_000)))
+    model, least = calibrated(fitted, trees, k, found, leaves, seed)
+    share = least if share is None else share
+    forest = spark.sparkContext.broadcast(model)  # bounded by sample and trees
+    size = 1 << model.depth
+    blocks = max(1, -(-n // (size * 20_000)))
+    query_blocks = max(1, -(-n // (every * 20_000)))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 leaf = forest.value.place(_matrix(b["v"]))
                 for t in range(trees):
-                    yield pd.DataFrame({"tree": t, "leaf": leaf[:, t], "block": b["node"] % blocks, "node": b["node"], "v": b["v"]})
+                    for part in range(query_blocks):
+                        yield pd.DataFrame({"tree": t, "leaf": leaf[:, t], "block": b["node"] % blocks, "part": part, "node": b["node"], "leaves": list(leaf), "v": b["v"]})
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(t, leaf, block, q, v) for q, v in zip(b["node"], b["v"], strict=True) for t, leaf in forest.value.search(np.asarray(v), share) for block in range(blocks)]
-            yield pd.DataFrame(found, columns=["tree", "leaf", "block", "query", "q"])
+            rows = []
+            for q, v in zip(b["node"], b["v"], strict=True):
+                reached = forest.value.search(np.asarray(v), share)
+                marks = np.zeros((trees, size), dtype=bool)
+                marks[tuple(np.array(reached).T)] = True
+                packed = np.packbits(marks).tobytes()
+                rows += [(t, leaf, block, q % query_blocks, q, packed, v) for t, leaf in reached for block in range(blocks)]
+            yield pd.DataFrame(rows, columns=["tree", "leaf", "block", "part", "query", "reached", "q"])
 
     def compare(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """The best of a leaf's rows for each query that reaches it, without rows that an earlier tree has shown to it."""
         out = []
         if len(queries) and len(held):
-            x, ids = _matrix(held["v"]), held["node"].to_numpy()
+            x, ids, placed = _matrix(held["v"]), held["node"].to_numpy(), np.stack(held["leaves"].to_list())
+            tree, longest = int(held["tree"].iloc[0]), np.linalg.norm(x, axis=1).max()
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
                 q = _matrix(part["q"])
-                rough = q @ x.T
+                marks = np.unpackbits(np.frombuffer(b"".join(part["reached"]), np.uint8).reshape(len(part), -1), axis=1)[:, : trees * size].reshape(len(part), trees, size)
+                fresh = np.ones((len(part), len(ids)), dtype=bool)
+                for t in range(tree):
+                    fresh &= marks[:, t][:, placed[:, t]] == 0
+                rough = np.full(fresh.shape, -np.inf)
+                if fresh.mean() > 0.5:
+                    rough[fresh] = (q @ x.T)[fresh]
+                else:
+                    for i, own in enumerate(fresh):
+                        rough[i, own] = x[own] @ q[i]
                 m = min(len(ids), k + 1)
                 # scores that round alike at the edge are all kept
-                edge = np.partition(rough, len(ids) - m, axis=1)[:, len(ids) - m] - 1e-9
-                i, j = np.nonzero(rough >= edge[:, None])
-                exact = (q[i] * x[j]).sum(axis=1)
-                out.append(pd.DataFrame({"query": part["query"].to_numpy()[i], "node": ids[j], "score": exact}))
+                edge = np.partition(rough, len(ids) - m, axis=1)[:, len(ids) - m] - 1e-12 * np.linalg.norm(q, axis=1) * longest
+                i, j = np.nonzero(fresh & (rough >= edge[:, None]))
+                out.append(pd.DataFrame({"query": part["query"].to_numpy()[i], "node": ids[j], "score": (q[i] * x[j]).sum(axis=1)}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    vectors = entries.select("node", "v").mapInPandas(index, "tree int, leaf int, block long, node long, v array<double>")
+    vectors = entries.select("node", "v").mapInPandas(index, "tree int, leaf int, block long, part int, node long, leaves array<long>, v array<double>")
     asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     heads = entries.select("v", "node", F.explode("ids").alias("id")).filter(F.col("id") % every == 0).select("node", "v").distinct()
     # a vector with many copies may hold queries only beyond its first ids
     heads = heads.union(asked.join(entries.filter(F.size("ids") > k).select("v", "node"), "v").select("node", "v")).distinct()
-    queries = heads.mapInPandas(route, "tree int, leaf int, block long, query long, q array<double>")
-    by = ["tree", "leaf", "block"]
-    found = queries.groupBy(*by).cogroup(vectors.groupBy(*by)).applyInPandas(compare, "query long, node long, score double")
-    found = found.groupBy("query", "node").agg(F.max("score").alias("score"))
+    queries = heads.mapInPandas(route, "tree int, leaf int, block long, part int, query long, reached binary, q array<double>")
+    by = ["tree", "leaf", "block", "part"]
+    pairs = queries.groupBy(*by).cogroup(vectors.groupBy(*by)).applyInPandas(compare, "query long, node long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    pairs = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     # copies of the found vectors, then each query without itself
-    listed = found.join(entries.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
+    listed = pairs.join(entries.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     listed = checkpoint(listed.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r"))
     of = asked.join(entries.select("v", F.col("node").alias("query")), "v").select("query_id", "query")
