@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS, LANES, CHUNK = 128, 4, 2
+#: Tasks of the one shuffle at most; bounds of blocks are about four times as many.
+MAX_PARTS = 100_000
 #: A 64-bit column holds LANES samples of 14 bits, each below a guard bit.
 LANE_BITS = 15
 ONES = sum(((1 << 14) - 1) << (LANE_BITS * i) for i in range(LANES))
@@ -71,51 +73,51 @@ def as_text(columns: list[Column]) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(c)), LANE_BITS, "0") for c in columns])
 
 
-def with_neighbour(df: DataFrame, parts: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_neighbour(df: DataFrame, parts: int, every: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of df dealt by `block`, consecutive ids in descending order, each with the next document's text.
 
-    Returns block, doc_id, text, next_text, seat (its place in the block) and halo. A block's last document meets the first one of the next block, which
-    is sent along as a halo row (its own next_text is of no use); the last document of all meets the first. Ties in doc_id come in
-    order of the texts' hashes, null ids last. Bounds of blocks are approximate quantiles of doc_id, so their sizes are even
-    whatever the ids; the driver gets two numbers a block.
+    Returns block, doc_id, text, next_text, seat (its place in the block) and halo. Documents are in descending order of doc_id, then
+    of their texts' hashes, null ids last. About one place in `every` is a bound, by its hash, and the first document of its
+    block, so each row knows by itself whether the block before needs it: there it is a halo row (its own next_text is of no
+    use). The last document of all meets the first. The bounds are one row, read by a scalar subquery; rows alike in id
+    and text share a block.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    coarse = max(1, round((2 * parts) ** 0.5))
-    n = coarse * coarse
-    ids = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"))
-    found = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"]
-    bounds = sorted(set(found or [0]))
-    groups = [bounds[i : i + coarse] for i in range(0, len(bounds), coarse)]
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    firsts = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-
-    def block_of(c: Column) -> Column:
-        """Number of bounds at or below the id, in two steps of the root of their number each."""
-        k = F.size(F.filter(firsts, lambda x: x <= c))
-        return F.when(k == 0, F.lit(0)).otherwise((k - 1) * coarse + F.size(F.filter(F.get(fine, k - 1), lambda x: x <= c)))
-
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    heads = ids.select(block_of(F.col("id")).alias("block"), "id").groupBy("block").agg(F.max("id").alias("head")).orderBy(F.desc("block")).collect()
-    rows = rows.withColumn("block", block_of(order)).withColumn("halo", F.lit(False))
-    if heads:  # a union, as Spark uses one shuffle for all that reads it
-        before = {heads[i]["block"]: heads[i - 1]["block"] for i in range(len(heads))}
-        to = F.map_from_arrays(F.array(*map(F.lit, before)), F.array(*map(F.lit, before.values())))
-        first = rows.filter(order.isin([h["head"] for h in heads]))
-        rows = rows.unionByName(first.withColumn("block", F.element_at(to, F.col("block"))).withColumn("halo", F.lit(True)))
-    next_ = Window.partitionBy("block").orderBy("halo", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).desc(), F.xxhash64("text"))
-    return rows.repartition(parts, "block").withColumn("next_text", F.lead("text").over(next_)).withColumn("seat", F.row_number().over(next_))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    place = F.struct(key.alias("id"), F.xxhash64(body).alias("hash"))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), place.alias("place"))
+    rows = rows.withColumn("bound", F.pmod(F.xxhash64("place"), F.lit(every)) == 0)
+    places = df.select(place.alias("place"))
+    bounds = places.filter(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).agg(F.array_sort(F.collect_set("place")).alias("all"))
+    step = F.ceil(F.sqrt(F.greatest(F.size("all"), F.lit(1)))).cast("int")
+    index = bounds.select(F.struct("all", step.alias("step"), F.filter("all", lambda x, i: i % step == 0).alias("firsts")).alias("x")).scalar()
+    first = places.agg(F.max("place")).scalar()
+
+    # bounds below the place, in two steps of the root of their number each
+    at = F.size(F.filter(index["firsts"], lambda x: x < F.col("place")))
+    near = F.slice(index["all"], F.greatest(at - 1, F.lit(0)) * index["step"] + 1, index["step"])
+    block = F.when(at == 0, F.lit(0)).otherwise((at - 1) * index["step"] + F.size(F.filter(near, lambda x: x < F.col("place"))))
+    rows = rows.withColumn("block", block)
+    # to each block that needs it: its own, the one before if it is a bound, the last one if it is the first of all
+    seats = F.array_compact(F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("halo")), F.when(F.col("bound"), F.struct((F.col("block") + 1).alias("block"), F.lit(True).alias("halo"))), F.when(F.col("place") == first, F.struct(F.lit(0).alias("block"), F.lit(True).alias("halo")))))
+    rows = rows.select("doc_id", "text", "place", F.inline(seats))
+    # block 0 is the last one: the first of all comes after whatever else it holds
+    next_ = Window.partitionBy("block").orderBy("halo", F.desc("place"))
+    return rows.repartition(parts, "block").withColumn("next_text", F.lead("text").over(next_)).withColumn("seat", F.row_number().over(next_)).drop("place")
 
 
 def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document (null text: empty).
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many first ones (or all) of the next document in
-    descending order of doc_id, after the last the first. One shuffle deals the texts; all later steps keep
-    its partitions.
+    descending order of doc_id, after the last the first. Texts without words have empty signatures, which are alike. A single
+    document is its own next one; repeated rows are documents of their own, side by side; an empty table gives no rows. One shuffle
+    deals the texts; all later steps keep its partitions.
     """
-    # about a thousand documents each, as a task's words are grouped in memory
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // 1000)
-    base = with_neighbour(df, parts, doc_id, text)
+    # about a thousand documents each, as a task's words are grouped in memory, up to a number of tasks that a driver can bear
+    n = df.count()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n // 1000, MAX_PARTS))
+    base = with_neighbour(df, parts, max(100, n // (4 * parts)), doc_id, text)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     base = base.withColumn("edited", F.when(F.col("halo"), F.lit("")).otherwise(edited))
