@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, salted_join, small_batches
+from .common import checkpoint, salted_join, values
 
 BASE = 0x9E3779B97F4A7C15
 
 
-def runs_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(fingerprint, run hash, words, first line, last line) of every run."""
+def runs_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(fingerprint, run hash, words, first line, last line, line of the fingerprint) of every run."""
     from xxhash import xxh64_intdigest
 
     if not text:
@@ -38,7 +38,7 @@ def runs_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int,
     n = len(at)
     total = np.concatenate([[0], np.cumsum(sizes)])
     ends = np.searchsorted(total, total[:-1] + min_words).tolist()  # the shortest run from i has lines i .. ends[i] - 1
-    out: list[tuple[int, int, int, int, int]] = []
+    out: list[tuple[int, int, int, int, int, int]] = []
     power, prefix = [1], [0]
     for h in hashes:
         power.append(power[-1] * BASE & 0xFFFFFFFFFFFFFFFF)
@@ -58,7 +58,7 @@ def runs_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int,
         last = ends[i + 1] - 1 if i + 1 < n else n
         for stop in range(e, max(e, last) + 1):
             run = (prefix[stop] - prefix[i] * power[stop - i]) & 0xFFFFFFFFFFFFFFFF
-            out.append((hashes[least[head]], run, int(total[stop] - total[i]), at[i], at[stop - 1]))
+            out.append((hashes[least[head]], run, int(total[stop] - total[i]), at[i], at[stop - 1], at[least[head]]))
     return out
 
 
@@ -66,20 +66,21 @@ def repeated_lines(df: DataFrame, min_words: int = 50, text: str = "text", doc_i
     """doc_id, text_key, and the sorted numbers (from 0) of the lines that go, for documents that lose any.
 
     text_key tells rows with one doc_id apart by their text. Rows alike in both are one document. A run that overlaps its own first
-    place is not a repeat.
+    place is not a repeat. Null and empty texts, and an empty table, give no rows.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, k, *r) for d, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for r in runs_of(t, min_words)]
+            rows = [(d, k, *r) for d, k, t in zip(*map(values, batch.columns), strict=True) for r in runs_of(t, min_words)]
             wrap = lambda i: pa.array(np.array([r[i] for r in rows], dtype=np.uint64).view(np.int64))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), wrap(2), wrap(3), *(pa.array([r[i] for r in rows], pa.int32()) for i in (4, 5, 6))], ["doc_id", "text_key", "mark", "run", "words", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), wrap(2), wrap(3), *(pa.array([r[i] for r in rows], pa.int32()) for i in (4, 5, 6, 7))], ["doc_id", "text_key", "mark", "run", "words", "first", "last", "spot"])
 
-    small_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
-    runs = checkpoint(rows.mapInArrow(emit, "doc_id long, text_key long, mark long, run long, words int, first int, last int"))
-    twice = runs.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
-    runs = salted_join(runs, twice, ["mark"], F.xxhash64("doc_id", "text_key"))
+    runs = checkpoint(rows.mapInArrow(emit, "doc_id long, text_key long, mark long, run long, words int, first int, last int, spot int"))
+    # a fingerprint meets another only at a second place; neighbouring runs share theirs
+    spot = F.struct("doc_id", "text_key", "spot")
+    twice = runs.groupBy("mark").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("mark")
+    runs = salted_join(runs, twice, ["mark"], F.xxhash64("doc_id", "text_key")).drop("spot")
     runs = checkpoint(runs.withColumn("order", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
     place = F.struct("order", "text_key", "first", "last")
     # the first place by grouping twice, as a run may hold a third of all rows: min() of four numbers keeps one row a task
