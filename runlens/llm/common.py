@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +15,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Python workers get at most 1,000 rows at once: whole texts are long, and a worker holds a batch several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores put before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def slices(column: pa.Array, size: int = 500) -> Iterator[list]:
+    """An Arrow array as lists of `size` Python objects, of which one is held at a time."""
+    for a in range(0, len(column), size):
+        yield column.slice(a, size).to_pylist()
+
+
+def values(column: pa.Array) -> Iterator:
+    """The objects of slices one by one."""
+    for some in slices(column):
+        yield from some
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset (local tests) a temporary one is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset, a local session gets a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -85,28 +102,60 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def bucket_links(members: DataFrame, near: Column, verify, payload: DataFrame | None = None) -> DataFrame:
+#: Members of a bucket that are compared with one another at once, on either side.
+PART = 500
+
+
+def bucket_links(members: DataFrame, near: Column, verify, payload: DataFrame | None = None, compare=None) -> DataFrame:
     """Links (a, b) that connect whatever all near pairs within buckets connect, without all pairs of a bucket.
 
     members: key and node; payload: one row a node with what `near`, a condition on x.* and y.*, reads besides the nodes;
-    verify(pairs of a, b) keeps the true ones. First each member meets its bucket's head, the member that meets most others in
-    all its buckets: the text that copies were made of is near all of them, though they may not be near each other. What that
-    leaves in different components meets across components only. The condition is part of the join, so pairs that
-    aren't near leave no rows.
+    verify(pairs of a, b) keeps the true ones. A bucket's head is its member that meets most others in all its buckets: the
+    text that copies were made of is near all of them, though they may not be near each other. First each member meets the best
+    of its heads only, then the heads of those buckets in which it is still in another component than the head. What that
+    leaves, few members that are near none of up to as many heads as they have keys, meets all others of its buckets in other
+    components, in parts of about PART members on either side. The condition is part of the joins, so pairs that aren't near leave
+    no rows; compare(few, many), if given, takes the place of the last join: both have key, part, node and component, and it
+    gives links between rows of one key and part, of which one to a node and a component is enough.
     """
     full = (lambda df: df) if payload is None else (lambda df: df.join(payload, "node"))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (first, node), of which a first may be in many."""
+        heads = full(pairs.select(F.col("first").alias("node")).distinct())
+        met = full(pairs).alias("y").join(heads.alias("x"), F.expr("y.first = x.node") & near, "inner")
+        return checkpoint(verify(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))))
+
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = checkpoint(salted_join(members, shared, ["key"], F.xxhash64("node"), how="inner"))
     met = kept.groupBy("node").agg(F.sum("n").alias("met"))
-    head = kept.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("h")).select("key", F.col("h.node").alias("first"))
+    head = kept.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("h")).select("key", F.col("h.met").alias("met"), F.col("h.node").alias("first"))
     kept = checkpoint(salted_join(kept.drop("n"), head, ["key"], F.xxhash64("node"), how="inner"))
-    heads = full(kept.select(F.col("first").alias("node")).distinct())
-    star = full(kept.filter("node <> first").select("first", "node").distinct())
-    star = star.alias("y").join(heads.alias("x"), F.expr("y.first = x.node") & near, "inner").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    star = checkpoint(verify(star))
-    comp = connected_components(star)
-    placed = kept.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = checkpoint(full(salted_join(placed, open_, ["key"], F.xxhash64("node"))))
-    across = placed.alias("x").join(placed.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.component <> y.component") & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return star.union(checkpoint(verify(across.distinct())))
+    best = kept.groupBy("node").agg(F.max(F.struct("met", "first")).alias("h")).select("node", F.col("h.first").alias("first")).filter("node <> first")
+    links = tested(best)
+
+    def placed() -> DataFrame:
+        """Members of buckets with their component and that of the head, where they differ."""
+        comp = connected_components(links)
+        own = kept.select("key", "node", "first").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        of_head = salted_join(own, comp.select(F.col("node").alias("first"), F.col("component").alias("main")), ["first"], F.xxhash64("node"), how="left")
+        return checkpoint(of_head.withColumn("main", F.coalesce("main", "first")))
+
+    links = links.union(tested(placed().filter("component <> main").select("first", "node").distinct()))
+    all_ = placed()
+    left = all_.filter("component <> main")
+    open_ = salted_join(all_, left.select("key").distinct(), ["key"], F.xxhash64("node"))
+    parts = lambda c: F.ceil(F.count_if(c) / PART).cast("int")
+    sizes = open_.groupBy("key").agg(F.greatest(parts(F.lit(True)), F.lit(1)).alias("of_all"), F.greatest(parts(F.col("component") != F.col("main")), F.lit(1)).alias("of_few"))
+    placed_ = checkpoint(salted_join(open_, sizes, ["key"], F.xxhash64("node"), how="inner"))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = (F.col("x") * F.col("of_few") + F.col("y")).alias("part")
+    wanted = ["key", "node", "component", "main"]
+    many = placed_.withColumn("x", dealt("of_all", 1)).withColumn("y", each("of_few")).select(*wanted, part)
+    few = placed_.filter("component <> main").withColumn("y", dealt("of_few", 2)).withColumn("x", each("of_all")).select(*wanted, part)
+    if compare is not None:
+        return links.union(checkpoint(compare(few, many)))
+    apart = F.expr("x.key = y.key and x.part = y.part and x.component <> y.component and (y.component = y.main or x.node < y.node)")
+    across = full(few).alias("x").join(full(many).alias("y"), apart & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return links.union(checkpoint(verify(across.distinct())))

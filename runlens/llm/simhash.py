@@ -12,11 +12,12 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, checkpoint, connected_components, small_batches
+from .common import bucket_links, checkpoint, connected_components, values
 
 #: Fixed value: generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -100,9 +101,8 @@ def simhash_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", do
 
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:
-        return pa.array([_signed(majority(h)) if len(h := shingle_hashes(words_of(t), shingle)) else 0 for t in texts.to_pylist()], pa.int64())
+        return pa.array([_signed(majority(h)) if len(h := shingle_hashes(words_of(t), shingle)) else 0 for t in values(texts)], pa.int64())
 
-    small_batches(df.sparkSession)
     return df.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("fp"))
 
 
@@ -150,10 +150,10 @@ def simhash_components(df: DataFrame, shingle: int = 3, max_bits: int = 2, text:
     return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")).join(spread, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
-#: Bands of minima; 21 bands of 6 find a pair at a Jaccard similarity of 0.8 in 1 - (1 - 0.8^6)^21 = 99.8 % of cases, whatever was edited.
-BANDS, BAND = 21, 6
-#: Of the lowest bits of the 126 minima, pairs at 0.8 differ in 13 on average, with a standard deviation of 3.4.
-NEAR_BITS = 28
+#: Bands of minima; 12 bands of 4 find a pair at a Jaccard similarity of 0.8 in 1 - (1 - 0.8^4)^12 = 99.8 % of cases, whatever was edited.
+BANDS, BAND = 12, 4
+#: Of one bit of each of the 48 minima, pairs at 0.8 differ in 4.8 on average, with a standard deviation of 2.1.
+NEAR_BITS = 14
 
 
 def row_key(text: str, doc_id: str) -> Column:
@@ -177,14 +177,14 @@ def min_hashes(words: list[bytes], size: int) -> np.ndarray:
 
 
 def min_prints(df: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, digest (128 bits) of the words, the keys of the bands (none without words), and s0 and s1, a bit of each minimum."""
+    """row, doc_id, digest (128 bits) of the words, the keys of the bands (none without words), and s, a bit of each minimum."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
         for batch in batches:
-            keys, digests, bits = [], [], np.zeros((batch.num_rows, 2), np.int64)
-            for k, t in enumerate(batch.column(2).to_pylist()):
+            keys, digests, bits = [], [], np.zeros(batch.num_rows, np.int64)
+            for k, t in enumerate(values(batch.column(2))):
                 words = words_of(t)
                 digests.append(xxh3_128_hexdigest(b" ".join(words)))
                 if not words:
@@ -192,12 +192,31 @@ def min_prints(df: DataFrame, shingle: int) -> DataFrame:
                     continue
                 least = min_hashes(words, shingle)
                 keys.append([_signed(xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least.reshape(BANDS, BAND))])
-                some = np.zeros(128, np.uint8)
-                some[: len(least)] = least >> np.uint64(40) & np.uint64(1)
-                bits[k] = np.packbits(some).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], ["row", "doc_id", "digest", "keys", "s0", "s1"])
-
-    return df.select("row", "doc_id", "text").mapInArrow(prints, "row string, doc_id long, digest string, keys array<long>, s0 long, s1 long")
+                bits[k] = np.sum((least >> np.uint64(40) & np.uint64(1)) << np.arange(len(least), dtype=np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits)], ["row", "doc_id", "digest", "keys", "s"])
+
+    return df.select("row", "doc_id", "text").mapInArrow(prints, "row string, doc_id long, digest string, keys array<long>, s long")
+
+
+def linked(few: pd.DataFrame, many: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """(a, b): for each of few and each other component among many, one node whose set s has a Jaccard similarity of at least `similarity` to its own."""
+    out: list[np.ndarray] = []
+    if len(few) and len(many):
+        sizes = many["s"].map(len).to_numpy()
+        flat, owner = np.concatenate(many["s"].to_list()), np.repeat(np.arange(len(many)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        nodes, components = many["node"].to_numpy(), many["component"].to_numpy()
+        for node, component, own in zip(few["node"], few["component"], few["s"], strict=True):
+            start, end = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+            hits = end - start
+            at = np.arange(hits.sum()) + np.repeat(start - np.cumsum(hits) + hits, hits)
+            common = np.bincount(owner[at], minlength=len(many))
+            near = np.nonzero((common >= similarity * (len(own) + sizes - common)) & (components != component))[0]
+            first = near[np.unique(components[near], return_index=True)[1]]
+            out.append(np.stack([np.minimum(node, nodes[first]), np.maximum(node, nodes[first])], axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame(found.astype(np.int64), columns=["a", "b"])
 
 
 def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -210,26 +229,36 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
 
     @F.arrow_udf("array<long>")
     def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(words_of(t), shingle).view(np.int64)) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([np.unique(shingle_hashes(words_of(t), shingle).view(np.int64)) for t in values(texts)], pa.list_(pa.int64()))
 
-    small_batches(df.sparkSession)
     rows = df.select(row_key(text, doc_id).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     copies = checkpoint(min_prints(rows, shingle))
-    firsts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
+    firsts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("s").alias("s"))
     firsts = checkpoint(firsts.withColumn("node", F.monotonically_increasing_id()))
-    near = F.expr(f"bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) <= {NEAR_BITS}")
+    near = F.expr(f"bit_count(x.s ^ y.s) <= {NEAR_BITS}")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """node and its shingles; a row may be repeated: one array of each node."""
+        asked = firsts.select("node", "row").join(nodes.distinct(), "node")
+        return rows.join(asked, "row").select("node", shingles("text").alias("s")).groupBy("node").agg(F.first("s").alias("s"))
+
+    def compare(few: DataFrame, many: DataFrame) -> DataFrame:
+        few, many = checkpoint(few), checkpoint(many)
+        sets = checkpoint(sets_of(many.select("node")))
+        by = ["key", "part"]
+        held = lambda df: df.join(sets, "node").select(*by, "node", "component", F.col("s").alias("s"))
+        both = held(few).groupBy(*by).cogroup(held(many).groupBy(*by))
+        return both.applyInPandas(functools.partial(linked, similarity=similarity), "a long, b long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs)
-        asked = firsts.select("node", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-        # a row may be repeated: one array of each node
-        sets = rows.join(asked, "row").select("node", shingles("text").alias("s")).groupBy("node").agg(F.first("s").alias("s"))
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
         return both.filter(F.col("c") >= similarity * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b").distinct()
 
     members = firsts.select("node", F.explode("keys").alias("key"))
-    comp = connected_components(bucket_links(members, near, verify, firsts.select("node", "s0", "s1")))
+    comp = connected_components(bucket_links(members, near, verify, firsts.select("node", "s"), compare))
     named = firsts.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # a digest may hold a third of all rows: documents are dealt by (digest, salt)
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
