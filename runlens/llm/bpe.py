@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
+from .cuts import Recent, cut_texts
 
 #: Fixed value: the byte-level pre-tokenizer's split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words in each of two generations, and token pairs, that a worker keeps at most.
-CACHE, PAIRS = 300_000, 500_000
+#: Chunks and words in each of two generations, and token pairs, that a worker keeps at most.
+CHUNKS, WORDS, PAIRS = 100_000, 250_000, 500_000
+#: Texts that are encoded together.
+AT_ONCE = 1000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,8 +76,10 @@ class Bpe:
                 self.automaton.add_word(t, (k, len(t)))
         self.automaton.make_automaton()
         self.ids = self.id_of.tolist()
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(CHUNKS, self.make_chunks), Recent(WORDS, self.make_words)
+        sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.size_of, self.start_of = sizes, np.cumsum(sizes) - sizes
+        self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
 
     def spine(self, t: int, side: int) -> list[int]:
         """The tokens at one edge of t, from its byte to t itself."""
@@ -130,31 +135,47 @@ class Bpe:
             n -= size[n]
         return out[::-1]
 
-    def plain(self, text: str) -> bytes:
-        """Ids of text without special tokens."""
-        words, kept = self.split(text), self.cache
-        new = {w for w in words if w not in kept}
-        if len(kept) + len(new) > CACHE:  # words that come again move to the new generation
-            self.older, self.cache = kept, (kept := {})
-            new = set(words)
-        for w in new:
-            kept[w] = self.older.get(w) or array("I", self.word(w.encode().decode("latin-1"))).tobytes()
-        return b"".join(map(kept.__getitem__, words))
+    def make_words(self, words: list[str]) -> list[bytes]:
+        return [array("I", self.word(w.encode().decode("latin-1"))).tobytes() for w in words]
+
+    def make_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks: a line break and what follows it, or what follows a space, with the space."""
+        split = self.split
+        parts = [split(c if c[0] == "\n" else " " + c) for c in chunks]
+        ids = self.words(set().union(*parts)).__getitem__
+        return [ids(p[0]) if len(p) == 1 else b"".join(map(ids, p)) for p in parts]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. The chunks of all texts are looked up together."""
+        pieces: list[list] = []  # of each text: texts without special tokens, and ids of these
+        for text in texts:
+            own, at = [], 0
+            if text and self.at_special and "<" in text:
+                for m in self.at_special.finditer(text):
+                    own += [text[at : m.start()], array("I", [self.special[m.group()]]).tobytes()]
+                    at = m.end()
+            own.append(text[at:] if text else "")
+            pieces.append(own)
+        cuts, chunks = cut_texts([p for own in pieces for p in own if isinstance(p, str)])
+        starts = {h: self.split(h) for h in {c[0] for c in cuts}}
+        words = self.words(set().union(*starts.values())).__getitem__
+        first = {h: b"".join(map(words, p)) for h, p in starts.items()}
+        ids, each = self.chunks(chunks).__getitem__, iter(cuts)
+        whole = lambda c: first[c[0]] + b"".join(map(ids, c[1:]))
+        return [b"".join([p if isinstance(p, bytes) else whole(next(each)) for p in own]) for own in pieces]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not (self.at_special and "<" in text):
-            return self.plain(text)
-        out, at = b"", 0
-        for m in self.at_special.finditer(text):
-            out += self.plain(text[at : m.start()]) + array("I", [self.special[m.group()]]).tobytes()
-            at = m.end()
-        return out + self.plain(text[at:])
+        return self.encode_all([text])[0]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids) -> str:
+        return self.raw(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, gathered from one table."""
+        sizes = self.size_of[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start_of[ids] - ends + sizes, sizes)
+        return self.flat[at].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -169,33 +190,47 @@ def encode_column(text: Column | str, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = model(path)
-        parts = [bpe.encode(x) for x in texts.to_pylist()]
+        parts = [p for some in slices(texts, AT_ONCE) for p in bpe.encode_all(some)]
         sizes = np.fromiter((len(p) // 4 for p in parts), dtype=np.int64, count=len(parts))
         offsets = np.zeros(len(parts) + 1, dtype=np.int32)
         np.cumsum(sizes, out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<u4").view(np.int32)))
 
     return encode(text)
 
 
+#: Ids that are decoded together, but for a longer document.
+IDS_AT_ONCE = 200_000
+
+
 def decode_column(ids: Column | str, path: str) -> Column:
     """Text of ids; special tokens stay; bytes that aren't UTF-8 become U+FFFD. Null ids give an empty text."""
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
-        bpe, step = model(path), lists.offsets.to_numpy()
-        values, valid = lists.values.to_numpy(zero_copy_only=False), lists.is_valid().to_numpy(zero_copy_only=False)
-        return pa.array([bpe.decode(values[a:b].tolist()) if ok else "" for a, b, ok in zip(step[:-1], step[1:], valid, strict=True)], pa.string())
+        bpe, step, a, out = model(path), lists.offsets.to_numpy(), 0, []
+        found, valid = lists.values.to_numpy(zero_copy_only=False), lists.is_valid().to_numpy(zero_copy_only=False)
+        while a < len(lists):
+            b = max(a + 1, int(np.searchsorted(step, step[a] + IDS_AT_ONCE, "right")) - 1)
+            part = found[step[a] : step[b]]
+            text = bpe.raw(part)
+            ends = np.concatenate([[0], np.cumsum(bpe.size_of[part])])[step[a : b + 1] - step[a]].tolist()
+            out += [text[i:j].decode("utf-8", "replace") if ok else "" for i, j, ok in zip(ends[:-1], ends[1:], valid[a:b], strict=True)]
+            a = b
+        return pa.array(out, pa.string())
 
     return decode(ids)
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with a column of ids. No shuffle: each task encodes its rows; words are kept between rows in a bounded cache."""
-    small_batches(df.sparkSession)
+    """df with a column of ids, in place of one of that name if there is one.
+
+    No shuffle: each task encodes its rows; chunks and words are kept between rows in bounded tables. Null and empty texts
+    have no ids, repeated rows are each encoded, an empty table stays empty.
+    """
     return df.withColumn(out, encode_column(text, path))
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    small_batches(df.sparkSession)
+    """df with the text of ids, in place of a column of that name; null ids give an empty text."""
     return df.withColumn(out, decode_column(ids, path))
