@@ -10,6 +10,7 @@ name and renamed, so a task that runs again leaves the same files. The folder mu
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterator
 
@@ -19,11 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mounted, small_batches
+from .common import mounted, slices
+from .cuts import Recent, cut_texts
 
 NULL_ID = -(1 << 63)
-#: Chunks (a word after its space) that a worker keeps at most in each of two generations, and parts of chunks.
-CACHE, PARTS = 200_000, 700_000
+#: Chunks and words that a worker keeps at most in each of two generations, and words that are encoded at once.
+CHUNKS, WORDS, AT_ONCE = 100_000, 250_000, 20_000
+#: Texts that are encoded together.
+TEXTS = 1000
 #: Punctuation that may be cut from a word's end.
 TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -31,13 +35,11 @@ TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c)
 class Chunks:
     """Ids of texts by the tokenizers library, which gets every different chunk of a text once.
 
-    A text may be cut before a space that follows no white space and that no white space follows: the byte-level
-    split pattern never matches across such a place. Texts with other spaces go to the library whole.
+    Words of chunks that weren't seen before go to the library as one text, and its ids are dealt to them by their bytes. Texts with
+    special tokens go to it whole, and so do all if the vocabulary's tokens aren't bytes.
     """
 
     def __init__(self, path: str, dtype: str):
-        import re
-
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,61 +47,54 @@ class Chunks:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype(dtype)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile(r" \s| $").search
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, chunk: str) -> list[str]:
-        """Parts of a chunk that share no pre-token: around single line breaks, and before punctuation that ends a word.
-
-        A cut is made only where the split pattern can't match across: between a letter or digit and ASCII punctuation other than
-        an apostrophe, and around a line break that no white space follows.
-        """
-        if any(t in chunk for t in self.special):
-            return [chunk]
-        parts = chunk.split("\n")
-        if len(parts) > 1 and not all(p and not p[0].isspace() for p in parts[1:]):
-            return [chunk]
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = list(special)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.size_of = np.zeros(max([*vocabulary.values(), *special.values()]) + 1, np.int64)
+        for t, i in vocabulary.items():
+            self.size_of[i] = len(t)  # a character of the byte alphabet stands for a byte
+        kind = json.loads(self.library.to_str())
+        first = kind["pre_tokenizer"] or {}
+        self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not kind["normalizer"]
+        self.chunks, self.words, self.tails = Recent(CHUNKS, self.make_chunks), Recent(WORDS, self.make_parts), Recent(10_000, self.make_tails)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def make_parts(self, parts: list[str]) -> list[bytes]:
+        """Encodes parts as one text and cuts its ids where the parts end."""
         out = []
-        for k, part in enumerate(parts):
-            if k:
-                out.append("\n")
-            word = part.rstrip(TAIL)
-            out += [word, part[len(word) :]] if word != part and word[-1:].isalnum() else [part]
+        for a in range(0, len(parts), AT_ONCE):
+            some = parts[a : a + AT_ONCE]
+            ids = self.whole("".join(some))
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in some])
+            at = np.searchsorted(np.cumsum(self.size_of[ids]), ends) + 1
+            raw, at = ids.tobytes(), (np.concatenate([[0], at]) * self.dtype.itemsize).tolist()
+            out += [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
         return out
 
+    def make_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks. Punctuation that ends a word is encoded by itself, as many words come with and without it."""
+        words = [w if w[0] == "\n" else " " + w for w in chunks]
+        bare = [w.rstrip(TAIL) for w in words]
+        bare = [b if b != w and b[-1:].isalnum() else w for b, w in zip(bare, words, strict=True)]
+        tails = [w[len(b) :] for b, w in zip(bare, words, strict=True)]
+        ids, ends = self.words(set(bare)).__getitem__, self.tails({t for t in tails if t})
+        return [ids(b) + ends[t] if t else ids(b) for b, t in zip(bare, tails, strict=True)]
+
+    def make_tails(self, tails: list[str]) -> list[bytes]:
+        return [self.whole(t).tobytes() for t in tails]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. Chunks that are new to all of them are encoded together."""
+        usable = [bool(t) and self.cuts and not any(s in t for s in self.special) for t in texts]
+        cuts, chunks = cut_texts([t for t, ok in zip(texts, usable, strict=True) if ok])
+        ids, each = self.chunks(chunks).__getitem__, iter(cuts)
+        own = lambda c: (self.whole(c[0]).tobytes() if c[0] else b"") + b"".join(map(ids, c[1:]))
+        return [own(next(each)) if ok else self.whole(t).tobytes() if t else b"" for t, ok in zip(texts, usable, strict=True)]
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.odd(text) or any(" " in t and t in text for t in self.special):
-            return self.whole([text])[0]
-        head, *rest = text.split(" ")
-        words = [head, *map(" ".__add__, rest)]
-        kept = self.new
-        missing = {w for w in words if w not in kept}
-        if len(kept) + len(missing) > CACHE:
-            self.old, self.new = kept, (kept := {})
-            missing = set(words)
-        cut = {}
-        for w in missing:
-            if (found := self.old.get(w)) is not None:
-                kept[w] = found
-            else:
-                cut[w] = self.pieces(w)
-        known = self.parts
-        unseen = list({p for own in cut.values() for p in own if p not in known})
-        if len(known) + len(unseen) > PARTS:
-            known.clear()
-            unseen = list({p for own in cut.values() for p in own})
-        known.update(zip(unseen, self.whole(unseen), strict=True))
-        for w, own in cut.items():
-            kept[w] = b"".join(map(known.__getitem__, own))
-        return b"".join(map(kept.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -120,7 +115,6 @@ def write_token_files(df: DataFrame, folder: str, path: str, end_id: int | None
     side. An empty table gives an empty manifest.
     """
     spark, at, dtype = df.sparkSession, mounted(folder), id_type(path)
-    small_batches(spark)
     os.makedirs(at, exist_ok=True)
     end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
 
@@ -135,10 +129,10 @@ def write_token_files(df: DataFrame, folder: str, path: str, end_id: int | None
             offsets.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
                 sizes = []
-                for x in batch.column(1).to_pylist():
-                    found = encoder.encode(x) + end
-                    ids.write(found)
-                    sizes.append(len(found) // width)
+                for some in slices(batch.column(1), TEXTS):
+                    for found in encoder.encode_all(some):
+                        ids.write(found + end)
+                        sizes.append((len(found) + len(end)) // width)
                 offsets.write((position + np.cumsum(sizes, dtype="<i8")).tobytes())
                 docs.write(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 position, n = position + sum(sizes), n + len(sizes)
