@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import values
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 10
 STEP = WINDOW - max(WIDTHS) + 1
@@ -104,13 +104,12 @@ def fit_language_model(df: DataFrame, max_rows: int = 1500, text: str = "text",
 
     None without labelled texts. The driver gets at most max_rows * max_windows windows.
     """
-    small_batches(df.sparkSession)
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, y = [], []
-            for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for label, t in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
                 x, _ = windows(t.encode())
                 pick = np.unique(np.linspace(0, len(x) - 1, max_windows).astype(int))
                 w += [r.tobytes() for r in x[pick]]
@@ -134,7 +133,6 @@ def predict_language(df: DataFrame, model: ByteCnn | None, text: str = "text", o
 
     Null texts, texts without a letter and an absent model give `und` with probability 1.
     """
-    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang string, score double>")

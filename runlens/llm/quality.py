@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import values
 
 DIM = 1 << 18
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -113,10 +113,9 @@ def fit_quality_model(df: DataFrame, grade: str = "grade", grades: int = 3, max_
 
     @F.arrow_udf("struct<i array<int>, v array<float>>")
     def hashed(texts: pa.Array) -> pa.Array:
-        made = [features()(t) for t in texts.to_pylist()]
+        made = [features()(t) for t in values(texts)]
         return pa.StructArray.from_arrays([pa.array([i.astype(np.int32) for i, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32()))], ["i", "v"])
 
-    small_batches(df.sparkSession)
     rated = df.filter(F.col(grade).isNotNull()).select(F.col(key).alias("k"), F.col(grade).cast("int").alias("grade"), F.col(text).cast("string").alias("text"))
     chosen = rated.select("k").orderBy(F.xxhash64("k"), "k").limit(max_rows).distinct()
     got = rated.join(F.broadcast(chosen), "k", "left_semi").select("k", "grade", hashed("text").alias("x")).orderBy("k", "grade").limit(max_rows).toArrow()
@@ -129,12 +128,12 @@ def fit_quality_model(df: DataFrame, grade: str = "grade", grades: int = 3, max_
     return OrdinalModel(grades).fit(i.flatten().to_numpy().astype(np.int64), v.flatten().to_numpy(), ends.astype(np.int64), np.clip(got.column("grade").to_numpy(), 0, grades - 1))
 
 
-def rate_quality(df: DataFrame, model: OrdinalModel | None, text: str = "text") -> DataFrame:
-    """df with expected_grade and tail_probability, P(highest grade).
+def rate_quality(df: DataFrame, model: OrdinalModel | None, text: str = "text", expected: str = "expected_grade", tail: str = "tail_probability") -> DataFrame:
+    """df with the expected grade and the tail probability, P(highest grade), in place of columns of these names.
 
     Without a model every row gets the highest grade 0 with probability 1, so nothing is rejected. Null texts are empty ones.
+    Repeated rows are rated alike; an empty table stays empty.
     """
-    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<expected double, tail double>")
@@ -143,14 +142,14 @@ def rate_quality(df: DataFrame, model: OrdinalModel | None, text: str = "text")
         if model is None:
             return pa.StructArray.from_arrays([pa.array(np.zeros(len(texts))), pa.array(np.ones(len(texts)))], ["expected", "tail"])
         s = np.zeros(len(texts))
-        for k, t in enumerate(texts.to_pylist()):
+        for k, t in enumerate(values(texts)):
             i, v = features()(t)
             s[k] = float(model.w[i] @ v)
         p = model.tails(s)
         return pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, -1])], ["expected", "tail"])
 
     out = df.withColumn("__r", rate(F.col(text).cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("expected_grade", "tail_probability")], F.col("__r.expected").alias("expected_grade"), F.col("__r.tail").alias("tail_probability"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in (expected, tail)], F.col("__r.expected").alias(expected), F.col("__r.tail").alias(tail))
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,6 +168,10 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
 CUT = 0.5
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """docs with expected_grade, tail_probability and keep, by a model fitted on the labelled ones."""
-    return rate_quality(docs, fit_quality_model(graded(docs, labels))).withColumn("keep", F.col("tail_probability") >= cut)
+def select_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, expected: str = "expected_grade", tail: str = "tail_probability", keep: str = "keep") -> DataFrame:
+    """docs with the expected grade, the tail probability and whether to keep, by a model fitted on the labelled ones.
+
+    The three come in place of columns of their names, which callers may choose. A probability equal to the cut is kept.
+    Repeated rows are rated alike. Without labels all are kept; an empty table stays empty.
+    """
+    return rate_quality(docs, fit_quality_model(graded(docs, labels)), expected=expected, tail=tail).withColumn(keep, F.col(tail) >= cut)

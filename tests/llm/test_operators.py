@@ -1,10 +1,12 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -65,51 +67,75 @@ def components(n, links):
 # 1 mixing
 
 
-def test_frames_keep_within_one_block():
+def edf(weights, left):
+    """Slot by slot, by exact fractions: the released block with the earliest deadline, ties to the first source."""
+    out, done, base = [], [0] * len(left), 0
+    while any(n - d for n, d in zip(left, done)):
+        active = [i for i, n in enumerate(left) if n - done[i]]
+        total, begun, t = sum(weights[i] for i in active), [0] * len(left), 0
+        while all(n > done[i] + begun[i] for i, n in enumerate(left) if i in active):
+            ready = [i for i in active if math.floor(begun[i] * total / weights[i]) <= t]
+            i = min(ready, key=lambda i: (math.ceil((begun[i] + 1) * total / weights[i]), i))
+            out.append(i)
+            begun[i] += 1
+            t += 1
+        for i in active:
+            done[i] += begun[i]
+    return out
+
+
+def ordered(rows):
+    """Slot -> (source, block)."""
+    return {t: (source, b) for source, _, first, end, slots in rows for b, t in zip(range(first, end), slots, strict=True)}
+
+
+def test_schedule_equals_brute_force():
     rnd = random.Random(3)
-    for _ in range(60):
-        n, frame = rnd.randint(1, 30), rnd.choice([64, 100, 257])
-        quota = mixing.shares([rnd.random() ** 3 + 1e-3 for _ in range(n)], frame)
-        assert sum(quota) == frame and min(quota) >= 1
-        slots = mixing.frame_slots(quota)
-        assert sorted(s for x in slots for s in x) == list(range(frame))
-        for q, own in zip(quota, slots):
-            for t in range(frame + 1):
-                assert abs(sum(s < t for s in own) - t * q / frame) < 1
-
-
-def test_schedule_matches_slot_by_slot_simulation():
-    rows = mixing.schedule([("a", 700, 3.0), ("b", 150, 2.0), (None, 90, 1.0), ("d", 0, 1.0)], 64)
-    taken = {}
-    for source, first, end, base, frame, slots in rows:
-        for b in range(first, end):
-            j = b - first
-            taken[base + j // len(slots) * frame + slots[j % len(slots)]] = (source, b)
-    assert sorted(taken) == list(range(940))
-    assert {s: sum(1 for x in taken.values() if x[0] == s) for s in ("a", "b", None)} == {"a": 700, "b": 150, None: 90}
-    for s in ("a", "b", None):
-        order = [taken[t][1] for t in sorted(taken) if taken[t][0] == s]
-        assert order == sorted(order)
-
-
-def test_schedule_keeps_within_one_block_of_target_weights():
-    weights = [9.5, *[1.0] * 19]  # the first has a third
-    rows = mixing.schedule([(f"s{i}", 40_000 if i == 0 else 2_500, w) for i, w in enumerate(weights)], 4096)
-    order = {base + slots[b - first]: source for source, first, end, base, _, slots in rows for b in range(first, end)}
-    assert sorted(order) == list(range(40_000 + 19 * 2_500))
-    taken, total = dict.fromkeys((f"s{i}" for i in range(20)), 0), sum(weights)
-    for t in range(30_000):  # before any source is used up
-        taken[order[t]] += 1
-        if t % 97 == 0:
-            assert all(abs(taken[f"s{i}"] - (t + 1) * w / total) < 1 + 1e-6 for i, w in enumerate(weights)), t
-    zero = mixing.schedule([("a", 3, 1.0), ("z", 2, 0.0)], 64)
-    assert [(r[0], r[3], r[5]) for r in zero] == [("a", 0, [0, 1, 2]), ("z", 3, [0, 1])]
+    for _ in range(40):
+        n = rnd.randint(1, 9)
+        left, weights = [rnd.randint(1, 60) for _ in range(n)], [Fraction(rnd.randint(1, 50), rnd.randint(1, 9)) for _ in range(n)]
+        got = ordered(mixing.schedule([(f"s{i}", left[i], weights[i]) for i in range(n)], rnd.choice([1, 7, 64])))
+        want = edf(weights, left)
+        assert [got[t][0] for t in range(len(want))] == [f"s{i}" for i in want] and len(got) == len(want)
+        for i in range(n):
+            assert [b for _, (s, b) in sorted(got.items()) if s == f"s{i}"] == list(range(left[i]))
+
+
+@pytest.mark.parametrize("weights", [[0.7, 0.2, 0.05, 0.03, 0.02], [1 / (k + 1) ** 2 for k in range(300)], [9.5, *[1.0] * 19]])
+def test_schedule_keeps_within_one_block_of_target_weights(weights):
+    total, slots = sum(map(Fraction, weights)), 100_000
+    got = ordered(mixing.schedule([(i, math.ceil(slots * w / total) + 2, w) for i, w in enumerate(weights)], 4096))
+    taken = [0] * len(weights)
+    for t in range(slots):
+        taken[got[t][0]] += 1
+        if t % 997 == 0 or t == slots - 1:
+            assert all(abs(n - (t + 1) * Fraction(w) / total) < 1 for n, w in zip(taken, weights)), t
+
+
+def test_schedule_of_weight_zero():
+    assert [(r[0], r[4]) for r in mixing.schedule([("a", 3, 1.0), ("z", 2, 0.0)], 64)] == [("a", [0, 1, 2]), ("z", [3, 4])]
+
+
+def test_mixing_query_equals_brute_force(spark):
+    """The query's slots are those of the slot-by-slot schedule of the sources' blocks, whatever the rows' order in a source."""
+    out = queries.op1_mixing(spark, SF).collect()
+    sizes = Counter()
+    for _, text, _, source in DOCS:
+        sizes[source] += max(1, len(text or ""))
+    names = sorted(sizes, key=lambda s: (s is not None, s or ""))
+    want = edf([Fraction(float(sizes[s]) ** 0.5) for s in names], [-(-sizes[s] // mixing.BLOCK) for s in names])
+    count, slots = Counter(), {}
+    for t, i in enumerate(want):
+        slots[names[i], count[i]] = t
+        count[i] += 1
+    assert len(out) == len(DOCS)
+    assert all(r["slot"] == slots[r["source"], r["source_block"]] for r in out)
 
 
 def test_mixing_of_many_sources(spark):
-    docs = spark.range(3 * 1200).selectExpr("id AS doc_id", "concat('s', id % 1200) AS source", "'some text' AS text")
+    docs = spark.range(3 * 5000).selectExpr("id AS doc_id", "concat('s', id % 5000) AS source", "'some text' AS text")
     out = mixing.mix_sources(docs, block=9).select("source", "__slot").collect()
-    assert sorted(r["__slot"] for r in out) == list(range(3600)) and len({r["source"] for r in out}) == 1200
+    assert sorted(r["__slot"] for r in out) == list(range(15_000)) and len({r["source"] for r in out}) == 5000
 
 
 def test_mixing_keeps_rows_and_shares(spark, odd, empty):
@@ -212,13 +238,47 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty, F.lit("/x")).count() == 0
 
 
+HEADERS = {
+    "MIT License": "MIT",
+    "The MIT License (MIT)": "MIT",
+    "_MIT License_": "MIT",
+    "// SPDX-License-Identifier: MIT": "MIT",
+    "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+    'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:': "MIT",
+    '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0': "Apache-2.0",
+    " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.": "GPL-3.0",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991": "GPL-2.0",
+    "GNU GENERAL PUBLIC LICENSE": "GPL",
+    "GNU LESSER GENERAL PUBLIC LICENSE": "LGPL",
+    "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.": "BSD-3-Clause",
+    "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */": "MPL-2.0",
+    "ISC License": "ISC",
+    "Boost Software License - Version 1.0 - August 17th, 2003": "BSL-1.0",
+    "License": None,
+    "See the licence of the project for more.": None,
+    "Lizenz mit Bedingungen": None,
+    "This program is software that counts words": None,
+}
+
+
+def test_headers_as_they_stand_in_files(spark):
+    filler = [(1000 + k, f"/d/{k}.py", f"def f{k}():\n\n    return the of this program to {k}") for k in range(60)]
+    rows = [(k, f"/h/{k}/x.py", f"#!/bin/sh\n\n{text}\n\nint main() {{}}") for k, text in enumerate(HEADERS)]
+    df = spark.createDataFrame(rows + filler, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["licence"] for r in licenses.scan_licenses(df, F.col("path")).collect() if r["doc_id"] < 1000}
+    assert {text: got[k] for k, text in enumerate(HEADERS)} == HEADERS
+
+
 def test_anchors_lose_nothing():
     idf, unknown, vectors, anchors = licenses.weigh(1000, {"the": 900, "of": 800, "under": 500, "this": 700, "work": 10})
-    by = defaultdict(dict)
-    for name, k, t, w in vectors:
+    by, named = defaultdict(dict), defaultdict(set)
+    for name, k, t, w, is_name in vectors:
         by[name, k][t] = w
-    for own in by.values():
-        assert sum(w * w for t, w in own.items() if t not in anchors) < licenses.THRESHOLD**2
+        if is_name:
+            named[name, k].add(t)
+    for key, own in by.items():  # a unit without anchors lacks a name or is too far away
+        assert named[key] & set(anchors) or sum(w * w for t, w in own.items() if t not in anchors) < licenses.THRESHOLD**2
 
 
 # 4 neighbours
@@ -256,31 +316,9 @@ def test_neighbours_copies_and_odd_rows(spark):
 # 5 lines
 
 
-def brute_lines(docs, least):
-    seen, order = {}, sorted(docs, key=lambda d: d[0])
-    runs = []
-    for d, t in order:
-        body = [(k, x.split()) for k, x in enumerate((t or "").encode().split(b"\n")) if x.split()]
-        for i in range(len(body)):
-            n, e = 0, i
-            while e < len(body) and n < least:
-                n += len(body[e][1])
-                e += 1
-            if n >= least:
-                key = tuple(tuple(w) for _, w in body[i:e])
-                seen.setdefault(key, (d, body[e - 1][0]))
-                runs.append((key, d, body[i][0], body[e - 1][0]))
-    gone = defaultdict(set)
-    for key, d, a, b in runs:
-        first, end = seen[key]
-        if first != d or a > end:
-            gone[d] |= set(range(a, b + 1))
-    return gone
-
-
 def test_lines_equal_brute_force(spark, odd, empty):
     docs = [(d, t) for d, t, *_ in DOCS]
-    gone = brute_lines(docs, 50)
+    gone = whole_matches(docs, 50)
     assert sum(map(len, gone.values())) > 50
     got = {r["doc_id"]: r for r in queries.op5_lines(spark, SF).collect()}
     for d, t in docs:
@@ -509,11 +547,53 @@ def test_quality_on_held_out(spark, odd, empty):
     junk = [r["tail_probability"] >= quality.CUT for r in out if r["grade"] == 1]
     assert np.mean(good) > 0.95 and np.mean(junk) < 0.35
     assert all(0 <= r["expected_grade"] <= 2 for r in out)
+    own = corpus_pipeline.quality(spark, odd.withColumn("expected_grade", F.lit("mine")).withColumn("__keep", F.lit("too")), SF)
+    assert {(r["keep"], r["expected_grade"], r["__keep"]) for r in own.filter("doc_id = 1").collect()} <= {("y", "mine", "too")} and own.columns == [*odd.columns, "expected_grade", "__keep"]
     none = quality.select_quality(odd, labels.limit(0))
     assert none.filter("keep").count() == len(ODD) and quality.select_quality(empty, labels).count() == 0
     assert quality.select_quality(odd, labels).count() == len(ODD)
 
 
+def test_quality_model_equals_plain_likelihood():
+    """Tails of the model are the sums of its grades' probabilities, and its fit lowers the mean negative log-likelihood that loops compute."""
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(rnd.choice(["good", "fine", "bad", "junk", "the", "of"], 12, p=p)) for p in ([0.3, 0.3, 0.05, 0.05, 0.15, 0.15], [0.05, 0.05, 0.3, 0.3, 0.15, 0.15]) for _ in range(40)]
+    grade = np.array([2] * 40 + [0] * 20 + [1] * 20)
+    made = [quality.features()(t) for t in texts]
+    index, value = np.concatenate([i for i, _ in made]), np.concatenate([v for _, v in made])
+    ends = np.cumsum([len(i) for i, _ in made])
+
+    def loss(model):
+        total = 0.0
+        for (i, v), y in zip(made, grade):
+            s = sum(float(model.w[a]) * float(b) for a, b in zip(i, v))
+            cut = [-math.inf, *model.t.tolist(), math.inf]
+            below = [0.0 if c == -math.inf else 1.0 if c == math.inf else 1 / (1 + math.exp(s - c)) for c in cut]
+            probabilities = [below[k + 1] - below[k] for k in range(3)]
+            tail = model.tails(np.array([s]))[0]
+            assert abs(sum(probabilities) - 1) < 1e-9 and abs(tail[0] - probabilities[1] - probabilities[2]) < 1e-6 and abs(tail[1] - probabilities[2]) < 1e-6
+            total -= math.log(max(probabilities[y], 1e-9))
+        return total / len(made)
+
+    start = loss(quality.OrdinalModel(3))
+    model = quality.OrdinalModel(3).fit(index, value, ends, grade, epochs=15, batch=20)
+    assert loss(model) < 0.6 * start and model.t[0] <= model.t[1]
+
+
+def test_language_network_equals_loops():
+    from runlens.llm import language
+
+    net = language.ByteCnn(["a", "b"], seed=5)
+    x, _ = language.windows(("Das ist ein Text. " * 3).encode())
+    e, w, out = net.p["e"], net.p["w"].reshape(max(language.WIDTHS), language.EMBED, -1), []
+    for f in range(w.shape[2]):
+        best = max(sum(float(e[x[0, at + o]] @ w[o, :, f]) for o in range(w.shape[0])) for at in range(x.shape[1] - w.shape[0] + 1))
+        out.append(max(0.0, best + float(net.p["b"][f])))
+    z = [sum(h * float(u) for h, u in zip(out, net.p["u"][:, c])) + float(net.p["c"][c]) for c in range(2)]
+    want = np.exp(np.array(z) - max(z)) / np.exp(np.array(z) - max(z)).sum()
+    assert np.allclose(net.predict(x)[0], want, atol=1e-4)
+
+
 # pipeline
 
 
