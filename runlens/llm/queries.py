@@ -17,8 +17,12 @@ from .lines import dedup_lines
 from .mixing import mix_sources
 from .neighbours import nearest_neighbours
 from .quality import select_quality
+from .search import lexical_sql, ranked_search
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .token_files import read_token_files, write_token_files
+from .urls import RULES, filter_urls
+from .urls import SQL as URL_SQL
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -89,9 +93,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "expected_grade", "tail_probability", "keep")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), one_in=97)
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_licenses, op4_neighbours, op5_lines, op6_language, op7_token_files, op8_simhash, op9_fingerprints, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_licenses, op4_neighbours, op5_lines, op6_language, op7_token_files, op8_simhash, op9_fingerprints, op10_quality, op11_search, op12_spelling, op13_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licence_sql()}
+    return {"op3_licenses": licence_sql(), "op11_search": lexical_sql(), "op13_urls": URL_SQL}
