@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import rendered
 from ..functions.graph import settled
 from ..operators import resolution as R
+from ..operators import typed_graph as G
+from .published import kept
 
 K = F.col("p_partkey")
 
@@ -167,6 +169,110 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints(spark, sf_dir).select("node", instance.alias("instance"), F.nullif(scope, F.lit("")).alias("scope"))
 
 
+def graph_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of the endpoints, of four types, with what views are filtered by."""
+    own = assets_by_name(spark, sf_dir).groupBy("asset").agg(F.min("node").alias("n"), F.count_distinct(F.col("node") % 3).alias("sources"))
+    kind = F.element_at(F.array(*map(F.lit, ("sql_query", "python_function", "table", "path"))), (F.col("n") % 4 + 1).cast("int"))
+    return own.select("asset", kind.alias("asset_type"), "sources", text("conn-", F.col("n") % 9).alias("connection_name"), F.when(F.col("n") % 2 == 0, "delta").alias("format"), F.when(F.col("n") % 3 == 0, "table").otherwise("file").alias("endpoint_kind"), F.when(F.col("n") % 5 == 0, "discovered_only").otherwise("declared").alias("declaration_status"))
+
+
+def graph_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataflow from each endpoint to the next, some to one that isn't there, and some ids of two."""
+    own = settled(assets_by_name(spark, sf_dir).select("node", "asset"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(K.alias("position"))
+    n = F.col("position")
+    ends = part.join(own.select(F.col("node").alias("position"), F.col("asset").alias("source")), "position", "left").join(own.select((F.col("node") - 1).alias("position"), F.col("asset").alias("target")), "position", "left")
+    gone = lambda c: F.coalesce(c, F.lit("asset:none"))
+    return ends.select("position", (n % 3).alias("source_id"), text("f", n - F.when(n % 9 == 4, 1).otherwise(0)).alias("dataflow_id"), text("flow ", n).alias("name"), gone("source").alias("source"), gone("target").alias("target"), F.when(n % 3 == 0, "silver").when(n % 3 == 1, "bronze").alias("stage"))
+
+
+def graph_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolved references of the dataflows, each fourth of them seen twice."""
+    n = F.col("reference")
+    own = settled(mapped(spark, sf_dir).withColumns({"dataflow": n, "provenance": F.when(n % 3 == 0, "sql").when(n % 3 == 1, "python_sql").otherwise("python_ast"), "location": F.when(n % 2 == 0, F.lit('{"line": 1}'))}))
+    return own.unionByName(own.filter(n % 4 == 0).withColumn("reference", n + 100_000_000))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The typed graph, published for the session like the facts, anew if the parts' files change."""
+    return kept(spark, "typed graph", f"{sf_dir}/part.parquet", lambda: G.build(settled(graph_assets(spark, sf_dir)), graph_flows(spark, sf_dir), graph_evidence(spark, sf_dir)))
+
+
+GRAPH = r"""ga AS (SELECT asset, ['sql_query', 'python_function', 'table', 'path'][MIN(k) % 4 + 1] AS asset_type, COUNT(DISTINCT k % 3) AS sources, 'conn-' || MIN(k) % 9 AS connection_name, CASE WHEN MIN(k) % 2 = 0 THEN 'delta' END AS format, CASE WHEN MIN(k) % 3 = 0 THEN 'table' ELSE 'file' END AS endpoint_kind, CASE WHEN MIN(k) % 5 = 0 THEN 'discovered_only' ELSE 'declared' END AS declaration_status FROM an GROUP BY 1),
+ gf0 AS (SELECT p.p_partkey AS position, p.p_partkey % 3 AS source_id, 'f' || p.p_partkey - CASE WHEN p.p_partkey % 9 = 4 THEN 1 ELSE 0 END AS dataflow_id, COALESCE(a.asset, 'asset:none') AS source, COALESCE(b.asset, 'asset:none') AS target, ['silver', 'bronze', NULL::VARCHAR][p.p_partkey % 3 + 1] AS stage FROM part p LEFT JOIN an a ON a.k = p.p_partkey LEFT JOIN an b ON b.k = p.p_partkey + 1),
+ gf AS (SELECT *, 'dataflow:' || sha1(source_id || ':' || dataflow_id || ':' || source || ':' || target || ':occurrence:' || row_number() OVER (PARTITION BY source_id, dataflow_id, source, target ORDER BY position) - 1)[1:20] AS id FROM gf0),
+ ge0 AS (SELECT mv.*, ri.reference_type, ri.normalized_value, ri.reference_id, ri.context_scope, ri.addressing_mode, ri.qualification_level, gf.source AS reader, gf.dataflow_id, COALESCE(mv.asset = gf.source, false) AS self, CASE reference % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'python_sql' ELSE 'python' END AS provenance, CASE WHEN reference % 2 = 0 THEN '{"line": 1}' ELSE '' END AS location,
+   CASE WHEN reference % 8 < 5 THEN 's' || reference % 3 || '.t' || reference % 43 WHEN reference % 8 = 5 THEN 's3a://bucket//x/' || reference % 60 || '//' WHEN reference % 8 = 6 THEN 'get https://api.host' || reference % 3 || '/v1/?x=1' ELSE 'load(  path' || reference % 9 || ')' END AS raw,
+   CASE WHEN reference % 8 = 4 THEN 'cat|db' || reference % 4 || '|s' || reference % 3 WHEN reference % 8 > 1 THEN '||s' || reference % 3 ELSE '||' END AS place FROM mv JOIN ri USING (reference) JOIN gf ON gf.position = reference),
+ ge1 AS (SELECT * REPLACE (CASE WHEN self THEN 'unresolved' ELSE state END AS state, CASE WHEN self THEN 'no_match' ELSE reason END AS reason, CASE WHEN self THEN 'self_reference_rejected' ELSE method END AS method, CASE WHEN NOT self THEN asset END AS asset),
+   'reference-occurrence:' || sha1(CASE WHEN reference_type = 'unknown' THEN reference_id || ':' || reader || ':' || provenance || ':' || raw ELSE concat_ws(':', reader, reference_id, provenance, raw, place, location, COALESCE(context_scope, ''), CASE WHEN context_scope IS NULL THEN '' WHEN reference_type = 'table_reference' THEN 'metadata_context' ELSE 'detected' END, addressing_mode, qualification_level) END)[1:20] AS occurrence_id,
+   list_position(['target_missing', 'conflicting_targets', 'multiple_matches', 'out_of_scope', 'incomplete', 'no_match'], COALESCE(CASE WHEN self THEN 'no_match' ELSE reason END, 'incomplete')) AS rank FROM ge0),
+ ge AS (SELECT * FROM ge1 UNION ALL SELECT * REPLACE (reference + 100000000 AS reference) FROM ge1 WHERE reference % 4 = 0),
+ go AS (SELECT occurrence_id, arg_min(reference_id, reference) AS reference_id, arg_min(reference_type, reference) AS reference_type, arg_min(normalized_value, reference) AS normalized_value, arg_min(provenance, reference) AS provenance, arg_min(reader, reference) AS reader, arg_min(method, reference) AS method, CASE WHEN BOOL_OR(state = 'unresolved') THEN 'unresolved' WHEN BOOL_OR(state = 'manual') THEN 'manual' ELSE 'automatic' END AS state,
+   arg_min(reason, rank) FILTER (state = 'unresolved') AS reason, arg_min(asset, reference) FILTER (asset IS NOT NULL) AS asset, arg_max(asset, reference) FILTER (asset IS NOT NULL) AS latest, COUNT(*) AS seen FROM ge GROUP BY 1),
+ gd0 AS (SELECT 'dependency:' || sha1('reference:' || occurrence_id || ':' || reader || ':reads')[1:20] AS id, COALESCE(latest, reference_id) AS source, reader AS target, provenance, state, reason, method, reference_id, occurrence_id, latest AS asset FROM go),
+ gb AS (SELECT 'dangling_dataflow' AS code, 'error' AS severity, id AS subject FROM gf WHERE source NOT IN (SELECT asset FROM ga) OR target NOT IN (SELECT asset FROM ga)
+   UNION ALL SELECT CASE WHEN t.asset IS NULL OR (d.asset IS NOT NULL AND o.asset IS NULL) THEN 'dangling_dependency' ELSE 'invalid_dependency_target' END, 'error', id FROM gd0 d LEFT JOIN ga t ON t.asset = d.target LEFT JOIN ga o ON o.asset = d.asset WHERE t.asset IS NULL OR (d.asset IS NOT NULL AND o.asset IS NULL) OR t.asset_type NOT IN ('sql_query', 'python_function')),
+ gd AS (SELECT * FROM gd0 WHERE id NOT IN (SELECT subject FROM gb)), gv AS (SELECT * FROM gf WHERE id NOT IN (SELECT subject FROM gb)),
+ gx AS (SELECT * FROM gb UNION ALL SELECT 'dependency_' || reason, CASE WHEN reason IN ('multiple_matches', 'target_missing') THEN 'warning' ELSE 'info' END, occurrence_id FROM ge WHERE asset IS NULL AND reference_type <> 'unknown'
+   UNION ALL SELECT 'dependency_self_reference', 'warning', occurrence_id FROM ge WHERE self UNION ALL SELECT 'dataflow_identity_conflict', 'warning', dataflow_id FROM gf GROUP BY dataflow_id HAVING COUNT(DISTINCT source || ' ' || target) > 1),
+ gs AS (SELECT reference_id, COUNT(*) AS n, CASE WHEN COUNT(DISTINCT asset) <> 1 OR BOOL_OR(state = 'unresolved') THEN 'unresolved' WHEN BOOL_OR(state = 'manual') THEN 'manual' ELSE 'automatic' END AS state,
+   CASE WHEN COUNT(DISTINCT asset) > 1 THEN 'conflicting_targets' WHEN BOOL_OR(state = 'unresolved') THEN arg_min(reason, list_position(['target_missing', 'conflicting_targets', 'multiple_matches', 'out_of_scope', 'incomplete', 'no_match'], reason)) FILTER (state = 'unresolved') END AS reason, CASE WHEN COUNT(DISTINCT asset) = 1 THEN MIN(asset) END AS asset FROM gd GROUP BY 1),
+ gr AS (SELECT o.reference_id, MIN(reference_type) AS reference_type, MIN(normalized_value) AS normalized_value, COUNT(*) AS occurrence_count, COUNT(DISTINCT reader) AS consumer_count, COALESCE(ANY_VALUE(n), 0) AS dependency_count, array_to_string(list_sort(list_distinct(list(provenance))), ',') AS provenances, COALESCE(ANY_VALUE(gs.state), 'unresolved') AS state, CASE WHEN ANY_VALUE(gs.state) IS NULL THEN 'no_match' ELSE ANY_VALUE(gs.reason) END AS reason, ANY_VALUE(gs.asset) AS asset FROM go o LEFT JOIN gs USING (reference_id) GROUP BY 1),
+ ge2 AS (SELECT id, source, target, 'dataflow' AS type, stage, NULL::VARCHAR AS asset, NULL::VARCHAR AS state FROM gv UNION ALL SELECT id, source, target, 'dependency', NULL::VARCHAR, asset, state FROM gd)"""
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    return settled(G.relations(g["dataflows"], g["dependencies"]))
+
+
+def view(spark: SparkSession, sf_dir: str, direction: str, filters: dict[str, list[str]] | None = None, focus: str | None = None) -> DataFrame:
+    """What shows from the first assets that have a certain stage's dataflows, each a view of its own, or of the whole graph."""
+    edges, assets = relations(spark, sf_dir), settled(graph_assets(spark, sf_dir))
+    seeds = None
+    if focus == "asset":
+        seeds = assets.filter("connection_name = 'conn-3'").select(F.col("asset").alias("label"), F.lit("asset").alias("kind"), F.col("asset").alias("focus"))
+    elif focus:
+        seeds = edges.filter((F.col("type") == focus) & F.col("id").like("%:a%")).select(F.lit("all").alias("label"), F.lit(focus).alias("kind"), F.col("id").alias("focus"))
+    return G.visible(edges, assets, seeds, direction, filters)
+
+
+def view_sql(direction: str, test: str = "", seeds: str = "", shown: bool = False) -> str:
+    """A walk by nodes within labels, twice where relations are filtered."""
+    open_ = "ge2" if shown else "(SELECT * FROM ge2 WHERE type = 'dataflow' OR asset IS NOT NULL)"
+    ways = [(a, b) for a, b, d in (("target", "source", "upstream"), ("source", "target", "downstream")) if direction in (d, "both")]
+
+    def walk(name: str, at: str, rel: str) -> str:
+        """Relations on the ways from the starts (label, up, down) at `at`, over rel (label or null, id, source, target)."""
+        parts = [f"{name}{i} AS (SELECT label, {'up' if here == 'target' else 'down'} AS node FROM {at} UNION SELECT w.label, r.{there} FROM {name}{i} w JOIN {rel} r ON r.{here} = w.node AND (r.label IS NULL OR r.label = w.label))" for i, (here, there) in enumerate(ways)]
+        found = " UNION ".join(f"SELECT w.label, r.id FROM {name}{i} w JOIN {rel} r ON r.{here} = w.node AND (r.label IS NULL OR r.label = w.label)" for i, (here, _) in enumerate(ways))
+        return ", ".join([*parts, f"{name} AS ({found})"])
+
+    ctes = [f"op AS (SELECT NULL::VARCHAR AS label, * FROM {open_})"]
+    if seeds:
+        ctes += [f"st AS ({seeds})", walk("wk", "st", "op"), "scp AS (SELECT * FROM wk UNION SELECT label, id FROM st WHERE id IS NOT NULL)"]
+    else:
+        ctes.append("scp AS (SELECT '0' AS label, id FROM op)")
+    if test:
+        ctes += [f"sd AS (SELECT s.label, r.id, r.source AS up, r.target AS down FROM scp s JOIN op r USING (id) LEFT JOIN ga a ON a.asset = r.source LEFT JOIN ga b ON b.asset = r.target WHERE {test})", "ins AS (SELECT s.label, r.id, r.source, r.target FROM scp s JOIN op r USING (id))", walk("wz", "sd", "ins"), "fin AS (SELECT * FROM wz UNION SELECT label, id FROM sd)"]
+    last = "fin" if test else "scp"
+    return f"WITH RECURSIVE {ENDPOINTS}, {REFERENCES}, {INDEX}, {MAPPINGS}, {GRAPH}, {', '.join(ctes)} SELECT DISTINCT label, id FROM {last}"
+
+
+ON_ASSETS = "SELECT asset AS label, asset AS up, asset AS down, NULL AS id FROM ga WHERE connection_name = 'conn-3'"
+ON_RELATIONS = "SELECT 'all' AS label, source AS up, target AS down, id FROM ge2 WHERE type = '{}' AND id LIKE '%:a%'"
+
+
+def typed(columns: str, table: str) -> str:
+    return f"WITH {ENDPOINTS}, {REFERENCES}, {INDEX}, {MAPPINGS}, {GRAPH} SELECT {columns} FROM {table}"
+
+
+FLOW = "id, position, source_id, dataflow_id, source, target, stage"
+OCCURRENCE = "occurrence_id, reference_id, reference_type, normalized_value, provenance, reader, method, state, reason, asset, seen"
+DEPENDENCY = "id, source, target, provenance, state, reason, method, reference_id, occurrence_id, asset"
+REFERENCE = "reference_id, reference_type, normalized_value, occurrence_count, consumer_count, dependency_count, provenances, state, reason, asset"
+COUNTS = ", ".join(["(SELECT COUNT(*) FROM ga) AS assets, (SELECT COUNT(*) FROM ga WHERE sources > 1) AS stitched_assets, (SELECT COUNT(*) FROM gr) AS references, (SELECT COUNT(*) FROM gv) AS dataflows, (SELECT COUNT(*) FROM gd) AS dependencies, (SELECT COUNT(*) FROM gx) AS diagnostics", *[f"(SELECT COUNT(*) FROM {t} WHERE state = '{x}') AS {x}_{n}" for t, n in (("gr", "references"), ("gd", "dependencies")) for x in ("automatic", "manual", "unresolved")]])
 IDENTITY = ["reference", "reference_type", "normalized_value", "reference_id", "context_scope", "addressing_mode", "qualification_level"]
 listed = lambda c: F.array_join(c, ",")
 
@@ -178,6 +284,18 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "l13_resolution_cascade": (lambda s, d: resolved(s, d).select(*RESOLVED, listed("candidates").alias("candidates")), f"WITH {ENDPOINTS}, {REFERENCES}, {INDEX} SELECT {', '.join(RESOLVED)}, array_to_string(candidates, ',') AS candidates FROM rv"),
     "l14_map_references": (lambda s, d: mapped(s, d).select(*RESOLVED, "mapping", "mapping_status"), f"WITH {ENDPOINTS}, {REFERENCES}, {INDEX}, {MAPPINGS} SELECT {', '.join(RESOLVED)}, mapping, mapping_status FROM mv"),
     "l16_group_resolution": (lambda s, d: R.group_resolution(mapped(s, d), ["reference_id"]), f"WITH {ENDPOINTS}, {REFERENCES}, {INDEX}, {MAPPINGS}, mw AS (SELECT mv.*, ri.reference_id, list_position(['target_missing', 'conflicting_targets', 'multiple_matches', 'out_of_scope', 'incomplete', 'no_match'], COALESCE(mv.reason, 'incomplete')) AS rank FROM mv JOIN ri USING (reference)) SELECT reference_id, COUNT(*) AS occurrences, CASE WHEN COUNT(DISTINCT asset) <> 1 OR BOOL_OR(state = 'unresolved') THEN 'unresolved' WHEN BOOL_OR(state = 'manual') THEN 'manual' ELSE 'automatic' END AS state, CASE WHEN COUNT(DISTINCT asset) > 1 THEN 'conflicting_targets' WHEN BOOL_OR(state = 'unresolved') THEN arg_min(reason, rank) FILTER (state = 'unresolved') END AS reason, CASE WHEN COUNT(DISTINCT asset) = 1 THEN MIN(asset) END AS asset FROM mw GROUP BY 1"),
+    "l15_typed_dataflows": (lambda s, d: graph(s, d)["dataflows"].select(*FLOW.split(", ")), typed(FLOW, "gv")),
+    "l15_occurrences": (lambda s, d: graph(s, d)["occurrences"].select(*OCCURRENCE.split(", ")), typed(OCCURRENCE, "go")),
+    "l15_dependencies": (lambda s, d: graph(s, d)["dependencies"].select(*DEPENDENCY.split(", ")), typed(DEPENDENCY, "gd")),
+    "l15_references": (lambda s, d: graph(s, d)["references"].withColumn("provenances", listed("provenances")).select(*REFERENCE.split(", ")), typed(REFERENCE, "gr")),
+    "l17_graph_diagnostics": (lambda s, d: graph(s, d)["diagnostics"].select("code", "severity", "subject"), typed("code, severity, subject", "gx")),
+    "l18_typed_summary": (lambda s, d: G.summary(graph(s, d), graph_assets(s, d)), typed(COUNTS, "(SELECT 1)")),
+    "l19_view_of_assets": (lambda s, d: view(s, d, "downstream", None, "asset"), view_sql("downstream", "", ON_ASSETS, True)),
+    "l19_view_of_dataflows": (lambda s, d: view(s, d, "upstream", None, "dataflow"), view_sql("upstream", "", ON_RELATIONS.format("dataflow"), True)),
+    "l19_view_of_dependencies": (lambda s, d: view(s, d, "both", None, "dependency"), view_sql("both", "", ON_RELATIONS.format("dependency"), True)),
+    "l19_view_by_connection": (lambda s, d: view(s, d, "upstream", {"connections": ["conn-1", "conn-2"]}).withColumn("label", F.col("label").cast("string")), view_sql("upstream", "a.connection_name IN ('conn-1', 'conn-2') OR b.connection_name IN ('conn-1', 'conn-2')")),
+    "l19_view_by_stage_and_format": (lambda s, d: view(s, d, "downstream", {"stages": ["silver"], "formats": ["delta", "table"]}).withColumn("label", F.col("label").cast("string")), view_sql("downstream", "r.type = 'dataflow' AND r.stage = 'silver' AND (a.format = 'delta' OR b.format = 'delta' OR a.endpoint_kind = 'table' OR b.endpoint_kind = 'table')")),
+    "l19_view_by_resolution": (lambda s, d: view(s, d, "both", {"resolutions": ["unresolved"]}, "asset"), view_sql("both", "r.state = 'unresolved'", ON_ASSETS, True)),
 }
 
 
