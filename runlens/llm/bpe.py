@@ -9,8 +9,10 @@ found first. Nulls and empty texts encode to no ids. Texts are encoded whole, wh
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +67,10 @@ class Bpe:
         for t, k in self.special.items():
             self.bytes_of[k] = t.encode()
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.split = regex.compile(SPLIT).findall
+        self.marks = {t[0] for t in self.special if t}
+        self.plain_split = regex.compile(SPLIT).findall
+        self.known = set(map(chr, range(128)))
+        self.odd: dict[int, str] = {}
         sound = [True] * len(names)
         for k in range(256, len(names)):
             a, b = self.parts[k]
@@ -81,6 +86,34 @@ class Bpe:
         self.size_of, self.start_of = sizes, np.cumsum(sizes) - sizes
         self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
 
+    def meet(self, texts: Iterable[str]) -> None:
+        """Asks the library's pre-tokenizer for the class of code points not met before, and keeps a stand-in for those that this pattern's tables class otherwise.
+
+        The tables of the two are of different versions of Unicode, so letters of one may be symbols of the other.
+        """
+        new = set().union(*texts) - self.known
+        if not new:
+            return
+        import regex
+        from tokenizers import pre_tokenizers
+
+        cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        for c in new:
+            if not 0xD800 <= ord(c) < 0xE000:
+                spans = [s for _, s in cut(f"a{c}1")]
+                theirs = "a" if (0, 2) in spans else "1" if (1, 3) in spans else "!" if len(cut(f"!{c}")) == 1 else "\t"
+                ours = "a" if regex.match(r"\p{L}", c) else "1" if regex.match(r"\p{N}", c) else "\t" if regex.match(r"\s", c) else "!"
+                if theirs != ours:
+                    self.odd[ord(c)] = theirs
+        self.known |= new
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text whose code points were met."""
+        if not self.odd or text.isascii() or self.odd.keys().isdisjoint(map(ord, text)):
+            return self.plain_split(text)
+        ends = list(itertools.accumulate(map(len, self.plain_split(text.translate(self.odd)))))
+        return [text[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
     def spine(self, t: int, side: int) -> list[int]:
         """The tokens at one edge of t, from its byte to t itself."""
         kept = self.left if side == 0 else self.right
@@ -140,7 +173,8 @@ class Bpe:
 
     def make_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks: a line break and what follows it, or what follows a space, with the space."""
-        split = self.split
+        self.meet(chunks)
+        split = self.split if self.odd else self.plain_split
         parts = [split(c if c[0] == "\n" else " " + c) for c in chunks]
         ids = self.words(set().union(*parts)).__getitem__
         return [ids(p[0]) if len(p) == 1 else b"".join(map(ids, p)) for p in parts]
@@ -150,14 +184,16 @@ class Bpe:
         pieces: list[list] = []  # of each text: texts without special tokens, and ids of these
         for text in texts:
             own, at = [], 0
-            if text and self.at_special and "<" in text:
+            if text and self.at_special and any(m in text for m in self.marks):
                 for m in self.at_special.finditer(text):
                     own += [text[at : m.start()], array("I", [self.special[m.group()]]).tobytes()]
                     at = m.end()
             own.append(text[at:] if text else "")
             pieces.append(own)
         cuts, chunks = cut_texts([p for own in pieces for p in own if isinstance(p, str)])
-        starts = {h: self.split(h) for h in {c[0] for c in cuts}}
+        heads = {c[0] for c in cuts}
+        self.meet(heads)
+        starts = {h: self.split(h) for h in heads}
         words = self.words(set().union(*starts.values())).__getitem__
         first = {h: b"".join(map(words, p)) for h, p in starts.items()}
         ids, each = self.chunks(chunks).__getitem__, iter(cuts)
