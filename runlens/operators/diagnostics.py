@@ -82,20 +82,46 @@ def record_trend(df: DataFrame, jf: DataFrame, grain: str = "month", tz: str = "
 
 
 def diagnostics_summary(df: DataFrame, jf: DataFrame) -> DataFrame:
-    """Linkage counts, mismatches, bad and warned fields, and the share of jobs ready for joint analysis."""
+    """Records of both logs, linkage counts, mismatches, bad and warned fields, the share of jobs ready for joint analysis, and the state of the logs.
+
+    no_evidence without records, has_issues with orphans, jobs without dataflows or mismatches, warning if only one log has records, else healthy.
+    """
     link = job_linkage(df, jf).agg(*[F.count_if(F.col("linkage") == k).alias(k) for k in ("matched", "orphan", "job_only")], rate(F.count_if(F.col("linkage") == "matched"), F.count(F.lit(1))).alias("readiness_rate"))
     bad = job_comparisons(jf, df).agg(F.count(F.lit(1)).alias("mismatches"))
     fields = field_completeness(df).agg(F.count_if(F.col("severity") == "bad").alias("bad_fields"), F.count_if(F.col("severity") == "warning").alias("warned_fields"))
-    out = link.join(bad).join(fields)
-    return out.withColumn("status", F.when(F.col("bad_fields") > 0, "bad").when((F.col("orphan") > 0) | (F.col("mismatches") > 0), "warning").otherwise("ok"))
-
-
-def investigation_queue(df: DataFrame, jf: DataFrame, top: int = 200) -> DataFrame:
-    """Issues by severity, newest first: mismatches, orphans, jobs without dataflows, incomplete fields."""
-    link = job_linkage(df, jf)
-    times = jf.groupBy("_source_id", "job_id").agg(F.max("event_time").alias("latest_time"))
-    bad = job_comparisons(jf, df).join(times, ["_source_id", "job_id"], "left").select(F.lit(3).alias("severity"), F.lit("mismatch").alias("issue"), F.concat_ws(" ", "job_id", "metric").alias("subject"), "latest_time")
-    out = bad.unionByName(link.filter("linkage = 'orphan'").select(F.lit(2).alias("severity"), F.lit("orphan").alias("issue"), F.col("job_id").alias("subject"), "latest_time"))
-    out = out.unionByName(link.filter("linkage = 'job_only'").select(F.lit(1).alias("severity"), F.lit("job_only").alias("issue"), F.col("job_id").alias("subject"), "latest_time"))
-    out = out.unionByName(field_completeness(df).filter("severity in ('bad', 'warning')").select(F.when(F.col("severity") == "bad", 3).otherwise(2).alias("severity"), F.lit("field").alias("issue"), F.col("field").alias("subject"), F.lit(None).cast("timestamp").alias("latest_time")))
-    return out.orderBy(F.desc("severity"), F.desc_nulls_last("latest_time"), "issue", "subject").limit(top)
+    count = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
+    out = link.join(bad).join(fields).join(count(df, "dataflow_records")).join(count(jf, "job_records"))  # one row each
+    flows, jobs = F.col("dataflow_records") > 0, F.col("job_records") > 0
+    issues = (F.col("orphan") > 0) | (F.col("job_only") > 0) | (F.col("mismatches") > 0)
+    return out.withColumn("status", F.when(~flows & ~jobs, "no_evidence").when(issues, "has_issues").when(flows != jobs, "warning").otherwise("healthy"))
+
+
+#: Category, issue and hint of what is to be looked into (fixed values).
+ORPHAN = ("orphan dataflow job id", "Dataflow records reference a job_id with no matching job log.", "Check job_run_log coverage for the same run window.")
+JOB_ONLY = ("job without dataflows", "Job log exists but no child dataflow records were found.", "Check dataflow_run_log coverage and cache sync for this job.")
+MISMATCH = ("reconciliation mismatch", "Inspect the job drawer and child dataflow records.")
+FIELD = ("field completeness", "Confirm the log version emits the fields used by Monitoring pages.")
+
+
+def queue_row(df: DataFrame, severity: Column, category: str, issue: Column, target: Column, time: Column, evidence: Column, hint: str) -> DataFrame:
+    return df.select(severity.alias("severity"), F.lit(category).alias("category"), issue.cast("string").alias("issue"), target.cast("string").alias("target"), time.cast("timestamp").alias("latest_time"), evidence.alias("evidence"), F.lit(hint).alias("action_hint"))
+
+
+def investigation_queue(df: DataFrame, jf: DataFrame, top: int = 200, checks: int = 50) -> DataFrame:
+    """What to look into, with its evidence as JSON and a hint: bad before warning, then the newest, those without a time last, then by category.
+
+    Orphaned job ids are bad, jobs without dataflows and mismatches (the first 50 that reconciliation lists) warnings, incomplete fields what their severity says.
+    Of each kind of linkage only the `top` that are listed can be in the queue.
+    """
+    link = job_linkage(df, jf).join(jf.select(clean_id("job_id").alias("job_id"), "total_dataflows").groupBy("job_id").agg(F.max("total_dataflows").alias("told")), "job_id", "left")
+    none = F.lit(None)
+    orphan = queue_row(link.filter("linkage = 'orphan'"), F.lit("bad"), ORPHAN[0], F.lit(ORPHAN[1]), F.col("job_id"), F.col("latest_time"), F.to_json(F.struct("job_id", F.col("dataflows").alias("dataflow_records"))), ORPHAN[2])
+    alone = queue_row(link.filter("linkage = 'job_only'"), F.lit("warning"), JOB_ONLY[0], F.lit(JOB_ONLY[1]), F.col("job_id"), F.col("latest_time"), F.to_json(F.struct("job_id", F.coalesce("told", F.lit(0)).cast("long").alias("job_total_dataflows"))), JOB_ONLY[2])
+    told = F.concat(F.col("metric"), F.lit(" expected "), F.col("expected"), F.lit(" but observed "), F.col("observed"), F.lit("."))
+    listed = job_comparisons(jf, df).orderBy("job_id", "metric").limit(checks)
+    odd = queue_row(listed, F.lit("warning"), MISMATCH[0], told, F.col("job_id"), none, F.to_json(F.struct("job_id", "metric", "expected", "observed", "difference")), MISMATCH[1])
+    share = F.concat(F.lit("dataflow "), F.col("field"), F.lit(" completeness is "), F.col("percent"), F.lit("%."))
+    fields = queue_row(field_completeness(df).filter("severity in ('bad', 'warning')"), F.col("severity"), FIELD[0], share, F.concat(F.lit("dataflow · "), F.col("field")), none, F.to_json(F.struct("field", "present", "rows")), FIELD[1])
+    rank = F.when(F.col("severity") == "bad", 4).otherwise(3)
+    all_ = orphan.unionByName(alone).unionByName(odd).unionByName(fields)
+    return all_.orderBy(F.desc(rank), F.desc_nulls_last("latest_time"), "category", "target", "issue").limit(top)

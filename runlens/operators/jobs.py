@@ -70,26 +70,50 @@ def slowest_jobs(jf: DataFrame, top: int = 20) -> DataFrame:
     return jf.filter("duration_seconds is not null").orderBy(F.desc("duration_seconds"), "job_id").limit(top).select("job_id", "duration_seconds", "normalized_status")
 
 
-def jobs_by_child_impact(jf: DataFrame, top: int = 20) -> DataFrame:
-    """Jobs whose children fail or are skipped most."""
-    impact = zero("total_failed") * 3 + zero("total_skipped")
-    return jf.withColumn("impact", impact).filter("impact > 0").orderBy(F.desc("impact"), F.desc_nulls_last("total_dataflows"), "job_id").limit(top).select("job_id", "impact", "total_failed", "total_skipped", "total_dataflows", rate(F.col("total_failed"), F.col("total_dataflows")).alias("failed_rate"))
+def child_rollup(jf: DataFrame, df: DataFrame) -> DataFrame:
+    """jf with the number of its dataflow runs, of failed and skipped ones, their interpolated 95th percentile of seconds, and its mismatches."""
+    kids = df.filter("job_id is not null").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("kids"), F.count_if(status_is("failed")).alias("child_failed_count"), F.count_if(status_is("skipped")).alias("child_skipped_count"), F.percentile("duration_seconds", 0.95).alias("child_p95_duration_seconds"))
+    bad = job_comparisons(jf, df).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("reconciliation_mismatch_count"))
+    return jf.join(kids, KEYS, "left").join(bad, KEYS, "left").fillna(0, ["kids", "child_failed_count", "child_skipped_count", "child_p95_duration_seconds", "reconciliation_mismatch_count"])
 
 
-#: What makes a job worth a look, with its score.
-ATTENTION = (("failed", 5), ("child_failures", 4), ("mismatch", 3), ("over_p99", 2), ("over_p95", 1))
+def jobs_by_child_impact(jf: DataFrame, df: DataFrame, top: int = 20) -> DataFrame:
+    """Jobs with children by failed ones, mismatches, skipped ones, number and 95th percentile of seconds, the largest first; ties by job id.
+
+    Where a job has no dataflow runs, the number that it told itself counts.
+    """
+    rows = child_rollup(jf, df).withColumn("child_dataflow_count", F.when(F.col("kids") > 0, F.col("kids")).otherwise(zero("total_dataflows")).cast("long"))
+    order = ["child_failed_count", "reconciliation_mismatch_count", "child_skipped_count", "child_dataflow_count", "child_p95_duration_seconds"]
+    some = rows.filter("child_dataflow_count > 0 or child_failed_count > 0 or child_skipped_count > 0 or child_p95_duration_seconds > 0")
+    wanted = some.select("job_id", F.col("normalized_status").alias("status"), *order, zero("duration_seconds").alias("duration_seconds"))
+    return wanted.orderBy(*[F.desc(c) for c in order], "job_id").limit(top)
+
+
+#: Code, severity, title and base of the score of what makes a job worth a look (fixed values).
+ATTENTION = (
+    ("job_failed", "bad", "Failed job", 5000),
+    ("child_dataflow_failed", "bad", "Child dataflows failed", 4000),
+    ("job_reconciliation_mismatch", "warning", "Reconciliation mismatch", 3000),
+    ("job_duration_p99", "warning", "P99 duration job", 2000),
+    ("job_duration_p95", "info", "P95 duration job", 1000),
+)
 
 
 def job_attention_items(jf: DataFrame, df: DataFrame, top: int = 8) -> DataFrame:
-    """Jobs with their worst reason: failed, failed children, mismatched counts, or a duration at the 99th or 95th percentile."""
+    """One item for each reason that a job gives: failed, failed children, mismatched counts, a duration at the 99th or else the 95th percentile.
+
+    The score is the reason's base and, in this order, the seconds of the failure's time, the failed children, the mismatches or the duration; the highest
+    come first, ties by job and code.
+    """
     from ..functions.columns import nearest_percentiles
 
     limits = nearest_percentiles(jf.filter(status_is("succeeded", "failed")), [], {"p95": (F.col("duration_seconds"), 0.95), "p99": (F.col("duration_seconds"), 0.99)})
-    bad = job_comparisons(jf, df).select(*KEYS).distinct().withColumn("odd", F.lit(True))
-    rows = jf.join(bad, KEYS, "left").join(F.broadcast(limits), how="left")
-    tests = {"failed": status_is("failed"), "child_failures": zero("total_failed") > 0, "mismatch": F.col("odd").isNotNull(), "over_p99": F.col("duration_seconds") >= F.col("p99"), "over_p95": F.col("duration_seconds") >= F.col("p95")}
-    reason, score = F.lit(None).cast("string"), F.lit(0)
-    for name, points in reversed(ATTENTION):
-        reason, score = F.when(tests[name], name).otherwise(reason), F.when(tests[name], points).otherwise(score)
-    out = rows.withColumns({"reason": reason, "score": score}).filter("score > 0")
-    return out.orderBy(F.desc("score"), F.desc_nulls_last("total_failed"), F.desc_nulls_last("duration_seconds"), "job_id").limit(top).select("job_id", "reason", "score", "total_failed", "duration_seconds")
+    rows = child_rollup(jf, df).join(F.broadcast(limits), how="left").withColumn("seconds", zero("duration_seconds"))
+    at_p99 = (F.col("p99") > 0) & (F.col("seconds") >= F.col("p99"))
+    at_p95 = (F.col("p95") > 0) & (F.col("seconds") >= F.col("p95")) & ~F.coalesce(at_p99, F.lit(False))
+    failed_at = F.coalesce(F.unix_micros("event_time") / 1e6, F.lit(0.0))
+    tests = (status_is("failed"), F.col("child_failed_count") > 0, F.col("reconciliation_mismatch_count") > 0, at_p99, at_p95)
+    extra = (failed_at, F.col("child_failed_count"), F.col("reconciliation_mismatch_count"), F.col("seconds"), F.col("seconds"))
+    items = [F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(title).alias("title"), (F.lit(float(base)) + more).alias("score"))) for (code, severity, title, base), test, more in zip(ATTENTION, tests, extra, strict=True)]
+    found = rows.select(known("job_id").alias("job_id"), F.inline(F.array_compact(F.array(*items))))
+    return found.orderBy(F.desc("score"), "job_id", "code").limit(top).select("job_id", "code", "severity", "title", F.round("score", 3).alias("score"))

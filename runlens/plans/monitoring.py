@@ -259,7 +259,8 @@ def _box(table: str, group: str) -> str:
 
 add("j07_job_duration_distribution", lambda df, jf: durations.duration_distribution(jf, F.coalesce("operation_types", F.lit("unknown"))), "SELECT * FROM box", _box("jf", "COALESCE(operation_types, 'unknown')"))
 add("t01_slowest_jobs", lambda df, jf: jobs.slowest_jobs(jf), "SELECT job_id, duration_seconds, normalized_status FROM jf WHERE duration_seconds IS NOT NULL ORDER BY duration_seconds DESC, job_id LIMIT 20")
-add("t02_jobs_by_child_impact", lambda df, jf: jobs.jobs_by_child_impact(jf), "SELECT job_id, COALESCE(total_failed, 0) * 3 + COALESCE(total_skipped, 0) AS impact, total_failed, total_skipped, total_dataflows, ROUND(100.0 * total_failed / NULLIF(total_dataflows, 0), 2) AS failed_rate FROM jf WHERE COALESCE(total_failed, 0) * 3 + COALESCE(total_skipped, 0) > 0 ORDER BY impact DESC, total_dataflows DESC NULLS LAST, job_id LIMIT 20")
+ROLL = "kd AS (SELECT _source_id, job_id, COUNT(*) AS kids, COUNT(*) FILTER (normalized_status = 'failed') AS kf, COUNT(*) FILTER (normalized_status = 'skipped') AS ks, quantile_cont(duration_seconds, 0.95) AS k95 FROM df WHERE job_id IS NOT NULL GROUP BY 1, 2), mm AS (SELECT _source_id, job_id, COUNT(*) AS bad FROM mis GROUP BY 1, 2), ru AS (SELECT jf.*, CASE WHEN kids > 0 THEN kids ELSE COALESCE(total_dataflows, 0) END AS child_dataflow_count, COALESCE(kf, 0) AS child_failed_count, COALESCE(ks, 0) AS child_skipped_count, COALESCE(k95, 0) AS child_p95_duration_seconds, COALESCE(bad, 0) AS reconciliation_mismatch_count FROM jf LEFT JOIN kd USING (_source_id, job_id) LEFT JOIN mm USING (_source_id, job_id))"
+add("t02_jobs_by_child_impact", lambda df, jf: jobs.jobs_by_child_impact(jf, df), "SELECT job_id, normalized_status AS status, child_failed_count, reconciliation_mismatch_count, child_skipped_count, child_dataflow_count, child_p95_duration_seconds, COALESCE(duration_seconds, 0) AS duration_seconds FROM ru WHERE child_dataflow_count > 0 OR child_failed_count > 0 OR child_skipped_count > 0 OR child_p95_duration_seconds > 0 ORDER BY child_failed_count DESC, reconciliation_mismatch_count DESC, child_skipped_count DESC, child_dataflow_count DESC, child_p95_duration_seconds DESC, job_id LIMIT 20", S.COMPARE + ", " + ROLL)
 
 # durations
 PS = " UNION ALL ".join(f"SELECT {S.blank('stage')} AS g, '{p}' AS phase, {p}_duration_seconds AS duration, LOWER(NULLIF(TRIM({p}_status), '')) AS normalized_status FROM pr" for p in ("source", "transform", "destination")) + f" UNION ALL SELECT {S.blank('stage')}, 'overhead', COALESCE(overhead_duration_seconds, CASE WHEN duration_seconds IS NOT NULL THEN GREATEST(0, duration_seconds - source_duration_seconds - transform_duration_seconds - destination_duration_seconds) END), CASE WHEN normalized_status = 'failed' AND source_status <> 'failed' AND transform_status <> 'failed' AND destination_status <> 'failed' THEN 'failed' END FROM pr"
@@ -389,8 +390,12 @@ BOTH = "(SELECT _source_id, _file_uri, _file_kind, event_time, _ingested_at, 1 A
 add("q05_source_coverage", lambda df, jf: diagnostics.source_coverage(df, jf), f"SELECT _source_id, MAX(_file_kind) AS file_kind, COUNT(DISTINCT _file_uri) AS file_count, CAST(SUM(f) AS BIGINT) AS dataflow_records, CAST(SUM(1 - f) AS BIGINT) AS job_records, COUNT(*) AS records, {S.ts('MAX(event_time)')} AS latest_log_at, {S.ts('MAX(_ingested_at)')} AS latest_ingested_at FROM {BOTH} GROUP BY 1")
 add("q06_record_trend", lambda df, jf: diagnostics.record_trend(df, jf), f"SELECT {S.ts('b')} AS bucket_start, COALESCE(x, 0) AS dataflow_records, COALESCE(y, 0) AS job_records FROM (SELECT unnest(generate_series(MIN(b), MAX(b), INTERVAL 1 MONTH)) AS b FROM (SELECT b FROM fa UNION ALL SELECT b FROM fb)) LEFT JOIN fa USING (b) LEFT JOIN fb USING (b)", "fa AS (SELECT CAST(date_trunc('month', event_time) AS TIMESTAMP) AS b, COUNT(*) AS x FROM df WHERE event_time IS NOT NULL GROUP BY 1), fb AS (SELECT CAST(date_trunc('month', event_time) AS TIMESTAMP) AS b, COUNT(*) AS y FROM jf WHERE event_time IS NOT NULL GROUP BY 1)")
 DIAG = ", ".join([S.LINK, S.COMPARE, FIELD])
-add("q07_diagnostics_summary", lambda df, jf: diagnostics.diagnostics_summary(df, jf), f"SELECT *, CASE WHEN bad_fields > 0 THEN 'bad' WHEN orphan > 0 OR mismatches > 0 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT {', '.join(S.n(f'linkage = {k!r}', k) for k in ('matched', 'orphan', 'job_only'))}, {S.pct('COUNT(*) FILTER (linkage = ' + repr('matched') + ')', 'COUNT(*)')} AS readiness_rate, (SELECT COUNT(*) FROM mis) AS mismatches, (SELECT COUNT(*) FROM fc WHERE severity = 'bad') AS bad_fields, (SELECT COUNT(*) FROM fc WHERE severity = 'warning') AS warned_fields FROM link)", DIAG)
-add("q08_investigation_queue", lambda df, jf: diagnostics.investigation_queue(df, jf), f"SELECT severity, issue, subject, {S.ts('latest_time')} AS latest_time FROM (SELECT 3 AS severity, 'mismatch' AS issue, job_id || ' ' || metric AS subject, (SELECT MAX(event_time) FROM jf WHERE jf._source_id = mis._source_id AND jf.job_id = mis.job_id) AS latest_time FROM mis UNION ALL SELECT 2, 'orphan', job_id, latest_time FROM link WHERE linkage = 'orphan' UNION ALL SELECT 1, 'job_only', job_id, latest_time FROM link WHERE linkage = 'job_only' UNION ALL SELECT CASE severity WHEN 'bad' THEN 3 ELSE 2 END, 'field', field, NULL FROM fc WHERE severity IN ('bad','warning')) t ORDER BY severity DESC, t.latest_time DESC NULLS LAST, issue, subject LIMIT 200", DIAG)
+add("q07_diagnostics_summary", lambda df, jf: diagnostics.diagnostics_summary(df, jf), f"SELECT *, CASE WHEN dataflow_records = 0 AND job_records = 0 THEN 'no_evidence' WHEN orphan + job_only + mismatches > 0 THEN 'has_issues' WHEN dataflow_records = 0 OR job_records = 0 THEN 'warning' ELSE 'healthy' END AS status FROM (SELECT {', '.join(S.n(f'linkage = {k!r}', k) for k in ('matched', 'orphan', 'job_only'))}, {S.pct('COUNT(*) FILTER (linkage = ' + repr('matched') + ')', 'COUNT(*)')} AS readiness_rate, (SELECT COUNT(*) FROM mis) AS mismatches, (SELECT COUNT(*) FROM fc WHERE severity = 'bad') AS bad_fields, (SELECT COUNT(*) FROM fc WHERE severity = 'warning') AS warned_fields, (SELECT COUNT(*) FROM df) AS dataflow_records, (SELECT COUNT(*) FROM jf) AS job_records FROM link)", DIAG)
+QUEUE = """SELECT 'bad' AS severity, 'orphan dataflow job id' AS category, 'Dataflow records reference a job_id with no matching job log.' AS issue, job_id AS target, latest_time, '{"job_id":"' || job_id || '","dataflow_records":' || dataflows || '}' AS evidence, 'Check job_run_log coverage for the same run window.' AS action_hint FROM link WHERE linkage = 'orphan'
+ UNION ALL SELECT 'warning', 'job without dataflows', 'Job log exists but no child dataflow records were found.', job_id, latest_time, '{"job_id":"' || job_id || '","job_total_dataflows":' || CAST(COALESCE((SELECT MAX(total_dataflows) FROM jf WHERE TRIM(jf.job_id) = link.job_id), 0) AS BIGINT) || '}', 'Check dataflow_run_log coverage and cache sync for this job.' FROM link WHERE linkage = 'job_only'
+ UNION ALL (SELECT 'warning', 'reconciliation mismatch', metric || ' expected ' || expected || ' but observed ' || observed || '.', job_id, NULL, '{"job_id":"' || job_id || '","metric":"' || metric || '","expected":' || expected || ',"observed":' || observed || ',"difference":' || difference || '}', 'Inspect the job drawer and child dataflow records.' FROM mis ORDER BY job_id, metric LIMIT 50)
+ UNION ALL SELECT severity, 'field completeness', 'dataflow ' || field || ' completeness is ' || CAST(percent AS DOUBLE) || '%.', 'dataflow · ' || field, NULL, '{"field":"' || field || '","present":' || present || ',"rows":' || rows || '}', 'Confirm the log version emits the fields used by Monitoring pages.' FROM fc WHERE severity IN ('bad', 'warning')"""
+add("q08_investigation_queue", lambda df, jf: diagnostics.investigation_queue(df, jf), f"SELECT severity, category, issue, target, {S.ts('latest_time')} AS latest_time, evidence, action_hint FROM (SELECT * FROM ({QUEUE}) t ORDER BY CASE severity WHEN 'bad' THEN 4 ELSE 3 END DESC, t.latest_time DESC NULLS LAST, category, target, issue LIMIT 200)", DIAG)
 
 # measures besides
 add("h14_endpoint_display", lambda df, jf: df.withColumns({c: F.lit(None).cast("string") for c in ("destination_catalog", "destination_database", "destination_schema")}).groupBy(C.endpoint_display("destination").alias("display")).agg(F.count(F.lit(1)).alias("runs")), "SELECT COALESCE(destination_full_table, destination_table) AS display, COUNT(*) AS runs FROM df GROUP BY 1")
@@ -402,8 +407,8 @@ DATES = "(SELECT run_date AS d FROM sd UNION ALL SELECT CAST(event_time AS DATE)
 add("o02_environment_overview", lambda df, jf: scope.environment_overview(df, jf, {"connection": "source-3"}, NOW), f"SELECT (SELECT COUNT(*) FROM sd) AS dataflow_records, (SELECT COUNT(*) FROM sj) AS job_records, (SELECT COUNT(*) FROM sd WHERE normalized_status = 'succeeded') AS dataflow_succeeded, (SELECT COUNT(*) FROM sd WHERE normalized_status = 'failed') AS dataflow_failed, (SELECT COUNT(*) FROM sj WHERE normalized_status = 'failed') AS job_failed, (SELECT COUNT(DISTINCT NULLIF(engine_name, '')) FROM sj) AS active_engines, (SELECT COUNT(DISTINCT NULLIF(metadata_provider_name, '')) FROM sj) AS active_metadata_providers, {S.ts('(SELECT GREATEST((SELECT MAX(event_time) FROM sd), (SELECT MAX(event_time) FROM sj)))')} AS latest_log_at, {S.ts('(SELECT MAX(event_time) FROM sj)')} AS latest_job_log_at, {S.ts('(SELECT MAX(event_time) FROM sd)')} AS latest_dataflow_log_at, (SELECT CAST(MIN(d) AS VARCHAR) FROM {DATES}) AS date_min, (SELECT CAST(MAX(d) AS VARCHAR) FROM {DATES}) AS date_max", NEAR3)
 add("r02_skip_streaks", lambda df, jf: freshness.skip_streaks(df.filter(C.has_id())).select("dataflow_run_id", F.col("run_rank").cast("long"), F.col("others_seen").cast("long")), f"SELECT dataflow_run_id, row_number() OVER w AS run_rank, CAST(SUM(CASE WHEN normalized_status = 'skipped' THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS others_seen FROM df WHERE {S.NOID} WINDOW w AS (PARTITION BY dataflow_id ORDER BY event_time DESC NULLS LAST, dataflow_run_id DESC)")
 JL = f"(SELECT {S.nip('duration_seconds', .95)} AS p95, {S.nip('duration_seconds', .99)} AS p99 FROM jf WHERE {S.RAN})"
-ODD = f"jo AS (SELECT jf.*, p95, p99, EXISTS (SELECT 1 FROM mis m WHERE m._source_id = jf._source_id AND m.job_id = jf.job_id) AS odd FROM jf, {JL}), jr AS (SELECT *, CASE WHEN normalized_status = 'failed' THEN 'failed' WHEN COALESCE(total_failed, 0) > 0 THEN 'child_failures' WHEN odd THEN 'mismatch' WHEN duration_seconds >= p99 THEN 'over_p99' WHEN duration_seconds >= p95 THEN 'over_p95' END AS reason FROM jo)"
-add("t03_job_attention_items", lambda df, jf: jobs.job_attention_items(jf, df), "SELECT job_id, reason, CASE reason WHEN 'failed' THEN 5 WHEN 'child_failures' THEN 4 WHEN 'mismatch' THEN 3 WHEN 'over_p99' THEN 2 ELSE 1 END AS score, total_failed, duration_seconds FROM jr WHERE reason IS NOT NULL ORDER BY score DESC, total_failed DESC NULLS LAST, duration_seconds DESC NULLS LAST, job_id LIMIT 8", S.COMPARE + ", " + ODD)
+ITEMS = f"it AS (SELECT COALESCE(NULLIF(TRIM(job_id), ''), 'unknown') AS job_id, unnest([{{'code': 'job_failed', 'severity': 'bad', 'title': 'Failed job', 'score': CASE WHEN normalized_status = 'failed' THEN 5000 + COALESCE(epoch_us(event_time) / 1e6, 0) END}}, {{'code': 'child_dataflow_failed', 'severity': 'bad', 'title': 'Child dataflows failed', 'score': CASE WHEN child_failed_count > 0 THEN 4000.0 + child_failed_count END}}, {{'code': 'job_reconciliation_mismatch', 'severity': 'warning', 'title': 'Reconciliation mismatch', 'score': CASE WHEN reconciliation_mismatch_count > 0 THEN 3000.0 + reconciliation_mismatch_count END}}, {{'code': 'job_duration_p99', 'severity': 'warning', 'title': 'P99 duration job', 'score': CASE WHEN p99 > 0 AND COALESCE(duration_seconds, 0) >= p99 THEN 2000 + duration_seconds END}}, {{'code': 'job_duration_p95', 'severity': 'info', 'title': 'P95 duration job', 'score': CASE WHEN p95 > 0 AND COALESCE(duration_seconds, 0) >= p95 AND NOT COALESCE(p99 > 0 AND duration_seconds >= p99, false) THEN 1000 + duration_seconds END}}], recursive := true) FROM ru, {JL})"
+add("t03_job_attention_items", lambda df, jf: jobs.job_attention_items(jf, df), "SELECT job_id, code, severity, title, ROUND(score, 3) AS score FROM it WHERE score IS NOT NULL ORDER BY it.score DESC, job_id, code LIMIT 8", S.COMPARE + ", " + ROLL + ", " + ITEMS)
 add("t06_watermark_summary", lambda df, jf: freshness.watermark_summary(df), f"SELECT dataflow_id, COUNT(*) AS runs, {', '.join(S.n(f'movement_state = {m!r}', m) for m in ('advanced', 'unchanged', 'initialized', 'invalid', 'incomplete'))}, {S.latest('movement_state')} AS latest_movement FROM etl WHERE watermark_enabled AND {S.NOID} GROUP BY 1 ORDER BY runs DESC, 1 LIMIT 18", S.ETL)
 FLAT = facts.latest_dataflow_runs
 add("l26_lineage_latest_status", lambda df, jf: lineage.lineage_latest_status(df.filter(C.has_id()).groupBy(F.col("dataflow_id").alias("dataflow")).agg(F.max("dataflow_name").alias("name")), FLAT(df)).drop("name"), f"SELECT dataflow_id AS dataflow, normalized_status AS status, {S.ts('event_time')} AS event_time FROM idn WHERE {S.NOID} QUALIFY row_number() OVER (PARTITION BY identity ORDER BY event_time DESC NULLS LAST, dataflow_run_id DESC) = 1", IDENT)
