@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import bucket, bucket_end, bucket_label, name_uuid, rendered
-from ..functions.graph import shared_folder
+from ..functions.graph import settled, shared_folder
 from ..operators import facts
 from ..sources import logs
 from ..sources.derived import oracle_facts, raw_runs
@@ -43,6 +44,28 @@ def planned(df: DataFrame) -> DataFrame:
     return logs.plan_incremental(parsed, manifest(df), str(last), "2100-01-01 00:00:00")
 
 
+def two_batches(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A root for each shape of directories. The first batch lacks the last three days and each 50th file; the second finds all, and looks back at two days."""
+    listed = settled(logs.parse_partition_path(df, "uri").select(F.concat(F.lit("root-"), (F.col("event_id") % 3).cast("string")).alias("root"), "event_id", "uri", "revision", F.col("ts").alias("modified"), "granularity", "partition_value"))
+    last = df.agg(F.max("ts").alias("t")).first()["t"]
+    days = lambda n: str(last - timedelta(days=n))
+    early = listed.filter((F.col("modified") <= F.to_timestamp(F.lit(days(3)))) & (F.col("event_id") % 50 != 0)).drop("event_id")
+    none = df.sparkSession.createDataFrame([], "root string, checkpoint timestamp, boundary_modified timestamp, last_scanned timestamp")
+    loaded, state = logs.plan_partitions(early, early.select("uri", "revision").limit(0), none, days(3))
+    loaded, state = settled(loaded), settled(state)
+    return logs.plan_partitions(listed.drop("event_id"), loaded, state, str(last), (days(40)[:10], days(39)[:10]))
+
+
+ROUND = "%Y-%m-%d %H:%M:%S"
+GRAIN = "CASE event_id % 3 WHEN 0 THEN date_trunc('day', {0}) WHEN 1 THEN date_trunc('hour', {0}) ELSE date_trunc('month', {0}) END"
+BATCHES = f"""hi2 AS (SELECT MAX(ts) AS t FROM files), fl2 AS (SELECT 'root-' || event_id % 3 AS root, event_id, uri, revision, ts, CAST({VALUE} AS TIMESTAMP) AS v, CAST({GRAIN.format('t')} AS TIMESTAMP) AS cur, CAST({GRAIN.format("(t - INTERVAL 3 DAY)")} AS TIMESTAMP) AS cur1, t FROM files, hi2),
+ b1 AS (SELECT * FROM fl2 WHERE ts <= t - INTERVAL 3 DAY AND event_id % 50 <> 0), s1 AS (SELECT root, MAX(v) AS cp, GREATEST(MAX(v), MAX(cur1)) AS ls, arg_max(ts, struct_pack(v, ts)) AS bm FROM b1 GROUP BY 1),
+ w2 AS (SELECT f.*, cp, ls, bm, CASE WHEN v BETWEEN ls AND cur OR v = cp OR (event_id % 3 = 1 AND v = cur - INTERVAL 1 HOUR) THEN 'incremental'
+   WHEN v BETWEEN CASE WHEN event_id % 3 = 2 THEN date_trunc('month', t - INTERVAL 40 DAY) ELSE date_trunc('day', t - INTERVAL 40 DAY) END AND CASE event_id % 3 WHEN 2 THEN date_trunc('month', t - INTERVAL 39 DAY) WHEN 0 THEN date_trunc('day', t - INTERVAL 39 DAY) ELSE date_trunc('day', t - INTERVAL 39 DAY) + INTERVAL 23 HOUR END THEN 'lookback' END AS via FROM fl2 f JOIN s1 USING (root)),
+ p2 AS (SELECT * FROM w2 WHERE via IS NOT NULL AND uri NOT IN (SELECT uri FROM b1)),
+ n2 AS (SELECT root, GREATEST(MAX(cp), MAX(v) FILTER (via = 'incremental')) AS checkpoint, GREATEST(MAX(bm), arg_max(ts, struct_pack(v, ts)) FILTER (via = 'incremental')) AS boundary_modified, GREATEST(MAX(ls), MAX(cur), MAX(cp)) AS last_scanned FROM w2 GROUP BY 1)"""
+
+
 def sources(df: DataFrame) -> DataFrame:
     """One source for each user: an environment, whether it is found and synchronised."""
     return df.select("user_id").distinct().select(F.col("user_id").alias("_source_id"), F.concat(F.lit("env-"), (F.col("user_id") % 4).cast("string")).alias("environment"), F.when(F.col("user_id") % 5 != 4, F.col("user_id") % 7 != 0).alias("found"), (F.col("user_id") % 11 != 0).alias("sync_ok"))
@@ -56,7 +79,6 @@ def freshness(df: DataFrame) -> DataFrame:
 
 FRESH = "src AS (SELECT DISTINCT user_id, 'env-' || CAST(user_id % 4 AS VARCHAR) AS environment, CASE WHEN user_id % 5 <> 4 THEN user_id % 7 <> 0 END AS found, user_id % 11 <> 0 AS sync_ok, user_id % 3 <> 0 AS loaded FROM files), fr AS (SELECT environment, user_id AS _source_id, CASE WHEN found = false THEN 'missing' WHEN NOT sync_ok THEN 'sync_failed' WHEN NOT loaded THEN 'not_cached' WHEN found IS NULL THEN 'unknown' ELSE 'current' END AS status FROM src)"
 PLAN = f"plan AS (SELECT f._source_id, f.uri, f.revision FROM files f, bounds WHERE CAST({VALUE} AS TIMESTAMP) >= hi - INTERVAL 1 HOUR AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.uri = f.uri AND m.revision = f.revision))"
-ROUND = "%Y-%m-%d %H:%M:%S"
 
 
 def replaced(df: DataFrame) -> DataFrame:
@@ -79,6 +101,8 @@ QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "h18_name_uuid": (lambda df: df.select("event_type").distinct().select("event_type", name_uuid("event_type").alias("uuid")), "SELECT event_type, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || lower(printf('%x', CAST('0x' || h[17:18] AS INTEGER) % 64 + 128)) || h[19:20] || '-' || h[21:32] AS uuid FROM (SELECT DISTINCT event_type, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(event_type)) AS h FROM files)"),
     "i04_parse_partition_path": (lambda df: logs.parse_partition_path(df.select("event_id", "uri"), "uri").drop("uri", "partition_format"), f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'hour' ELSE 'month' END AS granularity, strftime({VALUE}, '{ROUND}') AS partition_value FROM files"),
     "i05_partition_layout": (lambda df: logs.partition_layout_check(logs.parse_partition_path(df.withColumn("root", F.concat(F.lit("root-"), (F.col("event_id") % 6 % 4).cast("string"))), "uri"), "root").drop("format"), "SELECT 'root-' || CAST(event_id % 6 % 4 AS VARCHAR) AS root, COUNT(DISTINCT event_id % 3) AS formats, COUNT(*) AS files, CASE WHEN COUNT(DISTINCT event_id % 3) > 1 THEN 'mixed' ELSE 'ok' END AS layout FROM files GROUP BY 1"),
+    "z03_late_partitions": (lambda df: two_batches(df)[0].select("root", "uri", "revision", "via"), f"{BATCHES} SELECT root, uri, revision, via FROM p2"),
+    "z03_next_state": (lambda df: two_batches(df)[1], f"{BATCHES} SELECT root, " + ", ".join(f"strftime({c}, '{ROUND}') AS {c}" for c in ("checkpoint", "boundary_modified", "last_scanned")) + " FROM n2"),
     "i06_plan_incremental": (lambda df: planned(df).select("_source_id", "uri", "revision"), f"{PLAN} SELECT * FROM plan"),
     "i07_conform_runs": (conformed, f"SELECT event_id, strftime(CASE WHEN event_id % 4 = 0 THEN ts ELSE ts - INTERVAL 2 HOUR END, '{ROUND}') AS event_time, CAST(CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) ELSE CAST(CASE WHEN event_id % 4 = 0 THEN ts ELSE ts - INTERVAL 2 HOUR END AS DATE) END AS VARCHAR) AS run_date FROM files"),
     "i09_lossless_integers": (lambda df: logs.lossless_integer_check(df.withColumn("rounded", F.floor("value").cast("double")), ["value", "rounded"]), "SELECT 'value' AS \"column\", COUNT(value) AS values, COUNT(*) FILTER (value <> floor(value)) AS lossy, MIN(value) AS low, MAX(value) AS high FROM files UNION ALL SELECT 'rounded', COUNT(value), 0, MIN(floor(value)), MAX(floor(value)) FROM files"),
@@ -186,5 +210,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     start = oracle_files()
-    own = {n: f"{start}, {sql}" if sql.startswith(("plan AS", "src AS")) else f"{start} {sql}" for n, (_, sql) in QUERIES.items()}
+    own = {n: f"{start}, {sql}" if sql.startswith(("plan AS", "src AS", "hi2 AS")) else f"{start} {sql}" for n, (_, sql) in QUERIES.items()}
     return own | {n: f"{oracle_facts()} {sql}" for n, (_, sql) in ON_LOGS.items() if sql}

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import filled
+from ..functions.columns import filled, utc_date
+from ..functions.dealing import dealt_join
+from ..functions.graph import settled
 
 JOB_RUN_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     *[(c, T.StringType()) for c in ("_type", "job_id", "status", "start_time", "end_time", "error_message", "engine_name", "metadata_provider_name", "platform_name", "stages", "operation_types")],
@@ -65,7 +67,8 @@ REST = {"hour": "", "day": "00", "month": "0100", "year": "010100"}
 def parse_partition_path(df: DataFrame, path: str) -> DataFrame:
     """df with granularity, partition_value and partition_format of the directories in `path`; the longest shape that is a date wins.
 
-    Directories are parsed once each and joined back, as a directory holds many files.
+    Directories are parsed once each, as a directory holds many files, and joined back as a table, so that filters on what was parsed
+    read that table and aren't pushed down as patterns over every file.
     """
     listed = df.withColumn("__folder", F.regexp_replace(path, "[^/]*$", ""))
     seen = listed.select("__folder").distinct()
@@ -73,7 +76,7 @@ def parse_partition_path(df: DataFrame, path: str) -> DataFrame:
     seen = seen.withColumns({f"__at_{g}": F.try_to_timestamp(F.concat(F.regexp_replace(f"__{g}", r"\D", ""), F.lit(REST[g])), F.lit("yyyyMMddHH")) for g, _ in SHAPES})
     found = [F.when(F.col(f"__at_{g}").isNotNull(), F.struct(F.lit(g).alias("granularity"), F.col(f"__at_{g}").alias("value"), F.regexp_replace(f"__{g}", r"\d", "0").alias("format"))) for g, _ in SHAPES]
     parsed = seen.select("__folder", F.coalesce(*found).alias("__p"))
-    out = listed.join(parsed, "__folder", "left")
+    out = listed.join(settled(parsed), "__folder", "left")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__p.granularity").alias("granularity"), F.col("__p.value").alias("partition_value"), F.col("__p.format").alias("partition_format"))
 
 
@@ -90,13 +93,61 @@ def plan_incremental(files: DataFrame, manifest: DataFrame, scanned_from: str |
     """Files to load: those whose partition is within the range and that are new or have another revision.
 
     files: uri, revision, partition_value; manifest: uri, revision. The range goes from the checkpoint's partition, and the hour
-    before it, to as_of; a lookback in days overrides it. The result's largest partition_value, if later, is the next checkpoint.
+    before it, to as_of; a lookback in days overrides it. Of a uri that is listed twice the latest revision counts. The result's largest partition_value, if later, is the
+    next checkpoint; plan_partitions keeps one for each root.
     """
     start = F.to_timestamp(F.lit(as_of)) - F.expr(f"INTERVAL {lookback_days} DAYS") if lookback_days is not None else (F.to_timestamp(F.lit(scanned_from)) - F.expr("INTERVAL 1 HOUR") if scanned_from else None)
     inside = files.filter(F.col("partition_value") <= F.to_timestamp(F.lit(as_of)))
     if start is not None:
         inside = inside.filter(F.col("partition_value") >= start)
-    return inside.dropDuplicates(["uri"]).join(manifest.select("uri", "revision"), ["uri", "revision"], "left_anti")
+    return latest_revisions(inside).join(manifest.select("uri", "revision"), ["uri", "revision"], "left_anti")
+
+
+def latest_revisions(files: DataFrame) -> DataFrame:
+    """One row a uri: that of its largest revision."""
+    rest = [c for c in files.columns if c != "uri"]
+    own = files.groupBy("uri").agg(F.max_by(F.struct(*rest), "revision").alias("__r"))
+    return own.select(*[F.col("uri") if c == "uri" else F.col(f"__r.{c}").alias(c) for c in files.columns])
+
+
+def plan_partitions(files: DataFrame, manifest: DataFrame, state: DataFrame, as_of: str, lookback: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files to load with `via`, next state) of roots whose late files are looked for in few partitions.
+
+    files: root, uri, revision, modified, granularity and partition_value (see parse_partition_path); manifest: uri, revision of what is loaded; state: one row a
+    root with checkpoint, boundary_modified and last_scanned. A root without state is read whole. Others are read from the partition that was last scanned, else the checkpoint, to
+    that of as_of, and at the checkpoint, where files may still be replaced; hourly ones also in the hour before as_of, as a run may close after the next hour has
+    begun. A lookback (first and last day) reads its partitions besides, without moving the state. Files that the manifest has at this revision aren't loaded again.
+
+    The state is: the latest partition that held files, the newest change in it, and the latest partition that was looked at. Partitions are chosen in a table of
+    them, not by file. Roots without files keep their state.
+    """
+    now = F.to_timestamp(F.lit(as_of))
+    grains = ("hour", "day", "month", "year")
+    trunc = lambda c: F.coalesce(*[F.when(F.col("granularity") == g, F.date_trunc(g, c)) for g in grains])
+    listed = latest_revisions(files)
+    places = settled(listed.groupBy("root", "partition_value").agg(F.max("granularity").alias("granularity"), F.max("modified").alias("newest")))
+    known = places.join(state.withColumn("known", F.lit(True)), "root", "left").withColumns({"current": trunc(now), "at": trunc(F.col("checkpoint"))})
+    value = F.col("partition_value")
+    start = trunc(F.coalesce("last_scanned", "checkpoint", now))
+    forward = (value >= start) & (value <= F.col("current"))
+    hour_before = (F.col("granularity") == "hour") & (value == F.col("current") - F.expr("INTERVAL 1 HOUR"))
+    regular = F.col("known").isNull() | forward | F.coalesce(value == F.col("at"), F.lit(False)) | hour_before
+    back = F.lit(False)
+    if lookback is not None:
+        first, last = (F.to_timestamp(F.lit(d)) for d in lookback)
+        until = F.when(F.col("granularity") == "hour", last + F.expr("INTERVAL 23 HOURS")).otherwise(last)
+        back = (value >= trunc(first)) & (value <= trunc(until)) & F.col("known").isNotNull()
+    wanted = known.withColumn("via", F.when(regular, "incremental").when(back, "lookback")).filter("via is not null")
+    plan = dealt_join(listed, wanted.select("root", "partition_value", "via"), ["root", "partition_value"], F.xxhash64("uri"), "inner").join(manifest.select("uri", "revision"), ["uri", "revision"], "left_anti")
+    seen = F.when(F.col("via") == "incremental", value)
+    own = wanted.groupBy("root").agg(F.max(seen).alias("held"), F.max_by("newest", seen).alias("held_newest"), F.max("at").alias("at"))
+    base = known.groupBy("root").agg(F.max("current").alias("current"), F.max("known").alias("had"))
+    both = state.join(base.join(own, "root", "left"), "root", "full_outer")
+    checkpoint = F.greatest("at", "held")
+    scanned = F.greatest("last_scanned", "current", "at", F.when(F.col("had").isNull(), F.col("held")))
+    newest = F.when(F.col("held") == checkpoint, F.col("held_newest"))
+    following = both.select("root", F.coalesce(checkpoint, "checkpoint").alias("checkpoint"), F.greatest("boundary_modified", newest).alias("boundary_modified"), scanned.alias("last_scanned"))
+    return plan, following
 
 
 def pending_changes(planned: DataFrame, sources: DataFrame) -> DataFrame:
@@ -110,8 +161,9 @@ def conform_runs(df: DataFrame, partition_date: Column | None = None) -> DataFra
     stamp = lambda c: F.try_to_timestamp(F.col(c).cast("string")) if c in have else F.lit(None).cast("timestamp")
     event = F.coalesce(stamp("__event_time"), stamp("end_time"), stamp("start_time"))
     given = F.col("__run_date").cast("date") if "__run_date" in have else F.lit(None).cast("date")
-    date = F.coalesce(partition_date.cast("date") if partition_date is not None else F.lit(None).cast("date"), given, F.to_date(event))
-    return df.withColumns({"event_time": event, "run_date": date}).drop("__event_time", "__run_date", "transform_missing_column_policy")
+    date = F.coalesce(partition_date.cast("date") if partition_date is not None else F.lit(None).cast("date"), given, F.col("__utc_date"))
+    timed = df.withColumn("__at", event).withColumn("__utc_date", utc_date("__at"))
+    return timed.withColumns({"event_time": F.col("__at"), "run_date": date}).drop("__event_time", "__run_date", "__at", "__utc_date", "transform_missing_column_policy")
 
 
 def schema_compatibility(source: T.StructType, target: T.StructType) -> dict[str, str]:
