@@ -24,7 +24,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     made, seconds = catalog.queries(), {}
-    made["o04_dataflow_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+    # the first query of a session publishes the facts that all others read: a headline of its own
+    start = time.perf_counter()
+    made["o04_dataflow_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    seconds["publication"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         made[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -98,9 +98,9 @@ def coarse(value: Column) -> Column:
 def nearest_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """keys and one column for each wanted (value, p): the sorted value at index round_half_even((n - 1) p), nulls left out.
 
-    Values are counted first, so a group is a list of different values that a window walks in order; no group is collected.
-    Without keys all values would be one group. There, counts by coarse bucket are walked, and only values of the buckets that
-    hold an index after them, each bucket by itself. Columns that are wanted more than once are read once.
+    Counts by coarse bucket are walked in order within each group, and after them only the values of those buckets that hold an index, each bucket by
+    itself: no task has more different values of a group than are in one bucket, and nothing is collected. With keys, values are counted before, as both steps read them;
+    without, the bucket counts are few, and the rows are read again with a filter on the buckets that were found. Columns that are wanted more than once are read once.
     Groups without values have no row for them; join with `with_percentiles` to get 0.
     """
     measures: dict[str, tuple[Column, dict[str, float]]] = {}
@@ -112,7 +112,9 @@ def nearest_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[
     else:
         pairs = F.array(*[F.struct(F.lit(i).alias("what"), value.cast("double").alias("value")) for i, (value, _) in enumerate(measures.values())])
         long = df.select(*keys, F.inline(pairs))
-    counted = long.filter("value is not null").groupBy(*keys, "what", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = long.filter("value is not null").withColumn("n", F.lit(1).cast("long"))
+    if keys:
+        counted = counted.groupBy(*keys, "what", "value").agg(F.sum("n").alias("n"))
     shares = {i: ps for i, (_, ps) in enumerate(measures.values())}
     chosen = None
     for i, ps in shares.items():
@@ -123,17 +125,19 @@ def nearest_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[
         own = Window.partitionBy(*by)
         return rows.withColumn("upto", F.sum("n").over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
+    by = [*keys, "what"]
+    buckets = counted.groupBy(*by, coarse(F.col("value")).alias("bucket")).agg(F.sum("n").alias("n"))
+    buckets = walked(buckets, by, "bucket").withColumn("of", F.sum("n").over(Window.partitionBy(*by)))
+    held = buckets.select(*by, "bucket", (F.col("upto") - F.col("n")).alias("before"), "upto", F.inline(chosen)).filter("upto > index and before <= index").drop("upto")
+    rows = counted.withColumn("bucket", coarse(F.col("value")))
     if keys:
-        by = [*keys, "what"]
-        rows = walked(counted, by, "value").withColumn("of", F.sum("n").over(Window.partitionBy(*by)))
-        hit = rows.select(*by, "value", "upto", "n", F.inline(chosen)).filter("upto > index and upto - n <= index")
+        held = held.withColumnsRenamed({k: f"__{k}" for k in [*by, "bucket"]})
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(k) == F.col(f"__{k}") for k in ("what", "bucket")]
+        rows = rows.join(held, same).drop(*[f"__{k}" for k in [*by, "bucket"]])
     else:
-        buckets = counted.groupBy("what", coarse(F.col("value")).alias("bucket")).agg(F.sum("n").alias("n"))
-        buckets = walked(buckets, ["what"], "bucket").withColumn("of", F.sum("n").over(Window.partitionBy("what")))
-        held = buckets.select("what", "bucket", (F.col("upto") - F.col("n")).alias("before"), "upto", F.inline(chosen)).filter("upto > index and before <= index").drop("upto")
-        # at most one row a percentile
-        rows = counted.withColumn("bucket", coarse(F.col("value"))).join(F.broadcast(held), ["what", "bucket"])
-        hit = walked(rows, ["name", "bucket"], "value").filter("before + upto > index and before + upto - n <= index")
+        # at most one row a percentile; only rows of these buckets are counted by value
+        rows = rows.join(F.broadcast(held), ["what", "bucket"]).groupBy("what", "bucket", "before", "name", "index", "value").agg(F.sum("n").alias("n"))
+    hit = walked(rows, [*keys, "name", "bucket"], "value").filter("before + upto > index and before + upto - n <= index")
     return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in wanted])
 
 

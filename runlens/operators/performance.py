@@ -59,7 +59,7 @@ def performance_summary(df: DataFrame) -> DataFrame:
     slowest = F.struct("duration_seconds", "dataflow_run_id")
     shares = [rate(F.sum(f"{p}_phase"), F.sum("phase_total")).alias(f"{p}_percent") for p in PHASES]
     base = c.agg(F.count(F.lit(1)).alias("run_count"), mean("duration_seconds").alias("avg_duration"), F.coalesce(F.max("duration_seconds"), F.lit(0.0)).alias("max_duration"), F.max_by("dataflow_run_id", slowest).alias("slowest_run_id"), F.max_by("operation_group", slowest).alias("slowest_operation"), *shares, F.round(F.try_divide(F.sum("source_rows_read"), F.sum("duration_seconds")), 3).alias("rows_per_second"), candidate_count(), *[F.count_if(n).alias(n) for n in ("slow_small_workload", "slow_small_maintenance", "high_overhead", "phase_skew")])
-    return with_percentiles(base, c, [], {f"p{n}_duration": (F.col("duration_seconds"), n / 100) for n in (50, 75, 95, 99)})
+    return with_percentiles(base, measures(df), [], {f"p{n}_duration": (F.col("duration_seconds"), n / 100) for n in (50, 75, 95, 99)})
 
 
 def efficiency_points(df: DataFrame, top: int = 200) -> DataFrame:

@@ -13,15 +13,13 @@ from ..operators import resolution as R
 from ..operators import typed_graph as G
 from .published import kept
 
-K = F.col("p_partkey")
-
-
 def text(prefix: str, n: F.Column, suffix: str = "") -> F.Column:
     return F.concat(F.lit(prefix), n.cast("string"), F.lit(suffix))
 
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An endpoint for each part: databases, lakehouses, APIs, files and connections that say little, many of which name the same tables and paths."""
+    K = F.col("p_partkey")  # noqa: N806
     made = {
         "connection_instance": F.when(K % 11 == 0, text(" Main-", K % 2)),
         "connection_type": F.when(K % 6 == 0, "database").when(K % 6 == 1, "lakehouse").when(K % 6 == 2, "api").when(K % 6 == 3, "file").when(K % 6 == 4, "Database "),
@@ -82,6 +80,7 @@ REGISTER = ENDPOINTS + r""", ids AS (SELECT k // 50 AS environment, k, row_numbe
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference for each part, made by the endpoint of another: tables by bare, qualified and full names, paths, APIs and expressions."""
+    K = F.col("p_partkey")  # noqa: N806
     kind = F.when(K % 8 < 5, "table").when(K % 8 == 5, "path").when(K % 8 == 6, "api").otherwise("expression")
     table = F.when(K % 8 < 5, F.concat(F.lit(" T"), (K % 43).cast("string")))
     part = {
@@ -144,6 +143,7 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual mappings of tables and APIs to paths, some to paths that aren't there, some twice."""
+    K = F.col("p_partkey")  # noqa: N806
     row = lambda n, kind, value, target: spark.read.parquet(f"{sf_dir}/part.parquet").filter(n).select(K.alias("mapping"), F.lit(kind).alias("reference_type"), value.alias("reference_value"), F.lit("physical_path").alias("target_kind"), target.alias("target_value"))
     path = text("s3://Bucket/x/", K % 70)
     tables = row("p_partkey <= 12", "table_reference", F.concat(F.lit("s"), (K % 3).cast("string"), F.lit(".t"), (K % 43).cast("string")), path)
@@ -178,6 +178,7 @@ def graph_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dataflow from each endpoint to the next, some to one that isn't there, and some ids of two."""
+    K = F.col("p_partkey")  # noqa: N806
     own = settled(assets_by_name(spark, sf_dir).select("node", "asset"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(K.alias("position"))
     n = F.col("position")
