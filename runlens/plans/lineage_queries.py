@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import graph
 from ..functions.columns import rendered
 from ..operators import assets as A
-from ..operators import lineage, metadata
+from ..operators import lineage, metadata, temp_views
 
 Tables = dict[str, DataFrame]
 
@@ -99,6 +99,25 @@ def code_refs(t: Tables) -> DataFrame:
     return lineage.code_references(t["flows"].select(F.col("position").alias("file"), code.alias("code")))
 
 
+def view_code(t: Tables) -> DataFrame:
+    """Two functions: chains of three views, a redefinition in half of the files, a view of its own name, one that isn't defined, and one with a name made at run time."""
+    n = F.col("position")
+    text = F.concat(
+        F.lit("def load(spark, name):\n    spark.read.parquet('/p/"), (n % 5).cast("string"), F.lit("').createOrReplaceTempView('V1')\n    spark.sql('SELECT * FROM v1 JOIN base"), (n % 3).cast("string"),
+        F.lit("').createOrReplaceTempView('v2')\n    spark.sql('SELECT 1 FROM v2').createOrReplaceTempView('v3')\n    out = spark.sql('SELECT * FROM v3 JOIN v1 JOIN never')  # FROM v9\n"),
+        F.when(n % 2 == 0, "    spark.read.json('/q').createOrReplaceTempView('v1')\n").otherwise("    pass\n"),
+        F.lit("    spark.table('v1').createOrReplaceTempView('v1')\n    spark.table('v1')\n    spark.read.csv(name).createOrReplaceTempView(name)\ndef other(spark):\n    spark.table('v1')\n"),
+    )
+    return t["flows"].select(n.alias("file"), text.alias("code"))
+
+
+VIEWS = """SELECT position AS file, f AS function, line, r.name, r.kind, r.value, r.views FROM (SELECT position FROM fl) fl, LATERAL (VALUES ('load', 1, '/p/' || position % 5, 'path', '/p/' || position % 5, 0),
+ ('load', 2, 'v1', 'path', '/p/' || position % 5, 1), ('load', 2, 'base' || position % 3, 'table', 'base' || position % 3, 0), ('load', 3, 'v2', 'path', '/p/' || position % 5, 2), ('load', 3, 'v2', 'table', 'base' || position % 3, 1),
+ ('load', 4, 'v3', 'path', '/p/' || position % 5, 3), ('load', 4, 'v3', 'table', 'base' || position % 3, 2), ('load', 4, 'v1', 'path', '/p/' || position % 5, 1), ('load', 4, 'never', 'table', 'never', 0),
+ ('load', 5, CASE WHEN position % 2 = 0 THEN '/q' END, 'path', '/q', 0), ('load', 6, 'v1', 'path', CASE WHEN position % 2 = 0 THEN '/q' ELSE '/p/' || position % 5 END, 1), ('load', 7, 'v1', 'path', CASE WHEN position % 2 = 0 THEN '/q' ELSE '/p/' || position % 5 END, 2),
+ ('load', 8, 'dynamic_path', 'dynamic_path', NULL, 0), ('other', 10, 'v1', 'table', 'v1', 0)) r(f, line, name, kind, value, views) WHERE r.name IS NOT NULL"""
+
+
 def seeds(t: Tables, prefix: str) -> DataFrame:
     return t["assets"].filter(F.col("asset").startswith(prefix)).select(F.col("asset").alias("node"))
 
@@ -216,6 +235,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "l09_stitch_assets": (lambda t: lineage.stitch_assets(lineage.asset_identifiers(endpoints(t))), CTES.replace("WITH", "WITH RECURSIVE", 1) + f", {IDS}, pr AS (SELECT DISTINCT x.node AS a, y.node AS b FROM ids x JOIN ids y USING (kind, value)), rc AS (SELECT node AS root, node FROM (SELECT DISTINCT node FROM ids) UNION SELECT root, b FROM rc JOIN pr ON a = rc.node), gp AS (SELECT node, MIN(root) AS head FROM rc GROUP BY 1), nm AS (SELECT g.node, head, (SELECT MIN(value) FROM ids i WHERE i.node = g.node AND kind = 'logical_table') AS named FROM gp g), ld AS (SELECT *, arg_min(named, node) FILTER (named IS NOT NULL) OVER (PARTITION BY head) AS lead FROM nm) SELECT node, MIN(node) OVER (PARTITION BY head, CASE WHEN named <> lead THEN named END) AS asset, COALESCE(named <> lead, false) AS conflict FROM ld"),
     "l10_sql_references": (sql_refs, f"{CTES} SELECT position AS query_id, CASE WHEN position % 8 = 0 THEN 0 ELSE i END AS position, CASE WHEN position % 8 = 0 THEN NULL WHEN i = 0 THEN 'db' || position % 3 || '.t' || position % 7 ELSE 'u' || position % 5 END AS name, CASE WHEN position % 8 = 0 THEN 0 WHEN i = 0 THEN 2 ELSE 1 END AS qualification, CASE WHEN position % 8 = 0 THEN 'no_table' END AS diagnostic FROM fl, (VALUES (0), (1)) v(i) WHERE position % 8 <> 0 OR i = 0"),
     "l11_code_references": (code_refs, f"{CTES} SELECT position AS file, f AS function, k AS kind, CASE k WHEN 'table' THEN 'db.t' || position % 5 WHEN 'sql' THEN 'SELECT * FROM q' END AS value FROM fl, (VALUES ('load', 'table'), ('load', 'dynamic_path'), ('run', 'sql')) v(f, k)"),
+    "l11_temp_views": (lambda t: temp_views.resolve_views(temp_views.view_statements(view_code(t))), f"{CTES} {VIEWS}"),
     "l12_reference_signature": (lambda t: lineage.reference_signature(references(t)[0].select(F.lit("table").alias("reference_type"), F.col("name").alias("value"), F.col("instance").alias("scope"))).groupBy("addressing", "qualification").agg(F.count_distinct("signature").alias("signatures")), f"{CTES}, {RES} SELECT 'qualified_name' AS addressing, length(name) - length(replace(name, '.', '')) + 1 AS qualification, COUNT(DISTINCT name || '|' || instance) AS signatures FROM refs GROUP BY 2"),
     "l13_resolve_references": (lambda t: lineage.resolve_references(*references(t)), f"{CTES}, {RES} SELECT * FROM res"),
     "l14_apply_mappings": (mapped, f"{CTES}, {RES}, {MAP} SELECT * FROM mo"),
