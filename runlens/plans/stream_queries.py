@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rendered
 from ..functions.graph import shared_folder
 from ..sources.derived import oracle_facts
+from ..sources.generations import publish_generation, read_published, write_generation
 from ..streaming import runs as R
 from .ingestion import JOB_NUMBER, log_folder
 
@@ -62,14 +63,29 @@ def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(R.read_replaced(spark, f"{at}/table").select("dataflow_run_id", "status", "run_date"))
 
 
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three published batches over files of about a hundred events: a second version of each fifth file, then one of each seventh, in which each eleventh is gone; and a fourth batch that was never published."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.floor(F.col("event_id") / 100).alias("n"), F.to_date("ts").alias("run_date"))
+    rows = rows.withColumn("_file_uri", F.concat(F.lit("file-"), F.col("n").cast("string")))
+    at = shared_folder(spark, "generations")
+    n = F.col("n")
+    batches = [(rows, None), (rows.filter(n % 5 == 0), None), (rows.filter((n % 7 == 0) & (n % 11 != 0)), rows.filter(n % 11 == 0)), (rows.filter(n % 3 == 0), None)]
+    for k, (new, gone) in enumerate(batches):
+        write_generation(new.select("_file_uri", "event_id", "run_date", F.lit(k).alias("version")), at, k, gone)
+        if k < 3:
+            publish_generation(spark, at, k)
+    return rendered(read_published(spark, at).select("_file_uri", "event_id", "version", "run_date"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"z01_stream_dataflow_runs": stream_flows, "z01_stream_job_runs": stream_jobs, "z02_replace_by_file": replaced, "z04_stream_status_trend": status_trend, "z05_stream_latest_status": latest_status}
+    return {"z01_stream_dataflow_runs": stream_flows, "z01_stream_job_runs": stream_jobs, "z02_replace_by_file": replaced, "z02_generations": generations, "z04_stream_status_trend": status_trend, "z05_stream_latest_status": latest_status}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "z01_stream_dataflow_runs": f"{oracle_facts()} SELECT dataflow_run_id, status FROM raw_runs",
         "z01_stream_job_runs": f"{oracle_facts()} SELECT job_id, status, total_failed FROM raw_jobs WHERE {JOB_NUMBER} % 50 <> 0 AND {JOB_NUMBER} % 51 <> 1",
+        "z02_generations": "SELECT 'file-' || n AS _file_uri, event_id, CASE WHEN n % 7 = 0 THEN 2 WHEN n % 5 = 0 THEN 1 ELSE 0 END AS version, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_date FROM (SELECT *, event_id // 100 AS n FROM events) WHERE n % 11 <> 0",
         "z02_replace_by_file": "SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS dataflow_run_id, event_type AS status, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_date FROM events",
         "z04_stream_status_trend": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS bucket_start, LOWER(event_type) AS status, COUNT(*) AS runs FROM events GROUP BY 1, 2",
         "z05_stream_latest_status": "SELECT 'user-' || user_id AS dataflow_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time, LOWER(event_type) AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import normalized_status
-from ..sources.logs import JOB_RUN_SCHEMA, replace_by_file
+from ..sources.generations import publish_generation, read_published, write_generation
+from ..sources.logs import JOB_RUN_SCHEMA
 
 
 def stream_dataflow_runs(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -49,28 +50,20 @@ def stream_latest_status(runs: DataFrame) -> DataFrame:
 
 
 def start_replace_by_file(runs: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Each batch replaces the rows of its files in a Parquet table by run_date; only the run dates that it touches are written again.
+    """Each batch replaces the rows of its files; it writes its own rows only, and is seen once it is published (see sources.generations).
 
-    A date's rows go to a new folder `epoch=N` below it, and a reader takes each date's newest (see read_replaced), so a batch that
-    runs again writes the same folder. The file source never reads an altered file again: rewritten files need the batch
-    plan with a manifest. Rows without event_time have the date of the epoch's start, 1970-01-01.
+    A batch that runs again writes and publishes the same generation. The file source never reads an altered file again: rewritten files need the
+    batch plan with a manifest. Rows without event_time have the date of the epoch's start, 1970-01-01.
     """
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         new = batch.withColumn("run_date", F.coalesce(F.to_date("event_time"), F.to_date(F.lit("1970-01-01"))))
-        touched = new.select("run_date").distinct()
-        if epoch:
-            held = read_replaced(spark, table, before=epoch).join(touched, "run_date", "left_semi")
-            new = replace_by_file(held, new, ("_file_uri",))
-        new.withColumn("epoch", F.lit(epoch)).repartition("run_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "epoch").parquet(table)
+        write_generation(new, table, epoch)
+        publish_generation(batch.sparkSession, table, epoch)
 
     return runs.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_replaced(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
-    """The newest rows of each run date, as of the batches before one if that is given."""
-    rows = spark.read.parquet(table)
-    rows = rows if before is None else rows.filter(F.col("epoch") < before)
-    newest = rows.select("run_date", "epoch").distinct().groupBy("run_date").agg(F.max("epoch").alias("epoch"))
-    return rows.join(newest, ["run_date", "epoch"], "left_semi").drop("epoch")
+def read_replaced(spark: SparkSession, table: str) -> DataFrame:
+    """The newest published rows of each file."""
+    return read_published(spark, table)
