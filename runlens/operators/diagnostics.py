@@ -32,8 +32,15 @@ def linkage_evidence(df: DataFrame, jf: DataFrame, top: int = 200) -> DataFrame:
 
 
 def reconciliation(jf: DataFrame, df: DataFrame) -> DataFrame:
-    """Mismatches by metric with the sum of their differences."""
-    return job_comparisons(jf, df).groupBy("metric").agg(F.count(F.lit(1)).alias("mismatches"), F.sum(F.abs("difference")).alias("difference"))
+    """Mismatches by metric with the sum of their differences and the jobs they affect."""
+    return job_comparisons(jf, df).groupBy("metric").agg(F.count(F.lit(1)).alias("mismatches"), F.sum(F.abs("difference")).alias("difference"), F.count_distinct("job_id").alias("affected_jobs"))
+
+
+def reconciliation_checks(jf: DataFrame, df: DataFrame, top: int = 50) -> DataFrame:
+    """The first mismatches by job and metric, each with the number of all."""
+    bad = job_comparisons(jf, df)
+    listed = bad.orderBy("job_id", "metric").limit(top)
+    return listed.join(bad.agg(F.count(F.lit(1)).alias("mismatch_count"))).select("job_id", "metric", "expected", "observed", "difference", "mismatch_count")  # one row
 
 
 #: Group, columns of which one has to be filled, whether every run should have it.
@@ -81,6 +88,22 @@ def record_trend(df: DataFrame, jf: DataFrame, grain: str = "month", tz: str = "
     return all_.join(both, "b", "left").select(F.col("b").alias("bucket_start"), F.coalesce("dataflow_records", F.lit(0)).alias("dataflow_records"), F.coalesce("job_records", F.lit(0)).alias("job_records"))
 
 
+def linkage_trend(df: DataFrame, jf: DataFrame, grain: str = "month", tz: str = "UTC") -> DataFrame:
+    """Records of both logs by bucket, with how many job ids both have in it, only the dataflows or only the jobs, and the share of the first.
+
+    Rows without a time are a bucket of their own, null. Ids are compared within a bucket, so a job that ran over its end may be in two.
+    """
+    at = bucket("event_time", grain, tz).alias("b")
+    ids = lambda x, flag: x.select(at, clean_id("job_id").alias("job_id")).filter("job_id is not null").distinct().withColumn(flag, F.lit(1))
+    # one row a bucket and id, counted by how many logs it is in: no join of the two
+    both = ids(df, "in_df").unionByName(ids(jf, "in_jf"), allowMissingColumns=True).groupBy("b", "job_id").agg(F.max("in_df").alias("f"), F.max("in_jf").alias("j"))
+    has = lambda c: F.col(c).isNotNull()
+    links = both.groupBy("b").agg(F.count_if(has("f") & has("j")).alias("matched"), F.count_if(has("f") & ~has("j")).alias("orphan"), F.count_if(~has("f") & has("j")).alias("job_only"))
+    counts = df.select(at, F.lit(1).alias("f"), F.lit(0).alias("j")).unionByName(jf.select(at, F.lit(0).alias("f"), F.lit(1).alias("j"))).groupBy("b").agg(F.sum("f").alias("dataflow_records"), F.sum("j").alias("job_records"))
+    out = counts.join(links.withColumnRenamed("b", "lb"), F.col("b").eqNullSafe(F.col("lb")), "left").fillna(0, ["matched", "orphan", "job_only"])
+    return out.select(F.col("b").alias("bucket_start"), "dataflow_records", "job_records", "matched", "orphan", "job_only", rate(F.col("matched"), F.col("matched") + F.col("orphan") + F.col("job_only")).alias("linkage_rate"))
+
+
 def diagnostics_summary(df: DataFrame, jf: DataFrame) -> DataFrame:
     """Records of both logs, linkage counts, mismatches, bad and warned fields, the share of jobs ready for joint analysis, and the state of the logs.
 

@@ -383,7 +383,9 @@ add("m07_evidence_page", lambda df, jf: maintenance.evidence_page(df), "SELECT t
 add("q01_job_linkage", lambda df, jf: diagnostics.job_linkage(df, jf), f"SELECT job_id, dataflows, jobs, {S.ts('latest_time')} AS latest_time, linkage FROM link", S.LINK)
 add("q01_linkage_summary", lambda df, jf: diagnostics.linkage_summary(df, jf), "SELECT linkage, COUNT(*) AS jobs, CAST(SUM(dataflows) AS BIGINT) AS dataflows FROM link GROUP BY 1", S.LINK)
 add("q02_linkage_evidence", lambda df, jf: diagnostics.linkage_evidence(df, jf), f"SELECT linkage, row_number() OVER (PARTITION BY linkage ORDER BY link.latest_time DESC NULLS LAST, job_id) AS r, job_id, dataflows, {S.ts('latest_time')} AS latest_time FROM link QUALIFY r <= 200", S.LINK)
-add("q03_reconciliation", lambda df, jf: diagnostics.reconciliation(jf, df), "SELECT metric, COUNT(*) AS mismatches, CAST(SUM(ABS(difference)) AS BIGINT) AS difference FROM mis GROUP BY 1", S.COMPARE)
+add("q03_reconciliation", lambda df, jf: diagnostics.reconciliation(jf, df), "SELECT metric, COUNT(*) AS mismatches, CAST(SUM(ABS(difference)) AS BIGINT) AS difference, COUNT(DISTINCT job_id) AS affected_jobs FROM mis GROUP BY 1", S.COMPARE)
+add("q03_reconciliation_checks", lambda df, jf: diagnostics.reconciliation_checks(jf, df), "SELECT job_id, metric, expected, observed, difference, COUNT(*) OVER () AS mismatch_count FROM mis ORDER BY job_id, metric LIMIT 50", S.COMPARE)
+add("q06_linkage_trend", lambda df, jf: diagnostics.linkage_trend(df, jf), f"SELECT {S.ts('COALESCE(r.b, l.b)')} AS bucket_start, COALESCE(dataflow_records, 0) AS dataflow_records, COALESCE(job_records, 0) AS job_records, COALESCE(matched, 0) AS matched, COALESCE(orphan, 0) AS orphan, COALESCE(job_only, 0) AS job_only, {S.pct('COALESCE(matched, 0)', '(matched + orphan + job_only)')} AS linkage_rate FROM rc r LEFT JOIN lk l ON r.b IS NOT DISTINCT FROM l.b", f"rc AS (SELECT b, COUNT(*) FILTER (k = 1) AS dataflow_records, COUNT(*) FILTER (k = 2) AS job_records FROM (SELECT CAST(date_trunc('month', event_time) AS TIMESTAMP) AS b, 1 AS k FROM df UNION ALL SELECT CAST(date_trunc('month', event_time) AS TIMESTAMP), 2 FROM jf) GROUP BY 1), ka AS (SELECT DISTINCT CAST(date_trunc('month', event_time) AS TIMESTAMP) AS b, {S.CLEAN} AS id FROM df WHERE ({S.CLEAN}) IS NOT NULL), kb AS (SELECT DISTINCT CAST(date_trunc('month', event_time) AS TIMESTAMP) AS b, {S.CLEAN} AS id FROM jf WHERE ({S.CLEAN}) IS NOT NULL), lk AS (SELECT COALESCE(ka.b, kb.b) AS b, COUNT(*) FILTER (ka.id IS NOT NULL AND kb.id IS NOT NULL) AS matched, COUNT(*) FILTER (kb.id IS NULL) AS orphan, COUNT(*) FILTER (ka.id IS NULL) AS job_only FROM ka FULL OUTER JOIN kb ON ka.b IS NOT DISTINCT FROM kb.b AND ka.id = kb.id GROUP BY 1)")
 FIELD = "fields AS (" + " UNION ALL ".join(f"SELECT '{name}' AS field, {str(u).lower()} AS universal, COUNT(*) FILTER (COALESCE({', '.join(f'NULLIF(TRIM(CAST({c} AS VARCHAR)), {chr(39) * 2})' for c in cs)}) IS NOT NULL) AS present, COUNT(*) AS rows FROM df" for name, cs, u in diagnostics.FIELDS) + "), fc AS (SELECT field, present, rows, ROUND(100.0 * present / NULLIF(rows, 0), 2) AS percent, CASE WHEN NOT universal THEN 'info' WHEN 100.0 * present / rows < 80 THEN 'bad' WHEN 100.0 * present / rows < 95 THEN 'warning' ELSE 'ok' END AS severity FROM fields)"
 add("q04_field_completeness", lambda df, jf: diagnostics.field_completeness(df), "SELECT * FROM fc", FIELD)
 BOTH = "(SELECT _source_id, _file_uri, _file_kind, event_time, _ingested_at, 1 AS f FROM df UNION ALL SELECT _source_id, _file_uri, _file_kind, event_time, _ingested_at, 0 FROM jf)"
