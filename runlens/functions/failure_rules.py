@@ -77,6 +77,7 @@ def failure_tags(messages: Column, category: Column) -> Column:
 def normalize_message(message: Column) -> Column:
     """Ids, times and numbers as placeholders; white space collapsed; 360 characters."""
     out = F.lower(F.trim(message))
+    # fixed values: what counts as an id, a time or a number, and what stands for it
     for pattern, mark in (
         ("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),
         (r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[t ][0-9:.+\-z]+)?\b", "<timestamp>"),

@@ -43,13 +43,17 @@ def skip_streaks(df: DataFrame) -> DataFrame:
 
 
 #: Attributes of a dataflow of which its registry shows the newest, by type.
-ATTRIBUTES = """workspace_id dataflow_name dataflow_description stage processing_mode configure operation_type source_name destination_name source_format
- destination_format source_connection_type destination_connection_type source_id source_catalog source_database source_schema source_table source_full_table
- source_path source_query source_python_function source_watermark_columns source_filter_expression source_configure source_action
- transform_deduplicate_columns transform_latest_data_columns transform_filter_expression transform_additional_columns transform_schema_hints
- transform_select_columns transform_drop_columns transform_rename_columns transform_value_rules transform_hash_columns transform_masking_rules
- transform_configure destination_id destination_catalog destination_database destination_schema destination_table destination_full_table
- destination_path destination_load_type destination_merge_keys destination_partition_columns destination_configure""".split()
+ATTRIBUTES = [
+    "workspace_id", "dataflow_name", "dataflow_description", "stage", "processing_mode", "configure", "operation_type", "source_name",
+    "destination_name", "source_format", "destination_format", "source_connection_type", "destination_connection_type", "source_id", "source_catalog",
+    "source_database", "source_schema", "source_table", "source_full_table", "source_path", "source_query", "source_python_function",
+    "source_watermark_columns", "source_filter_expression", "source_configure", "source_action", "transform_deduplicate_columns",
+    "transform_latest_data_columns", "transform_filter_expression", "transform_additional_columns", "transform_schema_hints",
+    "transform_select_columns", "transform_drop_columns", "transform_rename_columns", "transform_value_rules", "transform_hash_columns",
+    "transform_masking_rules", "transform_configure", "destination_id", "destination_catalog", "destination_database", "destination_schema",
+    "destination_table", "destination_full_table", "destination_path", "destination_load_type", "destination_merge_keys",
+    "destination_partition_columns", "destination_configure",
+]
 TYPED = {"group_number": "long", "execution_order": "long", "is_active": "boolean"}
 #: What stands for a missing attribute: other attributes in order, then `unknown`.
 DEFAULTS = {"stage": [], "source_name": [], "destination_name": [], "source_format": ["source_connection_type"], "destination_format": ["destination_connection_type"], "source_connection_type": [], "destination_connection_type": [], "destination_load_type": []}

@@ -138,7 +138,8 @@ def environment_health(inputs: DataFrame) -> DataFrame:
     age = F.col("latest_log_age_days")
     some = lambda *names: F.greatest(*[F.col(n) > 0 for n in names], F.lit(False))
     aged = F.format_string("Latest log is %d days old.", age)
-    steps = [  # kinds of rules: (condition, status, reason), of which the first that holds counts
+    # kinds of rules: (condition, status, reason), of which the first that holds counts; reasons are fixed values
+    steps = [
         [(F.col("coverage_status").isin("missing_sources", "no_records"), "no_log_evidence", F.lit("No complete ETL log evidence is available."))],
         [(F.col("coverage_status").isin("error", "partial"), "warning", F.lit("Log coverage is partial or has read errors."))],
         [(age > 30, "has_issues", aged), (age > 7, "warning", aged)],
@@ -176,7 +177,7 @@ def attention_queue(inputs: DataFrame, top: int = 8) -> DataFrame:
     bad_pressure = (pressure >= 10) & (p95 >= 60)
     warn_pressure = (pressure >= 5) & (p95 >= 30)
     says = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    # code, severity, title, page, condition, detail, impact, columns
+    # code, severity, title, page, condition, detail, impact, columns; codes, titles and texts are fixed values
     rules = [
         ("log_read_errors", "bad", "Review log read errors", "diagnostics", has("read_errors"), says(n("read_errors"), " read errors were found."), "read_errors", ["read_errors"]),
         *[
