@@ -54,12 +54,35 @@ def candidate_count():
     return F.count("candidate_code").alias("candidates")
 
 
-def performance_summary(df: DataFrame) -> DataFrame:
+#: What is told of the slowest run (fixed values).
+SLOWEST = {"duration_seconds": "duration_seconds", "dataflow_name": "dataflow_name", "dataflow_id": "dataflow_id", "dataflow_run_id": "dataflow_run_id", "job_id": "job_id", "start_time": "start_time", "end_time": "end_time", "stage": "stage", "operation_type": "operation_group", "status": "normalized_status"}
+
+
+def record_counts(df: DataFrame, jf: DataFrame) -> DataFrame:
+    """One row: records of both logs, first and last date of the dataflows, newest times, different engines and metadata providers."""
+    different = lambda c: F.count_distinct(F.nullif(c, F.lit("unknown")))
+    flows = df.agg(F.count(F.lit(1)).alias("dataflow_records"), F.min("run_date").alias("date_min"), F.max("run_date").alias("date_max"), F.max("event_time").alias("latest_dataflow_log_at"), different("engine_name").alias("active_engines"), different("metadata_provider_name").alias("active_metadata_providers"))
+    jobs = jf.agg(F.count(F.lit(1)).alias("job_records"), F.max("event_time").alias("latest_job_log_at"))
+    return flows.join(jobs).withColumn("latest_log_at", F.greatest("latest_dataflow_log_at", "latest_job_log_at"))
+
+
+def performance_summary(df: DataFrame, jf: DataFrame) -> DataFrame:
+    """One row of the measured runs: durations, the slowest run (of equal ones that of the last run id), the phase that takes most time, shares of phases, totals and
+    candidates, with the records, dates and newest times of both logs. The slowest run's start and end are null if the runs don't have them.
+    """
     c = optimization_candidates(df)
-    slowest = F.struct("duration_seconds", "dataflow_run_id")
-    shares = [rate(F.sum(f"{p}_phase"), F.sum("phase_total")).alias(f"{p}_percent") for p in PHASES]
-    base = c.agg(F.count(F.lit(1)).alias("run_count"), mean("duration_seconds").alias("avg_duration"), F.coalesce(F.max("duration_seconds"), F.lit(0.0)).alias("max_duration"), F.max_by("dataflow_run_id", slowest).alias("slowest_run_id"), F.max_by("operation_group", slowest).alias("slowest_operation"), *shares, F.round(F.try_divide(F.sum("source_rows_read"), F.sum("duration_seconds")), 3).alias("rows_per_second"), candidate_count(), *[F.count_if(n).alias(n) for n in ("slow_small_workload", "slow_small_maintenance", "high_overhead", "phase_skew")])
-    return with_percentiles(base, measures(df), [], {f"p{n}_duration": (F.col("duration_seconds"), n / 100) for n in (50, 75, 95, 99)})
+    slowest = F.max_by(F.struct(*[(F.col(x) if x in c.columns else F.lit(None).cast("timestamp")).alias(n) for n, x in SLOWEST.items()]), F.struct("duration_seconds", "dataflow_run_id")).alias("s")
+    sums = [F.sum(f"{p}_phase").alias(f"__{p}") for p in PHASES]
+    shares = [rate(F.sum(f"{p}_phase"), F.sum("phase_total")).alias(f"{p}_duration_percent") for p in PHASES]
+    numbers = [F.count(F.lit(1)).alias("run_count"), mean("duration_seconds").alias("avg_duration_seconds"), F.coalesce(F.max("duration_seconds"), F.lit(0.0)).alias("max_duration_seconds")]
+    totals = [F.coalesce(F.round(F.try_divide(F.sum("source_rows_read"), F.sum("duration_seconds")), 3), F.lit(0.0)).alias("rows_read_per_second"), total("source_rows_read").alias("total_rows_read"), total("destination_rows_written").alias("total_rows_written"), F.count("candidate_code").alias("optimization_candidate_count")]
+    base = c.agg(*numbers, slowest, *sums, *shares, *totals, *[F.count_if(n).alias(f"{n}_count") for n in ("slow_small_workload", "slow_small_maintenance", "high_overhead", "phase_skew")])
+    most, phase = F.greatest(*[f"__{p}" for p in PHASES]), F.lit("unknown")
+    for p in reversed(PHASES):
+        phase = F.when((F.col(f"__{p}") >= most) & ((F.col(f"__{p}") > 0) if p == "overhead" else F.lit(True)), p).otherwise(phase)
+    told = base.withColumns({"bottleneck_phase": phase} | {f"slowest_run_{n}": F.coalesce(f"s.{n}", F.lit(0.0)) if n == "duration_seconds" else F.col(f"s.{n}") for n in SLOWEST}).drop("s", *[f"__{p}" for p in PHASES])
+    out = with_percentiles(told, measures(df), [], {f"p{n}_duration_seconds": (F.col("duration_seconds"), n / 100) for n in (50, 75, 95, 99)})
+    return out.join(record_counts(df, jf))
 
 
 def efficiency_points(df: DataFrame, top: int = 200) -> DataFrame:

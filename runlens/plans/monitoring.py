@@ -341,7 +341,9 @@ add("e02_thresholds", lambda df, jf: performance.thresholds(performance.measures
 add("e04_optimization_candidates", lambda df, jf: performance.optimization_candidates(df).select("dataflow_run_id", "bottleneck_phase", "candidate_code", "candidate_priority"), "SELECT dataflow_run_id, bottleneck_phase, candidate_code, candidate_priority FROM cand", S.CAND)
 PF = ("slow_small_workload", "slow_small_maintenance", "high_overhead", "phase_skew")
 SLOW = "{'d': duration_seconds, 'r': dataflow_run_id}"
-add("e05_performance_summary", lambda df, jf: performance.performance_summary(df), f"SELECT COUNT(*) AS run_count, {S.avg('duration_seconds')} AS avg_duration, COALESCE(MAX(duration_seconds), 0) AS max_duration, arg_max(dataflow_run_id, {SLOW}) AS slowest_run_id, arg_max(operation_group, {SLOW}) AS slowest_operation, {', '.join(f'{S.pct(f'SUM({p}_phase)', 'SUM(phase_total)')} AS {p}_percent' for p in C.PHASES)}, ROUND(CAST(SUM(source_rows_read) AS DOUBLE) / NULLIF(SUM(duration_seconds), 0), 3) AS rows_per_second, COUNT(candidate_code) AS candidates, {', '.join(S.n(x, x) for x in PF)}, {', '.join(f'{S.nip('duration_seconds', q / 100)} AS p{q}_duration' for q in (50, 75, 95, 99))} FROM cand", S.CAND)
+RUN = {"dataflow_name": "dataflow_name", "dataflow_id": "dataflow_id", "dataflow_run_id": "dataflow_run_id", "job_id": "job_id", "stage": "stage", "operation_type": "operation_group", "status": "normalized_status"}
+RECORDS = f"(SELECT COUNT(*) FROM df) AS dataflow_records, (SELECT COUNT(*) FROM jf) AS job_records, (SELECT CAST(MIN(run_date) AS VARCHAR) FROM df) AS date_min, (SELECT CAST(MAX(run_date) AS VARCHAR) FROM df) AS date_max, (SELECT {S.ts('MAX(event_time)')} FROM df) AS latest_dataflow_log_at, (SELECT {S.ts('MAX(event_time)')} FROM jf) AS latest_job_log_at, (SELECT {S.ts('MAX(t)')} FROM (SELECT MAX(event_time) AS t FROM df UNION ALL SELECT MAX(event_time) FROM jf)) AS latest_log_at, (SELECT COUNT(DISTINCT NULLIF(engine_name, 'unknown')) FROM df) AS active_engines, (SELECT COUNT(DISTINCT NULLIF(metadata_provider_name, 'unknown')) FROM df) AS active_metadata_providers"
+add("e05_performance_summary", lambda df, jf: performance.performance_summary(df, jf), f"SELECT {RECORDS}, COUNT(*) AS run_count, {S.avg('duration_seconds')} AS avg_duration_seconds, COALESCE(MAX(duration_seconds), 0) AS max_duration_seconds, COALESCE(MAX(duration_seconds), 0) AS slowest_run_duration_seconds, {', '.join(f'arg_max({c}, {SLOW}) AS slowest_run_{n}' for n, c in RUN.items())}, CAST(NULL AS VARCHAR) AS slowest_run_start_time, CAST(NULL AS VARCHAR) AS slowest_run_end_time, CASE WHEN SUM(source_phase) >= GREATEST(SUM(transform_phase), SUM(destination_phase), SUM(overhead_phase)) THEN 'source' WHEN SUM(transform_phase) >= GREATEST(SUM(destination_phase), SUM(overhead_phase)) THEN 'transform' WHEN SUM(destination_phase) >= SUM(overhead_phase) THEN 'destination' WHEN SUM(overhead_phase) > 0 THEN 'overhead' ELSE 'unknown' END AS bottleneck_phase, {', '.join(f'{S.pct(f'SUM({p}_phase)', 'SUM(phase_total)')} AS {p}_duration_percent' for p in C.PHASES)}, COALESCE(ROUND(CAST(SUM(source_rows_read) AS DOUBLE) / NULLIF(SUM(duration_seconds), 0), 3), 0) AS rows_read_per_second, CAST(COALESCE(SUM(source_rows_read), 0) AS BIGINT) AS total_rows_read, CAST(COALESCE(SUM(destination_rows_written), 0) AS BIGINT) AS total_rows_written, COUNT(candidate_code) AS optimization_candidate_count, {', '.join(S.n(x, x + '_count') for x in PF)}, {', '.join(f'{S.nip('duration_seconds', q / 100)} AS p{q}_duration_seconds' for q in (50, 75, 95, 99))} FROM cand", S.CAND)
 EP = "dataflow_run_id, operation_group, duration_seconds, rows_processed, maintenance_bytes, maintenance_files, bottleneck_phase, candidate_code, candidate_priority"
 add("e06_efficiency_points", lambda df, jf: performance.efficiency_points(df), f"SELECT {EP} FROM cand ORDER BY candidate_priority DESC, duration_seconds DESC, event_time DESC NULLS LAST, dataflow_run_id LIMIT 200", S.CAND)
 add("e07_profiles", lambda df, jf: performance.profiles(df), f"SELECT dataflow_id, {DNAME}, {S.mode('operation_group')} AS operation_type, COUNT(*) AS runs, {S.avg('duration_seconds')} AS avg_duration, MAX(duration_seconds) AS max_duration, {S.mode('bottleneck_phase')} AS bottleneck_phase, COUNT(candidate_code) AS candidates, {S.nip('duration_seconds', .5)} AS p50_duration, {S.nip('duration_seconds', .95)} AS p95_duration FROM cand WHERE {S.NOID} GROUP BY 1 ORDER BY p95_duration DESC, runs DESC, 1 LIMIT 40", S.CAND)
