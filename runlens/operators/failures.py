@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import PHASES, dominant, filled, latest, status_is
+from ..functions.columns import PHASES, dominant, filled, latest, rate, status_is, total
 from ..functions.failure_rules import failure_category, failure_rule_id, failure_tags, normalize_message
+from .performance import record_counts
 
 
 def phase_failed(phase: str) -> Column:
@@ -56,16 +57,32 @@ def distinct_jobs(name: str = "affected_jobs") -> Column:
 
 
 def failure_summary(df: DataFrame, jf: DataFrame) -> DataFrame:
+    """One row: records, dates and newest times of both logs, failed runs and jobs, what they touch, repeated signatures, and the top one's runs, share, category and phase.
+
+    The top signature has most failed runs, then most jobs, then the newest failure, then comes first by text. active_engines and active_metadata_providers count those of the jobs.
+    """
     runs, jobs = failed_runs(df), failed_jobs(jf)
     route = F.concat_ws("|", F.coalesce("source_name", F.lit("unknown")), F.coalesce("destination_name", F.lit("unknown")))
     shape = F.concat_ws("|", F.coalesce("operation_types", F.lit("")), F.coalesce("stages", F.lit("")))
-    a = runs.agg(F.count(F.lit(1)).alias("failed_dataflows"), distinct_jobs("affected_dataflow_jobs"), F.countDistinct(F.nullif("dataflow_id", F.lit(""))).alias("affected_dataflows"), F.countDistinct(route).alias("affected_routes"), F.max("event_time").alias("latest_failure_at"))
-    signs = runs.groupBy("failure_signature").agg(F.count(F.lit(1)).alias("n"))
-    b = signs.agg(F.count(F.lit(1)).alias("unique_signatures"), F.count_if(F.col("n") >= 2).alias("repeated_signatures"), F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("n"))), F.lit(0)).alias("repeated_failure_runs"))
-    top = runs.groupBy("failure_category").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("failure_category", F.struct(-F.col("n"), "failure_category")).alias("top_cause"))
+    name = F.coalesce(F.nullif("dataflow_name", F.lit("")), "job_id")
+    a = runs.agg(F.count(F.lit(1)).alias("failed_dataflows"), distinct_jobs("affected_dataflow_jobs"), F.countDistinct(F.nullif("dataflow_id", F.lit(""))).alias("affected_dataflows"), F.countDistinct(route).alias("affected_routes"), F.max("event_time").alias("latest_failure_at"), latest(name).alias("latest_failure_name"))
+    signs = runs.groupBy("failure_signature").agg(F.count(F.lit(1)).alias("n"), distinct_jobs("jobs"), F.max("event_time").alias("at"), F.max("failure_category").alias("category"), F.max("failure_phase").alias("phase"))
+    first = F.struct(-F.col("n"), -F.col("jobs"), F.col("at").isNull(), -F.unix_micros(F.col("at").cast("timestamp")), "failure_signature")
+    top = F.min_by(F.struct("n", "category", "phase", "failure_signature"), first).alias("top")
+    repeated = F.col("n") >= 2
+    b = signs.agg(F.count(F.lit(1)).alias("unique_signatures"), F.count_if(repeated).alias("repeated_signatures"), total(F.when(repeated, F.col("n"))).alias("repeated_failure_runs"), top)
     c = jobs.agg(F.count(F.lit(1)).alias("failed_jobs"), distinct_jobs(), F.countDistinct(shape).alias("affected_job_shapes"))
-    out = a.join(b).join(top).join(c)
-    return out.withColumn("repeated_share", F.round(F.try_divide(F.col("repeated_failure_runs") * 100.0, F.col("failed_dataflows")), 2))
+    different = lambda c: F.countDistinct(F.nullif(c, F.lit("")))
+    d = jf.agg(F.count_if(status_is("succeeded")).alias("succeeded_jobs"), F.min("run_date").alias("first_job"), F.max("run_date").alias("last_job"), different("engine_name").alias("active_engines"), different("metadata_provider_name").alias("active_metadata_providers"))
+    e = record_counts(df, jf).drop("active_engines", "active_metadata_providers").join(df.agg(F.count_if(status_is("succeeded")).alias("succeeded_dataflows")))
+    out = a.join(b).join(c).join(d).join(e)
+    share = lambda part: F.coalesce(rate(part, F.col("failed_dataflows")), F.lit(0.0))
+    told = {
+        "date_min": F.least("date_min", "first_job"), "date_max": F.greatest("date_max", "last_job"), "failed_job_runs": F.col("failed_jobs"), "affected_job_contexts": F.col("affected_job_shapes"), "affected_stages": F.col("affected_job_shapes"),
+        "total_failed_records": F.col("failed_dataflows"), "repeated_failure_share": share(F.col("repeated_failure_runs")), "top_cause_runs": F.coalesce("top.n", F.lit(0)), "top_cause_share": share(F.coalesce("top.n", F.lit(0))),
+        "top_cause_category": F.col("top.category"), "top_cause_phase": F.col("top.phase"), "top_cause_signature": F.col("top.failure_signature"),
+    }
+    return out.withColumns(told).drop("top", "first_job", "last_job")
 
 
 def failed_records(df: DataFrame, top: int = 100) -> DataFrame:

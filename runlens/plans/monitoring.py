@@ -281,7 +281,10 @@ for name, column, top in (("t09_slowest_dataflows", "dataflow_id", 25), ("t09_du
 # failures
 FF = S.FAILED
 add("x01_failed_runs", lambda df, jf: failures.failed_runs(df).select("dataflow_run_id", "failure_phase", "failure_message", "failure_category", "failure_signature", "failure_target"), "SELECT dataflow_run_id, failure_phase, failure_message, failure_category, failure_signature, failure_target FROM fails", FF)
-add("x09_failure_summary", lambda df, jf: failures.failure_summary(df, jf), f"SELECT (SELECT COUNT(*) FROM fails) AS failed_dataflows, (SELECT {S.AJOBS} FROM fails) AS affected_dataflow_jobs, (SELECT COUNT(DISTINCT NULLIF(dataflow_id, '')) FROM fails) AS affected_dataflows, (SELECT COUNT(DISTINCT COALESCE(source_name, 'unknown') || '|' || COALESCE(destination_name, 'unknown')) FROM fails) AS affected_routes, (SELECT {S.ts('MAX(event_time)')} FROM fails) AS latest_failure_at, COUNT(*) AS unique_signatures, COUNT(*) FILTER (k >= 2) AS repeated_signatures, CAST(COALESCE(SUM(k) FILTER (k >= 2), 0) AS BIGINT) AS repeated_failure_runs, (SELECT failure_category FROM fails GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1) AS top_cause, (SELECT COUNT(*) FROM fjobs) AS failed_jobs, (SELECT {S.AJOBS} FROM fjobs) AS affected_jobs, (SELECT COUNT(DISTINCT COALESCE(operation_types, '') || '|' || COALESCE(stages, '')) FROM fjobs) AS affected_job_shapes, ROUND(100.0 * COALESCE(SUM(k) FILTER (k >= 2), 0) / NULLIF((SELECT COUNT(*) FROM fails), 0), 2) AS repeated_share FROM sg", FF + ", " + S.FJOBS + ", sg AS (SELECT failure_signature, COUNT(*) AS k FROM fails GROUP BY 1)")
+CAUSES = S.FAILED + ", " + S.FJOBS + f", sg AS (SELECT failure_signature, failure_category, failure_phase, COUNT(*) AS k, {S.AJOBS} AS j, MAX(event_time) AS t FROM fails GROUP BY ALL), first AS (SELECT * FROM sg ORDER BY k DESC, j DESC, t DESC NULLS LAST, failure_signature LIMIT 1)"
+FAILED_SHARE = "COALESCE(ROUND(100.0 * {} / NULLIF((SELECT COUNT(*) FROM fails), 0), 2), 0)"
+JOB_RECORDS = f"(SELECT COUNT(*) FROM df) AS dataflow_records, (SELECT COUNT(*) FROM jf) AS job_records, (SELECT CAST(MIN(d) AS VARCHAR) FROM (SELECT run_date AS d FROM df UNION ALL SELECT run_date FROM jf)) AS date_min, (SELECT CAST(MAX(d) AS VARCHAR) FROM (SELECT run_date AS d FROM df UNION ALL SELECT run_date FROM jf)) AS date_max, (SELECT {S.ts('MAX(event_time)')} FROM df) AS latest_dataflow_log_at, (SELECT {S.ts('MAX(event_time)')} FROM jf) AS latest_job_log_at, (SELECT {S.ts('MAX(t)')} FROM (SELECT MAX(event_time) AS t FROM df UNION ALL SELECT MAX(event_time) FROM jf)) AS latest_log_at, (SELECT COUNT(DISTINCT NULLIF(engine_name, '')) FROM jf) AS active_engines, (SELECT COUNT(DISTINCT NULLIF(metadata_provider_name, '')) FROM jf) AS active_metadata_providers"
+add("x09_failure_summary", lambda df, jf: failures.failure_summary(df, jf), f"SELECT {JOB_RECORDS}, (SELECT COUNT(*) FROM fails) AS failed_dataflows, (SELECT COUNT(*) FROM fails) AS total_failed_records, (SELECT {S.AJOBS} FROM fails) AS affected_dataflow_jobs, (SELECT COUNT(DISTINCT NULLIF(dataflow_id, '')) FROM fails) AS affected_dataflows, (SELECT COUNT(DISTINCT COALESCE(source_name, 'unknown') || '|' || COALESCE(destination_name, 'unknown')) FROM fails) AS affected_routes, (SELECT {S.ts('MAX(event_time)')} FROM fails) AS latest_failure_at, (SELECT {S.latest("COALESCE(NULLIF(dataflow_name, ''), job_id)")} FROM fails) AS latest_failure_name, COUNT(*) AS unique_signatures, COUNT(*) FILTER (k >= 2) AS repeated_signatures, CAST(COALESCE(SUM(k) FILTER (k >= 2), 0) AS BIGINT) AS repeated_failure_runs, {FAILED_SHARE.format('SUM(k) FILTER (k >= 2)')} AS repeated_failure_share, (SELECT COUNT(*) FROM fjobs) AS failed_jobs, (SELECT COUNT(*) FROM fjobs) AS failed_job_runs, (SELECT {S.AJOBS} FROM fjobs) AS affected_jobs, {', '.join(f"(SELECT COUNT(DISTINCT COALESCE(operation_types, '') || '|' || COALESCE(stages, '')) FROM fjobs) AS {x}" for x in ('affected_job_shapes', 'affected_job_contexts', 'affected_stages'))}, (SELECT COUNT(*) FROM jf WHERE normalized_status = 'succeeded') AS succeeded_jobs, (SELECT COUNT(*) FROM df WHERE normalized_status = 'succeeded') AS succeeded_dataflows, COALESCE((SELECT k FROM first), 0) AS top_cause_runs, {FAILED_SHARE.format('(SELECT k FROM first)')} AS top_cause_share, (SELECT failure_category FROM first) AS top_cause_category, (SELECT failure_phase FROM first) AS top_cause_phase, (SELECT failure_signature FROM first) AS top_cause_signature FROM sg", CAUSES)
 TAGS = "array_to_string(list_sort(list_distinct(list_filter(list_concat(" + ", ".join(f"CASE WHEN regexp_matches(low, {chr(39)}{'|'.join(r[3]).replace(chr(39), chr(39) * 2)}{chr(39)}) THEN {[r[1], *r[4]]!r}::VARCHAR[] ELSE []::VARCHAR[] END" for r in S.BY_RANK) + "), lambda x: x <> failure_category)))[1:5], ',')"
 add("x10_failed_records", lambda df, jf: failures.failed_records(df), f"SELECT dataflow_run_id, {S.ts('event_time')} AS event_time, failure_phase, failure_category, failure_message, failure_target, {S.rules('failure_message', 0, None, None, None)} AS rule_id, {TAGS} AS tags FROM pg", FF + ", pg AS (SELECT *, LOWER(TRIM(concat_ws(chr(10), NULLIF(TRIM(source_error_message), ''), NULLIF(TRIM(transform_error_message), ''), NULLIF(TRIM(destination_error_message), ''), NULLIF(TRIM(error_message), '')))) AS low FROM fails ORDER BY event_time DESC NULLS LAST, dataflow_run_id LIMIT 100)")
 add("x11_repeated_signatures", lambda df, jf: failures.repeated_signatures(df), f"SELECT failure_signature, COUNT(*) AS failed_runs, {S.AJOBS} AS affected_jobs, COUNT(DISTINCT COALESCE(NULLIF(dataflow_id, ''), NULLIF(dataflow_name, ''))) AS affected_dataflows, {S.ts('MAX(event_time)')} AS latest_time, {S.latest('failure_message')} AS latest_error, {S.latest('failure_target')} AS failure_target FROM fails GROUP BY 1 ORDER BY 2 DESC, 3 DESC, MAX(event_time) DESC NULLS LAST, 1 LIMIT 30", FF)
@@ -360,26 +363,53 @@ add("v02_run_candidates", lambda df, jf: volume.run_candidates(df), "SELECT data
 VM = ", ".join(S.VM.values())
 VF = S.VROWS + ", " + S.VFLOWS + ", " + S.scored("vflows", "vfs")
 add("v03_dataflow_candidates", lambda df, jf: volume.dataflow_candidates(df), f"SELECT dataflow_id, {VM}, candidate_kind, ROUND(candidate_ratio, 6) AS candidate_ratio FROM vfs", VF)
-add("v04_volume_summary", lambda df, jf: volume.volume_summary(df), f"SELECT COUNT(*) AS runs, {S.VSUMS}, CAST(SUM(est_rows_written) AS BIGINT) AS est_rows_written, COUNT(*) FILTER (is_lakehouse) AS lakehouse_runs, COUNT(*) FILTER (candidate_ratio > 0) AS candidate_runs, (SELECT COUNT(*) FROM vfs WHERE candidate_ratio > 0) AS candidate_dataflows FROM vs", VF + ", " + S.scored("vrows", "vs"))
+HIGH = {"rows": "read", "est_rows": "est_rows", "lakehouse_rows": "lakehouse_rows", "bytes": "bytes", "files": "files"}
+VTOTAL = {"rows_read": "source_rows_read", "rows_written": "destination_rows_written", "est_rows_written": "est_rows_written", "rows_inserted": "destination_rows_inserted", "rows_updated": "destination_rows_updated", "rows_deleted": "destination_rows_deleted", "bytes_added": "destination_bytes_added", "bytes_removed": "destination_bytes_removed", "bytes_saved": "destination_bytes_saved"}
+add("v04_volume_summary", lambda df, jf: volume.volume_summary(df, jf), f"SELECT {RECORDS}, {', '.join(f'{S.s(c)} AS total_{n}' for n, c in VTOTAL.items())}, {S.s('est_rows_written')} - {S.s('destination_rows_written')} AS total_est_rows_written_non_lakehouse, {S.s('destination_files_added')} AS files_added, {S.s('destination_files_removed')} AS files_removed, {S.s('destination_bytes_added')} - {S.s('destination_bytes_removed')} AS net_bytes_change, COALESCE(ROUND(SUM(destination_bytes_added) / NULLIF(SUM(destination_files_added), 0), 3), 0) AS avg_bytes_per_file_added, COUNT(*) FILTER (is_lakehouse) AS lakehouse_destination_run_count, {S.pct('COUNT(*) FILTER (is_lakehouse)', 'COUNT(*)')} AS lakehouse_destination_share, {S.n("normalized_status = 'skipped'", 'skip_count')}, {S.pct("COUNT(*) FILTER (normalized_status = 'skipped')", 'COUNT(*)')} AS skip_rate, COUNT(*) FILTER (candidate_ratio > 0) AS high_volume_run_count, COUNT(*) FILTER (candidate_ratio > 0) AS high_volume_candidate_run_count, {', '.join(S.n(f'candidate_kind = {m!r}', f'high_volume_{n}_count') for n, m in HIGH.items())}, (SELECT COUNT(*) FROM vfs WHERE candidate_ratio > 0) AS high_volume_dataflow_count FROM vs", VF + ", " + S.scored("vrows", "vs"))
 add("v05_volume_trend", lambda df, jf: volume.volume_trend(df, "month"), f"SELECT {S.trunc('month')} AS bucket_start, COUNT(*) AS runs, {S.VSUMS2} FROM vrows WHERE event_time IS NOT NULL GROUP BY 1", S.VROWS)
-add("v06_workload_mix", lambda df, jf: volume.workload_mix(df), f"SELECT {S.blank('operation_type')} || ' · ' || {S.blank('destination_load_type')} AS workload, COUNT(*) AS runs, {S.VSUMS2} FROM vrows GROUP BY 1 ORDER BY runs DESC, 1 LIMIT 100", S.VROWS)
-add("v06_load_mix", lambda df, jf: volume.load_mix(df), f"SELECT {S.blank('destination_load_type')} AS load_type, COUNT(*) AS runs, {S.VSUMS2} FROM vrows GROUP BY 1", S.VROWS)
-add("v07_route_volume", lambda df, jf: volume.route_volume(df), f"SELECT {ENDS}, COUNT(*) AS runs, COALESCE({S.mode('source_format')}, 'unknown') AS source_format, {S.VSUMS2} FROM vrows GROUP BY 1, 2 ORDER BY {S.s('source_rows_read')} DESC, runs DESC, 1, 2 LIMIT 100", S.VROWS)
-add("v08_top_dataflows", lambda df, jf: volume.top_dataflows_by_metric(df), "SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, dataflow_id) AS rank FROM (" + " UNION ALL ".join(f"SELECT dataflow_id, '{m}' AS metric, {c} AS value FROM vflows" for m, c in S.VM.items()) + ") QUALIFY rank <= 20", S.VROWS + ", " + S.VFLOWS)
-SIG = "concat_ws(',', " + ", ".join(f"CASE WHEN {m}_ratio > 0 THEN '{m}' END" for m in S.VM) + ")"
-VREG = f"vreg AS (SELECT * FROM (SELECT dataflow_id, {DNAME}, COUNT(*) AS runs, MAX(source_rows_read) AS peak_rows_read, MAX(net_bytes) AS peak_net_bytes, {S.ts('MAX(event_time)')} AS latest_time, {S.nip('source_rows_read', .95)} AS p95_rows_read FROM vrows WHERE {S.NOID} GROUP BY 1) JOIN (SELECT dataflow_id, {VM}, candidate_kind, {SIG} AS signals FROM vfs) USING (dataflow_id))"
-add("v09_volume_registry", lambda df, jf: volume.volume_registry(df), "SELECT * FROM vreg", VF + ", " + VREG)
-add("v10_evidence_page", lambda df, jf: volume.evidence_page(df, offset=10), "SELECT dataflow_id, runs, source_rows_read, peak_rows_read, candidate_kind FROM vreg ORDER BY source_rows_read DESC, dataflow_id LIMIT 25 OFFSET 10", VF + ", " + VREG)
+LOADED = "COALESCE(NULLIF(destination_load_type, ''), NULLIF(destination_operation_type, ''), 'unknown')"
+SKIPPED = S.n("normalized_status = 'skipped'", "skipped")
+add("v06_workload_mix", lambda df, jf: volume.workload_mix(df), f"SELECT {S.blank('operation_type')} || ' · ' || {LOADED} AS workload, COUNT(*) AS runs, {SKIPPED}, {S.VSUMS2} FROM vrows GROUP BY 1 ORDER BY {S.s('source_rows_read')} DESC, SUM(vrows.est_rows_written) DESC, {S.s('destination_bytes_added')} + {S.s('destination_bytes_removed')} DESC, runs DESC, 1 LIMIT 100", S.VROWS)
+add("v06_load_mix", lambda df, jf: volume.load_mix(df), f"SELECT {LOADED} AS load_type, COUNT(*) AS runs, {S.VSUMS2} FROM vrows GROUP BY 1 ORDER BY SUM(vrows.est_rows_written) DESC, 1 LIMIT 100", S.VROWS)
+add("v07_route_volume", lambda df, jf: volume.route_volume(df), f"SELECT {ENDS}, COUNT(*) AS runs, {SKIPPED}, {', '.join(f"COALESCE({S.mode(f'NULLIF({c}, {S.EMPTY})')}, 'unknown') AS {c}" for c in ('source_format', 'destination_format', 'source_connection_type', 'destination_connection_type'))}, {S.VSUMS2} FROM vrows GROUP BY 1, 2 ORDER BY {S.s('source_rows_read')} DESC, SUM(vrows.est_rows_written) DESC, runs DESC, 1, 2 LIMIT 100", S.VROWS)
+RANKED = {"rows_read": "source_rows_read", "est_rows_written": "est_rows_written", "rows_written": "destination_rows_written", "bytes_added": "destination_bytes_added", "net_bytes": "signed_net_bytes"}
+add("v08_top_dataflows", lambda df, jf: volume.top_dataflows_by_metric(df), "SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE metric WHEN 'net_bytes' THEN ABS(value) ELSE value END DESC, name, dataflow_id) AS rank FROM (" + " UNION ALL ".join(f"SELECT dataflow_id, {DNAME.removesuffix(' AS dataflow_name')} AS name, COUNT(*) AS count, '{m}' AS metric, {S.s(c)} AS value FROM vrows WHERE {S.NOID} GROUP BY 1" for m, c in RANKED.items()) + ") QUALIFY rank <= 20", S.VROWS)
+VTIMED = f"SELECT * EXCLUDE (latest_run_at), {S.ts('latest_run_at')} AS latest_run_at FROM vreg"
+
+
+def volumes(df: DataFrame) -> DataFrame:
+    """The registry with reasons as text, without signals, which have a query of their own."""
+    return volume.volume_registry(df).drop("volume_candidate_signals").withColumn("candidate_run_reasons", F.array_join("candidate_run_reasons", ", "))
+
+
+add("v09_volume_registry", lambda df, jf: volumes(df), VTIMED, S.VREG)
+add("v09_volume_signals", lambda df, jf: volume.volume_registry(df).select("dataflow_id", F.inline("volume_candidate_signals")), "SELECT * FROM vsig", S.VREG)
+PAGE = ("dataflow_id", "dataflow_name", "run_count", "volume_rows_read", "peak_rows_read", "candidate_run_count", "volume_candidate_kind", "volume_candidate_priority")
+add("v10_evidence_page", lambda df, jf: volume.evidence_page(df, offset=10).select(*PAGE), f"SELECT {', '.join(PAGE)} FROM vreg ORDER BY volume_candidate_priority DESC NULLS LAST, dataflow_id LIMIT 25 OFFSET 10", S.VREG)
+add("v10_evidence_page_by_bytes", lambda df, jf: volume.evidence_page(df, "volume_net_bytes", True).select(*PAGE), f"SELECT {', '.join(PAGE)} FROM vreg ORDER BY volume_net_bytes NULLS LAST, dataflow_id LIMIT 25", S.VREG)
 
 # maintenance
 add("m01_classify", lambda df, jf: maintenance.classify(df).select("dataflow_run_id", "target", "is_maintenance", "is_active", "is_no_op"), "SELECT dataflow_run_id, target, is_maintenance, is_active, is_no_op FROM mt", S.MAINT)
-add("m02_registry", lambda df, jf: maintenance.registry(df), f"SELECT * EXCLUDE (latest_maintenance, latest_write), {S.ts('latest_maintenance')} AS latest_maintenance, {S.ts('latest_write')} AS latest_write FROM mreg", S.MREG)
-add("m03_upstream_dataflows", lambda df, jf: maintenance.upstream_dataflows(df), "SELECT target, COUNT(*) AS dataflows, CAST(SUM(r) AS BIGINT) AS rows_read, string_agg(COALESCE(dataflow_id, 'unknown') || ' (' || k || ')', ', ' ORDER BY dataflow_id NULLS FIRST) AS upstream FROM (SELECT target, dataflow_id, COUNT(*) AS k, COALESCE(SUM(source_rows_read), 0) AS r FROM mt WHERE is_active GROUP BY 1, 2) GROUP BY 1", S.MAINT)
-add("m04_summary", lambda df, jf: maintenance.summary(df), f"SELECT a.*, b.*, (SELECT COUNT(*) FROM mt, (SELECT {S.nip('duration_seconds', .95, 'duration_seconds > 0')} AS p FROM mt WHERE is_maintenance) WHERE is_maintenance AND p > 0 AND duration_seconds >= p) AS high_duration_runs FROM (SELECT COUNT(*) AS runs, {S.sts(False)}, {S.s('destination_files_removed')} AS files_removed, {S.s('destination_bytes_removed')} AS bytes_reclaimed, {S.s('destination_bytes_saved')} AS bytes_saved, COUNT(*) FILTER (is_no_op) AS no_op_runs FROM mt WHERE is_maintenance) a, (SELECT COUNT(*) FILTER (active) AS active_tables, COUNT(*) FILTER (active AND maintained) AS maintained_tables, COUNT(*) FILTER (active AND NOT maintained) AS coverage_missing_tables, {S.pct('COUNT(*) FILTER (active AND maintained)', 'COUNT(*) FILTER (active)')} AS coverage_rate, {', '.join(S.n(f'health = {h!r}', h + '_tables') for h in ('has_issues', 'warning', 'healthy'))}, COUNT(*) FILTER (lag_seconds > 604800) AS lagged_tables, COUNT(*) FILTER (latest_status IN ('running', 'pending')) AS latest_active_tables FROM mreg) b", S.MREG)
+#: Columns of the registry that are others by a second name, and what is told of times.
+AGAIN = f"target AS \"table\", CASE WHEN position('::' IN target) > 0 THEN split_part(target, '::', 2) ELSE target END AS target_display, destination_name AS destination_connection_name, destination_format AS format, mreg.latest_status AS status, bytes_reclaimed AS bytes_removed, COALESCE(ROUND(bytes_reclaimed / NULLIF(duration_seconds, 0), 3), 0) AS bytes_reclaimed_per_second, maintenance_lag_seconds > 604800 AS maintenance_lag_warning, 7 AS maintenance_lag_warning_days, {S.ts('mt')} AS latest_maintenance_time, {S.ts('wt')} AS latest_etl_write_time"
+WRITERS = "(SELECT target, string_agg(COALESCE(dataflow_id, 'unknown') || ' (' || run_count || ')', ', ' ORDER BY dataflow_name, dataflow_id NULLS FIRST) AS w FROM ups GROUP BY 1)"
+
+
+def tables(df: DataFrame) -> DataFrame:
+    """The registry with writers as text; their rows have a query of their own."""
+    one = lambda x: F.concat(F.coalesce(x["dataflow_id"], F.lit("unknown")), F.lit(" ("), x["run_count"].cast("string"), F.lit(")"))
+    return maintenance.registry(df).withColumn("upstream_dataflows", F.array_join(F.transform("upstream_dataflows", one), ", "))
+
+
+add("m02_registry", lambda df, jf: tables(df), f"SELECT mreg.* EXCLUDE (mt, wt), {AGAIN}, COALESCE(w, '') AS upstream_dataflows FROM mreg LEFT JOIN {WRITERS} u USING (target)", S.MREG)
+add("m03_upstream_dataflows", lambda df, jf: maintenance.upstream_dataflows(df), f"SELECT * EXCLUDE (latest_time), {S.ts('latest_time')} AS latest_time FROM ups", S.MREG)
+ACTIVE = "active_lakehouse_table AND maintained_table"
+add("m04_summary", lambda df, jf: maintenance.summary(df, jf), f"SELECT {RECORDS}, a.*, b.*, (SELECT COUNT(*) FROM mt, (SELECT {S.nip('duration_seconds', .95, 'duration_seconds > 0')} AS p FROM mt WHERE is_maintenance) WHERE is_maintenance AND p > 0 AND duration_seconds >= p) AS high_duration_runs FROM (SELECT COUNT(*) AS total_maintenance_runs, {', '.join(S.n(f'normalized_status = {x!r}', x + '_ops') for x in S.ST)}, {S.s('destination_files_removed')} AS files_removed, {S.s('destination_bytes_removed')} AS bytes_reclaimed, {S.s('destination_bytes_saved')} AS bytes_saved, COALESCE(SUM(duration_seconds), 0) AS duration_seconds, COALESCE(SUM(duration_seconds) FILTER (normalized_status = 'succeeded'), 0) AS succeeded_duration_seconds, COUNT(*) FILTER (is_no_op) AS no_op_runs FROM mt WHERE is_maintenance) a, (SELECT {S.n('no_op_runs > 0', 'no_op_tables')}, COALESCE(SUM(no_op_duration_seconds), 0) AS no_op_duration_seconds, {S.n('bytes_reclaimed > 0 OR files_removed > 0', 'tables_with_reclaim')}, {S.n("table_health = 'has_issues'", 'tables_with_issues')}, {S.n("table_health = 'warning'", 'tables_with_warnings')}, {S.n("latest_status = 'failed'", 'latest_failed_tables')}, {S.n("latest_status = 'skipped'", 'latest_skipped_tables')}, {S.n("latest_status IN ('running', 'pending')", 'latest_active_tables')}, {S.n('maintenance_lag_seconds > 604800', 'lagged_tables')}, {S.n('active_lakehouse_table', 'active_lakehouse_tables')}, {S.n(ACTIVE, 'maintained_tables')}, {S.n('active_lakehouse_table AND NOT maintained_table', 'coverage_missing_tables')}, {S.pct(f'COUNT(*) FILTER ({ACTIVE})', 'COUNT(*) FILTER (active_lakehouse_table)')} AS coverage_rate FROM mreg) b", S.MREG)
 add("m05_status_trend", lambda df, jf: maintenance.status_trend(df, "month"), f"SELECT {S.trunc('month')} AS bucket_start, COUNT(*) AS runs, {S.sts()} FROM mt WHERE is_maintenance AND event_time IS NOT NULL GROUP BY 1", S.MAINT)
 add("m05_reclaim_trend", lambda df, jf: maintenance.reclaim_trend(df, "month"), f"SELECT {S.trunc('month')} AS bucket_start, {S.s('destination_files_removed')} AS files_removed, {S.s('destination_bytes_removed')} AS bytes_reclaimed, {S.s('destination_bytes_saved')} AS bytes_saved FROM mt WHERE is_maintenance AND event_time IS NOT NULL GROUP BY 1", S.MAINT)
-add("m06_by_format", lambda df, jf: maintenance.by_format(df), f"SELECT {S.blank('destination_format')} AS format, COUNT(*) AS runs, COUNT(*) FILTER (normalized_status = 'failed') AS failed, {S.s('destination_bytes_removed')} AS bytes_reclaimed FROM mt WHERE is_maintenance GROUP BY 1", S.MAINT)
-add("m07_evidence_page", lambda df, jf: maintenance.evidence_page(df), "SELECT target, priority, health, reason, bytes_reclaimed, lag_seconds FROM mreg ORDER BY priority DESC, bytes_reclaimed DESC, target LIMIT 25", S.MREG)
+add("m06_by_format", lambda df, jf: maintenance.by_format(df), f"SELECT {S.blank('destination_format')} AS format, COUNT(*) AS runs, COUNT(*) FILTER (normalized_status = 'failed') AS failed, {S.s('destination_files_removed')} AS files_removed, {S.s('destination_bytes_removed')} AS bytes_reclaimed FROM mt WHERE is_maintenance GROUP BY 1", S.MAINT)
+TABLE = ("target", "attention_priority", "table_health", "attention_reason", "bytes_reclaimed", "maintenance_lag_seconds", "latest_status")
+add("m07_evidence_page", lambda df, jf: maintenance.evidence_page(df).select(*TABLE), f"SELECT {', '.join(TABLE)} FROM mreg ORDER BY attention_priority DESC, bytes_reclaimed DESC, files_removed DESC, COALESCE(mt, wt) DESC NULLS LAST, target LIMIT 25", S.MREG)
 
 # diagnostics
 add("q01_job_linkage", lambda df, jf: diagnostics.job_linkage(df, jf), f"SELECT job_id, dataflows, jobs, {S.ts('latest_time')} AS latest_time, linkage FROM link", S.LINK)
