@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ingestion, lineage_queries, monitoring, resolution_queries, stream_queries
+from .plans import audit_queries, ingestion, lineage_queries, monitoring, resolution_queries, stream_queries
 
-PLANS = (monitoring, ingestion, lineage_queries, resolution_queries, stream_queries)
+PLANS = (monitoring, ingestion, audit_queries, lineage_queries, resolution_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

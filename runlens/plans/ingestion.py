@@ -7,7 +7,6 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import bucket, bucket_end, bucket_label, name_uuid, rendered
 from ..functions.graph import settled, shared_folder
@@ -154,15 +153,6 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_metadata(spark, [f"{log_folder(spark, sf_dir)}/metadata/k={k}" for k in range(7)]).select("section", record["name"].alias("name"), record["nation"].alias("nation"))
 
 
-TARGET = T.StructType([T.StructField("dataflow_run_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("destination_rows_inserted", T.DoubleType()), T.StructField("stage", T.StringType())])
-
-
-def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = log_folder(spark, sf_dir)
-    found = logs.schema_audit(spark, [f"{at}/flows/dt=2024-01-01", f"{at}/flows/dt=2024-01-02"], TARGET)
-    return found.withColumn("path", F.substring_index("path", "/", -1))
-
-
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files(spark, sf_dir).select("event_id", F.floor("value").cast("double").alias("whole"))
     return logs.schema_repair(rows, ["whole"])
@@ -194,7 +184,6 @@ ON_LOGS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "i01_read_dataflow_runs": (read_flows, f"SELECT dataflow_run_id, status, CASE WHEN {FLOW_NUMBER} % 2 = 0 THEN destination_rows_inserted END AS destination_rows_inserted, CASE WHEN {FLOW_NUMBER} % 2 = 1 THEN 'x' END AS extra, 7 AS _source_id, 'dataflow_parquet' AS _file_kind, true AS sized FROM raw_runs"),
     "i02_read_job_runs": (read_jobs, f"SELECT job_id, status, total_failed, 3 AS _source_id, 'job_jsonl' AS _file_kind FROM raw_jobs WHERE {JOB_NUMBER} % 50 <> 0 AND {JOB_NUMBER} % 51 <> 1"),
     "i02_bad_job_lines": (bad_lines, f"SELECT '{{\"job_id\": ' || job_id AS line, 'invalid_jsonl' AS code FROM raw_jobs WHERE {JOB_NUMBER} % 50 = 0"),
-    "i15_schema_audit": (audited, "SELECT * FROM (VALUES ('dt=2024-01-01', 'dataflow_run_id', 'same', 'string'), ('dt=2024-01-01', 'status', 'same', 'string'), ('dt=2024-01-01', 'destination_rows_inserted', 'widened', 'bigint'), ('dt=2024-01-01', 'stage', 'missing', 'string'), ('dt=2024-01-02', 'dataflow_run_id', 'same', 'string'), ('dt=2024-01-02', 'status', 'same', 'string'), ('dt=2024-01-02', 'extra', 'unknown', 'string'), ('dt=2024-01-02', 'destination_rows_inserted', 'missing', 'double'), ('dt=2024-01-02', 'stage', 'missing', 'string')) v(path, \"column\", verdict, type)"),
     "i16_schema_repair": (repaired, "SELECT event_id, CAST(floor(value) AS BIGINT) AS whole FROM events"),
     "i19_published_facts": (published, "SELECT CAST(run_date AS VARCHAR) AS run_date, COUNT(*) AS rows, COUNT(DISTINCT job_id) AS jobs FROM jf GROUP BY 1"),
     "i20_read_metadata": (read_documents, "SELECT 'connections' AS section, s_name AS name, s_nationkey AS nation FROM supplier"),

@@ -240,19 +240,6 @@ def publish(facts: DataFrame, report: DataFrame, folder: str) -> None:
     facts.hint("rebalance", F.col("run_date")).sortWithinPartitions("_source_id", "event_time").write.mode("overwrite").partitionBy("run_date").parquet(folder)
 
 
-def schema_audit(spark: SparkSession, paths: list[str], target: T.StructType) -> DataFrame:
-    """(path, column, verdict, type) for each path's schema: footers alone are read.
-
-    paths are the few roots that hold one schema each (a source's directories), as a schema is what the driver plans with.
-    """
-    rows = []
-    for p in paths:
-        schema = spark.read.parquet(p).schema
-        rows += [(p, c, v, schema[c].dataType.simpleString()) for c, v in schema_compatibility(schema, target).items()]
-        rows += [(p, f.name, "missing", f.dataType.simpleString()) for f in target if f.name not in schema.names]
-    return spark.createDataFrame(rows, "path string, column string, verdict string, type string")
-
-
 def schema_repair(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns cast to bigint; raises at run time on the first value that it would change."""
     cast = lambda c: F.when(F.col(c).isNull() | (F.col(c) == F.floor(c)), F.col(c).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit(f"{c} isn't integral: "), F.col(c).cast("string"))))
