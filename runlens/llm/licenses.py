@@ -2,7 +2,8 @@
 
 Every line and every block of lines between blank ones is a possible header or notice, and a licence file also counts as a whole. A
 text takes the template with the largest cosine of TF-IDF vectors to one of these units, if that holds the names in the
-template. An SPDX tag counts as its licence. Document frequencies come from the whole corpus. Files without a notice of their
+template. Paragraphs that several licences share name none alone: only if a text has nothing of a licence's own, it is what all of
+a set of them makes. An SPDX tag counts as its licence, or as its whole expression if that has an identifier known here. Document frequencies come from the whole corpus. Files without a notice of their
 own inherit from the licence file in the nearest directory at or above theirs.
 """
 
@@ -18,11 +19,12 @@ from .common import checkpoint, salted_join
 
 #: Titles, notices, headers and paragraphs of common licences, by SPDX identifier.
 TEMPLATES: dict[str, list[str]] = {
+    "0BSD": ["BSD Zero Clause License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
     "AGPL-3.0": ["GNU Affero General Public License version 3", "GNU AFFERO GENERAL PUBLIC LICENSE", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
     "Artistic-2.0": ["The Artistic License 2.0", "This package is free software; you may redistribute it and/or modify it under the terms of the Artistic License 2.0."],
     "BSD-2-Clause": ["BSD 2-Clause License", "Licensed under the BSD 2-Clause License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License.", "BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License.", "BSD 3-Clause License", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -36,11 +38,22 @@ TEMPLATES: dict[str, list[str]] = {
     "LGPL": ["GNU LESSER GENERAL PUBLIC LICENSE"],
     "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
-    "MIT": ["Released under the MIT License.", "MIT License", "The MIT License (MIT)", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "MIT": ["Released under the MIT License.", "MIT License", "The MIT License (MIT)"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "The Unlicense"],
+    "X11": ["Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."],
     "Zlib": ["zlib License", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
 }
+#: Paragraphs that several licences have, which name none of them alone.
+SHARED: dict[str, str] = {
+    "+conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "+source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "+binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "+grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "+notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+}
+#: What a text is that holds all of these paragraphs and nothing of a licence's own.
+SETS: dict[str, list[str]] = {"BSD-2-Clause": ["+conditions", "+source", "+binary"], "MIT": ["+grant"]}
 #: Terms that name a licence or its version; a unit has to hold all of those that a template has.
 NAMES = {"affero", "apache", "artistic", "bsd", "boost", "cc", "cc0", "noncommercial", "sharealike", "nc", "sa", "eclipse", "gnu", "lesser", "isc", "mit", "mozilla", "unlicense", "zlib", "unencumbered"}
 THRESHOLD = 0.7
@@ -50,13 +63,19 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)"
 BLANK = r"\n[ \t\r\n]*\n"
 #: A tag counts as a template of so many terms.
 TAG_TERMS = 1000
-TAG = r"spdx-license-identifier:[ \t]*([a-z0-9.+-]+)"
+TAG = r"(?i)spdx-license-identifier:[ \t]*(\(*[ \t]*[a-z0-9.+-]+(?:[ \t)]+(?:or|and|with)[ \t(]+[a-z0-9.+-]+)*[ \t]*\)*)"
+OPERATORS = ("or", "and", "with")
+
+
+def tag_ids() -> dict[str, str]:
+    """The licence of each identifier in lower case."""
+    return {name.lower() + tail: name for name in TEMPLATES for tail in ("", "-only", "-or-later")}
 
 
 def template_terms() -> list[tuple[str, int, str, int]]:
     """(licence, number of its text, term, count)."""
     out = []
-    for name, texts in TEMPLATES.items():
+    for name, texts in (TEMPLATES | {k: [t] for k, t in SHARED.items()}).items():
         for k, text in enumerate(texts):
             words = [w for w in re.split(SPLIT, text.lower()) if w]
             out += [(name, k, w, words.count(w)) for w in sorted(set(words))]
@@ -131,10 +150,18 @@ def scan_licenses(df: DataFrame, path: Column, text: str = "text", key: str = "d
     dots = weighed.join(F.broadcast(shapes), "term").groupBy("rid", "line", "licence", "variant").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum("name").alias("names"))
     dots = dots.join(F.broadcast(needs), ["licence", "variant"]).filter("names = needed")
     scored = dots.join(norms, ["rid", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= THRESHOLD)
-    ids = literal_rows(df, [(name.lower() + tail, name) for name in TEMPLATES for tail in ("", "-only", "-or-later")], ["tag", "licence"])
-    tags = found.select("rid", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TAG), F.lit(1))).alias("tag")).join(F.broadcast(ids), "tag")
-    scored = scored.select("rid", "score", "terms", "licence").unionByName(tags.select("rid", F.lit(1.0).alias("score"), F.lit(TAG_TERMS).alias("terms"), "licence"))
-    best = checkpoint(scored.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("minus"), (-F.col("terms")).alias("fewer"), "licence")).alias("b")).select("rid", (-F.col("b.minus")).alias("score"), F.col("b.licence").alias("licence")))
+    # what names a licence comes before sets of shared paragraphs
+    shared = scored.filter(F.col("licence").startswith("+")).groupBy("rid", F.col("licence").alias("part")).agg(F.max("score").alias("score"), F.max("terms").alias("terms"))
+    sets = literal_rows(df, [(name, part, len(parts)) for name, parts in SETS.items() for part in parts], ["licence", "part", "size"])
+    whole = shared.join(F.broadcast(sets), "part").groupBy("rid", "licence", "size").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score"), F.sum("terms").cast("int").alias("terms")).filter("n = size")
+    ids = tag_ids()
+    tag = F.trim(F.regexp_replace("tag", "[ \\t]+", " "))
+    tokens = F.filter(F.split(F.lower(F.trim(F.regexp_replace("tag", "[() \\t]+", " "))), " "), lambda x: ~x.isin(*OPERATORS))
+    known_ids = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    said = F.when(F.size("tokens") == 1, F.try_element_at(known_ids, F.col("tokens")[0])).when(F.arrays_overlap("tokens", F.array(*map(F.lit, ids))), F.col("tag"))
+    tags = found.select("rid", F.explode(F.regexp_extract_all("text", F.lit(TAG), F.lit(1))).alias("tag")).select("rid", tag.alias("tag"), tokens.alias("tokens")).select("rid", said.alias("licence")).filter("licence is not null")
+    scored = scored.filter(~F.col("licence").startswith("+")).select("rid", "score", "terms", "licence", F.lit(1).alias("own")).unionByName(whole.select("rid", "score", "terms", "licence", F.lit(0).alias("own"))).unionByName(tags.select("rid", F.lit(1.0).alias("score"), F.lit(TAG_TERMS).alias("terms"), "licence", F.lit(1).alias("own")))
+    best = checkpoint(scored.groupBy("rid").agg(F.min(F.struct((-F.col("own")).alias("last"), (-F.col("score")).alias("minus"), (-F.col("terms")).alias("fewer"), "licence")).alias("b")).select("rid", (-F.col("b.minus")).alias("score"), F.col("b.licence").alias("licence")))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     own = files.select("rid", key, "path", folder.alias("folder")).join(best, "rid", "left")
     given = own.filter(F.col("licence").isNotNull() & name.rlike(LICENCE_FILE)).groupBy("folder").agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "licence")).alias("g")).select(F.col("folder").alias("above"), F.col("g.licence").alias("given"))

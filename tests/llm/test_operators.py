@@ -238,7 +238,26 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty, F.lit("/x")).count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software."""
 HEADERS = {
+    GRANT: "MIT",
     "MIT License": "MIT",
     "The MIT License (MIT)": "MIT",
     "_MIT License_": "MIT",
@@ -251,7 +270,19 @@ HEADERS = {
     "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991": "GPL-2.0",
     "GNU GENERAL PUBLIC LICENSE": "GPL",
     "GNU LESSER GENERAL PUBLIC LICENSE": "LGPL",
-    "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.": "BSD-3-Clause",
+    "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.": None,
+    "BSD 2-Clause License\n\n" + BSD: "BSD-2-Clause",
+    "Copyright 2020 A. Person\n\n" + BSD: "BSD-2-Clause",
+    BSD + "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.": "BSD-3-Clause",
+    "The above copyright notice and this permission notice shall be included in\nall copies or substantial portions of the Software.": None,
+    GRANT + "\n\nExcept as contained in this notice, the name of the X Consortium shall not be\nused in advertising or otherwise to promote the sale, use or other dealings\nin this Software without prior written authorization from the X Consortium.": "X11",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.": "0BSD",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+    "# SPDX-License-Identifier: (MIT OR Apache-2.0)": "(MIT OR Apache-2.0)",
+    "/* SPDX-License-Identifier: Apache-2.0 OR  MIT */": "Apache-2.0 OR MIT",
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only WITH Classpath-exception-2.0",
+    "SPDX-License-Identifier: (MIT)": "MIT",
+    "SPDX-License-Identifier: Nobody-1.0 OR Nothing": None,
     "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */": "MPL-2.0",
     "ISC License": "ISC",
     "Boost Software License - Version 1.0 - August 17th, 2003": "BSL-1.0",
