@@ -1,4 +1,4 @@
-"""Facts that are built once a session and read by every query, as a monitoring service serves them."""
+"""Tables that are built once a session and revision of their source, and read by the queries that share them."""
 
 from __future__ import annotations
 
@@ -8,26 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.graph import shared_folder
-from ..operators import facts
-
-#: (application, tables) -> folder. A session's input tables don't change; `forget` has them built anew.
-_BUILT: dict[tuple[str, str], str] = {}
-
-
-def published_facts(spark: SparkSession, name: str, runs: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(dataflow facts, job facts) of raw runs, written below the shared folder at the first call for a name."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _BUILT:
-        folder = shared_folder(spark, "facts")
-        facts.build_job_facts(jobs).write.parquet(f"{folder}/jobs")
-        facts.build_dataflow_facts(runs, spark.read.parquet(f"{folder}/jobs")).write.parquet(f"{folder}/dataflows")
-        _BUILT[key] = folder
-    return spark.read.parquet(f"{_BUILT[key]}/dataflows"), spark.read.parquet(f"{_BUILT[key]}/jobs")
-
-
-def forget(spark: SparkSession, name: str) -> None:
-    _BUILT.pop((spark.sparkContext.applicationId, name), None)
-
 
 _KEPT: dict[tuple[str, str, str], tuple[tuple, dict[str, str]]] = {}
 

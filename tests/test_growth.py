@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from runlens import catalog
+from runlens.functions import dealing
 from runlens.operators import lineage
+from tests.test_monitoring import SF
 
 
 def joined_rows(df):
@@ -29,3 +32,21 @@ def test_references_meet_counts_and_not_every_table(spark):
     assert joined_rows(out) <= 400 * 2  # 120,000 pairs before
     got = {r["reference"] % 4: (r["status"], r["asset"]) for r in out.collect()}
     assert got == {0: ("resolved", 1), 1: ("ambiguous", None), 2: ("out_of_scope", None), 3: ("resolved", 0)} and out.count() == 400
+
+
+def test_facts_are_derived_by_what_a_query_reads(spark):
+    plain = catalog.queries()["p04_operation_mix"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plain and "orders" not in plain and "l_extendedprice" not in plain.split("Relation")[0]
+    assert "Join" in catalog.queries()["t08_engine_stage_matrix"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_of_a_dealt_join_count_in_its_estimate(spark, tmp_path):
+    spark.range(1000).withColumn("v", F.col("id")).write.parquet(str(tmp_path / "r"))
+    right = spark.read.parquet(str(tmp_path / "r"))
+    left = right.select("id")
+    plan = dealing.dealt_join(left, right, ["id"], F.col("id"))
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert plan.count() == 1000
+    held = plan._jdf.queryExecution().optimizedPlan().collectLeaves()
+    copies = right.crossJoin(F.broadcast(spark.range(16)))
+    assert size(copies) >= 16 * size(right) and "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString() and held.size() == 3
