@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens import catalog
-from runlens.functions import dealing
+from runlens.functions import dealing, graph
 from runlens.operators import lineage
 from tests.test_monitoring import SF
 
@@ -50,3 +50,10 @@ def test_copies_of_a_dealt_join_count_in_its_estimate(spark, tmp_path):
     held = plan._jdf.queryExecution().optimizedPlan().collectLeaves()
     copies = right.crossJoin(F.broadcast(spark.range(16)))
     assert size(copies) >= 16 * size(right) and "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString() and held.size() == 3
+
+
+def test_settled_tables_are_as_large_on_disk_as_they_are(spark):
+    rows = spark.range(20000).select(F.lit("the same long identifier in every row").alias("value"))
+    held = graph.settled(rows)
+    assert held.count() == 20000
+    assert int(str(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 20000 * 37  # 37 characters each
