@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, checkpoint, connected_components, values
+from .common import bucket_links, checkpoint, connected_components, salted_join, values
 
 #: Fixed value: generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -107,7 +107,7 @@ def simhash_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", do
 
 
 def fingerprint_keys(df: DataFrame) -> DataFrame:
-    """node (fp) and key: every two fingerprints at most 2 bits apart share a key.
+    """node (fp) and key of df's fp: every two fingerprints at most 2 bits apart share a key.
 
     64 bits are segments A (23), B (20) and C (21). If B is equal, A has at most 2 errors: a Golay key of A with B. If C is equal,
     a Golay key of A with C. Else B and C have one error each and A none: A with a Golay key of B. That is up to
@@ -154,6 +154,8 @@ def simhash_components(df: DataFrame, shingle: int = 3, max_bits: int = 2, text:
 BANDS, BAND = 12, 4
 #: Of one bit of each of the 48 minima, pairs at 0.8 differ in 4.8 on average, with a standard deviation of 2.1.
 NEAR_BITS = 14
+#: Words of the shingles, and differing bits, of the SimHash fingerprints that find near copies first.
+PRINT_SHINGLE, PRINT_BITS = 3, 2
 
 
 def row_key(text: str, doc_id: str) -> Column:
@@ -177,25 +179,26 @@ def min_hashes(words: list[bytes], size: int) -> np.ndarray:
 
 
 def min_prints(df: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, digest (128 bits) of the words, the keys of the bands (none without words), and s, a bit of each minimum."""
+    """row, doc_id, digest (128 bits) of the words, the keys of the bands (none without words), s, a bit of each minimum, and fp, the SimHash fingerprint."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
         for batch in batches:
-            keys, digests, bits = [], [], np.zeros(batch.num_rows, np.int64)
+            keys, digests, bits, fps = [], [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for k, t in enumerate(values(batch.column(2))):
                 words = words_of(t)
                 digests.append(xxh3_128_hexdigest(b" ".join(words)))
                 if not words:
                     keys.append([])
                     continue
+                fps[k] = _signed(majority(shingle_hashes(words, PRINT_SHINGLE)))
                 least = min_hashes(words, shingle)
                 keys.append([_signed(xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least.reshape(BANDS, BAND))])
                 bits[k] = np.sum((least >> np.uint64(40) & np.uint64(1)) << np.arange(len(least), dtype=np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits)], ["row", "doc_id", "digest", "keys", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits), pa.array(fps)], ["row", "doc_id", "digest", "keys", "s", "fp"])
 
-    return df.select("row", "doc_id", "text").mapInArrow(prints, "row string, doc_id long, digest string, keys array<long>, s long")
+    return df.select("row", "doc_id", "text").mapInArrow(prints, "row string, doc_id long, digest string, keys array<long>, s long, fp long")
 
 
 def linked(few: pd.DataFrame, many: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -222,8 +225,10 @@ def linked(few: pd.DataFrame, many: pd.DataFrame, similarity: float) -> pd.DataF
 def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """row (see row_key), doc_id and component of each row of df, by pairs of texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
-    Candidates share a band of minima over the shingles, so that recall depends on the similarity alone, and not on which words
-    differ; the similarity is then computed exactly from whole texts. SimHash can't do that: at 0.8 its bits differ too much.
+    SimHash comes first: texts whose fingerprints differ in at most PRINT_BITS bits share a Golay key and meet its heads. At a similarity
+    of 0.8 fingerprints differ in more bits, so texts that are in other components than those of their buckets then also meet
+    if they share a band of minima over the shingles, where recall depends on the similarity alone, and not on which words
+    differ. Either way the similarity is computed exactly from whole texts.
     Exact copies (by 128-bit digest of their words) are one node. Texts without words are alike.
     """
 
@@ -233,7 +238,7 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
 
     rows = df.select(row_key(text, doc_id).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     copies = checkpoint(min_prints(rows, shingle))
-    firsts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("s").alias("s"))
+    firsts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("s").alias("s"), F.min("fp").alias("fp"))
     firsts = checkpoint(firsts.withColumn("node", F.monotonically_increasing_id()))
     near = F.expr(f"bit_count(x.s ^ y.s) <= {NEAR_BITS}")
 
@@ -257,8 +262,14 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
         both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
         return both.filter(F.col("c") >= similarity * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b").distinct()
 
+    # by SimHash; texts without words are one node
+    worded = firsts.filter(F.size("keys") > 0)
+    prints = fingerprint_keys(worded.select("fp").distinct()).withColumnRenamed("node", "fp")
+    alike = F.expr(f"bit_count(x.fp ^ y.fp) <= {PRINT_BITS}")
+    links = checkpoint(bucket_links(salted_join(worded.select("node", "fp"), prints.groupBy("fp").agg(F.collect_list("key").alias("of_fp")), ["fp"], F.col("node"), how="inner").select("node", F.explode("of_fp").alias("key")), alike, verify, firsts.select("node", "fp"), rest=False))
+    # by bands, what those links leave apart
     members = firsts.select("node", F.explode("keys").alias("key"))
-    comp = connected_components(bucket_links(members, near, verify, firsts.select("node", "s"), compare))
+    comp = connected_components(bucket_links(members, near, verify, firsts.select("node", "s"), compare, known=links))
     named = firsts.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # a digest may hold a third of all rows: documents are dealt by (digest, salt)
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
