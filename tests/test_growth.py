@@ -1,9 +1,12 @@
 """Plans whose rows grow no faster than the input."""
 
+
+
+import pytest
 from pyspark.sql import functions as F
 
 from runlens import catalog
-from runlens.functions import dealing, graph
+from runlens.functions import columns, dealing, graph
 from runlens.operators import lineage
 from tests.test_monitoring import SF
 
@@ -57,3 +60,40 @@ def test_settled_tables_are_as_large_on_disk_as_they_are(spark):
     held = graph.settled(rows)
     assert held.count() == 20000
     assert int(str(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 20000 * 37  # 37 characters each
+
+
+def shuffled_rows(df):
+    """Rows that the shuffles of the plan that ran wrote."""
+    df.collect()
+    seen, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        if p.nodeName() == "Exchange" and p.metrics().contains("shuffleRecordsWritten"):
+            seen += p.metrics().apply("shuffleRecordsWritten").value()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            plans.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            plans.append(p.plan())
+        kids = p.children()
+        plans += [kids.apply(i) for i in range(kids.size())]
+    return seen
+
+
+@pytest.fixture
+def runs(spark):
+    """Runs of three dataflows whose aggregates Spark takes for too large to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "300KB")
+    text = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    i, none = F.col("id"), F.lit(None).cast("string")
+    yield spark.range(300_000).select(
+        text("df-", i % 3).alias("dataflow_id"), F.timestamp_seconds(i).alias("event_time"), text("run-", i).alias("dataflow_run_id"), F.lit("etl").alias("operation_type"),
+        F.when(i % 5 == 0, "skipped").otherwise("succeeded").alias("normalized_status"), F.when(i < 100, text("flow ", i)).alias("dataflow_name"), F.when(i % 7 == 0, text("stage ", i)).alias("stage"),
+        none.alias("error_message"), none.alias("source_watermark_columns"), none.alias("source_watermark_before"), text(i).alias("source_watermark_after"), none.alias("source_watermark_effective"),
+    )
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_runs_are_not_shuffled_to_meet_newest_times(runs):
+    out = columns.latest_values(runs, "dataflow_id", {c: F.col(c) for c in ("dataflow_name", "stage")}, 1)
+    assert shuffled_rows(out) < 1000
+    assert {tuple(r) for r in out.collect()} == {("df-0", "flow 99", "stage 299985"), ("df-1", "flow 97", "stage 299992"), ("df-2", "flow 98", "stage 299999")}
