@@ -1,13 +1,12 @@
 """Plans whose rows grow no faster than the input."""
 
 
-
 import pytest
 from pyspark.sql import functions as F
 
 from runlens import catalog
 from runlens.functions import columns, dealing, graph
-from runlens.operators import lineage
+from runlens.operators import freshness, lineage
 from tests.test_monitoring import SF
 
 
@@ -97,3 +96,10 @@ def test_runs_are_not_shuffled_to_meet_newest_times(runs):
     out = columns.latest_values(runs, "dataflow_id", {c: F.col(c) for c in ("dataflow_name", "stage")}, 1)
     assert shuffled_rows(out) < 1000
     assert {tuple(r) for r in out.collect()} == {("df-0", "flow 99", "stage 299985"), ("df-1", "flow 97", "stage 299992"), ("df-2", "flow 98", "stage 299999")}
+
+
+def test_runs_are_not_shuffled_for_the_freshness_registry(runs):
+    out = freshness.freshness_registry(runs, "1970-01-05 00:00:00")
+    assert shuffled_rows(out) < 2000
+    got = {r["dataflow_id"]: (r["run_count"], r["latest_status"], r["movement_state"], r["skipped_streak"], r["dataflow_name"]) for r in out.collect()}
+    assert got == {f"df-{k}": (100_000, "succeeded", "initialized", 0, name) for k, name in enumerate(("flow 99", "flow 97", "flow 98"))}
