@@ -1,5 +1,6 @@
 """Plans whose rows grow no faster than the input."""
 
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,8 @@ def test_runs_are_not_shuffled_for_the_freshness_registry(runs):
     assert shuffled_rows(out) < 2000
     got = {r["dataflow_id"]: (r["run_count"], r["latest_status"], r["movement_state"], r["skipped_streak"], r["dataflow_name"]) for r in out.collect()}
     assert got == {f"df-{k}": (100_000, "succeeded", "initialized", 0, name) for k, name in enumerate(("flow 99", "flow 97", "flow 98"))}
+
+
+def test_profiles_join_thresholds_once(spark):
+    plan = catalog.queries()["e07_profiles"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"operation_group#\d+ = operation_group#\d+", plan)) == 1
