@@ -37,19 +37,17 @@ class Recent:
         self.old: dict[str, bytes] = {}
 
     def __call__(self, keys: set[str]) -> dict[str, bytes]:
-        """A small table of the keys' values."""
-        found, missing, new, old = {}, [], self.new.get, self.old.get
-        for k in keys:
-            if (v := new(k)) is None:
-                if (v := old(k)) is None:
-                    missing.append(k)
-                    continue
-                self.new[k] = v
-            found[k] = v
-        if missing:
-            made = dict(zip(missing, self.make(missing), strict=True))
-            if len(self.new) + len(made) > self.size:
-                self.old, self.new = self.new, {}
-            self.new |= made
-            found |= made
-        return found
+        """A table that has the keys' values. It is the kept one, not a copy, unless a generation ends."""
+        missing = keys.difference(self.new)
+        if not missing:
+            return self.new
+        fresh, old = missing.difference(self.old), self.old
+        found = {k: old[k] for k in missing - fresh}
+        if fresh:
+            order = list(fresh)
+            found |= zip(order, self.make(order), strict=True)
+        if len(self.new) + len(found) > self.size:
+            self.old, self.new = self.new, found
+            return {k: self.old[k] for k in keys - missing} | found
+        self.new |= found
+        return self.new
