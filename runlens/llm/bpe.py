@@ -24,10 +24,12 @@ from .cuts import Recent, cut_texts
 
 #: Fixed value: the byte-level pre-tokenizer's split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks and words in each of two generations, and token pairs, that a worker keeps at most.
-CHUNKS, WORDS, PAIRS = 100_000, 250_000, 500_000
+#: Chunks and words in each of two generations, and token pairs (of long words; slots of a table for the rest), that a worker keeps at most.
+CHUNKS, WORDS, PAIRS, SLOTS = 300_000, 250_000, 50_000, 1 << 20
+#: Bytes of words that are encoded side by side, and how many of them at once; longer words go one by one.
+LONGEST, BESIDE = 60, 20_000
 #: Texts that are encoded together.
-AT_ONCE = 1000
+AT_ONCE = 500
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,6 +39,49 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def slot_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A place among 2^bits for each key."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class Suffixes:
+    """Tokens as a trie read from their last byte, whose edges are kept in exact hash tables: those that find their slot taken go to the next table."""
+
+    def __init__(self, tokens: list[tuple[bytes, int]]):
+        edges: dict[int, int] = {}
+        ends = {}
+        for token, rank in tokens:
+            node = 0
+            for b in reversed(token):
+                node = edges.setdefault(node << 8 | b, len(edges) + 1)
+            ends[node] = rank
+        self.token = np.full(len(edges) + 1, -1, np.int64)
+        self.token[list(ends)] = list(ends.values())
+        keys, to = np.array(list(edges), np.int64), np.array(list(edges.values()), np.int64)
+        self.tables, bits = [], 20
+        while len(keys):
+            held, node, at = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.int32), slot_of(keys, bits)
+            held[at], node[at] = keys, to
+            self.tables.append((bits, held, node))
+            left = held[at] != keys
+            keys, to, bits = keys[left], to[left], bits - 1
+
+    def step(self, nodes: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """The nodes reached by one more byte; 0 where there is none."""
+        keys = nodes << 8 | by
+        out = np.zeros(len(keys), np.int64)
+        todo = np.arange(len(keys))
+        for bits, held, node in self.tables:
+            at = slot_of(keys[todo], bits)
+            found = held[at]
+            hit = found == keys[todo]
+            out[todo[hit]] = node[at[hit]]
+            todo = todo[~hit & (found >= 0)]
+            if not len(todo):
+                break
+        return out
+
+
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizer file. Tokens are handled by rank: bytes first, then merges in order."""
 
@@ -80,6 +125,9 @@ class Bpe:
             if sound[k]:
                 self.automaton.add_word(t, (k, len(t)))
         self.automaton.make_automaton()
+        # a text's bytes are never 255, which parts words
+        self.suffixes = Suffixes([(t.encode("latin-1"), k) for k, t in enumerate(self.text) if sound[k] and "\xff" not in t])
+        self.apart = np.full(SLOTS, -1, np.int64)
         self.ids = self.id_of.tolist()
         self.chunks, self.words = Recent(CHUNKS, self.make_chunks), Recent(WORDS, self.make_words)
         sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
@@ -168,16 +216,74 @@ class Bpe:
             n -= size[n]
         return out[::-1]
 
+    def may_meet(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """stays_apart of each two tokens, or True where none comes before. Answers are kept in a table with one place for each slot."""
+        keys = before << 20 | after
+        at = slot_of(keys, SLOTS.bit_length() - 1)
+        held = self.apart[at]
+        ok = (held & 1).astype(bool) | (before < 0)
+        new = np.nonzero((held >> 1 != keys) & (before >= 0))[0]
+        if len(new):
+            asked, which = np.unique(keys[new], return_inverse=True)
+            answers = np.fromiter((self.stays_apart(k >> 20, k & 0xFFFFF) for k in asked.tolist()), dtype=bool, count=len(asked))
+            ok[new] = answers[which]
+            self.apart[slot_of(asked, SLOTS.bit_length() - 1)] = asked << 1 | answers
+        return ok
+
+    def beside(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of at most LONGEST bytes, as word gives them: all words' prefixes of one length are decided at once."""
+        flat = np.frombuffer(b"\xff" + b"\xff".join(words), dtype=np.uint8).astype(np.int64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum(sizes + 1) - sizes - 1  # of each word: the place before its first byte
+        length = np.arange(len(flat)) - np.repeat(starts, sizes + 1)  # of the prefix that ends at each place
+        # all tokens that end at each place, the longest first
+        end = np.nonzero(length)[0]
+        node, ends, tokens, spans = np.zeros(len(end), np.int64), [], [], []
+        for k in itertools.count():
+            node = self.suffixes.step(node, flat[end - k])
+            end, node = end[node > 0], node[node > 0]
+            if not len(end):
+                break
+            token = self.suffixes.token[node]
+            real = token >= 0
+            ends.append(end[real])
+            tokens.append(token[real])
+            spans.append(np.full(len(ends[-1]), k + 1))
+        end, token, span = (np.concatenate(x[::-1]) if x else np.zeros(0, np.int64) for x in (ends, tokens, spans))
+        first, number = np.zeros(len(flat), np.int64), np.arange(len(end))
+        first[end[::-1]] = number[::-1]
+        turn = (length[end] * 2 + (first[end] != number)).astype(np.uint8)
+        order = np.argsort(turn, kind="stable")
+        cuts = [0, *np.cumsum(np.bincount(turn, minlength=2)).tolist()]
+        last, size = np.full(len(flat), -1, np.int64), np.zeros(len(flat), np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            some = order[a:b]
+            some = some[size[end[some]] == 0]
+            if len(some):
+                some = some[self.may_meet(last[end[some] - span[some]], token[some])]
+                last[end[some]], size[end[some]] = token[some], span[some]
+        at, kept = starts + sizes, np.zeros(len(flat), bool)
+        while len(at := at[length[at] > 0]):
+            kept[at] = True
+            at = at - size[at]
+        ids, n = self.id_of[last[kept]].astype("<u4").tobytes(), np.cumsum(kept)
+        return [ids[a:b] for a, b in zip((n[starts] * 4).tolist(), (n[starts + sizes] * 4).tolist(), strict=True)]
+
     def make_words(self, words: list[str]) -> list[bytes]:
-        return [array("I", self.word(w.encode().decode("latin-1"))).tobytes() for w in words]
+        raw = [w.encode() for w in words]
+        short = [w for w in raw if len(w) <= LONGEST]
+        found = iter([x for a in range(0, len(short), BESIDE) for x in self.beside(short[a : a + BESIDE])])
+        return [next(found) if len(w) <= LONGEST else array("I", self.word(w.decode("latin-1"))).tobytes() for w in raw]
 
     def make_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks: a line break and what follows it, or what follows a space, with the space."""
+        """Ids of chunks: a line break and what follows it, or what follows a space, with the space. They are split as one text, as no pre-token crosses them."""
         self.meet(chunks)
-        split = self.split if self.odd else self.plain_split
-        parts = [split(c if c[0] == "\n" else " " + c) for c in chunks]
-        ids = self.words(set().union(*parts)).__getitem__
-        return [ids(p[0]) if len(p) == 1 else b"".join(map(ids, p)) for p in parts]
+        whole = [c if c[0] == "\n" else " " + c for c in chunks]
+        parts = self.split("".join(whole))
+        ids = list(map(self.words(set(parts)).__getitem__, parts))
+        ends = np.cumsum(np.fromiter(map(len, whole), dtype=np.int64, count=len(whole)))
+        after = (np.searchsorted(np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))), ends) + 1).tolist()
+        return [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in zip([0, *after[:-1]], after, strict=True)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. The chunks of all texts are looked up together."""

@@ -42,12 +42,12 @@ class Recent:
         if not missing:
             return self.new
         fresh, old = missing.difference(self.old), self.old
-        found = {k: old[k] for k in missing - fresh}
-        if fresh:
-            order = list(fresh)
-            found |= zip(order, self.make(order), strict=True)
-        if len(self.new) + len(found) > self.size:
-            self.old, self.new = self.new, found
-            return {k: self.old[k] for k in keys - missing} | found
-        self.new |= found
+        order = list(fresh)
+        made = zip(order, self.make(order) if order else [], strict=True)
+        if len(self.new) + len(missing) > self.size:
+            self.old, self.new = self.new, {k: old[k] for k in missing - fresh}
+            self.new.update(made)
+            return {k: self.old[k] for k in keys - missing} | self.new
+        self.new.update(made)
+        self.new.update((k, old[k]) for k in missing - fresh)
         return self.new
