@@ -8,7 +8,6 @@ found first. Nulls and empty texts encode to no ids. Texts are encoded whole, wh
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 from array import array
@@ -19,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept_in_worker, slices
 from .cuts import Recent, cut_texts
 
 #: Fixed value: the byte-level pre-tokenizer's split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks and words in each of two generations, and token pairs (of long words; slots of a table for the rest), that a worker keeps at most.
-CHUNKS, WORDS, PAIRS, SLOTS = 300_000, 250_000, 50_000, 1 << 20
+CHUNKS, WORDS, PAIRS, SLOTS = 300_000, 120_000, 50_000, 1 << 20
 #: Bytes of words that are encoded side by side, and how many of them at once; longer words go one by one.
 LONGEST, BESIDE = 60, 20_000
 #: Texts that are encoded together.
@@ -320,7 +319,7 @@ class Bpe:
         return self.flat[at].tobytes()
 
 
-@functools.lru_cache(maxsize=2)
+@kept_in_worker
 def model(path: str) -> Bpe:
     """One vocabulary for each Python worker."""
     return Bpe(path)

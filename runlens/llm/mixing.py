@@ -12,6 +12,7 @@ import heapq
 import math
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,10 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, temperat
     least = min(weights.values()) if weights else 1.0
     weight = lambda r: weights.get(r["__source"][1:] if r["__source"] != "n" else None, least) if weights else float(r["n"]) ** temperature
     plan = schedule([(r["__source"], -(-r["n"] // block), weight(r)) for r in totals], frame)
-    plan_df = F.broadcast(spark.createDataFrame(plan, "__source string, __frame long, __first long, __end long, __slots array<long>"))  # at most BLOCKS and a block a source
+    # at most BLOCKS and a block a source; as an Arrow table, since rows in a list would start Python workers of their own beside those of functions
+    kinds = [("__source", pa.string()), ("__frame", pa.int64()), ("__first", pa.int64()), ("__end", pa.int64()), ("__slots", pa.list_(pa.int64()))]
+    table = pa.table({name: pa.array([row[k] for row in plan], kind) for k, (name, kind) in enumerate(kinds)})
+    plan_df = F.broadcast(spark.createDataFrame(table))
     bits = min(24, max(6, (max((r["n"] for r in totals), default=0) // RANGE).bit_length()))
     sized = sized.withColumn("__range", F.shiftright("__hash", 64 - bits))
     parts = sized.groupBy("__source", "__range").agg(F.sum("__size").alias("__sum"))

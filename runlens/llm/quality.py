@@ -7,7 +7,6 @@ share of the text, so texts of any length have one scale. Whole texts are read.
 
 from __future__ import annotations
 
-import functools
 import zlib
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import kept_in_worker, values
 
 DIM = 1 << 18
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -100,7 +99,7 @@ class OrdinalModel:
         return self
 
 
-@functools.lru_cache(maxsize=1)
+@kept_in_worker
 def features() -> Features:
     return Features()
 

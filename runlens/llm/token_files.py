@@ -9,7 +9,6 @@ name and renamed, so a task that runs again leaves the same files. The folder mu
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mounted, slices
+from .common import kept_in_worker, mounted, slices
 from .cuts import Recent, cut_texts
 
 NULL_ID = -(1 << 63)
@@ -97,7 +96,7 @@ class Chunks:
         return self.encode_all([text])[0]
 
 
-@functools.lru_cache(maxsize=2)
+@kept_in_worker
 def chunks(path: str, dtype: str) -> Chunks:
     return Chunks(path, dtype)
 
