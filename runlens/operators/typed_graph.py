@@ -140,32 +140,48 @@ def relations(dataflows: DataFrame, edges: DataFrame) -> DataFrame:
     return dataflows.select("id", "source", "target", F.lit("dataflow").alias("type"), "stage", none("asset"), none("state"), none("reference_id")).unionByName(edges.select("id", "source", "target", F.lit("dependency").alias("type"), none("stage"), "asset", "state", "reference_id"))
 
 
-def walk(edges: DataFrame, starts: DataFrame, incoming: bool) -> DataFrame:
-    """(label, id): the relations (id, source, target) on ways that lead to, or from, the nodes of starts (label, node), for each label apart.
+def meet(ways: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
+    """(label, source, target): the ways whose `end` is one of nodes (label, node, all different), of the same label where ways have labels, else once for each label of the node."""
+    nodes, salt = nodes.withColumnRenamed("node", end), F.xxhash64("source" if end == "target" else "target")
+    if "label" in ways.columns:
+        return dealt_join(ways, nodes, ["label", end], salt, "inner").select("label", "source", "target")
+    labels = nodes.groupBy(end).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return dealt_join(ways, labels, [end], salt, "inner").select(F.explode("labels").alias("label"), "source", "target")
 
-    Goes on until nothing new is reached. Each round joins the nodes reached last with the relations at them; a node's relations are read once a label.
+
+def touched(ways: DataFrame, starts: DataFrame, direction: str) -> DataFrame:
+    """(label, source, target): the ways, which are all different, on paths upstream, downstream or both from starts (label, up, down), for each label apart.
+
+    Goes on until nothing new is reached. Each round meets the ways at the nodes that were reached last. A way stands for all relations between its
+    ends, so rows grow with labels and ways, not with labels and relations. Ways may have labels that they hold for.
     """
-    here, there = ("target", "source") if incoming else ("source", "target")
-    ways = settled(edges.select("id", F.col(here).alias("node"), F.col(there).alias("next")))
-    front = seen = settled(starts.select("label", "node").distinct())
-    found = None
-    while True:
-        met = settled(dealt_join(ways, front.groupBy("node").agg(F.array_sort(F.collect_set("label")).alias("labels")), ["node"], F.xxhash64("id"), "inner").select(F.explode("labels").alias("label"), "id", "next"))
-        found = met.select("label", "id") if found is None else found.unionByName(met.select("label", "id"))
-        front = settled(met.select("label", F.col("next").alias("node")).distinct().join(seen, ["label", "node"], "left_anti"))
-        if front.isEmpty():
-            return found.distinct()
-        seen = settled(seen.unionByName(front))
-
-
-def walks(edges: DataFrame, starts: DataFrame, direction: str) -> DataFrame:
-    """(label, id) upstream, downstream or both from starts (label, up, down)."""
     found = []
-    if direction != "downstream":
-        found.append(walk(edges, starts.select("label", F.col("up").alias("node")), True))
-    if direction != "upstream":
-        found.append(walk(edges, starts.select("label", F.col("down").alias("node")), False))
-    return reduce(DataFrame.unionByName, found).distinct()
+    for end, other, start in (("target", "source", "up"), ("source", "target", "down")):
+        if direction == ("downstream" if start == "up" else "upstream"):
+            continue
+        front = seen = settled(starts.select("label", F.col(start).alias("node")).filter("node is not null").distinct())
+        while not front.isEmpty():
+            met = meet(ways, front, end).select("label", F.col(other).alias("node")).filter("node is not null").distinct()
+            front = settled(met.join(seen, ["label", "node"], "left_anti"))
+            seen = settled(seen.unionByName(front))
+        found.append(meet(ways, seen, end))
+    return settled(reduce(DataFrame.unionByName, found).distinct())
+
+
+def at_ways(rows: DataFrame, ways: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows at one of ways, by label, source and target as far as ways have them; with left_anti those at none."""
+    key = F.struct(*[c for c in ("label", "source", "target") if c in ways.columns])  # null ends are alike in it
+    return rows.withColumn("__way", key).join(ways.select(key.alias("__way")), "__way", how).select(*rows.columns)
+
+
+def spread(edges: DataFrame, ways: DataFrame) -> DataFrame:
+    """(label, id) of the relations (id, source, target) at each of ways (label, source, target).
+
+    A way's labels meet each of its relations as one list, so what is shuffled grows with the relations and not with the result.
+    """
+    ends = F.struct("source", "target").alias("ends")
+    labels = ways.groupBy(ends).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return dealt_join(edges.select("id", ends).distinct(), labels, ["ends"], F.xxhash64("id"), "inner").select(F.explode("labels").alias("label"), "id")
 
 
 def matches(edges: DataFrame, assets: DataFrame, filters: dict[str, list[str]]) -> DataFrame:
@@ -191,9 +207,9 @@ def matches(edges: DataFrame, assets: DataFrame, filters: dict[str, list[str]])
 
 
 def visible(edges: DataFrame, assets: DataFrame, focuses: DataFrame | None = None, direction: str = "both", filters: dict[str, list[str]] | None = None, show_references: bool = False) -> DataFrame:
-    """(label, id): the relations of a view of the graph.
+    """(label, id): the relations of a view of the graph, each once.
 
-    edges: see relations. focuses (label, kind, focus): assets, references, dataflows or dependencies to trace from, each label apart; without any, the whole graph
+    edges: see relations; an id has one source and target. Relations between the same ends are walked as one way. focuses (label, kind, focus): assets, references, dataflows or dependencies to trace from, each label apart; without any, the whole graph
     is one view with the label 0. filters: connections, stages, formats, resolutions; the relations in the trace that meet all of them are the seeds of a second trace
     within the first. Dependencies on references that nothing resolves show only if there is a focus, if asked for, or if resolutions
     asks for `unresolved`. direction: upstream, downstream or both.
@@ -201,25 +217,35 @@ def visible(edges: DataFrame, assets: DataFrame, focuses: DataFrame | None = Non
     filters = {k: v for k, v in (filters or {}).items() if v}
     shown = focuses is not None or show_references or "unresolved" in filters.get("resolutions", [])
     open_ = edges if shown else edges.filter((F.col("type") == "dataflow") | F.col("asset").isNotNull())
+    if focuses is None and not filters:
+        return open_.select(F.lit(0).alias("label"), "id")
+    ways, at = settled(open_.select("source", "target").distinct()), None
     if focuses is None:
-        scope = open_.select(F.lit(0).alias("label"), "id")
+        scope = ways.select(F.lit(0).alias("label"), "source", "target")
     else:
         nodes = focuses.filter("kind = 'asset'").select("label", F.col("focus").alias("up"), F.col("focus").alias("down"))
         own = focuses.filter(F.col("kind").isin("dataflow", "dependency")).select("label", "kind", F.col("focus").alias("id")).join(open_, "id").filter(F.col("kind") == F.col("type"))
         # a reference stands for the dependencies that it is read by, resolved or not
         read = focuses.filter(F.col("kind") == "reference").select("label", F.col("focus").alias("reference_id")).join(open_, "reference_id")
-        at = own.select("label", "id", F.col("source").alias("up"), F.col("target").alias("down")).unionByName(read.select("label", "id", F.col("source").alias("up"), F.col("target").alias("down")))
-        starts = settled(nodes.select("label", "up", "down").unionByName(at.select("label", "up", "down")).distinct())
-        scope = walks(open_, starts, direction).unionByName(at.select("label", "id")).distinct()
-    if not filters:
-        return scope
-    scope = settled(scope)
-    seeds = settled(matches(open_, assets, filters).join(scope, "id").select("label", "id", F.col("source").alias("up"), F.col("target").alias("down")))
-    # inside a label's scope only: nodes are kept apart by label
-    inside = open_.join(scope, "id").select(F.concat_ws("\u0001", "label", "id").alias("id"), F.concat_ws("\u0001", "label", "source").alias("source"), F.concat_ws("\u0001", "label", "target").alias("target"))
-    apart = seeds.select("label", F.concat_ws("\u0001", "label", "up").alias("up"), F.concat_ws("\u0001", "label", "down").alias("down"))
-    found = walks(inside, apart, direction).select("label", F.substring_index("id", "\u0001", -1).alias("id"))
-    return found.unionByName(seeds.select("label", "id")).distinct()
+        at = settled(own.select("label", "id", "source", "target").unionByName(read.select("label", "id", "source", "target")).distinct())
+        scope = touched(ways, nodes.unionByName(at.select("label", F.col("source").alias("up"), F.col("target").alias("down"))), direction)
+        # of a way that isn't in the scope only the relations in focus are
+        at = settled(at_ways(at, scope, "left_anti"))
+        if not filters:
+            return spread(open_, scope).unionByName(at.select("label", "id"))
+    hits = settled(matches(open_, assets, filters).select("id", "source", "target"))
+    seeds = settled(at_ways(scope, hits.select("source", "target").distinct()))
+    starts, inside = seeds, scope
+    if at is not None:
+        at_hits = at.join(hits.select("id").distinct(), "id", "left_semi")
+        starts, inside = starts.unionByName(at_hits.select("label", "source", "target")), settled(scope.unionByName(at.select("label", "source", "target").distinct()))
+    # inside a label's scope only
+    traced = touched(inside, starts.select("label", F.col("source").alias("up"), F.col("target").alias("down")), direction)
+    # all relations of a traced way, of another those that match
+    found = spread(open_, at_ways(scope, traced)).unionByName(spread(hits, at_ways(seeds, traced, "left_anti")))
+    if at is None:
+        return found
+    return found.unionByName(at_ways(at, traced).select("label", "id").unionByName(at_hits.select("label", "id")).distinct())
 
 
 def view_entities(shown: DataFrame, edges: DataFrame, focuses: DataFrame | None = None) -> DataFrame:
