@@ -9,12 +9,13 @@ Keys are joined, links verified.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_links, checkpoint, connected_components, salted_join, values
@@ -163,8 +164,8 @@ def row_key(text: str, doc_id: str) -> Column:
     return F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def min_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """The minima of BANDS * BAND hash functions over the different runs of `size` words (of all words if there are fewer)."""
+def run_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the different runs of `size` words (of all words if there are fewer), in their order as unsigned numbers."""
     from xxhash import xxh64_intdigest
 
     one = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
@@ -173,32 +174,52 @@ def min_hashes(words: list[bytes], size: int) -> np.ndarray:
     for k in range(size):
         runs = runs * np.uint64(0x9E3779B97F4A7C15) + one[k : k + n]
     runs = (runs ^ (runs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    runs ^= runs >> np.uint64(32)
+    return np.unique(runs ^ (runs >> np.uint64(32)))
+
+
+def min_hashes(runs: np.ndarray) -> np.ndarray:
+    """The minima of BANDS * BAND hash functions over runs."""
     odd = np.random.default_rng(23).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
     return np.array([(runs * m).min() for m in odd])
 
 
-def min_prints(df: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, digest (128 bits) of the words, the keys of the bands (none without words), s, a bit of each minimum, and fp, the SimHash fingerprint."""
+def common_least(n: int, similarity: float) -> tuple[int, int]:
+    """How many of the smallest of n runs to take, and how many of these at least are among those of any near set.
+
+    Near sets of n and m runs have ceil(similarity * max(n, m)) in common or more. With ceil(similarity * n) - extra(n) of n runs left out, which are the
+    largest, at most as many of the common ones are out on either side, so the smaller extra of both is common to what was taken; and m is similarity * n at least.
+    """
+    extra = lambda n: max(1, n // 10)
+    least = math.ceil(similarity * n - 1e-9)
+    return min(n, n - least + extra(n)), extra(least)
+
+
+def min_prints(df: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """row, doc_id, digest (128 bits) of the words, the keys of the bands (none without words), s, a bit of each minimum, fp, the SimHash fingerprint, and what common_least says: the smallest runs, and how many are common."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
         for batch in batches:
-            keys, digests, bits, fps = [], [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            keys, digests, smallest, bits, fps, common = [], [], [], *(np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for k, t in enumerate(values(batch.column(2))):
                 words = words_of(t)
                 digests.append(xxh3_128_hexdigest(b" ".join(words)))
                 if not words:
                     keys.append([])
+                    smallest.append(np.zeros(0, np.int64))
                     continue
                 fps[k] = _signed(majority(shingle_hashes(words, PRINT_SHINGLE)))
-                least = min_hashes(words, shingle)
+                runs = run_hashes(words, shingle)
+                least = min_hashes(runs)
                 keys.append([_signed(xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least.reshape(BANDS, BAND))])
                 bits[k] = np.sum((least >> np.uint64(40) & np.uint64(1)) << np.arange(len(least), dtype=np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits), pa.array(fps)], ["row", "doc_id", "digest", "keys", "s", "fp"])
+                taken, common[k] = common_least(len(runs), similarity)
+                smallest.append(runs[:taken].view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, smallest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), lists[0], pa.array(bits), pa.array(fps), lists[1], pa.array(common)], ["row", "doc_id", "digest", "keys", "s", "fp", "smallest", "common"])
 
-    return df.select("row", "doc_id", "text").mapInArrow(prints, "row string, doc_id long, digest string, keys array<long>, s long, fp long")
+    return df.select("row", "doc_id", "text").mapInArrow(prints, "row string, doc_id long, digest string, keys array<long>, s long, fp long, smallest array<long>, common long")
 
 
 def linked(few: pd.DataFrame, many: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -228,7 +249,9 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     SimHash comes first: texts whose fingerprints differ in at most PRINT_BITS bits share a Golay key and meet its heads. At a similarity
     of 0.8 fingerprints differ in more bits, so texts that are in other components than those of their buckets then also meet
     if they share a band of minima over the shingles, where recall depends on the similarity alone, and not on which words
-    differ. Either way the similarity is computed exactly from whole texts.
+    differ. What bands leave apart is found without a chance of loss: a text that is near one of another component has most of its shingles in common
+    with such ones. Of texts for which that may hold, by their smallest runs, the rarest shingles are compared: near texts share one of
+    those that they can't all differ in. Each time the similarity is computed exactly from whole texts.
     Exact copies (by 128-bit digest of their words) are one node. Texts without words are alike.
     """
 
@@ -237,8 +260,8 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
         return pa.array([np.unique(shingle_hashes(words_of(t), shingle).view(np.int64)) for t in values(texts)], pa.list_(pa.int64()))
 
     rows = df.select(row_key(text, doc_id).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    copies = checkpoint(min_prints(rows, shingle))
-    firsts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("s").alias("s"), F.min("fp").alias("fp"))
+    copies = checkpoint(min_prints(rows, shingle, similarity))
+    firsts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("s").alias("s"), F.min("fp").alias("fp"), F.min("smallest").alias("smallest"), F.min("common").alias("common"))
     firsts = checkpoint(firsts.withColumn("node", F.monotonically_increasing_id()))
     near = F.expr(f"bit_count(x.s ^ y.s) <= {NEAR_BITS}")
 
@@ -262,6 +285,30 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
         both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
         return both.filter(F.col("c") >= similarity * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b").distinct()
 
+    def elsewhere(tokens: DataFrame) -> DataFrame:
+        """tokens (key, node, component) whose key is in several components, with how many have it."""
+        by = Window.partitionBy("key")
+        counted = tokens.withColumns({"low": F.min("component").over(by), "high": F.max("component").over(by), "n": F.count(F.lit(1)).over(by)})
+        return counted.filter("low <> high").drop("low", "high")
+
+    def left_apart(links: DataFrame) -> DataFrame:
+        """links, and those between what they leave apart."""
+        comp = connected_components(links)
+        tokens = worded.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "common", F.explode("smallest").alias("key"))
+        asked = elsewhere(tokens).groupBy("node", "component", "common").agg(F.count(F.lit(1)).alias("met")).filter("met >= common")
+        asked = checkpoint(asked.select("node", "component"))
+        sets = checkpoint(sets_of(asked.select("node")).join(asked, "node").withColumn("size", F.size("s")))
+        # shingles that no other component has come first, then the rarest; all but similarity * size - 1 of them have one that a near text has there
+        of_node = Window.partitionBy("node")
+        met = elsewhere(sets.select("node", "component", "size", F.explode("s").alias("key")))
+        met = met.withColumns({"place": F.row_number().over(of_node.orderBy("n", "key")), "met": F.count(F.lit(1)).over(of_node)})
+        first = F.col("met") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+        members = checkpoint(met.filter(F.col("place") <= first).select("node", "key"))
+        if members.isEmpty():
+            return links
+        as_large = F.expr(f"least(x.size, y.size) >= {similarity} * greatest(x.size, y.size) - 1e-9")
+        return bucket_links(members, as_large, verify, sets.select("node", "size"), compare, known=links)
+
     # by SimHash; texts without words are one node
     worded = firsts.filter(F.size("keys") > 0)
     prints = fingerprint_keys(worded.select("fp").distinct()).withColumnRenamed("node", "fp")
@@ -269,7 +316,8 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     links = checkpoint(bucket_links(salted_join(worded.select("node", "fp"), prints.groupBy("fp").agg(F.collect_list("key").alias("of_fp")), ["fp"], F.col("node"), how="inner").select("node", F.explode("of_fp").alias("key")), alike, verify, firsts.select("node", "fp"), rest=False))
     # by bands, what those links leave apart
     members = firsts.select("node", F.explode("keys").alias("key"))
-    comp = connected_components(bucket_links(members, near, verify, firsts.select("node", "s"), compare, known=links))
+    links = checkpoint(bucket_links(members, near, verify, firsts.select("node", "s"), compare, known=links).distinct())
+    comp = connected_components(left_apart(links))
     named = firsts.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # a digest may hold a third of all rows: documents are dealt by (digest, salt)
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
