@@ -194,32 +194,47 @@ def common_least(n: int, similarity: float) -> tuple[int, int]:
     return min(n, n - least + extra(n)), extra(least)
 
 
-def min_prints(df: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """row, doc_id, digest (128 bits) of the words, the keys of the bands (none without words), s, a bit of each minimum, fp, the SimHash fingerprint, and what common_least says: the smallest runs, and how many are common."""
+def min_prints(df: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, digest (128 bits) of the words, the keys of the bands (none without words), s, a bit of each minimum, and fp, the SimHash fingerprint."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
         for batch in batches:
-            keys, digests, smallest, bits, fps, common = [], [], [], *(np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            keys, digests, bits, fps = [], [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for k, t in enumerate(values(batch.column(2))):
                 words = words_of(t)
                 digests.append(xxh3_128_hexdigest(b" ".join(words)))
                 if not words:
                     keys.append([])
-                    smallest.append(np.zeros(0, np.int64))
                     continue
                 fps[k] = _signed(majority(shingle_hashes(words, PRINT_SHINGLE)))
-                runs = run_hashes(words, shingle)
-                least = min_hashes(runs)
+                least = min_hashes(run_hashes(words, shingle))
                 keys.append([_signed(xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least.reshape(BANDS, BAND))])
                 bits[k] = np.sum((least >> np.uint64(40) & np.uint64(1)) << np.arange(len(least), dtype=np.uint64)).astype(np.int64)
-                taken, common[k] = common_least(len(runs), similarity)
-                smallest.append(runs[:taken].view(np.int64))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, smallest)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), lists[0], pa.array(bits), pa.array(fps), lists[1], pa.array(common)], ["row", "doc_id", "digest", "keys", "s", "fp", "smallest", "common"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits), pa.array(fps)], ["row", "doc_id", "digest", "keys", "s", "fp"])
 
-    return df.select("row", "doc_id", "text").mapInArrow(prints, "row string, doc_id long, digest string, keys array<long>, s long, fp long, smallest array<long>, common long")
+    return df.select("row", "doc_id", "text").mapInArrow(prints, "row string, doc_id long, digest string, keys array<long>, s long, fp long")
+
+
+def smallest_runs(df: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """digest of the words of each different text with words, and what common_least says: its smallest runs, and how many of them are common."""
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_hexdigest
+
+        for batch in batches:
+            digests, smallest, common = [], [], []
+            for words in map(words_of, values(batch.column(0))):
+                if words:
+                    runs = run_hashes(words, shingle)
+                    n, least = common_least(len(runs), similarity)
+                    digests.append(xxh3_128_hexdigest(b" ".join(words)))
+                    smallest.append(runs[:n].view(np.int64))
+                    common.append(least)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(smallest, pa.list_(pa.int64())), pa.array(common, pa.int64())], ["digest", "smallest", "common"])
+
+    return df.select("text").mapInArrow(taken, "digest string, smallest array<long>, common long").groupBy("digest").agg(F.first("smallest").alias("smallest"), F.first("common").alias("common"))
 
 
 def linked(few: pd.DataFrame, many: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -260,8 +275,8 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
         return pa.array([np.unique(shingle_hashes(words_of(t), shingle).view(np.int64)) for t in values(texts)], pa.list_(pa.int64()))
 
     rows = df.select(row_key(text, doc_id).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    copies = checkpoint(min_prints(rows, shingle, similarity))
-    firsts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("s").alias("s"), F.min("fp").alias("fp"), F.min("smallest").alias("smallest"), F.min("common").alias("common"))
+    copies = checkpoint(min_prints(rows, shingle))
+    firsts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("s").alias("s"), F.min("fp").alias("fp"))
     firsts = checkpoint(firsts.withColumn("node", F.monotonically_increasing_id()))
     near = F.expr(f"bit_count(x.s ^ y.s) <= {NEAR_BITS}")
 
@@ -294,7 +309,8 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     def left_apart(links: DataFrame) -> DataFrame:
         """links, and those between what they leave apart."""
         comp = connected_components(links)
-        tokens = worded.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "common", F.explode("smallest").alias("key"))
+        placed = checkpoint(worded.select("digest", "node").join(comp, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component")))
+        tokens = placed.join(smallest_runs(rows, shingle, similarity), "digest").select("node", "component", "common", F.explode("smallest").alias("key"))
         asked = elsewhere(tokens).groupBy("node", "component", "common").agg(F.count(F.lit(1)).alias("met")).filter("met >= common")
         asked = checkpoint(asked.select("node", "component"))
         sets = checkpoint(sets_of(asked.select("node")).join(asked, "node").withColumn("size", F.size("s")))
@@ -307,7 +323,7 @@ def near_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
         if members.isEmpty():
             return links
         as_large = F.expr(f"least(x.size, y.size) >= {similarity} * greatest(x.size, y.size) - 1e-9")
-        return bucket_links(members, as_large, verify, sets.select("node", "size"), compare, known=links)
+        return bucket_links(members, as_large, verify, sets.select("node", "size"), known=links)
 
     # by SimHash; texts without words are one node
     worded = firsts.filter(F.size("keys") > 0)
